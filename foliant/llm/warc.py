@@ -8,6 +8,7 @@ by Spark's own protocol.  Reading goes by Content-Length, never by looking for s
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 EOL = "\r\n"
+GZIP = b"\x1f\x8b"
 REVISIT_FROM = 100  # payloads shorter than this are never revisits
-RECORDS_PER_FILE = 4000
+RECORDS_PER_FILE = 2000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -53,7 +55,7 @@ def record(kind: Column, ident: Column, uri: Column, headers: list[Column], cont
     return F.concat(F.concat_ws(EOL, *head), F.lit(EOL + EOL), block)
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Writes three records a page.  A null url or html counts as empty; pages that repeat an id get equal record
     ids and are told apart by their position only; a page with a null id is a response unless its payload is known."""
     p = plan(pages)
@@ -71,17 +73,16 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
         record(F.lit("metadata"), note, uri, [F.concat(F.lit("WARC-Concurrent-To: "), answer)], "application/warc-fields", F.concat(F.lit("payload-bytes: "), F.col("size").cast("string"), F.lit(EOL))),
     )
     out = p.select(F.explode(made).alias("value"))
-    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", records_per_file).option("compression", "none").text(path)
+    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 FIELDS = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http_head", pa.binary()), ("payload", pa.binary())])
 RECORDS = "record_type string, record_id string, uri string, concurrent_to array<string>, refers_to string, headers map<string,string>, http_head binary, payload binary"
 
 
-def parse(data: memoryview) -> Iterator[tuple]:
+def parse(raw: bytes) -> Iterator[tuple]:
     """The records of one archive.  Concurrent-to may stand several times in a record; other names are kept once."""
-    at, size = 0, len(data)
-    raw = data.obj
+    at, size = 0, len(raw)
     while at < size:
         end = raw.find(b"\r\n\r\n", at)
         if end < 0 or raw[at : at + 5] != b"WARC/":
@@ -117,7 +118,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for row in parse(memoryview(content.as_py())):
+                raw = content.as_py()
+                for row in parse(gzip.decompress(raw) if raw[:2] == GZIP else raw):
                     rows.append(row)
                     held += len(row[-1])
                     if len(rows) >= 500 or held > 1 << 23:
