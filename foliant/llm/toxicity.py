@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WordCache, held_out, labelled_sample, mapped, sigmoid, texts
 
 BINS = 1 << 18
-SAMPLE_ROWS = 6000  # labelled rows that the fit reads at most
+SAMPLE_ROWS = 4000  # labelled rows that the fit reads at most
 BEGINNINGS = (3, 4, 5, 6)
 DECAY = 1e-4  # pulls the weights of features without evidence to 0
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -63,22 +63,22 @@ class NoisyOr:
         return float(-np.expm1(np.log1p(-np.minimum([p for *_, p in scores], 1 - 1e-12)).sum())) if scores else 0.0
 
 
-def train(bags: list[tuple[list[np.ndarray], int]], epochs: int = 12, rate: float = 0.5, seed: int = 3) -> NoisyOr:
-    """Adaptive stochastic gradient on the noisy-or likelihood.  Weights stay at 0 or more, so that harmless words
-    cannot outweigh an offence in the same sentence.  Without labels of both kinds nothing is toxic."""
+def train(bags: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.5, seed: int = 3) -> NoisyOr:
+    """Adaptive stochastic gradient on the noisy-or likelihood of bags (bins, their number in each sentence, label).
+
+    Weights stay at 0 or more, so that harmless words cannot outweigh an offence in the same sentence.  Without labels
+    of both kinds nothing is toxic."""
     weights, grads = np.zeros(BINS, dtype=np.float64), np.full(BINS, 1e-3)
     bias, g_bias = -5.0, 1.0
-    if len({y for _, y in bags}) < 2:
+    if len({y for *_, y in bags}) < 2:
         return NoisyOr(weights.astype(np.float32), -20.0)
     rng = np.random.default_rng(seed)
-    flat = []
-    for bag, y in bags:
-        if bag:
-            sizes = np.array([len(x) for x in bag])
-            flat.append((np.concatenate(bag), np.repeat(np.arange(len(bag)), sizes), len(bag), y))
+    flat = [bag for bag in bags if len(bag[1])]
     for _ in range(epochs):
         for i in rng.permutation(len(flat)):
-            idx, owner, n, y = flat[i]
+            idx, sizes, y = flat[i]
+            n = len(sizes)
+            owner = np.repeat(np.arange(n), sizes)
             s = sigmoid(bias + np.bincount(owner, weights[idx], n))
             log_none = np.log1p(-np.minimum(s, 1 - 1e-9)).sum()
             none = np.exp(log_none)
@@ -97,9 +97,10 @@ def train(bags: list[tuple[list[np.ndarray], int]], epochs: int = 12, rate: floa
     return NoisyOr(weights.astype(np.float32), float(bias))
 
 
-def bag_of(text: str) -> list[np.ndarray]:
-    of = word_features
-    return [np.array([i for w in set(words) for i in of(w)], dtype=np.int32) for _, _, words in sentences(text)]
+def bag_of(text: str, features=word_features) -> tuple[list[int], list[int]]:
+    """The bins of all sentences, one after another, and how many each has."""
+    parts = [[i for w in set(words) for i in features(w)] for _, _, words in sentences(text)]
+    return [i for p in parts for i in p], [len(p) for p in parts]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> NoisyOr:
@@ -107,13 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> NoisyOr:
 
     def run(batch: pa.RecordBatch) -> dict:
         cache = WordCache(word_features)
-        bags = [[[i for w in set(words) for i in cache[w]] for _, _, words in sentences(t)] for t in texts(batch)]
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "bag": bags}
+        bags = [bag_of(t, cache.__getitem__) for t in texts(batch)]
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "bins": [b for b, _ in bags], "sizes": [s for _, s in bags]}
 
-    sample = mapped(labelled_sample(docs, labels, "toxic", rows), run, "doc_id long, label int, bag array<array<int>>").toArrow()
-    order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable")
-    bags, marks = sample.column("bag").to_pylist(), sample.column("label").to_pylist()
-    return train([([np.array(s, dtype=np.int32) for s in bags[i]], marks[i]) for i in order])
+    sample = mapped(labelled_sample(docs, labels, "toxic", rows), run, "doc_id long, label int, bins array<int>, sizes array<int>").toArrow()
+    order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable").tolist()
+    bins, sizes, marks = (sample.column(c) for c in ("bins", "sizes", "label"))
+    return train([(bins[i].values.to_numpy(), sizes[i].values.to_numpy(), marks[i].as_py()) for i in order])
 
 
 def score(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
