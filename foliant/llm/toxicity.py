@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WordCache, held_out, labelled_sample, mapped, sigmoid, texts
 
 BINS = 1 << 18
-SAMPLE_ROWS = 4000  # labelled rows that the fit reads at most
+SAMPLE_ROWS = 8000  # labelled rows that the fit reads at most
 BEGINNINGS = (3, 4, 5, 6)
 DECAY = 1e-4  # pulls the weights of features without evidence to 0
 SENTENCE = re.compile(r"[^.!?\n]+")
