@@ -5,8 +5,9 @@ A_i with B_j.  So SIDE * SIDE tables of 2 * ROWS values each cost only 2 * SIDE
 similarity s is in no common table with probability of at most 2 * (1 - s**ROWS)**SIDE: for 0.8, 8e-5.
 
 Equal sets are one class from the start.  Candidates are not all pairs of a bucket: first each class is tried against
-the bucket's smallest document, then, among classes that are not yet connected, against other members.  Every
-candidate pair whose ends would otherwise stay apart is verified, so components are those of all candidate pairs.
+the bucket's smallest document.  Where a cluster of classes that share buckets is still in several components, its
+sets are compared block against block, by size, inside tasks that hand on links only.  So components are those of
+all candidate pairs, while the rows made stay in proportion to the documents and blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from .common import WordCache, mapped, mix64, texts, written
 
 SIDE = 10
 ROWS = 2
+BLOCK = 512  # sets of one size level that are compared at once with as many others
 #: Similarity of at least NUMERATOR / DENOMINATOR, in whole numbers so that no rounding decides.
 NUMERATOR, DENOMINATOR = 80, 100
 
@@ -97,38 +100,126 @@ def sizes_allow(a: str, b: str):
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; each text travels compressed, once to its pairs as a and
-    once as b."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    used = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, z: the compressed texts of the documents in ids, repeated rows once; the one time that texts are shuffled."""
+    used = docs.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").distinct()
 
     def squeeze(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column("doc_id"), "z": [zstd().compress(t.encode()) for t in texts(batch)]}
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return {"id": batch.column("doc_id"), "z": [pack(t.encode()) for t in texts(batch)]}
 
-    held = mapped(used, squeeze, "id long, z binary").repartition("id").distinct()  # one shuffle for both
+    return written(mapped(used, squeeze, "id long, z binary"), "candidates")
+
+
+def opened(shingler: Shingler, z: bytes) -> np.ndarray:
+    return shingler(zstandard.ZstdDecompressor().decompress(z).decode())
+
+
+def verified(pairs: DataFrame, held: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     shingler = Shingler(words)
 
     def compare(batch: pa.RecordBatch) -> dict:
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor().decompress
-        found = lru_cache(maxsize=128)(lambda z: shingler(open_(z).decode()))
+        found = lru_cache(maxsize=128)(lambda z: opened(shingler, z))
         same = []
         for x, y in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist()):
             s, t = found(x), found(y)
-            common = len(s) + len(t) - len(np.union1d(s, t)) if len(s) and len(t) else 0
+            common = len(np.intersect1d(s, t, assume_unique=True))
             same.append(bool(common and common * DENOMINATOR >= NUMERATOR * (len(s) + len(t) - common)))
         return {"a": batch.column("a"), "b": batch.column("b"), "same": same}
 
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(held.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-    return mapped(both, compare, "a long, b long, same boolean").groupBy("a", "b").agg(F.max("same").alias("same"))
-
+    return mapped(both, compare, "a long, b long, same boolean").where("same").select("a", "b").distinct()
+
+
+def block_links(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets of different groups, enough of them to join whatever all links join.
+
+    A set of which over a fifth occurs nowhere else in the block can have no partner in it and is left out of the
+    product; the others are compared by a product of 0/1 matrices, a bounded number of shingles at a time."""
+    alive = np.arange(len(sets))
+    for _ in range(3):
+        sizes = np.array([len(sets[i]) for i in alive], dtype=np.int64)
+        if len(alive) < 2:
+            return []
+        flat = np.concatenate([sets[i] for i in alive])
+        owner = np.repeat(np.arange(len(alive)), sizes)
+        values, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        kept = np.bincount(owner[shared], minlength=len(alive)) * DENOMINATOR >= NUMERATOR * sizes
+        if kept.all():
+            break
+        alive = alive[kept]
+    if len(alive) < 2:
+        return []
+    sizes = np.array([len(sets[i]) for i in alive], dtype=np.int64)
+    flat = np.concatenate([sets[i] for i in alive])
+    owner = np.repeat(np.arange(len(alive)), sizes)
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    many = times > 1
+    column = np.cumsum(many) - 1
+    use = many[code]
+    owner, code = owner[use], column[code[use]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    common = np.zeros((len(alive), len(alive)), dtype=np.float32)
+    for low in range(0, int(many.sum()), 4096):
+        s, e = np.searchsorted(code, (low, low + 4096))
+        part = np.zeros((len(alive), 4096), dtype=np.float32)
+        part[owner[s:e], code[s:e] - low] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - common
+    x, y = np.nonzero(np.triu(common * DENOMINATOR >= NUMERATOR * union, 1))
+    root = {}
+
+    def top(g):
+        while root.get(g, g) != g:
+            root[g] = root.get(root[g], root[g])
+            g = root[g]
+        return g
+
+    links = []
+    for i, j in zip(alive[x], alive[y]):
+        g, h = top(groups[i]), top(groups[j])
+        if g != h:
+            root[g] = h
+            links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """members (id, n, cluster, component), each with the keys of all the block pairs in which it meets others.
+
+    Within a cluster, sets whose similarity can reach the threshold lie on the same or on neighbouring levels of size;
+    a level is dealt into blocks of about BLOCK sets."""
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
+    placed = members.withColumn("level", level)
+    sizes = written(placed.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "levels")
+    near = sizes
+    for name, step in (("below", 1), ("above", -1)):
+        near = near.join(sizes.select("cluster", (F.col("level") + step).alias("level"), F.col("blocks").alias(name)), ["cluster", "level"], "left")
+    placed = placed.join(near, ["cluster", "level"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    to = lambda count, key: F.when(F.coalesce(count, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), count - 1), key)).otherwise(F.array().cast("array<bigint>"))
+    own, lv, cl = F.col("own"), F.col("level"), F.col("cluster")
+    keys = F.concat(
+        to(F.col("blocks"), lambda k: F.xxhash64(cl, lv, F.lit(0), F.least(own, k), F.greatest(own, k))),
+        to(F.col("above"), lambda k: F.xxhash64(cl, lv, F.lit(1), own, k)),
+        to(F.col("below"), lambda k: F.xxhash64(cl, lv - 1, F.lit(1), k, own)),
+    )
+    return placed.select("id", "component", F.explode(keys).alias("key"))
+
+
+def links_in_blocks(members: DataFrame, held: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between members of one cluster that lie in different components."""
+    shingler = Shingler(words)
 
-def zstd():
-    import zstandard
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [opened(shingler, z) for z in table.column("z").to_pylist()]
+        found = block_links(table.column("id").to_numpy(), table.column("component").to_numpy(), sets)
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
-    return zstandard.ZstdCompressor(level=3)
+    return block_pairs(members).join(held, "id").groupBy("key").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,26 +260,19 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     in_bucket = written(buckets(reps), "buckets")
     nodes = rows.select("id")
 
+    held = candidate_texts(docs, in_bucket.select("id").distinct())
     first = in_bucket.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
-    tried = in_bucket.join(first, "key").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-    tried = tried.where("a < b").where(sizes_allow("na", "nb")).select("a", "b").distinct()
-    known_pairs = written(verified(written(tried, "pairs"), docs, words), "verified")
-    edges = written(known_pairs.where("same").select("a", "b").union(tied), "edges")
+    meet = written(in_bucket.join(first, "key").where("p.id < id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs")
+    edges = written(verified(meet.where(sizes_allow("na", "nb")).select("a", "b"), held, words).union(tied), "edges")
     found = written(components(nodes, edges), "components")
 
-    # members of different components in one bucket, apart from pairs already compared
-    here = in_bucket.join(found, "id")
-    mixed = here.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
-    here = written(here.join(mixed, F.col("key") == F.col("k")).select("key", "id", "n", "component"), "mixed")
-    main = here.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    outside = here.join(main, "key").where("component <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    pairs = outside.join(here, "key").where("cx <> component").where(sizes_allow("nx", "n"))
-    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    fresh = written(pairs.join(known_pairs, ["a", "b"], "left_anti"), "pairs")
-    if fresh.limit(1).count():
-        # of any two members of different components one lies outside the bucket's main one, so none is left out
-        more = verified(fresh, docs, words).where("same").select("a", "b")
-        found = written(components(nodes, written(edges.union(more), "edges")), "components")
+    clusters = components(in_bucket.select("id").distinct(), meet).withColumnRenamed("component", "cluster")
+    members = in_bucket.select("id", "n").distinct().join(clusters, "id").join(found, "id")
+    torn = members.groupBy(F.col("cluster").alias("c")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("c")
+    members = written(members.join(torn, F.col("cluster") == F.col("c")).drop("c"), "members")
+    more = written(links_in_blocks(members, held, words), "links")
+    if more.limit(1).count():
+        found = written(components(nodes, edges.union(more)), "components")
 
     of_doc = rows.join(found, "id").groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sig.select("doc_id", "n").join(of_doc, "doc_id", "left")
