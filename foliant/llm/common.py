@@ -100,15 +100,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordCache(dict):
-    """word -> make(word), kept for the first CACHE_WORDS words of a worker."""
+    """word -> make(word), kept for the first `limit` words of a worker."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, limit: int = CACHE_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.limit = make, limit
 
     def __missing__(self, word):
         value = self.make(word)
-        if len(self) < CACHE_WORDS:
+        if len(self) < self.limit:
             self[word] = value
         return value
 

@@ -42,7 +42,7 @@ class Shingler:
 
     def __init__(self, n: int):
         self.n = n
-        self.words = WordCache(lambda w: xxhash.xxh3_64_intdigest(w))
+        self.words = WordCache(xxhash.xxh3_64_intdigest, 150_000)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
@@ -225,22 +225,24 @@ def links_in_blocks(members: DataFrame, held: DataFrame, words: int) -> DataFram
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable over edges (a, b); ids without an edge are their own component.
 
-    Labels of the linked ids only are worked on: each round hooks roots onto smaller neighbouring labels and then
-    shortens the paths, and every round is written to the shared folder."""
-    links = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("label")), "labels")
-    while True:
-        at_b = labels.select(F.col("id").alias("b"), F.col("label").alias("other"))
-        near = links.join(at_b, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("least"))
-        new = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "least").alias("label"))
-        # a label's own label is smaller still
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
-        new = new.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("beyond", "label")).alias("label"))
-        new = written(new, "labels")
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            break
+    Each round hooks every linked id onto its smallest neighbour, shortens the paths by one jump, and contracts the
+    edges onto the new labels, so that the graph shrinks from round to round.  The smallest id of a component is never
+    relabelled.  Every round is written to the shared folder."""
+    graph = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph")
+    labels = None
+    while graph.limit(1).count():
+        hooks = graph.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
+        beyond = hooks.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        hooks = written(hooks.join(beyond, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "hooks")
+        move = lambda df, c: df.join(hooks.select(F.col("id").alias(c), F.col("label").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        graph = written(move(move(graph, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph")
+        if labels is None:
+            labels = hooks
+        else:
+            # ids that were roots until now have no row in labels yet
+            labels = written(move(labels, "label").unionByName(hooks.join(labels.select("id"), "id", "left_anti")), "labels")
+    if labels is None:
+        return nodes.select("id").distinct().withColumn("component", F.col("id"))
     return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
