@@ -3,7 +3,7 @@
 A classifier fitted on a labelled table gives each document a posterior over the domains.  A document's rate is how
 many times it is to be read; the rates are fitted by projected-gradient least squares so that the expected tokens of
 each domain, sum of rate * tokens * posterior, match the targets.  The gradient lives in the domains' few dimensions,
-and it is scaled by the inverse of their second-moment matrix over documents that are not at the lower bound.
+and it is scaled by the inverse of their second-moment matrix, with which a step without projection is exact.
 
 A document's rate follows from the steps so far (one number a domain each), so nothing is kept per document and
 each round is one aggregation over a narrow table.
@@ -25,7 +25,7 @@ from .common import WordCache, mapped, texts, written
 BINS = 1 << 15
 SAMPLE_ROWS = 4000  # labelled rows that the classifier reads at most
 ROUNDS = 25
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 
 
 def words_of(text: str) -> list[bytes]:
@@ -127,25 +127,26 @@ def fit_rates(features: DataFrame, weights: list[float], least: float = 0.0, tot
     tokens at which no domain has to be thinned."""
     k = len(weights)
     share = np.array(weights, dtype=float) / sum(weights)
+    q = [F.col("_mix_posterior")[i] for i in range(k)]
+    n = F.col("_mix_tokens").cast("double")
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    h = np.zeros((k, k))
+    for (i, j), x in zip(upper, features.agg(*[F.sum(n * q[i] * q[j]) for i, j in upper]).first()):
+        h[i, j] = h[j, i] = float(x or 0)
+    start = h.sum(1)  # expected tokens at rate 1, as posteriors add up to 1
+    goal = share * (total if total is not None else float((start / np.maximum(share, 1e-12)).max()))
     steps: list[list[float]] = []
-    goal = None
+    if start.sum() == 0:
+        return steps, goal.tolist()
+    now, gap = start, np.inf
     for _ in range(ROUNDS):
-        rows = features.select(rate(steps, least).alias("r"), F.col("_mix_tokens").cast("double").alias("n"), *[F.col("_mix_posterior")[i].alias(f"q{i}") for i in range(k)])
-        sums = [F.sum(F.expr(f"r * n * q{i}")) for i in range(k)]
-        moments = [F.sum(F.expr(f"if(r > {least!r}D, n * q{i} * q{j}, 0D)")) for i in range(k) for j in range(i, k)]
-        got = [float(x or 0) for x in rows.agg(*sums, *moments).first()]
-        now = np.array(got[:k])
-        if goal is None:
-            goal = share * (total if total is not None else float((now / np.maximum(share, 1e-12)).max()))
-            if now.sum() == 0:
-                return [], goal.tolist()
-        if np.abs(now - goal).max() <= TOLERANCE * goal.sum():
+        was, gap = gap, float(np.abs(now - goal).max())
+        if gap <= TOLERANCE * goal.sum() or gap > 0.999 * was:  # reached, or as near as nonnegative rates come
             break
-        h = np.zeros((k, k))
-        h[np.triu_indices(k)] = got[k:]
-        h = h + np.triu(h, 1).T
         step = np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(k), now - goal, rcond=None)[0]
         steps.append([float(x) for x in np.round(step, 10)])
+        r = rate(steps, least)
+        now = np.array([float(x or 0) for x in features.select(r.alias("r"), n.alias("n"), *[q[i].alias(f"q{i}") for i in range(k)]).agg(*[F.sum(F.expr(f"r * n * q{i}")) for i in range(k)]).first()])
     return steps, goal.tolist()
 
 
