@@ -102,7 +102,7 @@ def sizes_allow(a: str, b: str):
 
 def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, z: the compressed texts of the documents in ids, repeated rows once; the one time that texts are shuffled."""
-    used = docs.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").distinct()
+    used = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").distinct()
 
     def squeeze(batch: pa.RecordBatch) -> dict:
         pack = zstandard.ZstdCompressor(level=3).compress
