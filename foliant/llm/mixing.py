@@ -3,7 +3,8 @@
 A classifier fitted on a labelled table gives each document a posterior over the domains.  A document's rate is how
 many times it is to be read; the rates are fitted by projected-gradient least squares so that the expected tokens of
 each domain, sum of rate * tokens * posterior, match the targets.  The gradient lives in the domains' few dimensions,
-and it is scaled by the inverse of their second-moment matrix, with which a step without projection is exact.
+and it is scaled by the inverse of their second-moment matrix over documents above the lower bound, with which a step
+that projects nothing more is exact.
 
 A document's rate follows from the steps so far (one number a domain each), so nothing is kept per document and
 each round is one aggregation over a narrow table.
@@ -61,16 +62,16 @@ class Domains:
 
 
 def train(bags: list[np.ndarray], marks: list[str], names: list[str]) -> Domains:
-    """Every fifth row only fits the softness.  Without labelled rows all domains are equally likely."""
+    """A fifth of the rows only fits the softness.  Without labelled rows all domains are equally likely."""
     of = {n: i for i, n in enumerate(names)}
-    fit = [i for i in range(len(bags)) if i % 5]
+    order = np.random.default_rng(13).permutation(len(bags)).tolist()
+    fit, held = order[len(order) // 5 :], order[: len(order) // 5]
     counts, prior = np.full((BINS, len(names)), 0.1), np.ones(len(names))
     for i in fit:
         np.add.at(counts[:, of[marks[i]]], bags[i], 1)
         prior[of[marks[i]]] += 1
     table = np.log(counts / counts.sum(0))
     model = Domains(names, np.log(prior / prior.sum()), table - table.mean(1, keepdims=True))
-    held = [i for i in range(len(bags)) if i % 5 == 0]
     if held:
         z, y = np.stack([model.logits(bags[i]) for i in held]), np.array([of[marks[i]] for i in held])
         loss = {}
@@ -138,16 +139,24 @@ def fit_rates(features: DataFrame, weights: list[float], least: float = 0.0, tot
     steps: list[list[float]] = []
     if start.sum() == 0:
         return steps, goal.tolist()
-    now, gap = start, np.inf
+    solve = lambda m, v: np.linalg.lstsq(m + 1e-9 * np.trace(h) * np.eye(k), v, rcond=None)[0]
+    now, free, best = start, h, (np.inf, 0)
     for _ in range(ROUNDS):
-        was, gap = gap, float(np.abs(now - goal).max())
-        if gap <= TOLERANCE * goal.sum() or gap > 0.999 * was:  # reached, or as near as nonnegative rates come
+        gap = float(np.abs(now - goal).max())
+        if gap < best[0]:
+            best = gap, len(steps)
+        if gap <= TOLERANCE * goal.sum() or len(steps) - best[1] >= 4:  # reached, or as near as the bound lets rates come
             break
-        step = np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(k), now - goal, rcond=None)[0]
+        # scaled by the documents that can still move, unless that made things worse
+        step = solve(free if gap == best[0] and np.trace(free) > 1e-6 * np.trace(h) else h, now - goal)
         steps.append([float(x) for x in np.round(step, 10)])
         r = rate(steps, least)
-        now = np.array([float(x or 0) for x in features.select(r.alias("r"), n.alias("n"), *[q[i].alias(f"q{i}") for i in range(k)]).agg(*[F.sum(F.expr(f"r * n * q{i}")) for i in range(k)]).first()])
-    return steps, goal.tolist()
+        rows = features.select(r.alias("r"), n.alias("n"), *[q[i].alias(f"q{i}") for i in range(k)])
+        got = rows.agg(*[F.sum(F.expr(f"r * n * q{i}")) for i in range(k)], *[F.sum(F.expr(f"if(r > {least!r}D, n * q{i} * q{j}, 0D)")) for i, j in upper]).first()
+        now, free = np.array([float(x or 0) for x in got[:k]]), np.zeros((k, k))
+        for (i, j), x in zip(upper, got[k:]):
+            free[i, j] = free[j, i] = float(x or 0)
+    return steps[: best[1]], goal.tolist()
 
 
 def rates(docs: DataFrame, model: Domains, weights: dict[str, float], least: float = 0.0) -> DataFrame:
