@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  Each sentence has a logistic score over hashed words and word beginnings;
-the document's score is their noisy-or, 1 - prod(1 - s).  Only document labels are learned from, yet the fitted
+the document's score is their noisy-or, 1 - prod(1 - s), calibrated on labels outside each fold's fit.  Only document labels are learned from, yet the fitted
 model gives sentence scores, which locate the offending sentences.
 """
 
@@ -20,7 +20,8 @@ from .common import WordCache, held_out, labelled_sample, mapped, sigmoid, texts
 
 BINS = 1 << 18
 SAMPLE_ROWS = 8000  # labelled rows that the fit reads at most
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+WHOLE = 5  # longer words are known by their beginnings only, so that unseen inflected forms are known as well
 DECAY = 1e-4  # pulls the weights of features without evidence to 0
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -28,7 +29,7 @@ WORD = re.compile(r"\w+")
 
 def word_features(word: str) -> tuple[int, ...]:
     """Hash bins of the word and of its beginnings, which stand for inflected forms."""
-    parts = [f"={word}"] + [f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n]
+    parts = [f"={word}"] * (len(word) <= WHOLE) + [f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n]
     return tuple(zlib.crc32(p.encode()) % BINS for p in parts)
 
 
@@ -42,12 +43,14 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 class NoisyOr:
     weights: np.ndarray
     bias: float
+    scale: float = 1.0
+    shift: float = 0.0
 
     def __post_init__(self):
         self.words = WordCache(lambda w: float(self.weights[list(word_features(w))].sum()))
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias}
+        return {"weights": self.weights, "bias": self.bias, "scale": self.scale, "shift": self.shift}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -59,8 +62,45 @@ class NoisyOr:
         return [(s, e, float(p)) for (s, e, _), p in zip(parts, scores)]
 
     def document_score(self, scores: list[tuple[int, int, float]]) -> float:
-        """An empty text has no sentence and scores 0."""
-        return float(-np.expm1(np.log1p(-np.minimum([p for *_, p in scores], 1 - 1e-12)).sum())) if scores else 0.0
+        """The noisy-or of the sentences, calibrated; an empty text has no sentence and scores 0."""
+        if not scores:
+            return 0.0
+        log_none = np.log1p(-np.minimum([p for *_, p in scores], 1 - 1e-12)).sum()
+        return float(sigmoid(self.scale * odds(log_none) + self.shift))
+
+
+def odds(log_none: float) -> float:
+    """log(p / (1 - p)) of a noisy-or, from log(1 - p)."""
+    return float(np.log(max(-np.expm1(log_none), 1e-12)) - log_none)
+
+
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic fit of labels on log odds, lightly damped towards scale 1."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = sigmoid(a * z + b)
+        w = p * (1 - p) + 1e-6
+        x = np.stack([z, np.ones_like(z)])
+        h = (x * w) @ x.T + np.diag([0.05, 0.05])
+        step = np.linalg.solve(h, x @ (p - y) + np.array([0.05 * (a - 1), 0.05 * b]))
+        a, b = max(0.05, a - float(np.clip(step[0], -0.5, 0.5))), b - float(np.clip(step[1], -1, 1))
+    return a, b
+
+
+def learn(bags: list[tuple[np.ndarray, np.ndarray, int]], folds: int = 3) -> NoisyOr:
+    """train() on all bags, calibrated on scores that each fold gets from a model of the others."""
+    model = train(bags)
+    z, y = [], []
+    for f in range(folds):
+        part = train([b for i, b in enumerate(bags) if i % folds != f])
+        for idx, sizes, mark in bags[f::folds]:
+            if len(sizes):
+                s = sigmoid(part.bias + np.bincount(np.repeat(np.arange(len(sizes)), sizes), part.weights[idx], len(sizes)))
+                z.append(odds(np.log1p(-np.minimum(s, 1 - 1e-12)).sum()))
+                y.append(mark)
+    if len(set(y)) == 2:
+        model.scale, model.shift = calibrated(np.array(z), np.array(y, dtype=float))
+    return model
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.5, seed: int = 3) -> NoisyOr:
@@ -114,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> NoisyOr:
     sample = mapped(labelled_sample(docs, labels, "toxic", rows), run, "doc_id long, label int, bins array<int>, sizes array<int>").toArrow()
     order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable").tolist()
     bins, sizes, marks = (sample.column(c) for c in ("bins", "sizes", "label"))
-    return train([(bins[i].values.to_numpy(), sizes[i].values.to_numpy(), marks[i].as_py()) for i in order])
+    return learn([(bins[i].values.to_numpy(), sizes[i].values.to_numpy(), marks[i].as_py()) for i in order])
 
 
 def score(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
