@@ -80,10 +80,11 @@ def title_words(x: Column) -> Column:
 def is_heading(x: Column) -> Column:
     """A short line set like a title; what any other class claims is none."""
     claimed = is_bullet(x) & (x == STANDALONE_BULLET) | is_navigation(x) | is_ui_label(x) | is_list_item(x) | is_warning(x)
-    barred = (x == "") | x.isin("ENG", "Website", "-00", "Caution") | x.rlike(r"^[.,:;/]") | x.contains("www.") | x.contains("@") | (F.length(x) > 55) | x.endswith(".")
+    # cheap tests first: most lines of running text fail them, and the rest is then not evaluated
+    barred = (F.length(x) > 55) | (x == "") | x.endswith(".") | x.isin("ENG", "Website", "-00", "Caution") | x.rlike(r"^[.,:;/]") | x.contains("www.") | x.contains("@")
     n = word_count(x)
     shaped = x.rlike(r"^\d{2}\s+[A-Z]") | ((x.endswith("!") | x.endswith("?")) & (n <= 4)) | ((n <= 8) & (title_words(x) >= F.greatest(F.lit(1), n - 1)))
-    return ~claimed & ~barred & shaped
+    return ~barred & shaped & ~claimed
 
 
 def line_kind(x: Column) -> Column:
@@ -105,7 +106,7 @@ def is_safety_table(x: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Sentences of running English text, collapsed, none empty."""
-    return F.filter(F.transform(F.split(collapsed(x), SENTENCE_BREAK), F.btrim), lambda s: s != "")
+    return F.filter(F.transform(F.split(collapsed(x), SENTENCE_BREAK), lambda s: F.btrim(s)), lambda s: s != "")
 
 
 def forbidden_characters(x: Column) -> Column:

@@ -11,7 +11,7 @@ DOCUMENT_TYPES = ("A2", "A3", "BOOK")
 
 def items(x: Column) -> Column:
     """A list written with semicolons: trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(x, ";"), F.btrim), lambda v: v != "")
+    return F.filter(F.transform(F.split(x, ";"), lambda v: F.btrim(v)), lambda v: v != "")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
