@@ -36,11 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it is lower still: texts may be very long, and a
+    batch lies in memory several times on its way between the JVM and Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns; the Spark schema gives their order and types."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +73,7 @@ def as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Small pieces of a batch, so that what a function builds for one of them stays small."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, fingerprints, lm, mixing, neardup, quality, secrets, toxicity, warc
+from .common import small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Domains are the documents' languages; the weights are those of the mixture that is wanted.
@@ -13,6 +14,7 @@ WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
