@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -184,3 +186,90 @@ def file_fields(name: Column) -> Column:
     buyer = F.array_join(F.slice(parts, F.lit(4), F.greatest(n - 5, F.lit(1))), "_")
     fields = F.struct(at(0).alias("code"), at(1).alias("kind"), at(2).alias("model"), buyer.alias("buyer"), at(n - 2).alias("language"), at(n - 1).alias("date_code"), F.concat_ws("_", buyer, at(n - 2)).alias("source_token"))
     return F.when(n >= 6, fields)
+
+
+def pieces_at(x: Column, starts: tuple[str, ...]) -> Column:
+    """The text cut in front of each of the literal starts, collapsed, empty pieces left out; whole if none occurs."""
+    names = "|".join(re.escape(s) for s in sorted(starts, key=len, reverse=True))
+    return F.filter(F.transform(F.split(F.regexp_replace(x, f"({names})", "\x01$1"), "\x01"), collapsed), lambda p: p != "")
+
+
+def navigation_path(x: Column) -> Column:
+    """A menu path with spaced separators, in parentheses."""
+    spaced = collapsed(F.regexp_replace(x, r"\s*>\s*", " > "))
+    return F.concat(F.lit("("), F.regexp_replace(spaced, "Software Update > Update$", "Software Update > Auto Update"), F.lit(")"))
+
+
+def after_parenthesis(x: Column) -> Column:
+    return collapsed(F.regexp_replace(collapsed(x), r"^\)\.?\s*", ""))
+
+
+def model_list(x: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(collapsed(x), r"\.+$", ""), "/"), lambda m: m != "")
+
+
+def website(x: Column) -> Column:
+    """(url, label) of a value like "www.example.org (label)"; label is empty without parentheses."""
+    return F.struct(F.regexp_extract(x, r"^\s*(\S+)", 1).alias("url"), F.regexp_extract(x, r"\(([^)]*)\)\s*$", 1).alias("label"))
+
+
+def phone_tokens(x: Column) -> Column:
+    return F.regexp_extract_all(F.upper(x), F.lit(r"1-\d{3}-[A-Z]+|\d{3}-\d{4}"), 0)
+
+
+def resolutions(x: Column) -> Column:
+    """(model, value) of each "model: 1920 x 1080"."""
+    pattern = F.lit(r"([^:\n]+?):\s*(\d[\d,]*\s*x\s*\d[\d,]*)")
+    return F.transform(F.arrays_zip(F.regexp_extract_all(x, pattern, 1).alias("model"), F.regexp_extract_all(x, pattern, 2).alias("value")), lambda r: F.struct(F.btrim(r["model"]).alias("model"), r["value"].alias("value")))
+
+
+def list_marker(label: Column) -> Column:
+    """The kind of a list label: note, decimal, parenthesised, number, roman, letter, or none of them."""
+    x = collapsed(label)
+    return (
+        F.when(x.isin("※", "*", "NOTE"), "note").when(x.rlike(r"^\d{1,3}\.$"), "decimal").when(x.rlike(r"^\(?\d{1,3}\)$"), "parenthesised").when(x.rlike(r"^\d{1,3}$"), "number")
+        .when(x.rlike(r"^\(?[ivx]{1,5}[.)]$"), "roman").when(x.rlike(r"^\(?[A-Za-z][.)]$"), "letter").otherwise("none")
+    )
+
+
+def inside_quotes(x: Column, at: Column) -> Column:
+    """Whether position `at` (from 1) of a text lies inside straight or curly quotes."""
+    head = F.substring(x, F.lit(1), at - 1)
+    return (occurrences(head, '"') % 2 == 1) | (occurrences(head, "“") > occurrences(head, "”"))
+
+
+def characters_in(x: Column, ranges: tuple[tuple[int, int], ...]) -> Column:
+    """How many characters of a text lie in the code point ranges."""
+    inside = "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in ranges)
+    return F.length(x) - F.length(F.regexp_replace(x, f"[{inside}]", ""))
+
+
+#: The scripts of languages that are written from right to left.
+RTL_SCRIPTS = {"ARA": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF)), "HEB": ((0x0590, 0x05FF),)}
+
+
+def has_rtl_script(x: Column, language: Column, least: int = 10) -> Column:
+    out = None
+    for name, ranges in RTL_SCRIPTS.items():
+        hit = characters_in(x, ranges) >= least
+        out = F.when(language == name, hit) if out is None else out.when(language == name, hit)
+    return out.otherwise(False)
+
+
+def escaped(x: Column) -> Column:
+    """A line as Markdown text: marks that would format it are escaped, at its beginning and inside."""
+    inside = F.regexp_replace(x, r"([\\`*_\[\]<>|])", r"\\$1")
+    return F.regexp_replace(F.regexp_replace(inside, r"^(#{1,6}|[-+])(?=\s|$)", r"\\$1"), r"^(\d{1,9})([.)])(?=\s|$)", r"$1\\$2")
+
+
+def is_language_label(x: Column) -> Column:
+    return x.rlike(r"^[A-Z]+(-[A-Z]+)?$")
+
+
+def layout(size: Column, orientation: Column, page: Column) -> Column:
+    """(rows, columns, has_cover) of a page's grid."""
+    grid = lambda r, c, cover: F.struct(F.lit(r).alias("rows"), F.lit(c).alias("columns"), cover.alias("has_cover"))
+    return (
+        F.when((size == "A2") & (orientation == "landscape"), grid(2, 8, F.lit(True))).when((size == "A3") & (orientation == "portrait"), grid(2, 4, page == 1))
+        .when((size == "A5") & (orientation == "portrait"), grid(1, 2, F.lit(False))).otherwise(grid(1, 1, F.lit(False)))
+    )

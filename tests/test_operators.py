@@ -99,3 +99,117 @@ def test_stream(spark, tmp_path):
     q = streaming.kinds_stream(stream).writeStream.format("memory").queryName("kinds_out").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.kind for r in spark.table("kinds_out").collect()} == {"heading", "body"}
+
+
+def items(spark, pairs):
+    return spark.createDataFrame([(1, i, k, x) for i, (k, x) in enumerate(pairs)], "doc int, ord int, kind string, text string")
+
+
+def told(df):
+    return [(r.kind, r.text) for r in df.orderBy("doc", "ord").collect()]
+
+
+def test_prepared_items(spark):
+    from foliant.operators import rewrites
+
+    got = told(rewrites.prepared(items(spark, [
+        ("bullet", "–"), ("warning", "CAUTION"), ("body", ": hot. WARNING - sharp"), ("body", "(QX12 only) Hold it."), ("body", "(see (a) below) text"),
+        ("body", rewrites.ACTION_INTRO + "."), ("body", "Bending"), ("body", "Pulling"), ("body", "Bending it is fine."),
+        ("body", "upgrade to the latest"), ("body", "software. Use the keys."), ("body", "Try pressing the"), ("ui_label", "Power"), ("body", "button ."), ("body", "After."),
+        ("body", "Now go to"), ("navigation", ">"), ("ui_label", "All Settings"), ("body", "."), ("body", "End."),
+        ("heading", rewrites.PACKAGE_HEADING), ("list_item", "* Cable"), ("list_item", "Stand"), ("heading", "02 Other"), ("list_item", "* Kept"),
+        ("body", rewrites.CONDITION_START + "AB1/"), ("body", "CD2/The"), ("body", "Frame."), ("body", "tail 1."),
+    ]), ["doc"]))
+    assert got == [
+        ("bullet", "CAUTION: hot."), ("bullet", "WARNING - sharp"), ("condition_label", "(QX12 only)"), ("body", "Hold it."), ("body", "(see (a) below) text"),
+        ("body", rewrites.ACTION_INTRO + "."), ("figure_action_labels", "Bending\nPulling"), ("body", "Bending it is fine."),
+        ("body", "upgrade to the latest software. Use the keys."), ("body", "Try pressing the Power button ."), ("body", "After."),
+        ("body", "Now go to"), ("navigation", "(> All Settings)"), ("body", "End."),
+        ("heading", rewrites.PACKAGE_HEADING), ("item_list", "Cable\nStand"), ("heading", "02 Other"), ("list_item", "* Kept"),
+        ("model_condition", rewrites.CONDITION_START + "AB1/CD2/The Frame."), ("body", "tail"),
+    ]
+
+
+def test_rewrites_of_empty_items_and_nulls(spark):
+    from foliant.operators import rewrites
+
+    assert told(rewrites.prepared(items(spark, []), ["doc"])) == []
+    assert told(rewrites.prepared(items(spark, [("body", None), ("body", "")]), ["doc"])) == [("body", ""), ("body", "")]
+
+
+def test_embedded_headings_and_precautions(spark):
+    from foliant.operators import rewrites
+
+    got = told(rewrites.embedded_headings(items(spark, [("body", 'See "Notes" now. Notes Keep dry. LicenseNotes'), ("heading", "Notes")]), ["doc"], ["Notes", "License"]))
+    assert got == [("body", 'See "Notes" now.'), ("heading", "Notes"), ("body", "Keep dry."), ("heading", "License"), ("heading", "Notes"), ("heading", "Notes")]
+    got = told(rewrites.prepared(items(spark, [("body", f"Mind. {rewrites.PRECAUTION_INTRO} Always ensure it stands. Never place it high.")]), ["doc"]))
+    assert got == [("body", f"Mind. {rewrites.PRECAUTION_INTRO}"), ("bullet", "Always ensure it stands."), ("bullet", "Never place it high.")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joined_runs_follow_the_automaton(spark, seed):
+    from foliant.operators import rewrites
+
+    rng = random.Random(seed)
+    flags = [(d, i, rng.random() < 0.3, rng.random() < 0.7, rng.random() < 0.3) for d in range(5) for i in range(rng.randrange(1, 40))]
+    df = spark.createDataFrame([(d, i, "k", f"{i}", o, f, e) for d, i, o, f, e in flags], "doc int, ord int, kind string, text string, o boolean, f boolean, e boolean")
+    got = sorted((r.doc, r.ord, r.text) for r in rewrites.joined_runs(df, ["doc"], F.col("o"), F.col("f"), F.col("e"), F.lit("run"), lambda p: F.array_join(p, " ")).collect())
+    want, run, doc = [], None, None
+    for d, i, o, f, e in flags:
+        if d != doc:
+            run, doc, n = None, d, 0
+        if run is not None and f:
+            want[-1][2].append(str(i))
+            run = None if e and not o else run
+            continue
+        want.append([d, n, [str(i)]])
+        n += 1
+        run = i if o else None
+    assert got == sorted((d, n, " ".join(x)) for d, n, x in want)
+
+
+def test_chapter_policy_boundaries(spark):
+    from foliant.operators import chapters
+
+    rows = [(0, 20.0, 18.0, 12.0), (1, 20.0, 17.9, 10.0), (2, 15.0, 15.0, 10.0), (3, 14.9, 14.9, 10.0), (4, None, 15.0, 10.0)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, body double").orderBy("i")
+    assert [r[0] for r in df.select(chapters.outcome(F.col("a"), F.col("b"), F.col("body"))).collect()] == ["promoted", "label_body_size_mismatch", "promoted", "font_ratio_below_threshold", "typography_insufficient"]
+    series = spark.createDataFrame([(1, i, x) for i, x in enumerate(["02", "01", "02", "01", "03", "01", "02"])], "doc int, at int, label string")
+    audits = chapters.audit(chapters.with_series(series, "doc", "at"), "doc", "at")
+    assert [(r.series, r.n, r.valid, r.next_start) for r in audits.orderBy("series").collect()] == [(0, 1, False, 1), (1, 2, True, 3), (2, 2, False, 5), (3, 2, True, None)]
+    assert chapters.consistency(audits, "doc").collect()[0].consistent is True
+    kids = [(1, "label", "01", 9.0), (1, "list_body", "Start", 9.0), (2, "label", "1", 9.0), (2, "list_body", "x", 9.0), (3, "label", "02", 9.0), (3, "label", "03", 9.0), (3, "list_body", "y", 9.0)]
+    assert [r.title for r in chapters.candidates(spark.createDataFrame(kids, "k int, role string, text string, size double"), ["k"]).collect()] == ["Start"]
+
+
+def test_phrases_structure_and_sinks(spark, tmp_path):
+    from foliant.operators import checks
+    from foliant.sources import sinks
+
+    docs = spark.createDataFrame([(1, "Keep  dry.\nSerial numbr"), (2, None)], "doc_id int, text string")
+    rules = [checks.Phrase("dry", "exact", "Keep dry."), checks.Phrase("serial", "similarity", "Serial number", least=0.9), checks.Phrase("oil", "partial", "oil", required=False)]
+    got = {(r.doc_id, r.rule): r.status for r in checks.phrases(docs, rules).collect()}
+    assert got == {(1, "dry"): "PASS", (1, "serial"): "PASS", (1, "oil"): "PASS", (2, "dry"): "FAIL", (2, "serial"): "FAIL", (2, "oil"): "PASS"}
+    with pytest.raises(ValueError):
+        checks.Phrase("x", "vague").found(F.col("text"))
+    e = sinks.encoded(F.col("x"))
+    texts = ["plain", "bell \x07", "", None, "é😀".encode("utf-16", "surrogatepass").decode("utf-16")]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r[0] for r in df.select(sinks.decoded(e)).collect()] == texts
+    back = sinks.write_verified(docs, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, docs.collect()))
+    assert sinks.differences(docs, docs.limit(1)).count() == 1
+    types = spark.createDataFrame([(0, ["A5", "A5"]), (1, ["A5", "A3"]), (2, ["A3", "A2"]), (3, ["X"])], "i int, s array<string>").orderBy("i")
+    assert [r[0] for r in types.select(checks.document_type(F.col("s"))).collect()] == ["BOOK", "A3", "A2", "UNKNOWN"]
+
+
+def test_more_scalars(spark):
+    assert column(spark, T.navigation_path, ["A>B  > Software Update > Update"]) == ["(A > B > Software Update > Auto Update)"]
+    assert column(spark, lambda x: T.pieces_at(x, ("One", "Two")), ["a One b Two c", "none"]) == [["a", "One b", "Two c"], ["none"]]
+    assert column(spark, T.list_marker, ["1.", "(2)", "3", "iv.", "b)", "※", "word"]) == ["decimal", "parenthesised", "number", "roman", "letter", "note", "none"]
+    assert column(spark, T.after_parenthesis, ["). More", ")", "x"]) == ["More", "", "x"]
+    assert column(spark, T.phone_tokens, ["call 1-800-abc or 555-1234"]) == [["1-800-ABC", "555-1234"]]
+    assert column(spark, lambda x: T.characters_in(x, ((0x0600, 0x06FF),)), ["aسلام", ""]) == [4, 0]
+    assert [tuple(r) for r in column(spark, T.resolutions, ["AB1: 1920 x 1080\nCD: 3,840 x 2,160"])[0]] == [("AB1", "1920 x 1080"), ("CD", "3,840 x 2,160")]
+    assert column(spark, T.escaped, ["# a*b", "1. x", "plain"]) == [r"\# a\*b", r"1\. x", "plain"]
+    assert tuple(column(spark, T.website, ["www.example.org (home)"])[0]) == ("www.example.org", "home")

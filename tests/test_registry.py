@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from foliant.plans import registry
+from foliant.plans import registry, structure  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
