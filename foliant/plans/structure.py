@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import chapters, checks, lines, rewrites
+from foliant.operators import chapters, checks, lines, rewrites, spans, tree
 from foliant.plans.registry import KINDS, LINES, STARTS, TAGS, _intervals, query, quoted
 from foliant.sources import sinks
 
@@ -220,8 +220,6 @@ def quoted_commas(t) -> DataFrame:
 @query(f"""WITH {TAGS}, n AS (SELECT *, lag(tag) OVER w AS before, lead(tag) OVER w AS after FROM tags WINDOW w AS (PARTITION BY page_id ORDER BY ord))
 SELECT page_id, ord, before, after FROM n WHERE tag = 'p' AND (before IN ({quoted(('h1', 'article'))}) OR after = 'footer')""")
 def sibling_context(t) -> DataFrame:
-    from foliant.operators import tree
-
     w = Window.partitionBy("page_id").orderBy("ord")
     n = tree.page_tags(t("pages")).withColumns({"before": F.lag("tag").over(w), "after": F.lead("tag").over(w)})
     return n.where((F.col("tag") == "p") & (F.col("before").isin("h1", "article") | (F.col("after") == "footer"))).select("page_id", "ord", "before", "after")
@@ -230,3 +228,56 @@ def sibling_context(t) -> DataFrame:
 @query(f"""WITH {STARTS} SELECT user_id, count(*) AS n_intervals, max("end" - start) AS longest FROM iv GROUP BY 1""")
 def interval_spans(t) -> DataFrame:
     return _intervals(t).groupBy("user_id").agg(F.count("*").alias("n_intervals"), F.max(F.col("end") - F.col("start")).alias("longest"))
+
+
+STYLED = NODES + """, sp AS (SELECT l_orderkey AS page, l_linenumber AS ord, l_returnflag || l_linestatus AS text, 8 + l_discount * 40 AS size, l_tax > 0.02 AS bold, l_returnflag = 'A' AS underline, l_linenumber * 14.0::DOUBLE AS y0, l_linenumber * 14.0::DOUBLE + 10 AS y1, l_quantity FROM nodes)"""
+
+
+def _styled(t) -> DataFrame:
+    c, y = F.col, F.col("l_linenumber") * F.lit(14.0)
+    return _nodes(t).select(c("l_orderkey").alias("page"), c("l_linenumber").alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("text"), (8 + c("l_discount") * 40).alias("size"), (c("l_tax") > 0.02).alias("bold"), (c("l_returnflag") == "A").alias("underline"), y.alias("y0"), (y + 10).alias("y1"), "l_quantity")
+
+
+@query(f"""WITH {STYLED}, s AS (SELECT *, size >= 9 AND (bold OR underline) AS strong FROM sp),
+m AS (SELECT *, CASE WHEN strong AND lag(strong) OVER w AND abs(size - lag(size) OVER w) <= 0.75 AND y0 - lag(y1) OVER w <= size * 0.75 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY page ORDER BY ord)),
+g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY page ORDER BY ord) AS BIGINT) AS grp FROM m)
+SELECT page, grp, count(*) AS n_spans, round(max(size), 6) AS size, string_agg(text, ' ' ORDER BY ord) AS text FROM g WHERE strong GROUP BY 1, 2""")
+def style_heading_groups(t) -> DataFrame:
+    return spans.heading_groups(_styled(t), ["page"], "ord").withColumn("size", F.round("size", 6))
+
+
+@query(f"""WITH {STYLED}, l AS (SELECT *, row_number() OVER (PARTITION BY page, text ORDER BY ord) AS i FROM sp WHERE l_quantity > 10), r AS (SELECT *, row_number() OVER (PARTITION BY page, text ORDER BY ord) AS i FROM sp WHERE l_quantity < 40)
+SELECT l.page, l.ord, l.text, round(r.size, 6) AS span_size FROM l LEFT JOIN r ON l.page = r.page AND l.text = r.text AND l.i = r.i""")
+def span_matches(t) -> DataFrame:
+    s = _styled(t)
+    right = s.where("l_quantity < 40").select("page", "ord", "text", F.round("size", 6).alias("span_size"))
+    return spans.matched(s.where("l_quantity > 10").select("page", "ord", "text"), right, ["page"], "ord", ["span_size"])
+
+
+@query(f"""WITH {NODES}, m AS (SELECT l_orderkey AS doc, l_linenumber AS ord, l_quantity > 35 AS label, l_quantity AS tier FROM nodes),
+f AS (SELECT *, last_value(CASE WHEN label THEN ord END IGNORE NULLS) OVER w AS label_ord, last_value(CASE WHEN label THEN tier END IGNORE NULLS) OVER w AS lt FROM m WINDOW w AS (PARTITION BY doc ORDER BY ord)),
+k AS (SELECT *, bool_and(label OR tier < lt) OVER (PARTITION BY doc, label_ord ORDER BY ord) AS fine FROM f WHERE label_ord IS NOT NULL)
+SELECT doc, label_ord, max(lt) AS tier, count(*) FILTER (NOT label) AS n_details FROM k WHERE fine GROUP BY 1, 2""")
+def label_detail_groups(t) -> DataFrame:
+    m = _nodes(t).select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").alias("tier"))
+    return spans.label_groups(m, ["doc"], "ord", "tier", F.col("tier") > 35)
+
+
+@query("""WITH b AS (SELECT user_id, event_id AS start, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ordinal, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type = 'signup')
+SELECT user_id, CAST(ordinal AS INTEGER) AS ordinal, start, coalesce((SELECT min(event_id) FROM events e WHERE e.user_id = b.user_id AND e.event_type = 'error' AND event_id <= start AND (before IS NULL OR event_id > before)), start) AS physical_start FROM b""")
+def physical_section_starts(t) -> DataFrame:
+    e = t("events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    marks = e.where("event_type = 'signup'").select("user_id", n.alias("ordinal"), F.col("event_id").alias("start"))
+    return spans.physical_starts(marks, e.select("user_id", "event_id", (F.col("event_type") == "error").alias("shows")), "user_id", "event_id")
+
+
+@query(f"""WITH {NODES}, f AS (SELECT l_orderkey AS doc, l_returnflag AS text, CASE WHEN l_tax > 0 THEN CAST(l_quantity AS INTEGER) END AS weight, 8 + l_discount * 100 AS size, l_linenumber AS mcid FROM nodes),
+b AS (SELECT doc, bool_and(weight IS NOT NULL) AS valid, count(DISTINCT mcid) AS lines FROM f GROUP BY 1),
+w AS (SELECT doc, weight AS v, sum(count(*)) OVER (PARTITION BY doc ORDER BY weight) AS cum, sum(count(*)) OVER (PARTITION BY doc) AS total FROM f WHERE weight IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT doc, size AS v, sum(count(*)) OVER (PARTITION BY doc ORDER BY size) AS cum, sum(count(*)) OVER (PARTITION BY doc) AS total FROM f GROUP BY 1, 2)
+SELECT doc, valid, CASE WHEN valid THEN (SELECT min(v) FROM w WHERE w.doc = b.doc AND cum >= total / 2) END AS weight, CASE WHEN valid THEN round((SELECT min(v) FROM s WHERE s.doc = b.doc AND cum >= total / 2), 6) END AS size, lines FROM b""")
+def node_typography(t) -> DataFrame:
+    c = F.col
+    f = _nodes(t).select(c("l_orderkey").alias("doc"), c("l_returnflag").alias("text"), F.when(c("l_tax") > 0, c("l_quantity").cast("int")).alias("weight"), (8 + c("l_discount") * 100).alias("size"), F.lit(1).alias("page"), c("l_linenumber").alias("mcid"))
+    return spans.typography(f, ["doc"]).withColumn("size", F.round("size", 6))
