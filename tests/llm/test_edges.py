@@ -213,6 +213,31 @@ def test_lm_against_plain_counts(spark, odd, none):
     assert lm.score(odd, none.select("doc_id")).count() == len(ODD) and lm.score(none, none.select("doc_id")).count() == 0
 
 
+def test_lm_counts_every_word_and_bigram(spark):
+    """More words than any fixed table holds: counts per word and bigram stay exact."""
+    from collections import Counter
+
+    rng = np.random.default_rng(7)
+    docs = [(i, " ".join(f"w{k}" for k in rng.integers(0, 120_000, 4_000))) for i in range(100)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 100, 3)], "doc_id long")).collect()}
+    uni, ctx, pair = ([Counter(), Counter()] for _ in range(3))
+    for i, t in docs:
+        w = t.split()
+        for side in (0, 1)[: 1 + (i % 3 == 0)]:
+            uni[side].update(w)
+            ctx[side].update(["<s>", *w[:-1]])
+            pair[side].update(zip(["<s>", *w], w))
+    mass, v = [sum(u.values()) for u in uni], len(uni[0]) + 2
+    assert v > 1 << 16
+    for i, t in docs[:6]:
+        w = t.split()
+        want = []
+        for side, k in ((1, 1.0), (0, mass[1] / mass[0])):
+            one = lambda c: (uni[side][c] * k + 0.01) / (mass[side] * k + 0.01 * v)  # noqa: B023, E731
+            want.append(np.mean([-np.log((pair[side][p, c] * k + lm.PRIOR * one(c)) / (ctx[side][p] * k + lm.PRIOR)) for p, c in zip(["<s>", *w], w)]))
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(want), rel=1e-9)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n</p>" * 20
     rows = [(3, "u", big), (1, "u\r\nv", big), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", big), (1, "u", big), (7, "u", "x" * 100), (8, "u", "x" * 100)]
