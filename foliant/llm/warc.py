@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, written
 
 EOL = "\r\n"
 GZIP = b"\x1f\x8b"
@@ -25,8 +25,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """page_id, url, html (null: empty), digest, size and first_id: the smallest page_id with an equal payload of at
-    least `revisit_from` bytes, null otherwise.
+    """page_id, url, html (null: empty), digest, size and first_id, first_url: the smallest page_id with an equal payload of
+    at least `revisit_from` bytes and the smallest url of it, null otherwise.
 
     The smallest id of each digest is found by partial aggregation over (digest, id); the join back has one row a
     digest on the small side, so adaptive execution may split a hot digest."""
@@ -35,16 +35,16 @@ def plan(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     firsts = (
         rows.where(F.col("size") >= revisit_from)
         .groupBy(F.col("digest").alias("known"))
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .drop("copies")
+        .select("known", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
     return rows.join(firsts, F.col("digest") == F.col("known"), "left").drop("known")
 
 
-def urn(kind: str, page_id: Column) -> Column:
-    """A record id that follows from the kind and the page, so that a task run again writes the same bytes."""
-    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(page_id.cast("string"), F.lit("none"))).cast("binary"))
+def urn(kind: str, page_id: Column, url: Column, digest: Column) -> Column:
+    """A record id that follows from the kind and the page's row, so that a task run again writes the same bytes."""
+    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), digest, F.lit(":"), url).cast("binary"))
     parts = [F.substring(h, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -56,17 +56,17 @@ def record(kind: Column, ident: Column, uri: Column, headers: list[Column], cont
 
 
 def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
-    """Writes three records a page.  A null url or html counts as empty; pages that repeat an id get equal record
-    ids and are told apart by their position only; a page with a null id is a response unless its payload is known."""
+    """Writes three records a page.  A null url or html counts as empty; only rows that repeat id, url
+    and html get equal record ids; a page with a null id is a response unless its payload is known."""
     p = plan(pages)
     i, uri = F.col("page_id"), F.regexp_replace("url", r"[\r\n]", " ")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(i)
-    answer, ask, note = urn("response", i), urn("request", i), urn("metadata", i)
+    answer, ask, note = (urn(kind, i, F.col("url"), F.col("digest")) for kind in ("response", "request", "metadata"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
     status = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ")
     http = F.concat(status, F.col("size").cast("string"), F.lit(EOL + EOL))
     page = F.concat(F.lit("Page-ID: "), F.coalesce(i.cast("string"), F.lit("none")))
-    refers = F.when(revisit, F.concat_ws(EOL, F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), urn("response", F.col("first_id"))), F.concat(F.lit("Refers-To-Page-ID: "), F.col("first_id").cast("string"))))
+    refers = F.when(revisit, F.concat_ws(EOL, F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), urn("response", F.col("first_id"), F.col("first_url"), F.col("digest"))), F.concat(F.lit("Refers-To-Page-ID: "), F.col("first_id").cast("string"))))
     made = F.array(
         record(F.when(revisit, "revisit").otherwise("response"), answer, uri, [digest, page, refers], "application/http; msgtype=response", F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))),
         record(F.lit("request"), ask, uri, [F.concat(F.lit("WARC-Concurrent-To: "), answer)], "application/http; msgtype=request", F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\n\r\n"))),
@@ -141,8 +141,8 @@ def assemble(records: DataFrame) -> DataFrame:
     The link may stand in either record, and a metadata record may point at the request instead of the response.
     A capture without a request or metadata record has null there; of several with one capture the one with the
     smallest record id stays.  Requests that lead to no capture give no row.  Captures with equal record ids stay
-    apart; each gets the same companions."""
-    nested = records.select("record_type", "record_id", "concurrent_to", F.struct("record_id", "uri", "refers_to", "headers", "http_head", "payload").alias("r"))
+    apart; each gets the same companions.  The nested records hold whatever columns records has besides type and links."""
+    nested = records.select("record_type", "record_id", "concurrent_to", F.struct(*[c for c in records.columns if c not in ("record_type", "concurrent_to")]).alias("r"))
     anchors = nested.where(F.col("record_type").isin("response", "revisit"))
     others = nested.where(~F.col("record_type").isin("response", "revisit"))
     ids = anchors.select(F.col("record_id").alias("target"), F.lit(1).alias("is_capture")).distinct()
@@ -168,14 +168,35 @@ def captures(pages: DataFrame, path: str | None = None) -> DataFrame:
     return assemble(read(spark, path))
 
 
+def facts(records: DataFrame) -> DataFrame:
+    """What digest() needs of each record: its payload only as size and digest, and as the number that metadata states."""
+    number = lambda name: F.expr(f"try_cast(headers['{name}'] as bigint)")
+    stated = F.regexp_extract(F.decode("payload", "utf-8"), r"(?m)^payload-bytes:\s*(\d+)", 1)
+    return records.select(
+        "record_type", "record_id", "concurrent_to", "uri", "refers_to", number("page-id").alias("page_id"), number("refers-to-page-id").alias("refers_to_page"), F.octet_length("payload").cast("long").alias("bytes"),
+        F.when(F.col("record_type") == "response", F.sha2("payload", 256)).alias("sha"), F.when(F.col("record_type") == "metadata", stated).alias("stated"),
+    )
+
+
+def digest_of(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each transaction of facts().
+
+    A revisit's payload is that of the response it refers to.  payload_bytes is what the capture's metadata record states;
+    it and payload_digest are null unless that is the payload's size and the capture has a request, both with its address, so
+    a transaction with a lost or wrongly linked record has neither."""
+    got = written(assemble(records), "transactions")
+    originals = got.where("record_type = 'response'").groupBy(F.col("record_id").alias("original")).agg(F.first("response.bytes").alias("bytes"), F.first("response.sha").alias("sha"))
+    rows = got.where("record_type = 'response'").select("*", F.col("response.bytes").alias("bytes"), F.col("response.sha").alias("sha"))
+    revisits = got.where("record_type = 'revisit'").join(originals, F.col("response.refers_to") == F.col("original"), "left").drop("original")
+    stated = F.col("metadata.stated").try_cast("bigint")
+    whole = (stated == F.col("bytes")) & (F.col("request.uri") == F.col("response.uri")) & (F.col("metadata.uri") == F.col("response.uri"))
+    return rows.unionByName(revisits).select(F.col("response.page_id").alias("page_id"), F.when(whole, stated).alias("payload_bytes"), F.when(whole, F.col("sha")).alias("payload_digest"), "record_type", F.col("response.refers_to_page").alias("refers_to"))
+
+
 def digest(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each page's capture as read back.
-
-    A revisit's payload is that of the response it refers to."""
-    nested = captures(pages)
-    got = nested.select("record_id", "record_type", F.expr("try_cast(response.headers['page-id'] as bigint)").alias("page_id"), F.col("response.refers_to").alias("target"), F.expr("try_cast(response.headers['refers-to-page-id'] as bigint)").alias("refers_to"), F.octet_length("response.payload").cast("long").alias("own_bytes"), F.when(F.col("record_type") == "response", F.sha2("response.payload", 256)).alias("own_digest"))
-    originals = got.where("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.first("own_bytes").alias("bytes"), F.first("own_digest").alias("sha"))
-    revisits = got.where("record_type = 'revisit'").join(originals, "target", "left")
-    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    one = got.where("record_type = 'response'").withColumns({"payload_bytes": F.col("own_bytes"), "payload_digest": F.col("own_digest")}).select(*columns)
-    return one.unionByName(revisits.withColumns({"payload_bytes": F.col("bytes"), "payload_digest": F.col("sha")}).select(*columns))
+    """The digests of each page's transaction as written to archives, read back and assembled."""
+    spark = pages.sparkSession
+    path = new_path(spark, "warc")
+    write(pages, path)
+    # archives are parsed once: the assembly reads records several times
+    return digest_of(written(facts(read(spark, path)), "records"))

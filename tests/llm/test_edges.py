@@ -259,3 +259,22 @@ def test_warc_links_in_either_direction(spark):
     assert head and set(got) == {"r1", "r2", "r3"}
     assert got["r1"].request.record_id == "q1" and got["r1"].metadata.record_id == "m1"
     assert got["r2"].request.record_id == "q2" and got["r2"].metadata is None and got["r3"].request is None
+
+
+def test_warc_digest_needs_the_whole_transaction(spark, tmp_path):
+    # one id with two payloads and two addresses: each capture keeps its own companions
+    pages = [(1, "http://a", "x" * 150), (1, "http://b", "y" * 120), (2, "http://c", "y" * 120), (3, "http://d", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"))
+    records = warc.facts(warc.read(spark, str(tmp_path / "w"))).localCheckpoint()
+    as_rows = lambda r: sorted((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in r.collect() if x.payload_digest)
+    want = [(1, 120, "response", None), (1, 150, "response", None), (2, 120, "revisit", 1), (3, 1, "response", None)]
+    assert as_rows(warc.digest_of(records)) == as_rows(warc.digest(df)) == want
+    for kind in ("request", "metadata"):
+        own = (F.col("record_type") == kind) & (F.col("uri") == "http://d")
+        lost = records.where(~own)
+        wrong = records.withColumn("concurrent_to", F.when(own, F.array(F.lit("<urn:uuid:other>"))).otherwise(F.col("concurrent_to")))
+        for broken in (lost, wrong):
+            assert as_rows(warc.digest_of(broken)) == want[:3] and warc.digest_of(broken).count() == 4
+    odd = records.withColumn("stated", F.when(F.col("uri") == "http://d", "2").otherwise(F.col("stated")))
+    assert as_rows(warc.digest_of(odd)) == want[:3]
