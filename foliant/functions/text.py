@@ -29,6 +29,10 @@ SEMANTIC_ROLES = {
 }
 PAGE_SIZES = (("A5", 419.5, 595.3), ("A3", 841.9, 1190.6), ("A2", 1190.6, 1683.8))
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
+ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "No.", "Fig.", "Mr.", "Ms.", "Dr.")  # in their order of protection
+WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"  # what Python's str.strip() takes
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"  # those of Python's str.splitlines()
+BULLET_LINE = rf"^(?:[•–-]|\p{{Nd}}+[.)]{WHITE})"
 
 
 def collapsed(x: Column) -> Column:
@@ -111,6 +115,27 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(collapsed(x), SENTENCE_BREAK), lambda s: F.btrim(s)), lambda s: s != "")
 
 
+def split_sentences(x: Column, english: Column) -> Column:
+    """Sentences of a text, none empty: in English, a blank line, a bullet or a sentence's end parts them, and known
+    abbreviations end none; a text in any other language is one sentence.  A null text has none."""
+    normal = lambda s: F.btrim(F.regexp_replace(s, WHITE + "+", " "))
+    lines = F.transform(F.split(F.coalesce(x, F.lit("")), LINE_END), lambda s: F.regexp_replace(s, rf"^{WHITE}+|{WHITE}+$", ""))
+    # lines hold no line feeds, so these may mark where a paragraph ends
+    parts = F.array_join(F.transform(lines, lambda s: F.when(s == "", "\n").when(s.rlike(BULLET_LINE), F.concat(F.lit("\n"), s)).otherwise(s)), " ")
+    for a in ABBREVIATIONS:
+        parts = F.replace(parts, F.lit(a), F.lit(a.replace(".", "__")))
+    found = F.split(parts, rf"\n|(?<=[.!?]){WHITE}+(?=[A-Z0-9\"'(\[])")
+
+    def restored(s: Column) -> Column:
+        s = normal(s)
+        for a in ABBREVIATIONS:
+            s = F.replace(s, F.lit(a.replace(".", "__")), F.lit(a))
+        return s
+
+    whole = F.array(normal(F.coalesce(x, F.lit(""))))
+    return F.filter(F.when(F.coalesce(english, F.lit(False)), F.transform(found, restored)).otherwise(whole), lambda s: s != "")
+
+
 def forbidden_characters(x: Column) -> Column:
     """Characters that XML 1.0 does not allow."""
     return F.length(F.regexp_replace(x, r"[\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", ""))

@@ -106,6 +106,30 @@ def sentence_split(t) -> DataFrame:
     return t("documents").where("lang = 'en'").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
+def nested_replace(x: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+_placeholders = [(a, a.replace(".", "__")) for a in T.ABBREVIATIONS]
+
+
+@query(rf"""WITH l AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, list_transform(regexp_split_to_array(coalesce(text, ''), '{T.LINE_END}'), lambda y: regexp_replace(y, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')) AS lines FROM documents
+), j AS (
+  SELECT *, array_to_string(list_transform(lines, lambda y: CASE WHEN y = '' OR regexp_matches(y, '{T.BULLET_LINE}') THEN chr(10) || y ELSE y END), ' ') AS x FROM l
+), s AS (
+  SELECT doc_id, list_filter(list_transform(CASE WHEN lang = 'en' THEN string_split(regexp_replace({nested_replace('x', _placeholders)}, '([.!?]){T.WHITE}+([A-Z0-9"''(\[])', '\1' || chr(10) || '\2', 'g'), chr(10)) ELSE [text] END,
+    lambda y: trim(regexp_replace(y, '{T.WHITE}+', ' ', 'g'))), lambda y: y <> '') AS raw, lang FROM j
+), p AS (SELECT doc_id, CASE WHEN lang = 'en' THEN list_transform(raw, lambda y: {nested_replace('y', [(b, a) for a, b in _placeholders])}) ELSE raw END AS parts FROM s)
+SELECT doc_id, len(parts) AS n_sentences, list_max(list_transform(parts, lambda y: length(y))) AS longest, md5(array_to_string(parts, chr(10))) AS parts_md5 FROM p""")
+def document_sentences(t) -> DataFrame:
+    s = T.split_sentences(F.col("text"), F.col("lang") == "en")
+    d = t("documents").select("doc_id", s.alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), F.md5(F.array_join("s", "\n").cast("binary")).alias("parts_md5"))
+
+
 @query(f"SELECT doc_id, {collapse_sql('text')} AS normalized FROM documents")
 def normalized_text(t) -> DataFrame:
     return t("documents").select("doc_id", T.collapsed(F.col("text")).alias("normalized"))

@@ -69,6 +69,36 @@ def test_joins_and_sentences(spark):
     assert align.sentence_starts("") == []
 
 
+def test_split_sentences_against_plain_python(spark):
+    import re
+
+    marks = {"e.g.": "e__g__", "i.e.": "i__e__", "etc.": "etc__", "No.": "No__", "Fig.": "Fig__", "Mr.": "Mr__", "Ms.": "Ms__", "Dr.": "Dr__"}
+    normal = lambda s: re.sub(r"\s+", " ", s).strip()
+
+    def plain(text, english):
+        if not english:
+            return [normal(text)] if text.strip() else []
+        paragraphs, out = [[]], []
+        for line in map(str.strip, text.splitlines()):
+            if not line or line.startswith(("•", "-", "–")) or re.match(r"^\d+[.)]\s+", normal(line)):
+                paragraphs.append([])
+            if line:
+                paragraphs[-1].append(line)
+        for p in map(" ".join, paragraphs):
+            for a, b in marks.items():
+                p = p.replace(a, b)
+            for s in map(normal, re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])", p)):
+                for a, b in marks.items():
+                    s = s.replace(b, a)
+                out += [s] if s else []
+        return out
+
+    texts = ["Title\n\nOne line\nruns on. Next one! 3 left", "See Fig. 2 and No. 7. Ask Mr. X, e.g. Ms. Y. Dr. Z etc. All", "a\n• b\n- c\n1. d\n2) E. F\n3.g\r\nh\r\n\r\nI", "a.\u00a0B.\x1fC.\u2028d\x85\x85E", "", " \n\t ", "x. \n y. Z", "Hé. Ça va? Oui"]
+    rows = [(i, t, e) for i, (t, e) in enumerate((t, e) for t in texts for e in (True, False, None))]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string, e boolean").select("i", T.split_sentences(F.col("t"), F.col("e")).alias("s")).collect()}
+    assert got == {i: plain(t, e) for i, t, e in rows}
+
+
 def test_sequences(spark):
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3), (3, 1)], "k int, n int")
     assert {r.k: (r.valid, r.first_gap) for r in sequences.series_audit(rows, ["k"], "n").collect()} == {1: (True, None), 2: (False, 2), 3: (False, None)}
