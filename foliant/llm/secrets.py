@@ -186,8 +186,6 @@ def scan_text(text: str, net: CharCnn) -> tuple[list[tuple[int, int, str]], list
     for s, e in runs:
         body = text[s:e]
         kind = kind_of(body)
-        if body.isalpha():  # a plain long word has no digit or sign to give it away
-            continue
         score = net.score(text[max(0, s - CONTEXT) : s], body, text[e : e + CONTEXT])
         top = max(top, score)
         if score >= net.thresholds.get(kind, 1.1) and not any(a < e and s < b for a, b, _ in base):

@@ -71,6 +71,19 @@ def test_secret_network_on_unseen_findings(net):
     assert secrets.train([]).score("", "x" * 20, "") < 1e-6
 
 
+def test_secret_network_reads_letters_too(net):
+    for key in ("auth = ", "bearer ", "credential: "):
+        for body in ("QzWkXvTbNpRgLcHd", "fTqZbWxKmVyPrJsLdNgC"):
+            text = f"some words {key}{body} and more"
+            base, spans, top = secrets.scan_text(text, net)
+            at = text.index(body)
+            assert base == [] and spans == [(at, at + len(body), "network")] and top > 0.5
+            assert secrets.redacted(text, net) == f"some words {key}[secret] and more"
+    # the network decides on plain long words, too
+    assert secrets.scan_text("some words internationalization and more", net)[1] == []
+    assert secrets.scan_text("some words internationalization and more", net)[2] > 0
+
+
 def test_scores_are_defined_everywhere(odd, none, labels):
     for module in (toxicity, quality):
         for fitted_on in (labels, labels.limit(0)):
