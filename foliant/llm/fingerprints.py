@@ -74,7 +74,7 @@ def select(rare: np.ndarray) -> np.ndarray:
 
 
 def features(raw: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the selected windows, in order; a text shorter than a window is one feature, an empty none.
+    """64-bit hashes of the selected windows, in order of their first place, each once; a text shorter than a window is one feature, an empty none.
 
     Long texts go in overlapping chunks, each as if it stood alone up to the overlap."""
     if len(raw) == 0:
@@ -91,7 +91,7 @@ def features(raw: np.ndarray) -> np.ndarray:
         windows = np.lib.stride_tricks.sliding_window_view(piece, WINDOW)[chosen].astype(np.uint64)
         found.append(mix64((windows * _POWERS).sum(1, dtype=np.uint64)))
     joined = np.concatenate(found)
-    return joined if len(found) == 1 else joined[np.sort(np.unique(joined, return_index=True)[1])]
+    return joined[np.sort(np.unique(joined, return_index=True)[1])]
 
 
 def filters(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
