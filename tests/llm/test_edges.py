@@ -159,29 +159,72 @@ def test_neardup_against_brute_force(spark, odd, none):
     assert sorted((r.doc_id or 0) for r in neardup.deduplicated(odd, 5).collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def nearest(rows, k=5, every=50):
+    """Brute force: the k nearest ids of each query, best score of each id, ties to the smaller id."""
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], dtype=float)
+    want = {}
+    for q in {int(i) for i in ids if i % every == 0}:
+        best = {}
+        for own in v[ids == q]:
+            for i, s in zip(ids.tolist(), ann.cosine(np.broadcast_to(own, v.shape), v).tolist()):
+                if i != q:
+                    best[i] = max(s, best.get(i, -9.0))
+        want[q] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return want
+
+
+def found(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    return {q: [x[i] for i in sorted(x)] for q, x in out.items()}
+
+
+def recall(got, want):
+    return np.mean([sum(s >= w[-1][1] - 1e-12 for _, s in got[q]) / len(w) for q, w in want.items()])
+
+
 def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(1500, 16))
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(1500 + i, [1.0] * 16) for i in range(400)]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(1500, 16)))]
+    rows += [(1500 + i, [1.0] * 16) for i in range(400)] + [(1950, [1e200, *[3.0] * 15]), (1951, [-1e-200] * 16), (1952, [1e200] * 16)]
+    rows += [(7, [float(v) for v in rng.normal(size=16)]) for _ in range(6)] + [(50, [float(v) for v in rng.normal(size=16)]) for _ in range(3)]
     odd = [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [None] * 16), (5200, [1.0] * 3), (None, [1.0] * 16), (1500, [1.0] * 16)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    got = {}
-    for r in ann.neighbours(df).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    every = np.array([v for _, v in rows])
-    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
-    hit = total = 0
-    for q, found in got.items():
-        s = unit @ unit[q]
-        s[q] = -9
-        best = np.lexsort((np.arange(len(s)), -s.round(12)))[:5]
-        hit += len({v for v, _ in found.values()} & set(best.tolist()))
-        total += 5
-        assert sorted(found) == [1, 2, 3, 4, 5]
-    assert len(got) == 38 and hit / total > 0.9
-    assert [v for v, _ in (got[1600][k] for k in range(1, 6))] == [1500, 1501, 1502, 1503, 1504]
+    got, want = found(ann.neighbours(df)), nearest(rows)
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+    assert recall(got, want) > 0.9
+    assert [v for v, _ in got[1600]] == [1500, 1501, 1502, 1503, 1504]
     assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.where("vec_id = 0")).count() == 0
+    exact = found(ann.neighbours(df, recall=1.0))
+    assert {q: [v for v, _ in x] for q, x in exact.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
+def test_ann_gives_all_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(34)]
+    rows += [(3, [x + 1e-3 for x in rows[0][1]])] * 3 + [(3, [x + 1e-3 * k for x in rows[0][1]]) for k in range(3)]
+    got = found(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0))
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in nearest(rows).items()}
+
+
+def test_ann_queue_takes_the_nearest_leaves():
+    x = np.random.default_rng(5).normal(size=(600, 12))
+    forest = ann.Forest(x, trees=4)
+    u = ann.unit(x)
+    for i in range(5):
+        far = forest.distances(u[i])
+        taken = forest.order(u[i], 40)
+        assert len(set(taken)) == 40 and np.allclose(far[taken], np.sort(far)[:40])
+        assert set(taken[:4]) == set(forest.codes(u[i : i + 1])[0].tolist())
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_of_the_registered_query(spark, sf):
+    path = f"/root/testdata/{sf}"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect() if r.embedding is not None]
+    got, want = found(queries.op6_ann(spark, path)), nearest(rows)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
 
 
 def test_mixing_meets_its_targets(spark, odd, none):
