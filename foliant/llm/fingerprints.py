@@ -56,41 +56,55 @@ def rarity(raw: np.ndarray) -> np.ndarray:
     return np.minimum(np.abs(sums - TYPICAL) // (SCALE * WINDOW // 256), 1000)
 
 
-def select(rare: np.ndarray) -> np.ndarray:
-    """Positions of popular windows: the rarest (first, if equal) of at least POPULAR surroundings."""
-    m = len(rare)
-    key = ((1000 - rare) << 40) + np.arange(m)
-    span = min(SURROUNDINGS, max(1, m // 8))  # short texts keep more of their windows, among them those that long ones would
-    low, reach = key, 1
+def rules(windows: int) -> tuple[int, int]:
+    """How many consecutive windows compete, and how many times one must be the rarest of them.
+
+    Texts of fewer than 8 * SURROUNDINGS windows keep more of their windows, among them those that long ones would."""
+    span = min(SURROUNDINGS, max(1, windows // 8))
+    return span, max(1, POPULAR * span // SURROUNDINGS)
+
+
+def rarest(rare: np.ndarray, span: int, at: int = 0) -> np.ndarray:
+    """For each `span` consecutive windows the key of the rarest (first, if equal): (1000 - rarity) << 40, plus its place from `at`."""
+    low, reach = ((1000 - rare) << 40) + np.arange(at, at + len(rare)), 1
     while reach * 2 <= span:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
     if reach < span:
         low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-    edges = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    runs = np.diff(np.append(edges, len(low)))
-    need = max(1, POPULAR * span // SURROUNDINGS)
-    return low[edges[runs >= need]] & ((1 << 40) - 1)
-
-
-def features(raw: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the selected windows, in order of their first place, each once; a text shorter than a window is one feature, an empty none.
-
-    Long texts go in overlapping chunks, each as if it stood alone up to the overlap."""
+    return low
+
+
+def places(raw: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """Places of popular windows: the rarest of enough surroundings in a row.
+
+    Long texts go chunk by chunk, to bound memory; a run that reaches a chunk's end is carried into the next, so that the
+    places are those of the text as one piece."""
+    windows = len(raw) - WINDOW + 1
+    span, need = rules(windows)
+    found, last, length = [], np.int64(-1), 0
+    for at in range(0, windows - span + 1, chunk):
+        low = rarest(rarity(raw[at : at + chunk + span + WINDOW - 2]), span, at)
+        edges = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        keys, runs = low[edges], np.diff(np.append(edges, len(low)))
+        if keys[0] == last:
+            runs[0] += length
+        elif length:
+            keys, runs = np.concatenate(([last], keys)), np.concatenate(([length], runs))
+        last, length = keys[-1], int(runs[-1])
+        found.append(keys[:-1][runs[:-1] >= need])
+    found.append(np.array([last])[: length >= need])
+    return np.concatenate(found) & ((1 << 40) - 1)
+
+
+def features(raw: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """64-bit hashes of the selected windows, in order of their first place, each once; a text shorter than a window is one feature, an empty none."""
     if len(raw) == 0:
         return np.zeros(0, dtype=np.uint64)
     if len(raw) < WINDOW:
         return np.array([int.from_bytes(hashlib.sha256(raw.tobytes()).digest()[:8], "little")], dtype=np.uint64)
-    found = []
-    overlap = WINDOW + 2 * SURROUNDINGS
-    for at in range(0, len(raw), CHUNK):
-        piece = raw[at : at + CHUNK + overlap]
-        if at and len(piece) <= overlap:
-            break
-        chosen = select(rarity(piece))
-        windows = np.lib.stride_tricks.sliding_window_view(piece, WINDOW)[chosen].astype(np.uint64)
-        found.append(mix64((windows * _POWERS).sum(1, dtype=np.uint64)))
-    joined = np.concatenate(found)
+    windows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[places(raw, chunk)].astype(np.uint64)
+    joined = mix64((windows * _POWERS).sum(1, dtype=np.uint64))
     return joined[np.sort(np.unique(joined, return_index=True)[1])]
 
 
