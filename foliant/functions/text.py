@@ -20,6 +20,14 @@ UI_LABELS = (
 LIST_ITEMS = ("Warranty Card / Regulatory Guide (Not available in some locations)", "User Manual", "Power Cord")
 WARNING_TERMS = ("CAUTION", "RISK OF ELECTRIC SHOCK", "DO NOT OPEN", "DO NOT REMOVE COVER", "NO USER SERVICEABLE PARTS", "SERVICING TO QUALIFIED PERSONNEL")
 SAFETY_MARKERS = ("This symbol indicates", "Class II product", "AC voltage", "DC voltage", "Consult instructions for use")
+REJECTED_HEADINGS = ("on", "or", "Yes", "Simple User Guide", "Do Not Touch This Screen!", "Do Not Touch", "This Screen!", "(The Frame only)")
+PLAIN_LINES = ("ENG", "Website", "-00", "Caution")
+BULLET_START = r"^[•–-]"
+NUMBERED_START = r"^\d+[.)]\s+"
+COUNTED_ITEM = r"(?i)^x\s*\d+$"
+NUMBERED_TITLE = r"^\d{2}\s+[A-Z]"
+BROKEN_START = r"^[.,:;/]"
+TITLE_MARKS = r"[\"'()\[\]:;,-]"
 HEADING_STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with")
 FONT_WEIGHTS = (("black", 900), ("extrabold", 800), ("semibold", 600), ("demibold", 600), ("bold", 700), ("medium", 500), ("regular", 400), ("normal", 400), ("light", 300))
 SEMANTIC_ROLES = {
@@ -28,7 +36,6 @@ SEMANTIC_ROLES = {
     "TH": "table_header", "TD": "table_cell", "Figure": "figure", "Caption": "caption", "Span": "span", "Link": "link",
 }
 PAGE_SIZES = (("A5", 419.5, 595.3), ("A3", 841.9, 1190.6), ("A2", 1190.6, 1683.8))
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "No.", "Fig.", "Mr.", "Ms.", "Dr.")  # in their order of protection
 WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"  # what Python's str.strip() takes
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"  # those of Python's str.splitlines()
@@ -57,7 +64,7 @@ def uppercase_share(x: Column) -> Column:
 
 
 def is_bullet(x: Column) -> Column:
-    return x.rlike(r"^[•–-]") | x.rlike(r"^\d+[.)]\s+")
+    return x.rlike(BULLET_START) | x.rlike(NUMBERED_START)
 
 
 def is_navigation(x: Column) -> Column:
@@ -69,7 +76,7 @@ def is_ui_label(x: Column) -> Column:
 
 
 def is_list_item(x: Column) -> Column:
-    return x.startswith("*") | x.rlike(r"(?i)^x\s*\d+$") | x.isin(*LIST_ITEMS)
+    return x.startswith("*") | x.rlike(COUNTED_ITEM) | x.isin(*LIST_ITEMS)
 
 
 def is_warning(x: Column) -> Column:
@@ -77,30 +84,55 @@ def is_warning(x: Column) -> Column:
 
 
 def title_words(x: Column) -> Column:
-    """Words that look like a title's: stopwords, and words that begin with an upper-case letter behind marks."""
-    bare = lambda w: F.regexp_replace(w, r"^[\"'()\[\]:;,-]+", "")
-    low = lambda w: F.regexp_replace(F.lower(bare(w)), r"[\"'()\[\]:;,-]+$", "")
-    return F.size(F.filter(F.split(x, " "), lambda w: low(w).isin(*HEADING_STOPWORDS) | bare(w).rlike(r"^\p{Lu}")))
+    """Words that look like a title's: stopwords, and words that, behind marks, begin with an upper-case letter or have no
+    lower-case one."""
+    bare = lambda w: F.regexp_replace(w, f"^{TITLE_MARKS}+", "")
+    low = lambda w: F.regexp_replace(F.lower(bare(w)), f"{TITLE_MARKS}+$", "")
+    upper = lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"[\p{Ll}\p{Lt}]")
+    return F.size(F.filter(F.split(x, " "), lambda w: low(w).isin(*HEADING_STOPWORDS) | bare(w).rlike(r"^\p{Lu}") | upper(w)))
 
 
-def is_heading(x: Column) -> Column:
-    """A short line set like a title; what any other class claims is none."""
-    claimed = is_bullet(x) & (x == STANDALONE_BULLET) | is_navigation(x) | is_ui_label(x) | is_list_item(x) | is_warning(x)
+def is_titled(x: Column) -> Column:
+    """Whether a line that no other class claims is set like a title."""
     # cheap tests first: most lines of running text fail them, and the rest is then not evaluated
-    barred = (F.length(x) > 55) | (x == "") | x.endswith(".") | x.isin("ENG", "Website", "-00", "Caution") | x.rlike(r"^[.,:;/]") | x.contains("www.") | x.contains("@")
+    barred = (F.length(x) > 55) | (x == "") | x.endswith(".") | x.isin(*PLAIN_LINES, *REJECTED_HEADINGS) | x.rlike(BROKEN_START) | x.contains("www.") | x.contains("@")
     n = word_count(x)
-    shaped = x.rlike(r"^\d{2}\s+[A-Z]") | ((x.endswith("!") | x.endswith("?")) & (n <= 4)) | ((n <= 8) & (title_words(x) >= F.greatest(F.lit(1), n - 1)))
-    return ~barred & shaped & ~claimed
+    shaped = x.rlike(NUMBERED_TITLE) | ((x.endswith("!") | x.endswith("?")) & (n <= 4)) | ((n <= 8) & (title_words(x) >= F.greatest(F.lit(1), n - 1)))
+    return ~barred & shaped
+
+
+def is_heading(x: Column) -> Column:
+    """A short line set like a title that is no bullet mark, menu part, label, list item or warning."""
+    return is_titled(x) & ~((x == STANDALONE_BULLET) | is_navigation(x) | is_ui_label(x) | is_list_item(x) | is_warning(x))
 
 
 def line_kind(x: Column) -> Column:
     """The first class that claims a collapsed line."""
     return (
-        F.when(x == "", "blank").when(is_heading(x), "heading").when(is_bullet(x), "bullet").when(is_navigation(x), "navigation")
-        .when(is_ui_label(x), "ui_label").when(is_list_item(x), "list_item").when(is_warning(x), "warning").otherwise("body")
+        F.when(x == "", "blank").when(x == STANDALONE_BULLET, "bullet").when(is_navigation(x), "navigation").when(is_ui_label(x), "ui_label")
+        .when(is_warning(x), "warning").when(is_list_item(x), "list_item").when(is_bullet(x), "bullet").when(is_titled(x), "heading").otherwise("body")
     )
 
 
+def continues_run(x: Column) -> Column:
+    """Whether a line carries on the running text before it: no class but body claims it."""
+    return ~(is_bullet(x) | is_navigation(x) | is_ui_label(x) | is_warning(x) | is_list_item(x) | is_titled(x))
+
+
+def heading_continues(before: Column, x: Column, most: int = 80) -> Column:
+    """Whether a heading line carries on the heading line before it: both together are short enough."""
+    return is_heading(x) & (F.length(before) + F.length(x) <= most)
+
+
+# How list items go on.
+NOTE_START, PARTED_ITEM = "*:", "*Wireless One Connect Box"
+
+
+def list_continues(before: Column, x: Column) -> Column:
+    """Whether a line carries on the list line before it: running text behind a note, or a note behind the parted item."""
+    return F.when(before.startswith(NOTE_START), continues_run(x)).otherwise(before.startswith(PARTED_ITEM) & x.startswith(NOTE_START))
+
+
 def is_fragment(x: Column) -> Column:
     closed = x.endswith(".") | x.endswith("!") | x.endswith("?")
     return (x != "") & (x.isin("or", "/", "button /", ")", "(") | x.rlike(r'^[.,:;/)]|[(/"]$') | ((word_count(x) <= 3) & ~closed))
@@ -110,11 +142,6 @@ def is_safety_table(x: Column) -> Column:
     return sum((x.contains(m).cast("int") for m in SAFETY_MARKERS), F.lit(0)) >= 3
 
 
-def sentences(x: Column) -> Column:
-    """Sentences of running English text, collapsed, none empty."""
-    return F.filter(F.transform(F.split(collapsed(x), SENTENCE_BREAK), lambda s: F.btrim(s)), lambda s: s != "")
-
-
 def split_sentences(x: Column, english: Column) -> Column:
     """Sentences of a text, none empty: in English, a blank line, a bullet or a sentence's end parts them, and known
     abbreviations end none; a text in any other language is one sentence.  A null text has none."""
@@ -145,10 +172,23 @@ def occurrences(x: Column, what: str) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(what), F.lit("")))
 
 
-def between(x: Column, start: str, end: str) -> Column:
-    """What follows the first start mark, up to the next end mark (or the end); empty without a start mark."""
-    tail = F.substring(x, F.instr(x, start) + len(start), F.length(x))
-    return F.when(F.instr(x, start) == 0, "").when(F.instr(tail, end) == 0, F.btrim(tail)).otherwise(F.btrim(F.substring(tail, F.lit(1), F.instr(tail, end) - 1)))
+def segment(x: Column, start: str, end: str | None) -> Column:
+    """A text from the first start mark, mark included, up to the next end mark (without one, to its end), collapsed;
+    empty without a start mark."""
+    at = F.instr(x, start)
+    tail = F.substring(x, at + len(start), F.length(x))
+    head = F.lit(start)
+    if end is None:
+        found = F.concat(head, tail)
+    else:
+        found = F.when(F.instr(tail, end) == 0, F.concat(head, tail)).otherwise(F.concat(head, F.substring(tail, F.lit(1), F.instr(tail, end) - 1)))
+    return F.when(at == 0, "").otherwise(collapsed(found))
+
+
+def ended(x: Column) -> Column:
+    """A text with a full stop behind it, unless it ends a sentence already or is empty."""
+    c = collapsed(x)
+    return F.when((c == "") | c.rlike("[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
 
 
 def tidy_joins(x: Column) -> Column:
@@ -164,7 +204,8 @@ def inline_tokens(x: Column) -> Column:
 
 
 def unit_of(x: Column) -> Column:
-    return F.when(x.endswith("W"), "W").when(x.contains("°F") | x.contains("°C"), "temperature_range").when(x.contains("%"), "%").otherwise("")
+    c = collapsed(x)
+    return F.when(c.endswith("W"), "W").when(c.contains("°F") | c.contains("°C"), "temperature_range").when(c.contains("%"), "%").otherwise("")
 
 
 def slug(x: Column, size: int = 40) -> Column:
@@ -202,15 +243,21 @@ def page_size(width: Column, height: Column, tolerance: float = 8.0) -> Column:
     return out.otherwise("UNKNOWN")
 
 
-def file_fields(name: Column) -> Column:
-    """Fields of a manual's file name: parts by underscore; from the fourth to the third last they are the buyer."""
-    stem = F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), r"\.0$", "")
+def file_fields(path: Column) -> Column:
+    """Fields of a manual's file name, and `error` where it has none: parts by underscore; from the fourth to the third last
+    they are the buyer."""
+    name = F.substring_index(path, "/", -1)
+    stem = F.regexp_replace(F.regexp_replace(name, r"\.pdf$", ""), r"\.0$", "")
     parts = F.split(stem, "_")
     n = F.size(parts)
-    at = lambda i: F.get(parts, i if isinstance(i, Column) else F.lit(i))
-    buyer = F.array_join(F.slice(parts, F.lit(4), F.greatest(n - 5, F.lit(1))), "_")
-    fields = F.struct(at(0).alias("code"), at(1).alias("kind"), at(2).alias("model"), buyer.alias("buyer"), at(n - 2).alias("language"), at(n - 1).alias("date_code"), F.concat_ws("_", buyer, at(n - 2)).alias("source_token"))
-    return F.when(n >= 6, fields)
+    at = lambda i: F.when(n >= 6, F.btrim(F.get(parts, i if isinstance(i, Column) else F.lit(i))))
+    buyer = F.when(n >= 6, F.btrim(F.array_join(F.slice(parts, F.lit(4), F.greatest(n - 5, F.lit(1))), "_")))
+    token = F.when(n >= 6, F.concat(buyer, F.lit("_"), at(n - 2)))
+    error = F.when(n < 6, "too_few_parts").when((buyer == "") | (at(n - 2) == ""), "token_missing")
+    return F.struct(
+        name.alias("file_name"), at(0).alias("code"), at(1).alias("kind"), at(2).alias("model"), buyer.alias("buyer"), at(n - 2).alias("language"), at(n - 1).alias("date_code"),
+        token.alias("source_token"), error.alias("error"),
+    )
 
 
 def pieces_at(x: Column, starts: tuple[str, ...]) -> Column:
@@ -229,23 +276,88 @@ def after_parenthesis(x: Column) -> Column:
     return collapsed(F.regexp_replace(collapsed(x), r"^\)\.?\s*", ""))
 
 
+def model_text(x: Column) -> Column:
+    """The models of a condition as one text: collapsed, without closing full stops, a name's parts put together."""
+    return F.replace(F.regexp_replace(collapsed(x), r"\.+$", ""), F.lit("/The/Frame"), F.lit("/The Frame"))
+
+
 def model_list(x: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(collapsed(x), r"\.+$", ""), "/"), lambda m: m != "")
+    return F.filter(F.split(model_text(x), "/"), lambda m: m != "")
+
+
+# Shapes of addresses and phone numbers.
+WEBSITE = r"^(www\.[^\s()]+)(?:\s*\(([^)]+)\))?$"
+PHONE = r"1-\d{3}-[A-Z]+|\d{3}-\d{4}"
 
 
 def website(x: Column) -> Column:
-    """(url, label) of a value like "www.example.org (label)"; label is empty without parentheses."""
-    return F.struct(F.regexp_extract(x, r"^\s*(\S+)", 1).alias("url"), F.regexp_extract(x, r"\(([^)]*)\)\s*$", 1).alias("label"))
+    """(url, label) of a value like "www.example.org (label)"; any other value is a url as it is, with an empty label."""
+    c = collapsed(x)
+    fits = c.rlike(WEBSITE)
+    return F.struct(F.when(fits, F.regexp_extract(c, WEBSITE, 1)).otherwise(c).alias("url"), F.when(fits, F.regexp_extract(c, WEBSITE, 2)).otherwise("").alias("label"))
 
 
 def phone_tokens(x: Column) -> Column:
-    return F.regexp_extract_all(F.upper(x), F.lit(r"1-\d{3}-[A-Z]+|\d{3}-\d{4}"), 0)
+    return F.regexp_extract_all(x, F.lit(PHONE), 0)
+
+
+def text_lines(x: Column) -> Column:
+    """The collapsed lines of a text, empty ones left out."""
+    return F.filter(F.transform(F.split(x, LINE_END), collapsed), lambda v: v != "")
+
 
+def prefixed_parts(x: Column, prefix: str) -> Column:
+    """A text cut in front of each prefix, parts trimmed, each with the prefix put before it; the text itself if it has no part."""
+    parts = F.filter(F.transform(F.split(x, re.escape(prefix)), lambda p: F.btrim(p)), lambda p: p != "")
+    return F.when(F.size(parts) > 0, F.transform(parts, lambda p: F.concat(F.lit(prefix), p))).otherwise(F.array(x))
 
-def resolutions(x: Column) -> Column:
-    """(model, value) of each "model: 1920 x 1080"."""
-    pattern = F.lit(r"([^:\n]+?):\s*(\d[\d,]*\s*x\s*\d[\d,]*)")
-    return F.transform(F.arrays_zip(F.regexp_extract_all(x, pattern, 1).alias("model"), F.regexp_extract_all(x, pattern, 2).alias("value")), lambda r: F.struct(F.btrim(r["model"]).alias("model"), r["value"].alias("value")))
+
+def pieces_from(x: Column, starts: tuple[str, ...]) -> Column:
+    """A text cut in front of each of the literal starts; what stands before the first is left out.  Whole if none occurs."""
+    names = "|".join(re.escape(s) for s in sorted(starts, key=len, reverse=True))
+    cut = F.split(F.regexp_replace(x, f"({names})", "\x01$1"), "\x01")
+    parts = F.filter(F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))), collapsed), lambda p: p != "")
+    return F.when(x.rlike(names), parts).otherwise(F.array(collapsed(x)))
+
+
+def steps(x: Column, starts: tuple[str, ...]) -> Column:
+    """The steps of a procedure: from each start to the next.  Empty unless all starts occur, first occurrences in order."""
+    at = [F.instr(x, s) for s in starts]
+    ordered = at[0] > 0
+    for a, b in zip(at, at[1:]):
+        ordered = ordered & (a <= b) & (b > 0)
+    ends = [*at[1:], F.length(x) + 1]
+    found = F.array(*[collapsed(F.substring(x, a, b - a)) for a, b in zip(at, ends)])
+    return F.when(ordered, found).otherwise(F.array().cast("array<string>"))
+
+
+# Model rows of specifications.
+RESOLUTION_ROW = r"([^:]+):\s*(\d+\s*x\s*\d+)(?=\s+[^:]+:\s*|$)"
+MODEL_ROW = r"([^:]+):\s*([^:]+?)(?=[,\s]+[^:]+:\s*|$)"
+SOUND_ROW = r"([^:]+):\s*(.+?\bW)(?=[,\s]+[^:]+:\s*|$)"
+RESOLUTION_FIELD, SOUND_FIELD, OTHER_MODELS = "Display Resolution", "Sound (Output)", "Other models"
+MODEL_SPEC, COMMON_SPEC = "model_spec", "common_required_spec"
+
+
+def spec_rows(field: Column, x: Column, category: Column) -> Column:
+    """Rows (row_order, field, model_pattern, value, unit) of a specification's text: one for each model of a field that
+    differs by model, else one for the whole value."""
+    c = collapsed(x)
+    value = F.when((field != "") & c.startswith(field), F.btrim(F.substring(c, F.length(field) + 1, F.length(c)))).otherwise(c)
+    pairs = lambda pattern: F.arrays_zip(F.regexp_extract_all(value, F.lit(pattern), 1).alias("m"), F.regexp_extract_all(value, F.lit(pattern), 2).alias("v"))
+    made = lambda m, v: F.struct(m.alias("m"), v.alias("v"))
+    display = F.transform(pairs(RESOLUTION_ROW), lambda r: made(collapsed(r["m"]), r["v"]))
+    clean = lambda r: F.regexp_replace(collapsed(r["m"]), "^[, ]+", "")
+
+    def parted(r: Column) -> Column:
+        v = collapsed(r["v"])
+        two = F.array(made(clean(r), F.btrim(F.substring_index(v, OTHER_MODELS, 1))), made(F.lit(OTHER_MODELS), F.btrim(F.substring(v, F.instr(v, OTHER_MODELS) + len(OTHER_MODELS), F.length(v)))))
+        return F.when((field == RESOLUTION_FIELD) & v.contains(OTHER_MODELS), two).otherwise(F.array(made(clean(r), v)))
+
+    plain = F.flatten(F.transform(F.when(field == SOUND_FIELD, pairs(SOUND_ROW)).otherwise(pairs(MODEL_ROW)), parted))
+    models = F.when((field == RESOLUTION_FIELD) & (F.size(display) > 0), display).otherwise(plain)
+    rows = F.when((category == MODEL_SPEC) & (F.size(models) > 0), models).otherwise(F.array(made(F.lit(""), value)))
+    return F.transform(rows, lambda r, i: F.struct((i + 1).alias("row_order"), field.alias("field"), r["m"].alias("model_pattern"), collapsed(r["v"]).alias("value"), unit_of(r["v"]).alias("unit")))
 
 
 def list_marker(label: Column) -> Column:
@@ -287,6 +399,23 @@ def escaped(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(inside, r"^(#{1,6}|[-+])(?=\s|$)", r"\\$1"), r"^(\d{1,9})([.)])(?=\s|$)", r"$1\\$2")
 
 
+def is_bold_font(name: Column) -> Column:
+    """By name: a heavy word in it, or a weight of 600 or more behind a dash."""
+    n = F.lower(name)
+    return F.coalesce(n.rlike("bold|black|heavy"), F.lit(False)) | F.coalesce(F.regexp_extract(n, r"[-_](\d{3})(?:\D|$)", 1).try_cast("int") >= 600, F.lit(False))
+
+
+def is_italic_font(name: Column) -> Column:
+    return F.coalesce(F.lower(name).rlike("italic|oblique"), F.lit(False))
+
+
+def cell_role(size: Column, orientation: Column, page: Column, row: Column, column: Column, page_role: Column) -> Column:
+    """The role of a grid cell: cover cells lie at the head of large sheets; a book's cells have their page's role."""
+    head = (row == 1) & (column <= 2)
+    sheet = ((size == "A2") & (orientation == "landscape")) | ((size == "A3") & (orientation == "portrait") & (page == 1))
+    return F.when((size == "A5") & (orientation == "portrait"), page_role).when(sheet & head, "cover").otherwise("content")
+
+
 def is_language_label(x: Column) -> Column:
     return x.rlike(r"^[A-Z]+(-[A-Z]+)?$")
 

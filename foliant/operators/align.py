@@ -36,41 +36,52 @@ def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-OPENS = re.compile(r"[\w(\[{“‘]", re.UNICODE)
-CLOSES = re.compile(r"[\w)\]}”’.,;:!?%]", re.UNICODE)
+# What a text may end or begin with for a space to be put between two of them.
+CLOSES = re.compile(r"[\w)\]}]")
+OPENS = re.compile(r"[\w(\[{]")
 
 
-def seam(last: str, first: str) -> str:
-    """What is done where a text ending in `last` meets one that starts with `first` (either may be empty)."""
-    if last.isspace() or first.isspace():
-        return "normalize_existing_space" if last.isspace() else "trim_left"
-    words = bool(last and first and CLOSES.match(last) and OPENS.match(first))
-    adjacent = bool(words and {unicodedata.east_asian_width(c) for c in (last, first)} <= {"W", "F"})
-    return "insert_space" if words and not adjacent else "keep_adjacent"
+def is_wide_letter(c: str) -> bool:
+    return c.isalnum() and unicodedata.east_asian_width(c) in ("W", "F")
+
 
+def seam(last: str, first: str) -> str:
+    """What is done where a text that ends in `last` meets one that begins with `first` (either may be empty).
 
-GLUE = {
-    "normalize_existing_space": lambda x, y: f"{x.rstrip()} {y.lstrip()}",
-    "trim_left": lambda x, y: f"{x} {y.lstrip()}",
-    "insert_space": lambda x, y: f"{x} {y}",
-    "keep_adjacent": lambda x, y: x + y,
-}
+    White space there becomes one space; a space is put between a word or closing bracket and a word or opening bracket,
+    unless both are wide letters, which stay adjacent, as does all else."""
+    if last.isspace():
+        return "normalize_existing_space"
+    if first.isspace():
+        return "trim_left"
+    wordlike = CLOSES.match(last) and OPENS.match(first) and not (is_wide_letter(last) and is_wide_letter(first))
+    return "insert_space" if wordlike else "keep_adjacent"
 
 
 def joined(parts: list[str]) -> tuple[str, list[str]]:
-    """Text parts in one string, and what was done at each seam.  East Asian characters stay adjacent."""
-    out, done = "", []
-    for i, part in enumerate(parts):
-        what = seam(out[-1:], part[:1]) if i else "keep_adjacent"
-        out = GLUE[what](out, part)
-        done += [what] if i else []
-    return out, done
+    """Text parts as one string, and what was done at each seam.  Linear in the text: parts are put together once."""
+    out, done = parts[:1], []
+    for part in parts[1:]:
+        while out and not out[-1]:
+            out.pop()
+        what = seam(out[-1][-1] if out else "", part[:1])
+        done.append(what)
+        if what == "normalize_existing_space":
+            while out and not (bare := out[-1].rstrip()):
+                out.pop()
+            out[-1:] = [bare] if out else []
+        out += [part] if what == "keep_adjacent" else [" ", part if what == "insert_space" else part.lstrip()]
+    return "".join(out), done
 
 
-@pandas_udf(StructType([StructField("joined", StringType()), StructField("actions", ArrayType(StringType()))]))
+SEAMS = ArrayType(StructType([StructField("boundary", IntegerType()), StructField("action", StringType())]))
+
+
+@pandas_udf(StructType([StructField("joined", StringType()), StructField("actions", SEAMS)]))
 def join_parts(parts: pd.Series) -> pd.DataFrame:
-    rows = [joined([str(x) for x in p] if p is not None else []) for p in parts]
-    return pd.DataFrame({"joined": [r[0] for r in rows], "actions": [r[1] for r in rows]})
+    """(joined, actions): the joined text, and each seam (boundary from 0) with what was done there.  A null part is empty."""
+    rows = [joined(["" if x is None else str(x) for x in p] if p is not None else []) for p in parts]
+    return pd.DataFrame({"joined": [r[0] for r in rows], "actions": [[{"boundary": i, "action": a} for i, a in enumerate(r[1])] for r in rows]})
 
 
 PROTECTED = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|\b\d+[.,]\d+\b|\b(?:[A-Za-z]\.){2,}|\b(?:Mr|Mrs|Ms|Dr|St|No|vs|etc)\.|\bz\. ?B\.")
@@ -78,14 +89,18 @@ TERMINATOR = re.compile(r"[.!?。！？]+[\"')\]”’]*\s+")
 
 
 def sentence_starts(text: str) -> list[int]:
-    """Offsets at which sentences start; addresses, abbreviations, decimals and initials end none."""
+    """Offsets at which sentences start; addresses, abbreviations, decimals and initials end none.
+
+    Terminators and shielded spans are both in order, so one pass over either is enough."""
     shielded = [m.span() for m in PROTECTED.finditer(text)]
-    starts = [m.start() for m in re.finditer(r"\S", text)][:1]
+    first = re.search(r"\S", text)
+    starts, at = [first.start()] if first else [], 0
     for m in TERMINATOR.finditer(text):
-        if m.end() < len(text) and not any(s <= m.start() < e for s, e in shielded):
-            c = text[m.end()]
-            if not c.islower():
-                starts.append(m.end())
+        while at < len(shielded) and shielded[at][1] <= m.start():
+            at += 1
+        inside = at < len(shielded) and shielded[at][0] <= m.start()
+        if m.end() < len(text) and not inside and not text[m.end()].islower():
+            starts.append(m.end())
     return starts
 
 

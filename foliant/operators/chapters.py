@@ -14,9 +14,10 @@ MAX_SIZE_DIFFERENCE = 0.10
 MIN_HEADING_RATIO = 1.5
 TOLERANCE = 1e-12
 LEFT_SHARE, GAP_SHARE, GAP_LOCAL, BLOCK_GAP = 0.25, 0.25, 0.5, 1.0
+LETTER_OR_ROMAN = r"(?:[a-z]|(?=[ivx])x{0,2}(?:ix|iv|v?i{0,3}))"
 VISIBLE_MARKER = (
     r"(?i)^\s*(?:[-*+](?=\s|$)|[•◦▪▫‣⁃●○■□]|#{1,6}(?=\s)|\d{1,3}(?=\s)|\(?\d{1,3}(?:[.)]|(?:\.\d+)+)"
-    r"|(?:\((?:[a-z]|[ivx]{1,5})\)|(?:[a-z]|[ivx]{1,5})[.)])(?=\s|$))"
+    rf"|(?:\({LETTER_OR_ROMAN}\)|{LETTER_OR_ROMAN}[.)])(?=\s|$))"
 )
 
 

@@ -147,7 +147,7 @@ def prepared(items: DataFrame, keys: list[str]) -> DataFrame:
     kind, text = F.col("kind"), F.col("text")
     body = kind == "body"
     out = renumbered(items.withColumn("text", T.collapsed(F.coalesce(text, F.lit("")))), keys, "ord")
-    out = dropped(out, keys, text.isin(*STRAY_MARKERS) | ((kind == "ui_label") & (text == "Auto")) | (text == "1."))
+    out = dropped(out, keys, text.isin(*STRAY_MARKERS) | ((kind == "ui_label") & (text == "Auto")))
     out = retold(out, text.endswith(" 1."), text=F.regexp_replace(text, r"\s*1\.$", ""))
     out = joined_pattern(out, keys, [(kind == "warning") & (text == "CAUTION"), body & text.startswith(":")], F.lit("warning"), lambda t: T.collapsed(F.concat(*t)))
     out = split_at(out, keys, (kind == "warning") & text.startswith("CAUTION:") & text.contains("WARNING -"), "WARNING -", F.lit("bullet"), F.lit("bullet"))

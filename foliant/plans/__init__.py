@@ -1 +1,3 @@
-"""Foliant: document-structure analytics on Spark."""
+"""Registered queries; importing the package registers all of them."""
+
+from foliant.plans import profiles, registry, scalars, structure  # noqa: F401

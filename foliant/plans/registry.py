@@ -44,7 +44,7 @@ _words = "(CASE WHEN line = '' THEN 0 ELSE len(string_split(line, ' ')) END)"
 _upper = r"(length(regexp_replace(line, '[^\p{Lu}]', '', 'g')) / nullif(length(regexp_replace(line, '[^\p{L}]', '', 'g')), 0))"
 _title = r"""len(list_filter(string_split(line, ' '), lambda w:
     regexp_replace(regexp_replace(lower(w), '^[''"()\[\]:;,-]+', ''), '[''"()\[\]:;,-]+$', '') IN ({stop})
-    OR regexp_matches(regexp_replace(w, '^[''"()\[\]:;,-]+', ''), '^\p{Lu}')))""".replace("{stop}", quoted(T.HEADING_STOPWORDS))
+    OR regexp_matches(regexp_replace(w, '^[''"()\[\]:;,-]+', ''), '^\p{Lu}') OR (regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '[\p{Ll}\p{Lt}]'))))""".replace("{stop}", quoted(T.HEADING_STOPWORDS))
 KINDS = (
     LINES
     + rf""",
@@ -55,13 +55,11 @@ flags AS (SELECT *,
   starts_with(line, '*') OR regexp_matches(line, '(?i)^x\s*\d+$') OR line IN ({quoted(T.LIST_ITEMS)}) AS list_item,
   ({' OR '.join(f"contains(line, '{t}')" for t in T.WARNING_TERMS)}) OR coalesce({_upper} > 0.85 AND length(line) > 20, false) AS warning,
   {_words} AS n_words, {_title} AS n_title FROM lines),
-kinds AS (SELECT doc_id, ord, line, CASE
-  WHEN line = '' THEN 'blank'
-  WHEN NOT (line = '•' OR navigation OR ui_label OR list_item OR warning)
-   AND NOT (line IN ('ENG', 'Website', '-00', 'Caution') OR regexp_matches(line, '^[.,:;/]') OR contains(line, 'www.') OR contains(line, '@') OR length(line) > 55 OR ends_with(line, '.'))
-   AND (regexp_matches(line, '^\d{{2}}\s+[A-Z]') OR ((ends_with(line, '!') OR ends_with(line, '?')) AND n_words <= 4) OR (n_words <= 8 AND n_title >= greatest(1, n_words - 1))) THEN 'heading'
-  WHEN bullet THEN 'bullet' WHEN navigation THEN 'navigation' WHEN ui_label THEN 'ui_label'
-  WHEN list_item THEN 'list_item' WHEN warning THEN 'warning' ELSE 'body' END AS kind FROM flags)"""
+titles AS (SELECT *, NOT (line IN ({quoted((*T.PLAIN_LINES, *T.REJECTED_HEADINGS))}) OR regexp_matches(line, '^[.,:;/]') OR contains(line, 'www.') OR contains(line, '@') OR length(line) > 55 OR ends_with(line, '.')) AND line <> ''
+   AND (regexp_matches(line, '^\d{{2}}\s+[A-Z]') OR ((ends_with(line, '!') OR ends_with(line, '?')) AND n_words <= 4) OR (n_words <= 8 AND n_title >= greatest(1, n_words - 1))) AS titled FROM flags),
+kinds AS (SELECT doc_id, ord, line, titled AND NOT (line = '•' OR navigation OR ui_label OR warning OR list_item) AS heads, CASE
+  WHEN line = '' THEN 'blank' WHEN line = '•' THEN 'bullet' WHEN navigation THEN 'navigation' WHEN ui_label THEN 'ui_label'
+  WHEN warning THEN 'warning' WHEN list_item THEN 'list_item' WHEN bullet THEN 'bullet' WHEN titled THEN 'heading' ELSE 'body' END AS kind FROM titles)"""
 )
 
 
@@ -95,17 +93,6 @@ def adjacent_copies_dropped(t) -> DataFrame:
     return sequences.without_adjacent_copies(lines.lines(t("documents")), ["doc_id"], "ord", ["line"])
 
 
-SENTENCES = rf"""
-e AS (SELECT doc_id, {collapse_sql('text')} AS x FROM documents WHERE lang = 'en'),
-s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(x, '([.!?])\s+([A-Z0-9"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '') AS parts FROM e)"""
-
-
-@query(f"WITH {SENTENCES} SELECT doc_id, len(parts) AS n_sentences, list_max(list_transform(parts, lambda y: length(y))) AS longest FROM s")
-def sentence_split(t) -> DataFrame:
-    s = T.sentences(F.col("text"))
-    return t("documents").where("lang = 'en'").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
-
-
 def nested_replace(x: str, pairs: list[tuple[str, str]]) -> str:
     for old, new in pairs:
         x = f"replace({x}, '{old}', '{new}')"
@@ -192,36 +179,6 @@ def dedupe_first_seen(t) -> DataFrame:
     return lines.lines(t("documents")).groupBy("doc_id", "line").agg(F.min("ord").alias("first_ord"))
 
 
-@query("""SELECT o_orderkey, c_name, n_name, c_custkey IS NOT NULL AS found FROM orders
-LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
-def profile_lookup(t) -> DataFrame:
-    o, c, n = t("orders"), t("customer"), t("nation")
-    return o.join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left").select("o_orderkey", "c_name", "n_name", F.col("c_custkey").isNotNull().alias("found"))
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def profile_lookup_miss(t) -> DataFrame:
-    c, o = t("customer"), t("orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
-
-
-@query("""SELECT r_regionkey, count(n_nationkey) AS n_nations, count(DISTINCT lower(n_name)) = count(n_nationkey) AS names_unique,
-  CASE WHEN count(n_nationkey) = 0 THEN 'region_empty' WHEN count(DISTINCT lower(n_name)) < count(n_nationkey) THEN 'name_repeated' ELSE 'PASS' END AS status
-FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY 1""")
-def profile_validation(t) -> DataFrame:
-    r, n = t("region"), t("nation")
-    g = r.join(n, r.r_regionkey == n.n_regionkey, "left").groupBy("r_regionkey").agg(F.count("n_nationkey").alias("n_nations"), F.count_distinct(F.lower("n_name")).alias("d"))
-    unique = F.col("d") == F.col("n_nations")
-    return g.select("r_regionkey", "n_nations", unique.alias("names_unique"), F.when(F.col("n_nations") == 0, "region_empty").when(~unique, "name_repeated").otherwise("PASS").alias("status"))
-
-
-@query("""WITH p AS (SELECT user_id, list_distinct(list(event_type)) AS present FROM events GROUP BY 1)
-SELECT user_id, array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(present, x))), ',') AS missing FROM p""")
-def required_except_present(t) -> DataFrame:
-    required = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
-    return t("events").groupBy("user_id").agg(F.collect_set("event_type").alias("present")).select("user_id", F.array_join(F.array_sort(F.array_except(required, "present")), ",").alias("missing"))
-
-
 STARTS = """starts AS (SELECT user_id, event_id AS start FROM events WHERE event_type = 'signup'),
 iv AS (SELECT user_id, start, greatest(start, coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY start) - 1, (SELECT max(event_id) FROM events))) AS "end" FROM starts)"""
 

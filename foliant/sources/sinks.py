@@ -43,6 +43,12 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return n.withColumn("side", F.when(F.col("surplus") > 0, "first").otherwise("second"))
 
 
+def same_letters(a: Column, b: Column) -> Column:
+    """Whether two texts are made of the same characters, each as often."""
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    return letters(a) == letters(b)
+
+
 def write_verified(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Writes df, reads it back and compares both as bags of rows; raises if they differ.  Returns what was read.
 
