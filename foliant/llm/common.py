@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,35 +18,66 @@ CACHE_WORDS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set (tests)."""
+    """The folder that the cluster shares.  Only in a local session that sets none (tests) is it one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foliant-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+_scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: short lineage that outlives executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    if not keep and (paths := _scratch.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were written inside as soon as the block is left, but for those written to `keep`."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+FILE_ROWS = 200_000
+
+
+def written(df: DataFrame, name: str, most: int | None = None, each: int = FILE_ROWS, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and rereads it: short lineage that outlives executors.
+
+    Where it is known that df has `most` rows at most, tasks are put together until each has about `each` of them: a shuffle
+    of few rows may have many partitions, and every file costs time and, where files are local, a process of its own."""
+    path = new_path(df.sparkSession, name, keep)
+    (df if most is None else df.coalesce(max(1, -(-most // each)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it is lower still: texts may be very long, and a
-    batch lies in memory several times on its way between the JVM and Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES, unless they are lower still: texts
+    may be very long, and a batch lies in memory several times on its way between the JVM and Python."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).rstrip("b")  # bytes are told as "67108864b"
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
 
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
@@ -125,5 +158,13 @@ class WordCache(dict):
         return value
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case: the given one, with as many underscores more as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
