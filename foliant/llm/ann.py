@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import mapped, new_path, written
 
 TREES = 32
-DEPTH = 10  # at most; a leaf has LEAF_ROWS rows of the sample at least
-LEAF_ROWS = 8
+DEPTH = 8  # at most; a leaf has LEAF_ROWS rows of the sample at least
+LEAF_ROWS = 32
 SAMPLE_ROWS = 8192  # rows that the trees are fitted on at most
 TRIALS = 256  # rows of the sample on which the number of leaves is fitted
 FIRST_ROWS = 1024  # rows of a task's first join, which gives each query something to beat
@@ -215,14 +215,14 @@ def scan(indexed: DataFrame, block: pa.Table, dim: int, k: int, trees: int, leav
 
 
 def chunks(batches, dim: int, trees: int, leaves: int):
-    """(ids, vectors, leaves) of FIRST_ROWS rows, then of four times as many each time, up to CHUNK_ROWS."""
+    """(ids, vectors, leaves) of FIRST_ROWS rows, then of CHUNK_ROWS each time."""
     parts, n, most = [], 0, FIRST_ROWS
     for batch in batches:
         parts.append(batch)
         n += batch.num_rows
         if n >= most:
             yield opened(parts, dim, trees, leaves)
-            parts, n, most = [], 0, min(CHUNK_ROWS, 4 * most)
+            parts, n, most = [], 0, CHUNK_ROWS
     if n:
         yield opened(parts, dim, trees, leaves)
 
@@ -252,33 +252,45 @@ def joined(held, vec, v, codes, asking, asked, ids, q, q32, least, k):
     order = np.argsort(flat, kind="stable")
     row = (order % len(vec)).astype(np.int64)
     found = np.searchsorted(flat[order], np.arange(len(asked)))
-    hits_q, hits_r, n = [], [], 0
+    hits, n = [], 0
 
     def settled(held):
-        pair = np.unique(np.concatenate(hits_q) * len(vec) + np.concatenate(hits_r))
+        i, j, near = (np.concatenate(x) for x in zip(*hits))
+        i, j, near = (x[ids[i] != vec[j]] for x in (i, j, near))
+        # first by the rough scores: what falls short of the k-th best of them by more than they may be wrong is no hit
+        rough = raised(kept(i, vec[j], near, k), least, k)
+        fair = near >= rough[i]
+        pair = np.unique(i[fair] * len(vec) + j[fair])
         i, j = pair // len(vec), pair % len(vec)
-        other = ids[i] != vec[j]
-        i, j = i[other], j[other]
         score = np.concatenate([cosine(q[i[s : s + 65536]], v[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
         out = kept(np.concatenate([held[0], i]), np.concatenate([held[1], vec[j]]), np.concatenate([held[2], score]), k)
-        last = np.concatenate((out[0][1:] != out[0][:-1], [True])) if len(out[0]) else np.zeros(0, bool)
-        full = np.bincount(out[0], minlength=len(ids)) >= k
-        least[out[0][last]] = np.where(full[out[0][last]], out[2][last] - SLACK, -np.inf)
+        least[:] = raised(out, least, k)
+        hits.clear()
         return out
 
     for leaf in np.flatnonzero((np.diff(asked) > 0) & (np.diff(found) > 0)):
         qs, rs = asking[asked[leaf] : asked[leaf + 1]], row[found[leaf] : found[leaf + 1]]
         for s in range(0, len(qs), 2048):
             own = qs[s : s + 2048]
-            a, b = np.nonzero(q32[own] @ v32[rs].T >= least[own, None])
+            near = q32[own] @ v32[rs].T
+            a, b = np.nonzero(near >= least[own, None])
             if len(a):
-                hits_q.append(own[a])
-                hits_r.append(rs[b])
+                hits.append((own[a], rs[b], near[a, b]))
                 n += len(a)
             if n > 1 << 20:
                 held, n = settled(held), 0
-                hits_q.clear(), hits_r.clear()
-    return settled(held) if hits_q else held
+    return settled(held) if hits else held
+
+
+def raised(best: tuple[np.ndarray, np.ndarray, np.ndarray], least: np.ndarray, k: int) -> np.ndarray:
+    """least, raised to a little below the last of each query that has k of the best (as kept() gives them)."""
+    out = least.copy()
+    query, _, score = best
+    if len(query):
+        last = np.append(query[1:] != query[:-1], True)
+        full = np.bincount(query, minlength=len(least))[query[last]] >= k
+        out[query[last][full]] = np.maximum(out[query[last][full]], score[last][full] - SLACK)
+    return out
 
 
 def kept(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
