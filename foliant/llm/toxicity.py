@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,20 +89,16 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def learn(bags: list[tuple[np.ndarray, np.ndarray, int]], folds: int = 3) -> NoisyOr:
-    """train() on all bags, calibrated on scores that each fold gets from a model of the others."""
-    model = train(bags)
+def fold_scores(bags: list[tuple[np.ndarray, np.ndarray, int]], f: int, folds: int) -> tuple[list[float], list[int]]:
+    """Log odds and labels of every folds-th bag, from a model of the others."""
+    part = train([b for i, b in enumerate(bags) if i % folds != f])
     z, y = [], []
-    for f in range(folds):
-        part = train([b for i, b in enumerate(bags) if i % folds != f])
-        for idx, sizes, mark in bags[f::folds]:
-            if len(sizes):
-                s = sigmoid(part.bias + np.bincount(np.repeat(np.arange(len(sizes)), sizes), part.weights[idx], len(sizes)))
-                z.append(odds(np.log1p(-np.minimum(s, 1 - 1e-12)).sum()))
-                y.append(mark)
-    if len(set(y)) == 2:
-        model.scale, model.shift = calibrated(np.array(z), np.array(y, dtype=float))
-    return model
+    for idx, sizes, mark in bags[f::folds]:
+        if len(sizes):
+            s = sigmoid(part.bias + np.bincount(np.repeat(np.arange(len(sizes)), sizes), part.weights[idx], len(sizes)))
+            z.append(odds(np.log1p(-np.minimum(s, 1 - 1e-12)).sum()))
+            y.append(mark)
+    return z, y
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.5, seed: int = 3) -> NoisyOr:
@@ -143,18 +141,47 @@ def bag_of(text: str, features=word_features) -> tuple[list[int], list[int]]:
     return [i for p in parts for i in p], [len(p) for p in parts]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> NoisyOr:
-    """Fits on at most `rows` labelled rows outside the held-out fold; their bags reach the driver as hash bins."""
+FITTED = "fold int, bins array<int>, weights array<float>, bias double, z array<double>, y array<int>"
+FITTED_ARROW = pa.schema([("fold", pa.int32()), ("bins", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32())), ("bias", pa.float64()), ("z", pa.list_(pa.float64())), ("y", pa.list_(pa.int32()))])
 
-    def run(batch: pa.RecordBatch) -> dict:
-        cache = WordCache(word_features)
-        bags = [bag_of(t, cache.__getitem__) for t in texts(batch)]
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "bins": [b for b, _ in bags], "sizes": [s for _, s in bags]}
 
-    sample = mapped(labelled_sample(docs, labels, "toxic", rows), run, "doc_id long, label int, bins array<int>, sizes array<int>").toArrow()
-    order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable").tolist()
-    bins, sizes, marks = (sample.column(c) for c in ("bins", "sizes", "label"))
-    return learn([(bins[i].values.to_numpy(), sizes[i].values.to_numpy(), marks[i].as_py()) for i in order])
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, folds: int = 3) -> NoisyOr:
+    """Fits on at most `rows` labelled rows outside the held-out fold, and calibrates on the scores that each fold gets from
+    a model of the others.
+
+    The model and those of the folds are fitted by a task each, on a copy each of the bounded sample; the driver receives
+    the weights that are not 0, and two numbers a sample row."""
+
+    def bags(batch: pa.RecordBatch) -> dict:
+        cache = WordCache(word_features)
+        found = [bag_of(t, cache.__getitem__) for t in texts(batch)]
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "bins": [b for b, _ in found], "sizes": [s for _, s in found]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: defaultdict[int, list] = defaultdict(list)
+        for batch in batches:
+            bins, sizes = batch.column("bins"), batch.column("sizes")
+            for i, (fold, doc_id, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("fold", "doc_id", "label")))):
+                of[fold].append((doc_id, bins[i].values.to_numpy(), sizes[i].values.to_numpy(), label))
+        for fold, found in of.items():
+            ordered = [x[1:] for x in sorted(found, key=lambda x: (x[0], x[1].tobytes()))]
+            model, (z, y) = (train(ordered), ([], [])) if fold == folds else (NoisyOr(np.zeros(0, np.float32), 0.0), fold_scores(ordered, fold, folds))
+            used = np.flatnonzero(model.weights)
+            yield pa.RecordBatch.from_pylist([{"fold": fold, "bins": used.tolist(), "weights": model.weights[used].tolist(), "bias": model.bias, "z": z, "y": y}], schema=FITTED_ARROW)
+
+    sample = mapped(labelled_sample(docs, labels, "toxic", rows), bags, "doc_id long, label int, bins array<int>, sizes array<int>")
+    copies = sample.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(folds + 1)])))
+    fitted = {r.fold: r for r in copies.repartitionById(folds + 1, F.col("fold")).mapInArrow(run, FITTED).collect()}
+    if not fitted:
+        return train([])
+    last = fitted.pop(folds)
+    weights = np.zeros(BINS, dtype=np.float32)
+    weights[last.bins] = last.weights
+    model = NoisyOr(weights, last.bias)
+    z, y = ([x for f in sorted(fitted) for x in fitted[f][name]] for name in ("z", "y"))
+    if len(set(y)) == 2:
+        model.scale, model.shift = calibrated(np.array(z), np.array(y, dtype=float))
+    return model
 
 
 def score(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
