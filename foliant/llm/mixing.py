@@ -12,6 +12,7 @@ each round is one aggregation over a narrow table.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import WordCache, mapped, texts, written
+from .common import WordCache, mapped, sliced, small_batches, texts, unused, written
 
 BINS = 1 << 15
 SAMPLE_ROWS = 4000  # labelled rows that the classifier reads at most
@@ -97,39 +98,40 @@ def fit(labelled: DataFrame, names: list[str], rows: int = SAMPLE_ROWS) -> Domai
     return train([np.asarray(bins[int(i)].values.to_numpy(), dtype=np.int64) for i in order], [marks[i] for i in order], names)
 
 
-def with_posteriors(docs: DataFrame, model: Domains) -> DataFrame:
-    """docs with _mix_tokens (words of the whole text) and _mix_posterior; other columns go through."""
-    schema = StructType([*docs.schema.fields, StructField("_mix_tokens", LongType()), StructField("_mix_posterior", ArrayType(DoubleType()))])
+def with_posteriors(rows: DataFrame, model: Domains, key: str, tokens: str, posterior: str) -> DataFrame:
+    """key, tokens (words of the whole text) and posterior of each row; rows has key and text."""
+    schema = StructType([rows.schema[key], StructField(tokens, LongType()), StructField(posterior, ArrayType(DoubleType()))])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for piece in sliced(batch):
                 split = [words_of(t) for t in texts(piece)]
-                columns = [*piece.columns, pa.array([len(w) for w in split], pa.int64()), pa.array([model.posterior(w) for w in split], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, "_mix_tokens", "_mix_posterior"])
+                columns = [piece.column(key), pa.array([len(w) for w in split], pa.int64()), pa.array([model.posterior(w) for w in split], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, tokens, posterior])
 
-    return docs.mapInArrow(run, schema)
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
 
 
-def rate(steps: list[list[float]], least: float) -> Column:
-    """The rate that a document has after the steps, from _mix_posterior: projected after each of them."""
+def rate(steps: list[list[float]], least: float, posterior: str = "posterior") -> Column:
+    """The rate that a document has after the steps, from its posterior: projected after each of them."""
     if not steps:
         return F.lit(1.0)
     all_steps = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    dot = lambda s: F.aggregate(F.zip_with("_mix_posterior", s, lambda q, x: q * x), F.lit(0.0), lambda a, x: a + x)
+    dot = lambda s: F.aggregate(F.zip_with(posterior, s, lambda q, x: q * x), F.lit(0.0), lambda a, x: a + x)
     return F.aggregate(all_steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(float(least)), r - dot(s)))
 
 
 def fit_rates(features: DataFrame, weights: list[float], least: float = 0.0, total: float | None = None) -> tuple[list[list[float]], list[float]]:
     """The steps that give each document its rate, and the token targets.
 
-    features has _mix_tokens and _mix_posterior.  Without a total, the targets add up to the smallest number of
-    tokens at which no domain has to be thinned."""
+    features has tokens and posterior.  Without a total, the targets add up to the smallest number of tokens at which no
+    domain has to be thinned.  Rounds end when every domain is within TOLERANCE of all tokens, or when
+    no step comes nearer, as the lower bound holds; if after ROUNDS neither is so, a warning says how near the steps came."""
     k = len(weights)
     share = np.array(weights, dtype=float) / sum(weights)
-    q = [F.col("_mix_posterior")[i] for i in range(k)]
-    n = F.col("_mix_tokens").cast("double")
+    q = [F.col("posterior")[i] for i in range(k)]
+    n = F.col("tokens").cast("double")
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     h = np.zeros((k, k))
     for (i, j), x in zip(upper, features.agg(*[F.sum(n * q[i] * q[j]) for i, j in upper]).first()):
@@ -140,23 +142,44 @@ def fit_rates(features: DataFrame, weights: list[float], least: float = 0.0, tot
     if start.sum() == 0:
         return steps, goal.tolist()
     solve = lambda m, v: np.linalg.lstsq(m + 1e-9 * np.trace(h) * np.eye(k), v, rcond=None)[0]
-    now, free, best = start, h, (np.inf, 0)
+    damped = lambda m, part: m + part * np.trace(h) * np.eye(k)
+    now, free = start, h
     for _ in range(ROUNDS):
-        gap = float(np.abs(now - goal).max())
-        if gap < best[0]:
-            best = gap, len(steps)
-        if gap <= TOLERANCE * goal.sum() or len(steps) - best[1] >= 4:  # reached, or as near as the bound lets rates come
+        rest = now - goal
+        if np.abs(rest).max() <= TOLERANCE * goal.sum():
             break
-        # scaled by the documents that can still move, unless that made things worse
-        step = solve(free if gap == best[0] and np.trace(free) > 1e-6 * np.trace(h) else h, now - goal)
-        steps.append([float(x) for x in np.round(step, 10)])
-        r = rate(steps, least)
-        rows = features.select(r.alias("r"), n.alias("n"), *[q[i].alias(f"q{i}") for i in range(k)])
-        got = rows.agg(*[F.sum(F.expr(f"r * n * q{i}")) for i in range(k)], *[F.sum(F.expr(f"if(r > {least!r}D, n * q{i} * q{j}, 0D)")) for i, j in upper]).first()
-        now, free = np.array([float(x or 0) for x in got[:k]]), np.zeros((k, k))
-        for (i, j), x in zip(upper, got[k:]):
-            free[i, j] = free[j, i] = float(x or 0)
-    return steps[: best[1]], goal.tolist()
+        # scaled by the documents that can still move, without and with damping; by all documents; and the gradient as it is
+        plain = rest * (rest @ rest) / max(rest @ h @ rest, 1e-300)
+        tries = [solve(free, rest), 2 * solve(damped(free, 1e-3), rest), 2 * solve(damped(free, 1e-2), rest), solve(h, rest), plain, 16 * plain]
+        tries = [[float(x) for x in np.round(t, 10)] for t in tries]
+        got = outcomes(features.select(n.alias("n"), *[q[i].alias(f"q{i}") for i in range(k)], rate(steps, least).alias("r")), tries, k, least, upper)
+        best = min(range(len(tries)), key=lambda i: float(((got[i][0] - goal) ** 2).sum()))
+        if ((got[best][0] - goal) ** 2).sum() >= (1 - 1e-3) * (rest**2).sum():
+            break  # as near as the bound lets rates come
+        steps.append(tries[best])
+        now, free = got[best]
+    else:
+        warnings.warn(f"mixing: after {ROUNDS} rounds a domain's tokens miss their target by {np.abs(now - goal).max() / goal.sum():.2%} of all", stacklevel=2)
+    return steps, goal.tolist()
+
+
+def outcomes(rows: DataFrame, tries: list[list[float]], k: int, least: float, upper: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each step that might be next: the domains' expected tokens, and the second moments of the documents above the
+    bound.  One aggregation for all; rows has n, q0.. and r, the rate so far."""
+    after = lambda t: F.greatest(F.lit(float(least)), F.col("r") - sum((F.col(f"q{i}") * F.lit(x) for i, x in enumerate(t)), F.lit(0.0)))
+    moved = rows.select("*", *[after(t).alias(f"r{c}") for c, t in enumerate(tries)])
+    sums = []
+    for c in range(len(tries)):
+        sums += [F.sum(F.expr(f"r{c} * n * q{i}")) for i in range(k)]
+        sums += [F.sum(F.expr(f"if(r{c} > {least!r}D, n * q{i} * q{j}, 0D)")) for i, j in upper]
+    flat = [float(x or 0) for x in moved.agg(*sums).first()]
+    out, size = [], k + len(upper)
+    for c in range(len(tries)):
+        own, second = flat[c * size : (c + 1) * size], np.zeros((k, k))
+        for (i, j), x in zip(upper, own[k:]):
+            second[i, j] = second[j, i] = x
+        out.append((np.array(own[:k]), second))
+    return out
 
 
 def rates(docs: DataFrame, model: Domains, weights: dict[str, float], least: float = 0.0) -> DataFrame:
@@ -164,17 +187,22 @@ def rates(docs: DataFrame, model: Domains, weights: dict[str, float], least: flo
 
     A null or empty text has no tokens and the prior as posterior; its rate follows the same rule.  Repeated rows and
     null ids are rows like any other; an empty table gives an empty one."""
-    features = written(with_posteriors(docs.select("doc_id", "text"), model).drop("text"), "mix-features")
+    features = written(with_posteriors(docs.select("doc_id", "text"), model, "doc_id", "tokens", "posterior"), "mix-features")
     steps, _ = fit_rates(features, [weights[n] for n in model.names], least)
-    return features.select("doc_id", F.col("_mix_tokens").alias("n_tokens"), *[F.col("_mix_posterior")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], rate(steps, least).alias("rate"))
+    return features.select("doc_id", F.col("tokens").alias("n_tokens"), *[F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], rate(steps, least).alias("rate"))
 
 
 def mixed(docs: DataFrame, model: Domains, weights: dict[str, float], least: float = 1.0) -> DataFrame:
     """The rows of docs, all columns, each as often as its rate says; what lies between two whole numbers is settled by a
-    hash of id and text.  With least = 1 no document is lost."""
-    features = written(with_posteriors(docs.select("text"), model).drop("text"), "mix-features")
-    steps, _ = fit_rates(features, [weights[n] for n in model.names], least)
-    r = rate(steps, least)
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(41)), F.lit(1_000_000)) / 1_000_000
-    times = (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int")
-    return with_posteriors(docs, model).withColumn("_mix_times", F.array_repeat(F.lit(0), times)).withColumn("_mix_times", F.explode("_mix_times")).select(*docs.columns)
+    hash of id and text.  With least = 1 no document is lost.
+
+    The classifier reads each text once: rows are written with their posterior before the rates are fitted.  A null or
+    empty text has no tokens and the prior as posterior; repeated rows and null ids are rows like any other; an empty table
+    gives an empty one; columns of any name go through."""
+    row, posterior, tokens, times = (unused(docs, n) for n in ("_row", "_posterior", "_tokens", "_times"))
+    read = written(with_posteriors(docs.select(F.struct("*").alias(row), "text"), model, row, tokens, posterior), "mix-rows")
+    steps, _ = fit_rates(read.select(F.col(tokens).alias("tokens"), F.col(posterior).alias("posterior")), [weights[n] for n in model.names], least)
+    r = rate(steps, least, posterior)
+    chance = F.pmod(F.xxhash64(F.col(row)["doc_id"], F.col(row)["text"], F.lit(41)), F.lit(1_000_000)) / 1_000_000
+    copies = (F.floor(r) + (chance < r - F.floor(r)).cast("int")).cast("int")
+    return read.select(row, F.explode(F.array_repeat(F.lit(0), copies)).alias(times)).select(f"{row}.*")
