@@ -9,6 +9,7 @@ by Spark's own protocol.  Reading goes by Content-Length, never by looking for s
 from __future__ import annotations
 
 import gzip
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ EOL = "\r\n"
 GZIP = b"\x1f\x8b"
 REVISIT_FROM = 100  # payloads shorter than this are never revisits
 RECORDS_PER_FILE = 2000
+FILE_BYTES = 64 << 20  # payload in a file, of which readers hold one at a time, unless a single page has more
+SMALL = 32 << 10  # pages of up to this many bytes share files; larger ones are written apart, by size
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,8 +59,20 @@ def record(kind: Column, ident: Column, uri: Column, headers: list[Column], cont
 
 
 def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
-    """Writes three records a page.  A null url or html counts as empty; only rows that repeat id, url
-    and html get equal record ids; a page with a null id is a response unless its payload is known."""
+    """Writes three records a page.  A null url or html counts as empty; only rows that repeat id, url and html get equal
+    record ids; a page with a null id is a response unless its payload is known.  An empty table gives an empty folder.
+
+    Files are bounded by records and by bytes: pages are written by classes of size, each a fourth of the next, with as many
+    records to a file as FILE_BYTES allows.  Equal payloads have equal sizes, so a class knows all its revisits."""
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    level = F.when(size <= SMALL, 0).otherwise(F.ceil(F.log(size / F.lit(float(SMALL))) / float(math.log(4)) - 1e-9)).cast("int")
+    found = sorted(r[0] for r in pages.select(level).distinct().collect()) or [0]  # a dozen at most
+    for i in found:
+        most = max(1, min(records_per_file, 3 * (FILE_BYTES // (SMALL << 2 * i))))
+        write_class(pages.where(level == i) if len(found) > 1 else pages, path, most, compression)
+
+
+def write_class(pages: DataFrame, path: str, records_per_file: int, compression: str) -> None:
     p = plan(pages)
     i, uri = F.col("page_id"), F.regexp_replace("url", r"[\r\n]", " ")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(i)
@@ -73,7 +88,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE,
         record(F.lit("metadata"), note, uri, [F.concat(F.lit("WARC-Concurrent-To: "), answer)], "application/warc-fields", F.concat(F.lit("payload-bytes: "), F.col("size").cast("string"), F.lit(EOL))),
     )
     out = p.select(F.explode(made).alias("value"))
-    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", records_per_file).option("compression", compression).mode("append").text(path)
 
 
 FIELDS = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http_head", pa.binary()), ("payload", pa.binary())])
@@ -109,7 +124,8 @@ def parse(raw: bytes) -> Iterator[tuple]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of the archives under path, which may lie anywhere that Spark can read.
+    """One row a record of the archives under path, which may lie anywhere that Spark can read.  A record that is malformed or
+    cut off raises, with its place.
 
     The writer bounds the size of a file, and a task reads files one by one and hands on small batches."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
