@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.llm.common import scratch, shared_dir, unused, written
 from foliant.llm import ann, bpe, fingerprints, lm, mixing, neardup, quality, queries, secrets, toxicity, warc
 
 LONG = "word wörd " * 30_000
@@ -63,6 +64,26 @@ def test_secret_spans(odd, none, net):
     assert clean[1].text is None and clean[8].text.count("[secret]") == 3 and clean[3].text == LONG
 
 
+def test_base_findings_against_a_second_scanner(spark, net):
+    """Each pattern on its own by another engine, over a whole table of the test data."""
+    import regex
+
+    patterns = {"assign": (r"""(?:(?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1), "access": ("AKIA[A-Z0-9]+", 16, 0), "hex": ("[0-9a-f]+", 32, 0)}
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r for r in secrets.digest(docs, net).collect()}
+    some = 0
+    for r in docs.collect():
+        spans = []
+        for i, (kind, (pattern, least, group)) in enumerate(patterns.items()):
+            spans += [(m.start(), i, f"{kind}:{m.start()}:{m.end()}") for m in regex.finditer(pattern, r.text or "") if len(m[group]) >= least]
+        said = [x for *_, x in sorted(spans)]
+        some += len(said)
+        own = got[r.doc_id]
+        assert own.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [own.n_assign, own.n_access, own.n_hex] == [sum(x.startswith(k) for x in said) for k in patterns] and set(said) <= set(filter(None, own.spans.split(",")))
+    assert some > 0
+
+
 def test_secret_network_on_unseen_findings(net):
     found = secrets.findings(300, seed=99)
     good = [net.score(b, c, a) >= net.thresholds[k] for b, c, a, k, y in found if y]
@@ -240,6 +261,52 @@ def test_mixing_meets_its_targets(spark, odd, none):
     assert mixing.fit(df.limit(0), ["de", "en"]).posterior([b"x"]).tolist() == [0.5, 0.5]
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    clash = ["_mix_tokens", "_mix_times", "_row", "_TIMES", "posterior", "tokens", "_posterior", "a.b", "rate"]
+    df = spark.createDataFrame([(i, "der die das " if i % 5 == 0 else "the of and", "de" if i % 5 == 0 else "en") for i in range(60)] + [(None, None, None)], "doc_id long, text string, domain string")
+    model = mixing.fit(df, ["de", "en"])
+    wide = df.select("doc_id", "text", *[F.lit(f"{c}!").alias(c) for c in clash])
+    plain = mixing.mixed(df, model, {"de": 0.5, "en": 0.5})
+    got = mixing.mixed(wide, model, {"de": 0.5, "en": 0.5})
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert all(r[c] == f"{c}!" for r in rows for c in clash)
+    assert sorted(str((r.doc_id, r.text)) for r in rows) == sorted(str((r.doc_id, r.text)) for r in plain.collect())
+    assert mixing.mixed(wide.limit(0), model, {"de": 0.5, "en": 0.5}).count() == 0
+
+
+def brute_rates(tokens, posteriors, weights, least, rounds=20000):
+    """Plain projected gradient on one rate a document."""
+    m = tokens[:, None] * posteriors
+    goal = weights * (m.sum(0) / weights).max()
+    r, step = np.ones(len(m)), 1 / np.linalg.norm(m.T @ m, 2)
+    for _ in range(rounds):
+        r = np.maximum(least, r - step * (m @ (m.T @ r - goal)))
+    return m.T @ r, goal
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_mixing_is_as_near_as_plain_projected_gradient(spark, least):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.6, 0.3, 0.2], 150)
+    n = rng.integers(5, 300, 150)
+    df = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(n, p)], "tokens long, posterior array<double>")
+    weights = [0.3, 0.3, 0.4]
+    steps, goal = mixing.fit_rates(df, weights, least)
+    r = mixing.rate(steps, least)
+    got = np.array(df.select(*[F.sum(r * F.col("tokens") * F.col("posterior")[i]) for i in range(3)]).first())
+    want, target = brute_rates(n.astype(float), p, np.array(weights), least)
+    assert np.allclose(target, goal) and df.select(F.min(r)).first()[0] >= least
+    assert np.abs(got - goal).sum() <= np.abs(want - goal).sum() + 2e-3 * sum(goal)
+
+
+def test_mixing_says_that_rounds_ran_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    df = spark.createDataFrame([(10, [0.9, 0.1])] * 40 + [(1, [0.2, 0.8])] * 3, "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="after 1 rounds"):
+        mixing.fit_rates(df, [0.1, 0.9], 1.0)
+
+
 def test_lm_against_plain_counts(spark, odd, none):
     docs = [(1, "a b a b a c"), (2, "b c b c"), (3, "a b"), (4, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -294,6 +361,32 @@ def test_lm_counts_every_word_and_bigram(spark):
         assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(want), rel=1e-9)
 
 
+def test_deduplicated_keeps_one_row_an_id(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, text, "b"), (1, "other words stand here now", "c"), (2, text, "d"), (3, None, "e"), (None, text, "f"), (4, "", "g"), (4, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _once string").withColumn("_twice", F.lit(1)).withColumn("id", F.lit(2)).withColumn("n", F.lit(3))
+    got = neardup.deduplicated(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 3, 4]
+    assert neardup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_large_groups_of_copies_are_one_class(spark):
+    rows = [(i, "a hot text that a third of all rows hold") for i in range(1500)] + [(2000 + i, f"text {i} of its own words {i} {i + 1}") for i in range(2500)]
+    got = {r.doc_id: r.component_id for r in neardup.linked(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert all(got[i] == 0 for i in range(1500)) and all(got[2000 + i] == 2000 + i for i in range(2500))
+
+
+def test_written_tables_go_with_their_block(spark):
+    import os
+
+    with scratch(spark):
+        df = written(spark.range(3).toDF("i"), "gone")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path) and shared_dir(spark)
+    assert unused(df, "I") == "I_" and unused(df, "j") == "j"
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n</p>" * 20
     rows = [(3, "u", big), (1, "u\r\nv", big), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", big), (1, "u", big), (7, "u", "x" * 100), (8, "u", "x" * 100)]
@@ -307,6 +400,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.digest(df).count() == len(rows) and warc.digest(df.limit(0)).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import gzip
+    import os
+
+    monkeypatch.setattr(warc, "SMALL", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 8000)
+    sizes = [0, 1, 999, 1000, 1001, 4000, 4001, 16000, 16001, 70000, 70000] + [900] * 40 + [3900] * 9
+    rows = [(i, f"http://{i}", "x" * n if n != 70000 else "y" * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write(df, path)
+    files = [len(gzip.open(f"{path}/{f}").read()) for f in os.listdir(path) if f.endswith(".gz")]
+    headers = 3 * 400
+    assert max(f for f in files if f < 70000) <= 2 * 8000 + 24 * headers and len(files) > 8
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.digest(df).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    first = {}
+    want = [(i, n, "response" if n < 100 or first.setdefault((n, h[:1]), i) == i else "revisit", None if n < 100 or first[n, h[:1]] == i else first[n, h[:1]]) for (i, _, h), n in zip(rows, sizes)]
+    assert got == want
+
+
 def test_warc_links_in_either_direction(spark):
     head = ("u", [], None, {}, b"", b"")
     make = lambda kind, i, to=(): (kind, i, "u", list(to), None, {}, b"", b"x")
@@ -322,7 +435,11 @@ def test_warc_digest_needs_the_whole_transaction(spark, tmp_path):
     pages = [(1, "http://a", "x" * 150), (1, "http://b", "y" * 120), (2, "http://c", "y" * 120), (3, "http://d", "z")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     warc.write(df, str(tmp_path / "w"))
-    records = warc.facts(warc.read(spark, str(tmp_path / "w"))).localCheckpoint()
+    with open(tmp_path / "cut.warc", "wb") as f:
+        f.write(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: x\r\nContent-Length: 9\r\n\r\nabc")
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(spark, str(tmp_path / "cut.warc")).collect()
+    records = written(warc.facts(warc.read(spark, str(tmp_path / "w"))), "records")
     as_rows = lambda r: sorted((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in r.collect() if x.payload_digest)
     want = [(1, 120, "response", None), (1, 150, "response", None), (2, 120, "revisit", 1), (3, 1, "response", None)]
     assert as_rows(warc.digest_of(records)) == as_rows(warc.digest(df)) == want
