@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, mixing, neardup, quality, queries, secrets
-from foliant.llm.common import written
+from foliant.llm.common import scratch, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-    return written(STAGES[-1][1](spark, docs, sf_dir), "stage-last")
+    for name, stage in STAGES:
+        with scratch(spark):  # a stage's own tables go as soon as its rows are written
+            made = stage(spark, docs, sf_dir)
+            docs = written(made, "stage-" + name.replace(" ", "-"), keep=True)
+    return docs
