@@ -286,14 +286,14 @@ def _notes(x: str, cable: bool) -> str:
             lines = ([head[1]] if head else []) + sentences((head[2] if head else text).replace(R.UNPARTED, R.PARTED))
         else:
             lines = sentences(text)
-        out.append(f"{topic}={text}={'/'.join(lines)}")
+        out.append(f"{topic}={text}={'¦'.join(lines)}")
     return "|".join(out)
 
 
 @query(f"SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN {chosen_sql([_notes(x, True) for x in NOTES], 'p_partkey % 6')} ELSE {chosen_sql([_notes(x, False) for x in NOTES], 'p_partkey % 6')} END AS notes FROM part")
 def regulatory_notes(t) -> DataFrame:
     notes = R.regulatory_notes(chosen(NOTES, "p_partkey % 6"), F.col("p_partkey") % 4 == 0)
-    return part(t, notes=F.array_join(F.transform(notes, lambda n: F.concat_ws("=", n["topic_id"], n["text"], F.array_join(n["lines"], "/"))), "|"))
+    return part(t, notes=F.array_join(F.transform(notes, lambda n: F.concat_ws("=", n["topic_id"], n["text"], F.array_join(n["lines"], "¦"))), "|"))
 
 
 FONTS = ("ABC+Sans-700", "Sans-Bold", "Sans SemiBold", "Sans", "", "Sans-SemiBold", "Sans_light", "Sans-BoldItalic", "Heavy-Oblique", "Sans-600x", "Sans-599", "Sans_650 Italic", "XYZ+Serif-Black", "Sans-1000")

@@ -25,7 +25,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS ord,
 def joined_items(t) -> DataFrame:
     kind, text = F.col("kind"), F.col("text")
     out = rewrites.joined_runs(_items(t), ["doc_id"], kind == "heading", kind == "body", text.endswith("."), kind, lambda p: F.array_join(p, " "))
-    return out.withColumn("ord", F.col("ord").cast("long"))
+    return rewrites.renumbered(out, ["doc_id"], "ord").withColumn("ord", F.col("ord").cast("long"))
 
 
 @query(rf"""WITH {KINDS},
@@ -37,7 +37,7 @@ def split_items(t) -> DataFrame:
     text = F.col("text")
     parts = F.transform(F.split(text, r"(?<=[.!?]) +(?=[A-Z])"), lambda p, i: rewrites.piece(F.when(i == 0, F.col("kind")).otherwise("bullet"), p))
     out = rewrites.split(_items(t), ["doc_id"], (F.col("kind") == "body") & text.rlike("[.!?] +[A-Z]"), parts)
-    return out.withColumn("ord", F.col("ord").cast("long"))
+    return rewrites.renumbered(out, ["doc_id"], "ord").withColumn("ord", F.col("ord").cast("long"))
 
 
 @query(f"""WITH {KINDS},
@@ -46,7 +46,7 @@ k AS (SELECT *, coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY ord), fa
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, CASE WHEN starts THEN 'section' ELSE kind END AS kind, CASE WHEN starts THEN line || ': ' || next ELSE line END AS text FROM k WHERE NOT taken""")
 def paired_items(t) -> DataFrame:
     out = rewrites.joined_pattern(_items(t), ["doc_id"], [F.col("kind") == "heading", F.col("kind") == "body"], F.lit("section"), lambda p: F.concat_ws(": ", *p))
-    return out.withColumn("ord", F.col("ord").cast("long"))
+    return rewrites.renumbered(out, ["doc_id"], "ord").withColumn("ord", F.col("ord").cast("long"))
 
 
 @query()

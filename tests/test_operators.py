@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -172,7 +173,7 @@ def test_prepared_items(spark):
         ("body", rewrites.ACTION_INTRO + "."), ("figure_action_labels", "Bending\nPulling"), ("body", "Bending it is fine."),
         ("body", "upgrade to the latest software. Use the keys."), ("body", "Try pressing the Power button ."), ("body", "After."),
         ("body", "Now go to"), ("navigation", "(> All Settings)"), ("body", "End."),
-        ("heading", rewrites.PACKAGE_HEADING), ("item_list", "Cable\nStand"), ("heading", "02 Other"), ("list_item", "* Kept"),
+        ("heading", rewrites.PACKAGE_HEADING), ("item_list", "Cable"), ("list_item", "Stand"), ("heading", "02 Other"), ("item_list", "Kept"),
         ("model_condition", rewrites.CONDITION_START + "AB1/CD2/The Frame."), ("body", "tail"),
     ]
 
@@ -184,10 +185,28 @@ def test_rewrites_of_empty_items_and_nulls(spark):
     assert told(rewrites.prepared(items(spark, [("body", None), ("body", "")]), ["doc"])) == [("body", ""), ("body", "")]
 
 
+def test_items_that_no_rule_begins_with_go_past_the_chain(spark):
+    from foliant.operators import rewrites
+    from foliant.plans import rewriting
+
+    snippets = [s for name, s in rewriting.SNIPPETS.items() for s in s if name != "embedded_headings"]
+    rows = [(d, i, k, x) for d, s in enumerate(snippets) for i, (k, x) in enumerate(s)]
+    df = spark.createDataFrame(rows, "doc int, ord int, kind string, text string")
+    plain = rewrites.renumbered(df.withColumn("text", T.collapsed(F.col("text"))), ["doc"], "ord")
+    still = plain.withColumn("may", F.bool_or(rewrites.may_change(F.col("kind"), F.col("text"))).over(Window.partitionBy("doc"))).where("not may").drop("may")
+    want = {tuple(r) for r in still.collect()}
+    docs = [r.doc for r in still.select("doc").distinct().collect()]
+    for rule in rewrites.CHAIN:
+        out = rule(still, ["doc"], "Acme") if rule is rewrites.remote_icons else rule(still, ["doc"])
+        assert {tuple(r) for r in out.collect()} == want, rule.__name__
+    assert rewrites.prepared(df, ["doc"], "Acme").count() > len(want)
+    assert 0 < len(docs) < len(snippets)
+
+
 def test_embedded_headings_and_precautions(spark):
     from foliant.operators import rewrites
 
-    got = told(rewrites.embedded_headings(items(spark, [("body", 'See "Notes" now. Notes Keep dry. LicenseNotes'), ("heading", "Notes")]), ["doc"], ["Notes", "License"]))
+    got = told(rewrites.embedded_headings(items(spark, [("body", 'See "Notes" now. Notes Keep dry. LicenseNotes'), ("heading", "Notes")]), ["doc"], {"Notes": "Notes", "License": "License"}))
     assert got == [("body", 'See "Notes" now.'), ("heading", "Notes"), ("body", "Keep dry."), ("heading", "License"), ("heading", "Notes"), ("heading", "Notes")]
     got = told(rewrites.prepared(items(spark, [("body", f"Mind. {rewrites.PRECAUTION_INTRO} Always ensure it stands. Never place it high.")]), ["doc"]))
     assert got == [("body", f"Mind. {rewrites.PRECAUTION_INTRO}"), ("bullet", "Always ensure it stands."), ("bullet", "Never place it high.")]
@@ -200,7 +219,8 @@ def test_joined_runs_follow_the_automaton(spark, seed):
     rng = random.Random(seed)
     flags = [(d, i, rng.random() < 0.3, rng.random() < 0.7, rng.random() < 0.3) for d in range(5) for i in range(rng.randrange(1, 40))]
     df = spark.createDataFrame([(d, i, "k", f"{i}", o, f, e) for d, i, o, f, e in flags], "doc int, ord int, kind string, text string, o boolean, f boolean, e boolean")
-    got = sorted((r.doc, r.ord, r.text) for r in rewrites.joined_runs(df, ["doc"], F.col("o"), F.col("f"), F.col("e"), F.lit("run"), lambda p: F.array_join(p, " ")).collect())
+    runs = rewrites.joined_runs(df, ["doc"], F.col("o"), F.col("f"), F.col("e"), F.lit("run"), lambda p: F.array_join(p, " "))
+    got = sorted((r.doc, r.ord, r.text) for r in rewrites.renumbered(runs, ["doc"], "ord").collect())
     want, run, doc = [], None, None
     for d, i, o, f, e in flags:
         if d != doc:
