@@ -35,7 +35,7 @@ SEMANTIC_ROLES = {
     "L": "list", "LI": "list_item", "Lbl": "label", "LBody": "list_body", "Table": "table", "TR": "table_row",
     "TH": "table_header", "TD": "table_cell", "Figure": "figure", "Caption": "caption", "Span": "span", "Link": "link",
 }
-PAGE_SIZES = (("A5", 419.5, 595.3), ("A3", 841.9, 1190.6), ("A2", 1190.6, 1683.8))
+PAGE_SIZES = (("A5", 466.5, 642.3), ("A3", 888.9, 1237.6), ("A2", 1730.8, 1237.6))
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "No.", "Fig.", "Mr.", "Ms.", "Dr.")  # in their order of protection
 WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"  # what Python's str.strip() takes
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"  # those of Python's str.splitlines()
@@ -233,6 +233,41 @@ def heading_level(role: Column) -> Column:
     return F.when(role.rlike("^H[1-6]$"), F.substring(role, 2, 1).cast("int")).when(role == "Title", 1)
 
 
+def mapped_role(role: Column, role_map: Column) -> Column:
+    """(semantic_role, level) of a source role by way of a document's role map, of which one step is taken."""
+    resolved = F.coalesce(role_map[role], role)
+    return F.struct(semantic_role(resolved).alias("semantic_role"), heading_level(resolved).alias("level"))
+
+
+def followed_role(role: Column, role_map: Column) -> Column:
+    """Where a role leads through a role map, step by step, up to a role that has none or was passed."""
+    start = F.struct(role.alias("at"), F.array().cast("array<string>").alias("seen"))
+
+    def step(s: Column, _: Column) -> Column:
+        on = role_map[s["at"]].isNotNull() & ~F.array_contains(s["seen"], s["at"])
+        return F.struct(F.when(on, role_map[s["at"]]).otherwise(s["at"]).alias("at"), F.when(on, F.array_append(s["seen"], s["at"])).otherwise(s["seen"]).alias("seen"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(role_map)), start, step, lambda s: s["at"])
+
+
+def is_list_role(role: Column, role_map: Column) -> Column:
+    """Whether a role leads to a list's body, or, not being a paragraph's, to a paragraph."""
+    end = followed_role(role, role_map)
+    return (end == "LBody") | ((role != "P") & (end == "P"))
+
+
+# Names of roles that a heading may hide behind.
+HEADING_CANDIDATE, TITLE_CANDIDATE = r"(?i)heading(?:([1-6])(?=$|\D)|$)", r"(?i)(?:^|[_-])title$"
+
+
+def candidate_level(role: Column) -> Column:
+    return F.regexp_extract(role, HEADING_CANDIDATE, 1).try_cast("int")
+
+
+def is_heading_candidate(role: Column) -> Column:
+    return role.rlike(HEADING_CANDIDATE) | role.rlike(TITLE_CANDIDATE)
+
+
 def page_size(width: Column, height: Column, tolerance: float = 8.0) -> Column:
     """The first known size that fits in either orientation."""
     near = lambda v, x: F.abs(v - x) <= tolerance

@@ -34,3 +34,10 @@ def best_lag(pair: DataFrame, most: int) -> DataFrame:
     lags = pair.select("hour", "a", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("other", F.col("hour") + F.col("lag"))
     both = lags.join(pair.select(F.col("hour").alias("other"), "b"), "other").groupBy("lag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("corr")).where("n >= 3 and corr is not null")
     return both.orderBy(F.desc("corr"), F.abs("lag"), F.desc("lag")).limit(1)
+
+
+def sign_changes(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """rows with diff, the step from the row before, and crossed: whether the step's sign is the other one than the last's."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    out = rows.withColumn("diff", F.col(value) - F.lag(value).over(w))
+    return out.withColumn("crossed", F.coalesce(F.signum("diff") * F.signum(F.lag("diff").over(w)) < 0, F.lit(False)))

@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from foliant.plans import blockviews, covers, profiles, registry, rewriting, scalars, structure  # noqa: F401
+from foliant.plans import blockviews, covers, evaluation, profiles, registry, rewriting, scalars, structure, trees  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import align, grid, lines, quality, sequences, signals, stats, tree
+from foliant.operators import align, blocks, checks, grid, lines, sequences, signals, stats, tree
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -127,23 +127,6 @@ def tidy_joins(t) -> DataFrame:
     return t("documents").select("doc_id", T.tidy_joins(F.col("text")).alias("tidy"))
 
 
-_special = ", ".join(f"length(text) - length(replace(text, '{c}', '')) AS a{i}, length(j) - length(replace(j, '{c}', '')) AS b{i}" for i, c in enumerate(quality.SPECIAL_CHARACTERS))
-
-
-@query(f"""WITH {LINES}, j AS (SELECT doc_id, string_agg(line, ' ' ORDER BY ord) AS j FROM lines GROUP BY 1),
-c AS (SELECT doc_id, {_special} FROM documents JOIN j USING (doc_id))
-SELECT doc_id, {' AND '.join(f'(a{i} = 0 OR b{i} >= a{i})' for i in range(len(quality.SPECIAL_CHARACTERS)))} AS preserved,
-  CAST({' + '.join(f'a{i}' for i in range(len(quality.SPECIAL_CHARACTERS)))} AS BIGINT) AS n_special FROM c""")
-def special_char_preservation(t) -> DataFrame:
-    parts = F.transform(F.split("text", "\n"), T.collapsed)
-    d = t("documents").select("doc_id", "text", F.array_join(parts, " ").alias("j"))
-    kept, total = F.lit(True), F.lit(0)
-    for c in quality.SPECIAL_CHARACTERS:
-        a, b = T.occurrences(F.col("text"), c), T.occurrences(F.col("j"), c)
-        kept, total = kept & ((a == 0) | (b >= a)), total + a
-    return d.select("doc_id", kept.alias("preserved"), total.cast("long").alias("n_special"))
-
-
 @query(r"""SELECT source, lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars,
   CAST(sum(length(regexp_replace(text, '[\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g'))) AS BIGINT) AS n_forbidden,
   count(*) FILTER (length(text) < 200) AS n_short FROM documents GROUP BY 1, 2""")
@@ -154,8 +137,8 @@ def text_quality_by_source(t) -> DataFrame:
 @query(f"""WITH {LINES}, c AS (SELECT doc_id, sum(length(line)) AS n, count(*) FILTER (line = '') / count(*) AS blank FROM lines GROUP BY 1)
 SELECT doc_id, n < 200 OR blank > 0.8 AS ocr_recommended FROM c""")
 def ocr_recommended(t) -> DataFrame:
-    c = lines.lines(t("documents")).groupBy("doc_id").agg(F.sum(F.length("line")).alias("n"), (F.count_if(F.col("line") == "") / F.count("*")).alias("blank"))
-    return c.select("doc_id", ((F.col("n") < 200) | (F.col("blank") > 0.8)).alias("ocr_recommended"))
+    c = lines.lines(t("documents")).groupBy("doc_id").agg(F.sum(F.length("line")).alias("n"), F.count("*").alias("cells"), F.count_if(F.col("line") == "").alias("empty"))
+    return c.select("doc_id", blocks.needs_ocr(F.col("n"), F.col("cells"), F.col("empty")).alias("ocr_recommended"))
 
 
 @query(r"""SELECT doc_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]'))), 'string_agg', ' ') AS mails,
@@ -270,15 +253,6 @@ def modal_cadence(t) -> DataFrame:
     return stats.cadence(t("events"), ["user_id"], "event_id")
 
 
-@query(rf"""WITH {KINDS},
-p AS (SELECT doc_id, count(*) AS n, count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'warning') AS warnings, count(*) FILTER (kind = 'body') AS body FROM kinds GROUP BY 1),
-g AS (SELECT doc_id, length(text) > 0 AS has_text, length(regexp_replace(text, '[\t\n\r\x20-\x{{D7FF}}\x{{E000}}-\x{{FFFD}}\x{{10000}}-\x{{10FFFF}}]', '', 'g')) = 0 AS no_forbidden_characters,
-  length(text) = n_chars AS length_agrees, blank = 0 AS no_blank_lines, warnings * 2 <= n AS few_warnings, body > 0 AS has_body FROM documents JOIN p USING (doc_id))
-SELECT *, CASE WHEN {' AND '.join(quality.GATES)} THEN 'PASS' ELSE 'REVIEW_REQUIRED' END AS status FROM g""")
-def hard_gates(t) -> DataFrame:
-    return quality.gates(t("documents"))
-
-
 WORDS = r"regexp_extract_all(lower({x}), '[\p{L}]+')"
 
 
@@ -382,11 +356,11 @@ def cell_texts(t) -> DataFrame:
 _sizes = " ".join(f"WHEN (abs(w - {w}) <= 8 AND abs(h - {h}) <= 8) OR (abs(w - {h}) <= 8 AND abs(h - {w}) <= 8) THEN '{n}'" for n, w, h in T.PAGE_SIZES)
 
 
-@query(f"""WITH d AS (SELECT p_partkey, [419.5, 841.9, 1190.6, 1683.8, 500.0][p_partkey % 5 + 1] + p_size / 5 AS w, [595.3, 1190.6, 841.9, 1190.6, 500.0][p_partkey % 5 + 1] AS h FROM part)
+@query(f"""WITH d AS (SELECT p_partkey, [466.5, 1237.6, 1730.8, 888.9, 500.0][p_partkey % 5 + 1] + p_size / 5 AS w, [642.3, 888.9, 1237.6, 1237.6, 500.0][p_partkey % 5 + 1] AS h FROM part)
 SELECT p_partkey, CASE {_sizes} ELSE 'UNKNOWN' END AS page_size, CASE WHEN w > h THEN 'landscape' ELSE 'portrait' END AS orientation FROM d""")
 def page_sizes(t) -> DataFrame:
     pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("p_partkey") % 5).cast("int"))
-    d = t("part").select("p_partkey", (pick(419.5, 841.9, 1190.6, 1683.8, 500.0) + F.col("p_size") / 5).alias("w"), pick(595.3, 1190.6, 841.9, 1190.6, 500.0).alias("h"))
+    d = t("part").select("p_partkey", (pick(466.5, 1237.6, 1730.8, 888.9, 500.0) + F.col("p_size") / 5).alias("w"), pick(642.3, 888.9, 1237.6, 1237.6, 500.0).alias("h"))
     return d.select("p_partkey", T.page_size(F.col("w"), F.col("h")).alias("page_size"), F.when(F.col("w") > F.col("h"), "landscape").otherwise("portrait").alias("orientation"))
 
 
