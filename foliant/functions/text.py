@@ -462,3 +462,51 @@ def layout(size: Column, orientation: Column, page: Column) -> Column:
         F.when((size == "A2") & (orientation == "landscape"), grid(2, 8, F.lit(True))).when((size == "A3") & (orientation == "portrait"), grid(2, 4, page == 1))
         .when((size == "A5") & (orientation == "portrait"), grid(1, 2, F.lit(False))).otherwise(grid(1, 1, F.lit(False)))
     )
+
+
+def mail_addresses(x: Column) -> Column:
+    """The different addresses in a text, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]"), 0)))
+
+
+def network_addresses(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), 0)
+
+
+def url_host(x: Column) -> Column:
+    return F.regexp_extract(x, r"^https?://([^/?#]+)", 1)
+
+
+def url_language(x: Column) -> Column:
+    """A language of two letters as the first part of a path."""
+    return F.regexp_extract(x, r"^https?://[^/]+/([a-z]{2})/", 1)
+
+
+def words(x: Column) -> Column:
+    """Runs of letters, in lower case."""
+    return F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}+"), 0)
+
+
+def json_number(x: Column, name: str) -> Column:
+    """A whole number of a JSON object; null if it has none."""
+    return F.get_json_object(x, f"$.{name}").try_cast("long")
+
+
+# Conditions in texts that run from right to left, without their spaces and direction marks.
+DIRECTION_MARKS = "\u200e\u200f"
+
+
+def condition_key(x: Column) -> Column:
+    """A text without white space and direction marks, under which conditions compare."""
+    return F.regexp_replace(x, f"(?U)[\\s{DIRECTION_MARKS}]", "")
+
+
+def decimal_parts(x: Column) -> Column:
+    """A text without the spaces that stand between a digit and a decimal sign with a digit behind it."""
+    return F.regexp_replace(x, r"(?<=\d)[ \t]+(?=[.,]\d)", "")
+
+
+def proven_decimals(x: Column, source: Column) -> Column:
+    """decimal_parts() of a text where its source has just those characters; otherwise the text as it is."""
+    fixed = decimal_parts(x)
+    return F.when(F.coalesce((fixed != x) & (F.btrim(fixed) == F.btrim(source)), F.lit(False)), fixed).otherwise(x)

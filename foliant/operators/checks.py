@@ -87,3 +87,31 @@ def completeness(hints: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFra
     known = counted.join(nodes.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left")
     problem = F.when(F.col("_known").isNull(), "no_node").when(F.col("n") > 1, "repeated")
     return known.select(*keys, "n", problem.alias("problem")).where("problem is not null")
+
+
+def bag_counts(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, n_first, n_second: how often each row occurs on either side."""
+    count = lambda df, n: df.groupBy(*columns).agg(F.count("*").alias(n))
+    both = count(first, "n_first").join(count(second, "n_second"), columns, "full")
+    return both.select(*columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_first", "n_second")])
+
+
+def copies(rows: DataFrame, ident: str, text: str) -> DataFrame:
+    """digest, copies, first_id of texts that occur more than once."""
+    return rows.groupBy(F.sha2(text, 256).alias("digest")).agg(F.count("*").alias("copies"), F.min(ident).alias("first_id")).where("copies > 1")
+
+
+def pinned(rows: DataFrame, pins: DataFrame, key: str, content: str) -> DataFrame:
+    """rows with pin: ok where the content's SHA-256 is the one that pins (key, sha256) state, changed where it is not,
+    unknown without a pin."""
+    out = rows.join(pins.select(key, F.col("sha256").alias("_sha")), key, "left")
+    same = F.sha2(F.col(content).cast("binary"), 256) == F.lower("_sha")
+    return out.withColumn("pin", F.when(F.col("_sha").isNull(), "unknown").when(same, "ok").otherwise("changed")).drop("_sha")
+
+
+def in_scope(profiles: DataFrame, scopes: DataFrame) -> DataFrame:
+    """profiles with the name of the scope that they fall into, null for none: token (without regard to case), type and
+    languages (null: any) have to agree.  scopes has one row a token, type and list of languages."""
+    s = scopes.select(F.col("name").alias("scope"), F.lower("source_token").alias("_t"), F.col("doc_type").alias("_d"), F.col("languages").alias("_l"))
+    fits = (F.lower("source_token") == F.col("_t")) & (F.col("_d").isNull() | (F.col("doc_type") == F.col("_d"))) & (F.col("_l").isNull() | (F.col("languages") == F.col("_l")))
+    return profiles.join(s, fits, "left").drop("_t", "_d", "_l")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -43,3 +43,19 @@ def section_rollup(docs: DataFrame) -> DataFrame:
     """Lines, characters and lines for review of each (section, heading)."""
     review = F.col("kind").isin("warning", "navigation", "ui_label")
     return sections(docs).groupBy("doc_id", "section", "heading").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.count_if(review).alias("n_review"), F.min("ord").alias("first_ord"))
+
+
+def text_quality(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the texts' number, characters, characters that XML does not allow, and short texts."""
+    return docs.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(T.forbidden_characters(F.col("text"))).alias("n_forbidden"), F.count_if(F.length("text") < 200).alias("n_short"))
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Each different value of the keys once, with the place where it comes first."""
+    return rows.groupBy(*keys).agg(F.min(order).alias(f"first_{order}"))
+
+
+def in_first_seen_order(rows: DataFrame, keys: list[str], value: str, order: str, when: Column) -> DataFrame:
+    """keys, found: the different values of rows for which `when` holds, in the order in which they come first."""
+    once = rows.where(when).groupBy(*keys, value).agg(F.min(order).alias("_first"))
+    return once.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias("found"))

@@ -57,3 +57,28 @@ def confirmed_runs(rows: DataFrame, keys: list[str], ts: str, flag: str, cadence
         .groupBy(*keys, "_run").agg(F.min(ts).alias("start"), F.min(F.when(F.col("_at") == least, F.col(ts))).alias("confirmed"), F.count("*").alias("length"))
         .where(F.col("length") >= least).drop("_run")
     )
+
+
+def membership(rows: DataFrame, keys: list[str], order: str, starts: Column) -> DataFrame:
+    """rows with interval: the start (a place in order) of the interval that a row lies in; null before the first.
+
+    Intervals tile the order from each row that starts one, so a window finds them without a range join."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.withColumn("interval", F.last(F.when(starts, F.col(order)), ignorenulls=True).over(w))
+
+
+def set_membership(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """keys, interval: the one interval that all rows of a key lie in; null if they lie in several, or one in none."""
+    one = (F.count("*") == F.count(member)) & (F.min(member) == F.max(member))
+    return rows.groupBy(*keys).agg(F.when(one, F.min(member)).alias("interval"))
+
+
+def spans(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """keys, n_intervals, longest."""
+    return intervals.groupBy(*keys).agg(F.count("*").alias("n_intervals"), F.max(F.col(end) - F.col(start)).alias("longest"))
+
+
+def beside(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """rows with before and after: the value of the siblings on either side."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.withColumns({"before": F.lag(value).over(w), "after": F.lead(value).over(w)})

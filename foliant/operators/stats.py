@@ -21,15 +21,19 @@ def weighted_median_mid(rows: DataFrame, keys: list[str], value: str, weight: st
     return rows.groupBy(*keys).agg(F.percentile(value, 0.5, F.col(weight).cast("long")).alias("median"))
 
 
-def robust_median(rows: DataFrame, keys: list[str], value: str, weight: str, limit: float = 3 * 1.4826) -> DataFrame:
+def robust_median(rows: DataFrame, keys: list[str], value: str, weight: str, limit: float = 3 * 1.4826, distinct: bool = True) -> DataFrame:
     """The mid weighted median of values whose log lies within `limit` median absolute deviations of the log median.
 
-    Medians of the logs are over distinct values; without any deviation only the median itself stays."""
-    distinct = rows.select(*keys, F.ln(value).alias("_l")).distinct()
-    centre = distinct.groupBy(*keys).agg(F.median("_l").alias("_c"))
-    spread = distinct.join(centre, keys).groupBy(*keys).agg(F.first("_c").alias("_c"), F.median(F.abs(F.col("_l") - F.col("_c"))).alias("_m"))
-    near = F.when(F.col("_m") < 1e-12, F.abs(F.ln(value) - F.col("_c")) < 1e-12).otherwise(F.abs(F.ln(value) - F.col("_c")) <= limit * F.col("_m"))
-    return weighted_median_mid(rows.join(spread, keys).where(near), keys, value, weight)
+    Medians of the logs are over distinct values, or over all samples; without any deviation only the median itself stays."""
+    logs = rows.select(*keys, F.ln(value).alias("_l"))
+    logs = logs.distinct() if distinct else logs
+    centre = logs.groupBy(*keys).agg(F.median("_l").alias("_c"))
+    spread = logs.join(centre, keys).groupBy(*keys).agg(F.first("_c").alias("_c"), F.median(F.abs(F.col("_l") - F.col("_c"))).alias("_m"))
+    away = F.abs(F.ln(value) - F.col("_c"))
+    near = F.when(F.col("_m") < 1e-12, away < 1e-12).otherwise(away <= limit * F.col("_m"))
+    marked = rows.join(spread, keys).withColumn("_near", near)
+    some = marked.groupBy(*keys).agg(F.bool_or("_near").alias("_some"))
+    return weighted_median_mid(marked.join(some, keys).where(F.col("_near") | ~F.col("_some")), keys, value, weight)
 
 
 def robust_range(rows: DataFrame, keys: list[str], value: str, width: float = 3 * 1.4826) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import align, blocks, checks, grid, lines, sequences, signals, stats, tree
+from foliant.sources import sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,7 +132,7 @@ def tidy_joins(t) -> DataFrame:
   CAST(sum(length(regexp_replace(text, '[\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g'))) AS BIGINT) AS n_forbidden,
   count(*) FILTER (length(text) < 200) AS n_short FROM documents GROUP BY 1, 2""")
 def text_quality_by_source(t) -> DataFrame:
-    return t("documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(T.forbidden_characters(F.col("text"))).alias("n_forbidden"), F.count_if(F.length("text") < 200).alias("n_short"))
+    return lines.text_quality(t("documents"), ["source", "lang"])
 
 
 @query(f"""WITH {LINES}, c AS (SELECT doc_id, sum(length(line)) AS n, count(*) FILTER (line = '') / count(*) AS blank FROM lines GROUP BY 1)
@@ -145,21 +146,20 @@ def ocr_recommended(t) -> DataFrame:
   len(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS n_addresses FROM documents WHERE contains(text, '@')""")
 def contact_tokens(t) -> DataFrame:
     x = F.col("text")
-    mails = F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+[A-Za-z0-9]"), 0)))
-    n = F.size(F.regexp_extract_all(x, F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), 0)).cast("long")
-    return t("documents").where(x.contains("@")).select("doc_id", F.nullif(F.array_join(mails, " "), F.lit("")).alias("mails"), n.alias("n_addresses"))
+    found = t("documents").where(x.contains("@")).select("doc_id", T.mail_addresses(x).alias("mails"), F.size(T.network_addresses(x)).cast("long").alias("n_addresses"))
+    return found.withColumn("mails", F.nullif(F.array_join("mails", " "), F.lit("")))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS language,
   trim(substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40), '_') AS slug FROM pages""")
 def url_fields(t) -> DataFrame:
     u = F.col("url")
-    return t("pages").select("page_id", F.regexp_extract(u, r"^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract(u, r"^https?://[^/]+/([a-z]{2})/", 1).alias("language"), T.slug(u).alias("slug"))
+    return t("pages").select("page_id", T.url_host(u).alias("host"), T.url_language(u).alias("language"), T.slug(u).alias("slug"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line, min(ord) AS first_ord FROM lines GROUP BY 1, 2")
 def dedupe_first_seen(t) -> DataFrame:
-    return lines.lines(t("documents")).groupBy("doc_id", "line").agg(F.min("ord").alias("first_ord"))
+    return lines.first_seen(lines.lines(t("documents")), ["doc_id", "line"], "ord")
 
 
 STARTS = """starts AS (SELECT user_id, event_id AS start FROM events WHERE event_type = 'signup'),
@@ -181,8 +181,7 @@ def interval_bounds(t) -> DataFrame:
 @query(f"""WITH {STARTS} SELECT event_id, start AS interval_start FROM events LEFT JOIN iv ON events.user_id = iv.user_id AND event_id BETWEEN start AND "end" """)
 def interval_membership(t) -> DataFrame:
     # the intervals of a user tile time, so membership is the last start at or before: a window instead of a range join
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return t("events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("interval_start"))
+    return sequences.membership(t("events"), ["user_id"], "event_id", F.col("event_type") == "signup").select("event_id", F.col("interval").alias("interval_start"))
 
 
 @query(f"""WITH {STARTS}, m AS (SELECT *, coalesce(start > lag("end") OVER (PARTITION BY user_id ORDER BY start), true) AS fine FROM iv)
@@ -260,9 +259,9 @@ WORDS = r"regexp_extract_all(lower({x}), '[\p{L}]+')"
 b AS (SELECT w, count(*) AS n FROM (SELECT unnest({WORDS.replace('{x}', 'text')}) AS w FROM benchmark) GROUP BY 1)
 SELECT coalesce(a.w, b.w) AS word, coalesce(a.n, 0) AS n_documents, coalesce(b.n, 0) AS n_benchmark FROM a FULL JOIN b ON a.w = b.w WHERE coalesce(b.n, 0) > coalesce(a.n, 0)""")
 def multiset_diff(t) -> DataFrame:
-    bag = lambda name, n: t(name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word")).groupBy("word").agg(F.count("*").alias(n))
-    both = bag("documents", "n_documents").join(bag("benchmark", "n_benchmark"), "word", "full")
-    return both.select("word", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "n_benchmark")]).where("n_benchmark > n_documents")
+    words = lambda name: t(name).select(F.explode(T.words(F.col("text"))).alias("word"))
+    both = checks.bag_counts(words("documents"), words("benchmark"), ["word"])
+    return both.select("word", F.col("n_first").alias("n_documents"), F.col("n_second").alias("n_benchmark")).where("n_benchmark > n_documents")
 
 
 TAGS = r"""tags AS (SELECT page_id, CAST(i AS INTEGER) AS ord, found[i + 1] AS tag FROM (SELECT page_id, found, unnest(range(len(found))) AS i
@@ -281,9 +280,7 @@ _roles = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tree.TAG_ROLES.items())
 SELECT page_id, CASE WHEN regexp_matches(role, '^H[1-6]$') THEN 'heading' ELSE CASE role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SEMANTIC_ROLES.items())} ELSE 'unknown' END END AS semantic_role,
   CAST(CASE WHEN regexp_matches(role, '^H[1-6]$') THEN substr(role, 2, 1) END AS INTEGER) AS level, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def node_roles(t) -> DataFrame:
-    roles = F.create_map(*[F.lit(x) for kv in tree.TAG_ROLES.items() for x in kv])
-    r = tree.page_tags(t("pages")).select("page_id", roles[F.col("tag")].alias("role"))
-    return r.groupBy("page_id", T.semantic_role(F.col("role")).alias("semantic_role"), T.heading_level(F.col("role")).alias("level")).agg(F.count("*").alias("n"))
+    return tree.node_roles(t("pages"))
 
 
 PATHS = f"""{TAGS}, n AS (SELECT page_id, ord, tag, CAST(sum(CASE WHEN tag IN ('nav', 'div', 'article', 'footer') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ord) AS INTEGER) AS part FROM tags)"""
@@ -305,21 +302,7 @@ def path_overlap_anti(t) -> DataFrame:
 
 @query(f"""WITH {PATHS} SELECT page_id, part, count(*) AS n_nodes, min(ord) AS first_ord, max(ord) AS last_ord, bool_or(tag = 'h1') AS has_heading FROM n GROUP BY 1, 2""")
 def subtree_summary(t) -> DataFrame:
-    return _nodes(t).groupBy("page_id", "part").agg(F.count("*").alias("n_nodes"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.bool_or(F.col("tag") == "h1").alias("has_heading"))
-
-
-@query(f"""WITH {TAGS}, l AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]{{2}})/', 1) AS language FROM pages),
-s AS (SELECT page_id, language, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS pos, tag FROM tags JOIN l USING (page_id) WHERE tag IN ('h1', 'p')),
-f AS (SELECT pos, tag AS expected FROM s WHERE page_id = (SELECT min(page_id) FROM s))
-SELECT language, count(*) AS n, count(*) FILTER (expected IS NOT NULL AND expected <> tag) AS n_mismatch, count(*) FILTER (expected IS NULL) AS n_extra FROM s LEFT JOIN f USING (pos) GROUP BY 1""")
-def heading_parity(t) -> DataFrame:
-    pages = t("pages")
-    langs = pages.select("page_id", F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1).alias("language"))
-    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))
-    s = tree.page_tags(pages).where("tag in ('h1', 'p')").join(langs, "page_id").select("page_id", "language", pos.alias("pos"), "tag")
-    first = s.join(F.broadcast(s.agg(F.min("page_id").alias("page_id"))), "page_id", "left_semi").select("pos", F.col("tag").alias("expected"))
-    e = F.col("expected")
-    return s.join(first, "pos", "left").groupBy("language").agg(F.count("*").alias("n"), F.count_if(e.isNotNull() & (e != F.col("tag"))).alias("n_mismatch"), F.count_if(e.isNull()).alias("n_extra"))
+    return tree.part_summary(_nodes(t))
 
 
 SPANS = """spans AS (SELECT l_orderkey AS page, l_linenumber AS ord, l_returnflag || l_linestatus AS text, l_quantity * 16 AS x0, l_quantity * 16 + 10 AS x1, l_discount * 8000 AS y0, l_discount * 8000 + 12 AS y1 FROM lineitem)"""
@@ -368,24 +351,24 @@ def page_sizes(t) -> DataFrame:
 SELECT c_custkey, field, value FROM u""")
 def unpivot_fields(t) -> DataFrame:
     c = t("customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.round("c_acctbal", 0).cast("long").cast("string").alias("balance"))
-    return c.unpivot("c_custkey", ["name", "segment", "balance"], "field", "value")
+    return sinks.long_fields(c, ["c_custkey"])
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_fields(t) -> DataFrame:
-    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return t("events").select("event_id", T.json_number(F.col("props"), "k").alias("k"))
 
 
-@query("""WITH b AS (SELECT source, list_sort(list_distinct(list(lang))) AS langs FROM documents GROUP BY 1)
-SELECT source, array_to_string(langs, ';') AS languages, len(langs) AS n_languages FROM b""")
+@query("""WITH f AS (SELECT source, lang, min(doc_id) AS first FROM documents WHERE lang <> 'es' GROUP BY 1, 2)
+SELECT source, string_agg(lang, ';' ORDER BY first) AS languages, count(*) AS n_languages FROM f GROUP BY 1""")
 def detected_languages(t) -> DataFrame:
-    b = t("documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
-    return b.select("source", F.array_join("langs", ";").alias("languages"), F.size("langs").cast("long").alias("n_languages"))
+    b = lines.in_first_seen_order(t("documents"), ["source"], "lang", "doc_id", F.col("lang") != "es")
+    return b.select("source", F.array_join("found", ";").alias("languages"), F.size("found").cast("long").alias("n_languages"))
 
 
 @query("""SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def digest_copies(t) -> DataFrame:
-    return t("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return checks.copies(t("documents"), "doc_id", "text")
 
 
 PAIR = """h AS (SELECT event_type AS series, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, avg(value) AS v FROM events GROUP BY 1, 2),

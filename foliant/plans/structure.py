@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import chapters, checks, lines, rewrites, spans, tree
+from foliant.operators import chapters, checks, lines, rewrites, sequences, spans, tree
 from foliant.plans.registry import KINDS, LINES, STARTS, TAGS, _intervals, query, quoted
 from foliant.sources import sinks
 
@@ -137,10 +137,8 @@ def book_review_order(t) -> DataFrame:
 @query(f"""WITH {STARTS}, m AS (SELECT e.user_id, event_type, start FROM events e LEFT JOIN iv ON e.user_id = iv.user_id AND event_id BETWEEN start AND "end")
 SELECT user_id, event_type, CASE WHEN count(*) = count(start) AND count(DISTINCT start) = 1 THEN min(start) END AS interval_start FROM m GROUP BY 1, 2""")
 def set_membership(t) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    m = t("events").select("user_id", "event_type", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("start"))
-    one = (F.count("*") == F.count("start")) & (F.min("start") == F.max("start"))
-    return m.groupBy("user_id", "event_type").agg(F.when(one, F.min("start")).alias("interval_start"))
+    m = sequences.membership(t("events"), ["user_id"], "event_id", F.col("event_type") == "signup")
+    return sequences.set_membership(m, ["user_id", "event_type"], "interval").withColumnRenamed("interval", "interval_start")
 
 
 RULES = [checks.Phrase("has_mail", "regex", r"[a-z0-9]@[a-z0-9]", required=False), checks.Phrase("has_license", "partial", "license"), checks.Phrase("numbered", "regex", r"(?m)^\d+[.)] "), checks.Phrase("looks_right", "manual")]
@@ -220,14 +218,13 @@ def quoted_commas(t) -> DataFrame:
 @query(f"""WITH {TAGS}, n AS (SELECT *, lag(tag) OVER w AS before, lead(tag) OVER w AS after FROM tags WINDOW w AS (PARTITION BY page_id ORDER BY ord))
 SELECT page_id, ord, before, after FROM n WHERE tag = 'p' AND (before IN ({quoted(('h1', 'article'))}) OR after = 'footer')""")
 def sibling_context(t) -> DataFrame:
-    w = Window.partitionBy("page_id").orderBy("ord")
-    n = tree.page_tags(t("pages")).withColumns({"before": F.lag("tag").over(w), "after": F.lead("tag").over(w)})
+    n = sequences.beside(tree.page_tags(t("pages")), ["page_id"], "ord", "tag")
     return n.where((F.col("tag") == "p") & (F.col("before").isin("h1", "article") | (F.col("after") == "footer"))).select("page_id", "ord", "before", "after")
 
 
 @query(f"""WITH {STARTS} SELECT user_id, count(*) AS n_intervals, max("end" - start) AS longest FROM iv GROUP BY 1""")
 def interval_spans(t) -> DataFrame:
-    return _intervals(t).groupBy("user_id").agg(F.count("*").alias("n_intervals"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    return sequences.spans(_intervals(t), ["user_id"], "start", "end")
 
 
 STYLED = NODES + """, sp AS (SELECT l_orderkey AS page, l_linenumber AS ord, l_returnflag || l_linestatus AS text, 8 + l_discount * 40 AS size, l_tax > 0.02 AS bold, l_returnflag = 'A' AS underline, l_linenumber * 14.0::DOUBLE AS y0, l_linenumber * 14.0::DOUBLE + 10 AS y1, l_quantity FROM nodes)"""

@@ -58,3 +58,8 @@ def write_verified(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     if not differences(df, back).isEmpty():
         raise ValueError(f"what {path} holds differs from what was written")
     return back
+
+
+def long_fields(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, field, value: all other columns in long form; their types have to agree."""
+    return rows.unpivot(keys, [c for c in rows.columns if c not in keys], "field", "value")
