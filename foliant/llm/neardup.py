@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, mapped, mix64, texts, written
+from .common import WordCache, mapped, mix64, texts, unused, written
 
 SIDE = 10
 ROWS = 2
+HOT_CLASSES = 1000
+SALTS = 8  # parts into which the rows that look up one id are dealt
 BLOCK = 512  # sets of one size level that are compared at once with as many others
 #: Similarity of at least NUMERATOR / DENOMINATOR, in whole numbers so that no rounding decides.
 NUMERATOR, DENOMINATOR = 80, 100
@@ -85,14 +87,27 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """key, id, n for each of the tables' buckets that hold two classes or more.
+    """id, n, first_id, first_n for each place of a class in a bucket that holds two classes or more; the first is the
+    bucket's smallest id.
 
-    Sizes are counted with partial aggregation; the join back is one row a key against a key's members, which adaptive
+    Firsts are found with partial aggregation; the join back is one row a key against a key's members, which adaptive
     execution may split."""
     tables = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(SIDE + j).alias("j")) for i in range(SIDE) for j in range(SIDE)])
     rows = reps.select("id", "n", F.explode(F.transform(tables, lambda t: F.xxhash64(t["i"], t["j"], F.element_at("bands", t["i"] + 1), F.element_at("bands", t["j"] + 1)))).alias("key"))
-    full = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size")).where("size > 1").select("k")
-    return rows.join(full, F.col("key") == F.col("k")).drop("k")
+    full = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("id").alias("first_id"), F.min_by("n", "id").alias("first_n")).where("size > 1")
+    return rows.join(full, F.col("key") == F.col("k")).select("id", "n", "first_id", "first_n")
+
+
+def of_class(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, id: the class of each row of known (doc_id, set_hash); classes has set_hash, id, copies, one row a class.
+
+    Classes with a thousandth of all rows or more, of which there can be no more than a thousand, are broadcast, so that
+    a group of copies, however large, is not shuffled into one task."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col("copies") * HOT_CLASSES >= total).select(F.col("set_hash").alias("hot"), F.col("id").alias("hot_id")))
+    told = known.select("doc_id", "set_hash").join(hot, F.col("set_hash") == F.col("hot"), "left")
+    rest = told.where("hot is null").select("doc_id", "set_hash").join(classes.where(F.col("copies") * HOT_CLASSES < total).select("set_hash", "id"), "set_hash")
+    return told.where("hot is not null").select("doc_id", F.col("hot_id").alias("id")).unionByName(rest.select("doc_id", "id"))
 
 
 def sizes_allow(a: str, b: str):
@@ -195,7 +210,7 @@ def block_pairs(members: DataFrame) -> DataFrame:
     a level is dealt into blocks of about BLOCK sets."""
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
     placed = members.withColumn("level", level)
-    sizes = written(placed.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "levels")
+    sizes = written(placed.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "levels", placed.count())
     near = sizes
     for name, step in (("below", 1), ("above", -1)):
         near = near.join(sizes.select("cluster", (F.col("level") + step).alias("level"), F.col("blocks").alias(name)), ["cluster", "level"], "left")
@@ -222,25 +237,34 @@ def links_in_blocks(members: DataFrame, held: DataFrame, words: int) -> DataFram
     return block_pairs(members).join(held, "id").groupBy("key").applyInArrow(compare, "a long, b long").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def relabelled(rows: DataFrame, column: str, other: str, hooks: DataFrame) -> DataFrame:
+    """rows with the ids in `column` replaced by their labels in hooks (id, label), if they have one.
+
+    Many rows may hold one id, as that of a large group does: they are dealt by a hash of their other column over SALTS
+    parts, to each of which the labels are given."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    known = hooks.select(F.col("id").alias(column), F.col("label").alias("_to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return salted.join(known, [column, "_salt"], "left").withColumn(column, F.coalesce("_to", column)).drop("_to", "_salt").select(*rows.columns)
+
+
+def components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """id, component: the smallest id reachable over edges (a, b); ids without an edge are their own component.
 
     Each round hooks every linked id onto its smallest neighbour, shortens the paths by one jump, and contracts the
     edges onto the new labels, so that the graph shrinks from round to round.  The smallest id of a component is never
-    relabelled.  Every round is written to the shared folder."""
-    graph = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph")
-    labels = None
-    while graph.limit(1).count():
+    relabelled.  Every round is written to the shared folder.  `most`, if known, bounds the number of edges."""
+    graph = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph", most)
+    labels, known = None, 0  # known: ids with a label, at most
+    while n := graph.count():
         hooks = graph.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-        beyond = hooks.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        hooks = written(hooks.join(beyond, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "hooks")
-        move = lambda df, c: df.join(hooks.select(F.col("id").alias(c), F.col("label").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
-        graph = written(move(move(graph, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph")
+        hooks = written(relabelled(hooks, "label", "id", hooks), "hooks", n)
+        known += n
+        graph = written(relabelled(relabelled(graph, "a", "b", hooks), "b", "a", hooks).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph", n)
         if labels is None:
             labels = hooks
         else:
             # ids that were roots until now have no row in labels yet
-            labels = written(move(labels, "label").unionByName(hooks.join(labels.select("id"), "id", "left_anti")), "labels")
+            labels = written(relabelled(labels, "label", "id", hooks).unionByName(hooks.join(labels.select("id"), "id", "left_anti")), "labels", known)
     if labels is None:
         return nodes.select("id").distinct().withColumn("component", F.col("id"))
     return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
@@ -252,29 +276,29 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     Rows that share a doc_id are one document: one component.  Empty sets are linked with nothing; a null doc_id takes
     no part and has a null component_id and kept true.  An empty table gives an empty one."""
     sig = written(signatures(docs, words), "signatures")
+    n = sig.count()
     known = sig.where("set_hash is not null and doc_id is not null")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    rows = written(known.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "id").distinct(), "classes")
+    classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes", n)
+    rows = written(of_class(known, classes).distinct(), "class-rows", n)
     # a doc_id with several texts ties their classes together
     several = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     tied = rows.join(several.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b"))
     reps = known.join(rows.where("doc_id = id").select("id"), F.col("doc_id") == F.col("id")).groupBy("set_hash", "id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     in_bucket = written(buckets(reps), "buckets")
-    nodes = rows.select("id")
+    nodes, places = rows.select("id"), in_bucket.count()
 
     held = candidate_texts(docs, in_bucket.select("id").distinct())
-    first = in_bucket.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
-    meet = written(in_bucket.join(first, "key").where("p.id < id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs")
+    meet = written(in_bucket.where("first_id < id").select(F.col("first_id").alias("a"), F.col("id").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs", places)
     edges = written(verified(meet.where(sizes_allow("na", "nb")).select("a", "b"), held, words).union(tied), "edges")
-    found = written(components(nodes, edges), "components")
+    found = written(components(nodes, edges, edges.count()), "components", n)
 
-    clusters = components(in_bucket.select("id").distinct(), meet).withColumnRenamed("component", "cluster")
+    clusters = components(in_bucket.select("id").distinct(), meet, places).withColumnRenamed("component", "cluster")
     members = in_bucket.select("id", "n").distinct().join(clusters, "id").join(found, "id")
     torn = members.groupBy(F.col("cluster").alias("c")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("c")
-    members = written(members.join(torn, F.col("cluster") == F.col("c")).drop("c"), "members")
+    members = written(members.join(torn, F.col("cluster") == F.col("c")).drop("c"), "members", n)
     more = written(links_in_blocks(members, held, words), "links")
-    if more.limit(1).count():
-        found = written(components(nodes, edges.union(more)), "components")
+    if more_links := more.count():
+        found = written(components(nodes, edges.union(more), edges.count() + more_links), "components", n)
 
     of_doc = rows.join(found, "id").groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sig.select("doc_id", "n").join(of_doc, "doc_id", "left")
@@ -283,7 +307,16 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of docs, all columns, of which one document of each group stays, once.  Rows with a null doc_id stay."""
-    keep = linked(docs, words).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """The rows of docs, all columns, of which one document of each group stays, once.
+
+    Of several rows with one doc_id the one whose text has the smallest hash stays (of equal texts any, as they may differ
+    in other columns only).  Rows with a null doc_id stay, as do documents without words.  An empty table gives an empty
+    one; columns of any name go through."""
+    keep = linked(docs, words).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))
+    once, twice = unused(docs, "_once"), unused(docs, "_twice")
+    named = docs.where("doc_id is not null")
+    alone = named.join(keep.where("times = 1").select(F.col("doc_id").alias(once)), F.col("doc_id") == F.col(once), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    again = named.join(keep.where("times > 1").select(F.col("doc_id").alias(once)), F.col("doc_id") == F.col(once), "left_semi")
+    again = again.withColumn(twice, place).where(F.col(twice) == 1).drop(twice)
+    return alone.unionByName(again).unionByName(docs.where("doc_id is null"))
