@@ -26,6 +26,7 @@ PROBES = 5
 CUTOFF = 0.3  # share of the way from chance to full overlap that still counts as nothing
 SCALE = 1 << 16
 CHUNK = 1 << 18
+BLOCK = 4096  # windows that are hashed at once
 
 _COUNTS = np.arange(WINDOW + 1)
 #: n log2 n as integers, so that a window's entropy is the same wherever it stands.
@@ -103,8 +104,9 @@ def features(raw: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if len(raw) < WINDOW:
         return np.array([int.from_bytes(hashlib.sha256(raw.tobytes()).digest()[:8], "little")], dtype=np.uint64)
-    windows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[places(raw, chunk)].astype(np.uint64)
-    joined = mix64((windows * _POWERS).sum(1, dtype=np.uint64))
+    windows, chosen = np.lib.stride_tricks.sliding_window_view(raw, WINDOW), places(raw, chunk)
+    parts = [mix64((windows[chosen[i : i + BLOCK]].astype(np.uint64) * _POWERS).sum(1, dtype=np.uint64)) for i in range(0, len(chosen), BLOCK)]
+    joined = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
     return joined[np.sort(np.unique(joined, return_index=True)[1])]
 
 
