@@ -27,7 +27,7 @@ SIDE = 10
 ROWS = 2
 HOT_CLASSES = 1000
 SALTS = 8  # parts into which the rows that look up one id are dealt
-BLOCK = 512  # sets of one size level that are compared at once with as many others
+BLOCK = 256  # sets of one size level that are compared at once with as many others
 #: Similarity of at least NUMERATOR / DENOMINATOR, in whole numbers so that no rounding decides.
 NUMERATOR, DENOMINATOR = 80, 100
 
