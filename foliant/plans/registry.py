@@ -215,7 +215,7 @@ def role_contiguity(t) -> DataFrame:
 c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS cum, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM s)
 SELECT l_returnflag, min(v) AS median FROM c WHERE cum >= total / 2 GROUP BY 1""")
 def weighted_median_lower(t) -> DataFrame:
-    return stats.weighted_median_lower(t("lineitem").withColumn("w", F.col("l_quantity").cast("long")), ["l_returnflag"], "l_extendedprice", "w")
+    return stats.weighted_median_lower(t("lineitem").withColumn("w", F.col("l_quantity").cast("long")), ["l_returnflag"], "l_extendedprice", "w", large=True)
 
 
 MID = """c AS (SELECT k, v, sum(w) OVER (PARTITION BY k ORDER BY v) AS cum, sum(w) OVER (PARTITION BY k) AS total FROM s),
@@ -225,7 +225,7 @@ mid AS (SELECT k, round((min(v) FILTER (cum >= (total + 1) // 2) + min(v) FILTER
 @query(f"""WITH s AS (SELECT l_returnflag AS k, l_extendedprice AS v, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY 1, 2), {MID}
 SELECT k AS l_returnflag, median FROM mid""")
 def weighted_median_mid(t) -> DataFrame:
-    return stats.weighted_median_mid(t("lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity").withColumn("median", F.round("median", 4))
+    return stats.weighted_median_mid(t("lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity", large=True).withColumn("median", F.round("median", 4))
 
 
 @query(f"""WITH d AS (SELECT DISTINCT p_type AS k, ln(p_retailprice) AS l FROM part), m AS (SELECT k, median(l) AS c FROM d GROUP BY 1),
@@ -234,14 +234,14 @@ s AS (SELECT p_type AS k, p_retailprice AS v, sum(p_size) AS w FROM part JOIN a
       WHERE CASE WHEN m < 1e-12 THEN abs(ln(p_retailprice) - c) < 1e-12 ELSE abs(ln(p_retailprice) - c) <= 3 * 1.4826 * m END GROUP BY 1, 2), {MID}
 SELECT k AS p_type, median FROM mid""")
 def robust_median(t) -> DataFrame:
-    return stats.robust_median(t("part"), ["p_type"], "p_retailprice", "p_size").withColumn("median", F.round("median", 4))
+    return stats.robust_median(t("part"), ["p_type"], "p_retailprice", "p_size", large=True).withColumn("median", F.round("median", 4))
 
 
 @query("""WITH m AS (SELECT event_type, median(value) AS c FROM events GROUP BY 1),
 d AS (SELECT event_type, any_value(c) AS centre, median(abs(value - c)) AS mad FROM events JOIN m USING (event_type) GROUP BY 1)
 SELECT event_type, round(centre, 4) AS centre, round(mad, 4) AS mad, round(centre - 3 * 1.4826 * mad, 4) AS low, round(centre + 3 * 1.4826 * mad, 4) AS high FROM d""")
 def robust_range(t) -> DataFrame:
-    r = stats.robust_range(t("events"), ["event_type"], "value")
+    r = stats.robust_range(t("events"), ["event_type"], "value", large=True)
     return r.select("event_type", *[F.round(c, 4).alias(c) for c in ("centre", "mad", "low", "high")])
 
 
