@@ -80,14 +80,10 @@ def note_lines(topic: Column, x: Column) -> Column:
     return F.when(topic == "REG_POWER_LABEL", power).when(topic == "REG_LAN_CABLE_STP", cable).when(topic == "REG_6GHZ_BAND_OPERATION", band).otherwise(sentences(x))
 
 
-def regulatory_notes(x: Column, cable: Column) -> Column:
-    """Notes (topic_id, text, lines) of an item that states regulations; empty for any other.  `cable` tells that the item
-    behind it explains the cable, which belongs to the last note."""
-
-    def note(topic: str, text: Column) -> Column:
-        c = T.collapsed(text)
-        return F.struct(F.lit(topic).alias("topic_id"), c.alias("text"), note_lines(F.lit(topic), c).alias("lines"))
-
+def regulatory_topics(x: Column, cable: Column) -> Column:
+    """Notes (topic_id, text) of an item that states regulations; empty for any other.  `cable` tells that the item behind it
+    explains the cable, which belongs to the last note."""
+    note = lambda topic, text: F.struct(F.lit(topic).alias("topic_id"), T.collapsed(text).alias("text"))
     device = []
     for topic, start, end in DEVICE_TOPICS:
         found = T.segment(x, start, end)
@@ -100,6 +96,11 @@ def regulatory_notes(x: Column, cable: Column) -> Column:
     return F.when(x.contains(CLASS_NOTE), F.array(*device)).when(x.contains(WIRELESS_NOTE), F.array(*wireless)).otherwise(none)
 
 
+def regulatory_notes(x: Column, cable: Column) -> Column:
+    """regulatory_topics() with the lines of each note."""
+    return F.transform(regulatory_topics(x, cable), lambda n: F.struct(n["topic_id"].alias("topic_id"), n["text"].alias("text"), note_lines(n["topic_id"], n["text"]).alias("lines")))
+
+
 def menu_path(parts: Column) -> Column:
     """The parts of a menu path as one text."""
     return T.navigation_path(F.array_join(parts, " "))

@@ -86,7 +86,7 @@ def expanded(items: DataFrame) -> DataFrame:
     rows = rows.withColumn("_taken", F.coalesce(F.lag("_active").over(w), F.lit(False))).where(~F.col("_taken"))
     h, value = F.lit("heading"), F.col("_next")
     compound = F.array(_made(h, F.lit(COMPOUND_PARTS[0])), _made(h, F.lit(COMPOUND_PARTS[1])), _spec(F.lit(T.RESOLUTION_FIELD), F.when(F.col("_next_kind") != "heading", value).otherwise(""), T.MODEL_SPEC))
-    notes = R.regulatory_notes(F.when(kind == "sound", "").otherwise(T.collapsed(text)), F.col("_cable"))
+    notes = R.regulatory_topics(F.when(kind == "sound", "").otherwise(T.collapsed(text)), F.col("_cable"))
     sound = F.array(_made(h, F.lit(T.SOUND_FIELD)), _spec(F.lit(T.SOUND_FIELD), text, T.MODEL_SPEC))
     parts = (
         F.when(heading & (text == COMPOUND), compound).when(heading & (text == STAND_CUT), F.array(_made(h, F.lit(STAND)))).when((kind == "body") & (T.collapsed(text) == NOTES), F.array(_made(h, F.lit(NOTES))))

@@ -93,7 +93,7 @@ def _blocks(t) -> DataFrame:
     return blocks.content_blocks(blocks.expanded(_items(t)))
 
 
-@query(rf"""WITH RECURSIVE {BLOCKS} SELECT doc, CAST(block_order AS INTEGER) AS block_order, CAST(sno AS BIGINT) AS section_order, sec AS section_heading, ty AS block_type, text, lines, len(sents) AS n_sentences, array_to_string(regexp_extract_all(text, '\{{((?:btn|icn)_[a-z0-9_]+)\}}', 1), ',') AS inline_tokens,
+@query(rf"""WITH RECURSIVE {BLOCKS} SELECT doc, CAST(block_order AS INTEGER) AS block_order, CAST(sno AS BIGINT) AS section_order, sec AS section_heading, ty AS block_type, text, lines, len(sents) AS n_sentences, array_to_string(list_filter(regexp_extract_all(text, '\{{((?:btn|icn)_[a-z0-9_]+)\}}', 1), lambda y, i: list_position(regexp_extract_all(text, '\{{((?:btn|icn)_[a-z0-9_]+)\}}', 1), y) = i), ',') AS inline_tokens,
   manual AS manual_review_required, page, cell_order, topic_id, spec_field, spec_category FROM bl""")
 def content_blocks(t) -> DataFrame:
     b = _blocks(t)

@@ -50,7 +50,7 @@ dp AS (SELECT page, min(seq) FILTER (ty = 'disclaimer') AS d, min(seq) FILTER (t
 dd AS (SELECT a.page, a.cell_order, a.seq, a.ty, CASE WHEN n.page IS NULL THEN a.text ELSE a.text || ' ' || n.text END AS text, a.n_spans, a.size, a.bold, a.italic, a.underline, least(a.x0, coalesce(n.x0, a.x0)) AS x0, least(a.y0, coalesce(n.y0, a.y0)) AS y0, greatest(a.x1, coalesce(n.x1, a.x1)) AS x1, greatest(a.y1, coalesce(n.y1, a.y1)) AS y1
   FROM sq a JOIN dp USING (page) LEFT JOIN sq n ON n.page = a.page AND a.seq = d AND n.seq = p WHERE NOT (d IS NOT NULL AND p IS NOT NULL AND a.seq = p)),
 ct AS (SELECT *, ty IN ('table_heading', 'contact_value', 'website') OR (ty = 'body' AND (contains(text, 'Acme Electronics') OR contains(text, 'Long Road') OR contains(text, 'Springfield') OR text = 'Canada')) AS contact FROM dd),
-ws AS (SELECT page, string_agg(site, chr(10) ORDER BY seq, i) AS websites FROM (SELECT page, site, min(seq) AS seq, min(i) AS i FROM (SELECT page, seq, unnest(parts) AS site, unnest(range(len(parts))) AS i FROM
+ws AS (SELECT page, string_agg(site, chr(10) ORDER BY at_) AS websites FROM (SELECT page, site, min(seq * 1000 + i) AS at_ FROM (SELECT page, seq, unnest(parts) AS site, unnest(range(len(parts))) AS i FROM
   (SELECT page, seq, list_transform(list_filter(list_transform(string_split(text, 'www.'), lambda y: trim(y)), lambda y: y <> ''), lambda y: 'www.' || y) AS parts FROM ct WHERE ty = 'website' AND contact)) GROUP BY 1, 2) GROUP BY 1),
 tb AS (SELECT page, arg_min(cell_order, seq) AS cell_order, max(seq) + 1000000 AS seq, coalesce(arg_max(text, seq) FILTER (ty = 'contact_value'), '') AS service_center, coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (ty = 'body'), '') AS adr,
   coalesce(bool_or(ty = 'table_heading' AND text = 'Address'), false) OR count(*) FILTER (ty = 'body') > 0 AS has_address, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ct WHERE contact GROUP BY 1),

@@ -393,9 +393,11 @@ def decoupling_events(t) -> DataFrame:
     return sequences.confirmed_runs(m, ["one"], "hour", "decoupled", F.lit(1), 3).drop("one")
 
 
-@query()
+@query(f"""WITH {PAIR}, l AS (SELECT unnest(range(-12, 13)) AS lag), c AS (SELECT lag, count(*) AS n, corr(x.a, y.b) AS corr FROM p x, l, p y WHERE y.hour = x.hour + lag GROUP BY 1)
+SELECT CAST(lag AS INTEGER) AS lag, n, round(corr, 9) AS corr FROM c WHERE n >= 3 AND corr IS NOT NULL ORDER BY corr DESC, abs(lag), lag DESC LIMIT 1""")
 def best_lag(t) -> DataFrame:
-    return signals.best_lag(signals.aligned(signals.hourly(t("events")), "click", "view"), 12)
+    best = signals.best_lag(signals.aligned(signals.hourly(t("events")), "click", "view"), 12)
+    return best.select("lag", "n", F.round("corr", 9).alias("corr"))
 
 
 @query()
@@ -405,12 +407,6 @@ def lcs_ratio(t) -> DataFrame:
     return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id").select("item_id", align.lcs_ratio("text", "other").alias("ratio"))
 
 
-@query()
-def join_parts_audit(t) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    return t("conversations").groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", align.join_parts("parts").alias("j")).select("conv_id", "j.joined", "j.actions")
-
-
 @query()
 def sentence_offsets(t) -> DataFrame:
     return t("documents").select("doc_id", align.sentence_offsets("text").alias("starts"))
