@@ -98,6 +98,23 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: s
     return df.mapInArrow(run, schema)
 
 
+def through(docs: DataFrame, change: Callable[[pa.RecordBatch, Callable[[str], int]], pa.RecordBatch]) -> DataFrame:
+    """docs with its batches changed; `change` gets a batch and the place of a column by its name (-1 if there is none).
+
+    Meanwhile columns go by their places, as mapInArrow cannot resolve names with dots."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    places = {name: i for i, name in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in sliced(batch):
+                yield change(piece, lambda name: places.get(name, -1))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -184,7 +184,8 @@ def compare_neighbours(docs: DataFrame, buckets: int) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likenesses, as contract op4 names them.
 
     The next document is the next row by (doc_id, hash of the text, text), nulls first; the last is followed by the first; a
-    lone row follows itself.  A null text counts as empty.  An empty table gives an empty one."""
+    lone row follows itself.  A null text counts as empty.  An empty table gives an empty one.  Only doc_id and text are read,
+    so other columns may have any name.  All rows of one doc_id are one task's."""
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())

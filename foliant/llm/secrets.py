@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, sigmoid, texts
+from .common import mapped, sigmoid, texts, through
 
 # The base kinds, in their order of listing, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -238,24 +238,17 @@ def redacted(text: str, net: CharCnn, mark: str = "[secret]") -> str:
 def redact(docs: DataFrame, net: CharCnn) -> DataFrame:
     """The rows and columns of docs, with the findings in `text` replaced; `n_chars` follows if it is there.
 
-    A null text stays null; rows without a finding are untouched."""
-    from pyspark.sql.types import StructType
-
-    schema: StructType = docs.schema
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                old = piece.column("text").to_pylist()
-                new = [t and redacted(t, net) for t in old]
-                columns = list(piece.columns)
-                i = piece.schema.get_field_index("text")
-                columns[i] = pa.array(new, type=piece.schema.field(i).type)
-                j = piece.schema.get_field_index("n_chars")
-                if j >= 0:
-                    was = columns[j].to_pylist()
-                    columns[j] = pa.array([w if a == b else len(b) for w, a, b in zip(was, old, new)], type=piece.schema.field(j).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
-
-    return docs.mapInArrow(run, schema)
+    A null text stays null; rows without a finding are untouched, as are all other columns, whatever their names; an empty
+    table gives an empty one."""
+
+    def change(piece: pa.RecordBatch, at) -> pa.RecordBatch:
+        columns, i, j = list(piece.columns), at("text"), at("n_chars")
+        old = columns[i].to_pylist()
+        new = [t and redacted(t, net) for t in old]
+        columns[i] = pa.array(new, type=columns[i].type)
+        if j >= 0:
+            was = columns[j].to_pylist()
+            columns[j] = pa.array([w if a == b else len(b) for w, a, b in zip(was, old, new)], type=columns[j].type)
+        return pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+
+    return through(docs, change)
