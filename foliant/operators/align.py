@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -25,6 +27,48 @@ def lcs_length(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
+# What an exact comparison may take, in bytes and in pairs of equal characters.
+MASK_BYTES, PAIRS, PAIR_BYTES = 64 << 20, 10_000_000, 16 << 20
+
+
+def sparse_lcs_length(a: str, b: str) -> int:
+    """The same by places: for each character of the longer text its places in the shorter one, from the last, extend the
+    tails of increasing runs.  Its time goes with the pairs of equal characters."""
+    if len(a) < len(b):
+        a, b = b, a
+    where: dict[str, list[int]] = {}
+    for i in reversed(range(len(b))):
+        where.setdefault(b[i], []).append(i)
+    tails: list[int] = []
+    for c in a:
+        for i in where.get(c, ()):
+            at = bisect_left(tails, i)
+            tails[at : at + 1] = [i]
+    return len(tails)
+
+
+def comparison(baseline: str, tagged: str, mask_bytes: int = MASK_BYTES, pairs: int = PAIRS, pair_bytes: int = PAIR_BYTES) -> tuple[float | None, str]:
+    """(share of the baseline that a longest common subsequence covers, how it was found): by masks if they fit, else by
+    places if there are few enough pairs; a comparison that neither can do exactly is told as beyond_limits, with no share.
+
+    An empty baseline is covered by an empty text and by no other."""
+    short, long = sorted((baseline, tagged), key=len)
+    counts = Counter(short)
+    if len(counts) * (len(short) // 8 + 64) <= mask_bytes:
+        n, how = lcs_length(long, short), "masks"
+    elif sum(counts[c] for c in long) <= pairs and 48 * len(short) <= pair_bytes:
+        n, how = sparse_lcs_length(long, short), "places"
+    else:
+        return None, "beyond_limits"
+    return (n / len(baseline) if baseline else float(not tagged)), how
+
+
+@pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("mode", StringType())]))
+def match_ratios(baseline: pd.Series, tagged: pd.Series) -> pd.DataFrame:
+    """(ratio, mode) of two texts as measured; a null text is empty."""
+    return pd.DataFrame([comparison(x or "", y or "") for x, y in zip(baseline, tagged)], columns=["ratio", "mode"])
+
+
 @pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / total length; two empty texts are equal (1)."""

@@ -165,3 +165,14 @@ def overlaid(rows: DataFrame, overlay: DataFrame, key: str) -> DataFrame:
 def missing_of(required: Column, present: Column) -> Column:
     """What is required and not present, sorted."""
     return F.array_sort(F.array_except(required, present))
+
+
+def find_mapping(start: str, name: str) -> str:
+    """The one file of this name in the folder of `start` or one above it; raises if there is none, or more than one."""
+    from pathlib import Path
+
+    here = Path(start).resolve()
+    found = [p / name for p in ([here] if here.is_dir() else []) + list(here.parents) if (p / name).is_file()]
+    if len(found) != 1:
+        raise FileNotFoundError(f"{name}: {len(found)} files at or above {start}, where one is needed")
+    return str(found[0])

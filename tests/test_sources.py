@@ -128,3 +128,43 @@ def test_boxes_and_cycles(spark):
     found, faults = repairs.walked(edges, spark.createDataFrame([(1, 10, 3)], "doc int, ref int, page int"), ["doc"])
     assert {(tuple(r.path), r.ref, r.page) for r in found.collect()} == {((0,), 10, 3), ((0, 0), 11, 3), ((0, 0, 1), 12, 5)}
     assert [(tuple(r.path), r.code) for r in faults.collect()] == [((0, 0, 0), "structure_cycle")]
+
+
+def test_comparisons_within_their_limits():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(30))) for _ in range(2))
+        n = align.lcs_length(a, b)
+        assert align.sparse_lcs_length(a, b) == n
+        want = n / len(a) if a else float(not b)
+        assert align.comparison(a, b) == (want, "masks")
+        if a and b:
+            assert align.comparison(a, b, mask_bytes=0) == (want, "places")
+            assert align.comparison(a, b, mask_bytes=0, pair_bytes=0) == (None, "beyond_limits")
+
+
+def test_saved_reviews(spark, tmp_path):
+    from foliant.sources import reviews
+
+    cell = {"row": 1, "column": 2, "role": "content", "reading_order": 2, "text": "a", "review_items": [{"item_order": 1, "kind": "body", "text": "a"}, {"kind": "body", "text": "b"}]}
+    page = {"page_number": 3, "review_order": 1, "language": "ENG", "page_role": "content", "cells": [cell, {**cell, "review_items": []}]}
+    (tmp_path / "r.json").write_text(json.dumps({"file_name": "f", "source_token": "t", "language": "ENG", "doc_type": "A2", "pages": [page]}))
+    got = reviews.read(spark, str(tmp_path / "r.json"))
+    assert reviews.cells(got).count() == 2
+    assert [(r.page_number, r.cell_order, r.item_order, r.text) for r in reviews.items(got).orderBy("item_order").collect()] == [(3, 2, 1, "a"), (3, 2, 2, "b")]
+    pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, None)], "doc int, page int, text string")
+    assert reviews.baselines(pages, ["doc"]).first().text == "a\nb\n"
+
+
+def test_mapping_file_is_found_once(tmp_path):
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    with pytest.raises(FileNotFoundError, match="0 files"):
+        profiles.find_mapping(str(deep), "odd-mapping.json")
+    (tmp_path / "odd-mapping.json").write_text("[]")
+    assert profiles.find_mapping(str(deep / "file.pdf"), "odd-mapping.json") == str(tmp_path / "odd-mapping.json")
+    (deep / "odd-mapping.json").write_text("[]")
+    with pytest.raises(FileNotFoundError, match="2 files"):
+        profiles.find_mapping(str(deep), "odd-mapping.json")
