@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks a table, as it is read, is worth: twice the cores, or more where one would have more than TASK_BYTES to
+    read.  More small tasks write many small files, and each costs time and, where files are local, processes of its own."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 _scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 

@@ -26,6 +26,7 @@ from .common import WordCache, mapped, mix64, texts, unused, written
 SIDE = 10
 ROWS = 2
 HOT_CLASSES = 1000
+EACH = 20_000  # documents to a task where each is many rows, or a text
 SALTS = 8  # parts into which the rows that look up one id are dealt
 BLOCK = 256  # sets of one size level that are compared at once with as many others
 #: Similarity of at least NUMERATOR / DENOMINATOR, in whole numbers so that no rounding decides.
@@ -115,7 +116,7 @@ def sizes_allow(a: str, b: str):
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
-def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def candidate_texts(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     """id, z: the compressed texts of the documents in ids, repeated rows once; the one time that texts are shuffled."""
     used = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").distinct()
 
@@ -123,7 +124,7 @@ def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         return {"id": batch.column("doc_id"), "z": [pack(t.encode()) for t in texts(batch)]}
 
-    return written(mapped(used, squeeze, "id long, z binary"), "candidates")
+    return written(mapped(used, squeeze, "id long, z binary"), "candidates", most, EACH)
 
 
 def opened(shingler: Shingler, z: bytes) -> np.ndarray:
@@ -284,12 +285,13 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     several = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     tied = rows.join(several.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b"))
     reps = known.join(rows.where("doc_id = id").select("id"), F.col("doc_id") == F.col("id")).groupBy("set_hash", "id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    in_bucket = written(buckets(reps), "buckets")
+    # each class becomes SIDE * SIDE rows, so tasks get few of them
+    in_bucket = written(buckets(reps.repartition(max(1, -(-n // EACH)))), "buckets", SIDE * SIDE * n)
     nodes, places = rows.select("id"), in_bucket.count()
 
-    held = candidate_texts(docs, in_bucket.select("id").distinct())
+    held = candidate_texts(docs, in_bucket.select("id").distinct(), n)
     meet = written(in_bucket.where("first_id < id").select(F.col("first_id").alias("a"), F.col("id").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs", places)
-    edges = written(verified(meet.where(sizes_allow("na", "nb")).select("a", "b"), held, words).union(tied), "edges")
+    edges = written(verified(meet.where(sizes_allow("na", "nb")).select("a", "b"), held, words).union(tied), "edges", places + n)
     found = written(components(nodes, edges, edges.count()), "components", n)
 
     clusters = components(in_bucket.select("id").distinct(), meet, places).withColumnRenamed("component", "cluster")
