@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, mixing, neardup, quality, queries, secrets
-from foliant.llm.common import scratch, written
+from foliant.llm.common import scratch, tasks_for, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         with scratch(spark):  # a stage's own tables go as soon as its rows are written
-            made = stage(spark, docs, sf_dir)
+            n = tasks_for(docs)
+            made = stage(spark, docs.coalesce(n), sf_dir).coalesce(n)
             docs = written(made, "stage-" + name.replace(" ", "-"), keep=True)
     return docs
