@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-CUTS = 100  # parts into which a key's values are dealt to find a rank
+CUTS = 16  # parts into which a key's values are dealt to find a rank
 MOST_KEYS = 10_000  # keys of which the driver holds the cuts
 
 
@@ -20,7 +20,7 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, weight: str | None, r
     no key is ever ordered, or held, as a whole, and nothing but partial sums is shuffled.  Both passes run at once."""
     w = F.lit(1) if weight is None else F.col(weight)
     r = rows.select(*keys, F.col(value).alias("_v"), w.alias("_w")).where("_v is not null and _w is not null")
-    marks = F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 10 * CUTS)
+    marks = F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 1000)
     found = r.groupBy(*keys).agg(F.array_distinct(marks).alias("_cuts"), F.sum("_w").alias("_all")).limit(MOST_KEYS + 1).collect()
     if len(found) > MOST_KEYS:
         raise ValueError(f"more than {MOST_KEYS} keys: group medians by window instead")
