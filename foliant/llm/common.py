@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +77,12 @@ def written(df: DataFrame, name: str, most: int | None = None, each: int = FILE_
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: its cleaner only acts once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 

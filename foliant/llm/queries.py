@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, lm, mixing, neardup, quality, secrets, toxicity, warc
+from . import ann, bpe, fingerprints, lm, mixing, neardup, quality, secrets, substrings, toxicity, warc
 from .common import small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -72,8 +72,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), good)
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_words(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_secrets, op3_bpe, op4_fingerprints, op5_neardup, op6_ann, op7_toxicity, op8_mixing, op9_quality, op10_lm)}
+    return {f.__name__: f for f in (op1_warc, op2_secrets, op3_bpe, op4_fingerprints, op5_neardup, op6_ann, op7_toxicity, op8_mixing, op9_quality, op10_lm, op11_substrings)}
 
 
 OP1_SQL = """
