@@ -40,21 +40,23 @@ def tasks_for(df: DataFrame) -> int:
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
 
-_scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
+_scratch: ContextVar[tuple[list, ...]] = ContextVar("scratch", default=())
 
 
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder in the shared one.  It goes with the scratch block that it is made in or, to `keep`, with the one around that."""
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
-    if not keep and (paths := _scratch.get()) is not None:
-        paths.append(path)
+    if blocks := _scratch.get()[: -1 if keep else None]:
+        blocks[-1].append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the tables that were written inside as soon as the block is left, but for those written to `keep`."""
+    """Removes the tables that were written inside as soon as the block is left, but for those written to `keep`.  Shuffle files
+    of finished steps go as well: Spark's cleaner deletes them once the driver has collected its garbage."""
     paths: list[str] = []
-    token = _scratch.set(paths)
+    token = _scratch.set((*_scratch.get(), paths))
     try:
         yield
     finally:
@@ -62,6 +64,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for p in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 FILE_ROWS = 200_000
@@ -77,12 +81,6 @@ def written(df: DataFrame, name: str, most: int | None = None, each: int = FILE_
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cleaned(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: its cleaner only acts once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, cleaned, mapped, mix64, texts, written
+from .common import WordCache, mapped, mix64, scratch, texts, written
 
 WINDOW, ANCHOR = 20, 5
 PIECE = 1 << 20
@@ -41,21 +41,21 @@ def pieces(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-@lru_cache(maxsize=2)
-def cached_hashes(seed: int) -> WordCache:
-    """One cache a Python worker and seed."""
-    return WordCache(lambda word: xxhash.xxh3_64_intdigest(word, seed))
+@lru_cache(maxsize=1)
+def digests() -> WordCache:
+    """One cache a Python worker."""
+    return WordCache(xxhash.xxh3_128_digest)
 
 
-def hashed(batch_texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, and where each text begins (with the end as last)."""
-    get = cached_hashes(seed).__getitem__
-    parts, sizes = [], []
+def hashed(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of all words, and where each text begins (with the end as last)."""
+    get, parts, sizes = digests().__getitem__, [], []
     for text in batch_texts:
-        got = [np.fromiter(map(get, words), np.uint64, len(words)) for words in pieces(text)]
-        sizes.append(sum(map(len, got)))
+        got = [b"".join(map(get, words)) for words in pieces(text)]
+        sizes.append(sum(map(len, got)) // 16)
         parts += got
-    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    both = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 class Spans:
@@ -104,7 +104,7 @@ def find_paths(docs: DataFrame) -> DataFrame:
     """doc_id, start (a word's place), n (windows), anchor, path (hash): every window of every text is in one row."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        values, bounds = hashed(texts(batch), 1)
+        values, _, bounds = hashed(texts(batch))
         text, start, n, anchor, path = anchored(values, bounds)
         ids = batch.column("doc_id").take(pa.array(text))
         return {"doc_id": ids, "start": start - bounds[text], "n": n.astype(np.int32), "anchor": anchor.view(np.int64), "path": path.view(np.int64)}
@@ -126,8 +126,7 @@ def read_sources(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     asks = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "path", "opened")).alias("asks"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        body = texts(batch)
-        (values, bounds), (others, _) = hashed(body, 1), hashed(body, 2)
+        values, others, bounds = hashed(texts(batch))
         row, (start, n, anchor, path, opened) = listed(batch, "asks", ("start", "n", "anchor", "path", "opened"))
         begin = bounds[row] + start
         end = begin + n + WINDOW - 1
@@ -148,25 +147,24 @@ def read_sources(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start, n (windows), check, src_doc, src_start: the paths and single windows whose words also start at the source
     coordinates, the earliest place there is.  `check` is the second hash of the words there."""
-    # an anchor that occurs once is in no repeated window; one with several paths may branch
-    paths = written(find_paths(docs), "paths")
-    anchors = written(paths.groupBy("anchor").agg(F.count("*").alias("times"), F.min("path").alias("lo"), F.max("path").alias("hi")).where("times > 1").select("anchor", F.expr("lo < hi").alias("opened")), "anchors")
-    paths = written(paths.join(anchors, "anchor"), "shared-paths")
-    cleaned(docs.sparkSession)
-
-    place = F.struct("doc_id", "start")
-    firsts = paths.groupBy("anchor", "path").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("opened").alias("opened"), F.count("*").alias("copies"))
-    wanted = written(firsts.where("opened or copies > 1").select("at.*", "n", "anchor", "path", "opened"), "wanted-paths")
-    sources = written(read_sources(docs, wanted).dropDuplicates(["anchor", "path"]), "sources")
-    cleaned(docs.sparkSession)
-
+    spark = docs.sparkSession
+    with scratch(spark):  # an anchor that occurs once is in no repeated window; one with several paths may branch
+        paths = written(find_paths(docs), "paths")
+        anchors = written(paths.groupBy("anchor").agg(F.count("*").alias("times"), F.min("path").alias("lo"), F.max("path").alias("hi")).where("times > 1").select("anchor", F.expr("lo < hi").alias("opened")), "anchors")
+        paths = written(paths.join(anchors, "anchor"), "shared-paths", keep=True)
+    with scratch(spark):
+        place = F.struct("doc_id", "start")
+        firsts = paths.groupBy("anchor", "path").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("opened").alias("opened"), F.count("*").alias("copies"))
+        wanted = written(firsts.where("opened or copies > 1").select("at.*", "n", "anchor", "path", "opened"), "wanted-paths")
+        sources = written(read_sources(docs, wanted).dropDuplicates(["anchor", "path"]), "sources", keep=True)
     known = sources.select("anchor", "path", "check", F.col("doc_id").alias("src_doc"), F.col("start").alias("src_start"))
     columns = ("doc_id", "start", "n", "check", "src_doc", "src_start")
     whole = paths.select("anchor", "path", "doc_id", "start", "n").join(known, ["anchor", "path"])
-    opened = sources.where("size(windows) > 0").select("doc_id", "start", "anchor", F.posexplode(F.arrays_zip("windows", "checks")).alias("nth", "w"))
-    edges = written(opened.select("doc_id", (F.col("start") + F.col("nth")).alias("start"), F.lit(1).alias("n"), "anchor", F.col("w.windows").alias("window"), F.col("w.checks").alias("check")), "edges")
-    first_edges = edges.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start", "check")).alias("src"), F.count("*").alias("times")).where("times > 1")
-    first_edges = written(first_edges.select("anchor", "window", "src.check", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start")), "first-edges")
+    with scratch(spark):
+        opened = sources.where("size(windows) > 0").select("doc_id", "start", "anchor", F.posexplode(F.arrays_zip("windows", "checks")).alias("nth", "w"))
+        edges = opened.select("doc_id", (F.col("start") + F.col("nth")).alias("start"), F.lit(1).alias("n"), "anchor", F.col("w.windows").alias("window"), F.col("w.checks").alias("check"))
+        first_edges = edges.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start", "check")).alias("src"), F.count("*").alias("times")).where("times > 1")
+        first_edges = written(first_edges.select("anchor", "window", "src.check", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start")), "first-edges", keep=True)
     single = edges.drop("check").join(first_edges, ["anchor", "window"])
     later = "doc_id > src_doc or doc_id = src_doc and start > src_start"
     return whole.select(*columns).unionByName(single.select(*columns)).where(later)
@@ -179,8 +177,8 @@ def kept_words(docs: DataFrame) -> DataFrame:
     A null or empty text has no words.  Rows of one doc_id are judged by (doc_id, start) alone, so equal rows fare alike and
     are not copies of one another.  Rows without a doc_id are left as they are and are nobody's source.  An empty table
     gives an empty one; other columns are not read."""
-    gone = written(repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("gone")), "gone")
-    cleaned(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        gone = written(repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("gone")), "gone", keep=True)
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
@@ -207,7 +205,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
 
 def covered(text: str, start: np.ndarray, n: np.ndarray, check: np.ndarray) -> np.ndarray:
     """Which words of a text stay: those outside the spans whose second hash is that of their source."""
-    values, _ = hashed([text], 2)
+    _, values, _ = hashed([text])
     end = start + n + WINDOW - 1
     fits = np.flatnonzero(end <= len(values))
     fits = fits[Spans(values).of(start[fits], end[fits]).view(np.int64) == check[fits]]
