@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, lm, mixing, neardup, quality, secrets, substrings, toxicity, warc
+from . import ann, bpe, crossing, fingerprints, lm, mixing, neardup, quality, secrets, substrings, toxicity, turns, warc
 from .common import small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PAIR = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Domains are the documents' languages; the weights are those of the mixture that is wanted.
 WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
@@ -76,8 +77,18 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_words(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return crossing.alignments(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, PAIR))
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_secrets, op3_bpe, op4_fingerprints, op5_neardup, op6_ann, op7_toxicity, op8_mixing, op9_quality, op10_lm, op11_substrings)}
+    return {f.__name__: f for f in (op1_warc, op2_secrets, op3_bpe, op4_fingerprints, op5_neardup, op6_ann, op7_toxicity, op8_mixing, op9_quality, op10_lm, op11_substrings, op12_alignment, op13_turns)}
 
 
 OP1_SQL = """
