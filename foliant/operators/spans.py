@@ -11,16 +11,18 @@ from foliant.operators import stats
 PROMINENT_SIZE = 9.0
 SIZE_STEP = 0.75
 GAP_SHARE = 0.75
+SMALL_SIZE = 7.25
 
 
 def heading_groups(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adjacent prominent spans (bold or underlined, large enough) whose size and line distance agree, as one heading each.
+    """Adjacent prominent spans (bold or underlined, large enough) whose size and line distance agree, as one heading each.  The
+    distance is measured against the larger of both sizes.
 
     spans: text, size, bold, underline, y0, y1 (y downwards).  Gives keys, grp, n_spans, size, text."""
     w = Window.partitionBy(*keys).orderBy(order)
     strong = F.coalesce((F.col("size") >= PROMINENT_SIZE) & (F.col("bold") | F.col("underline")), F.lit(False))
     rows = spans.withColumn("_strong", strong)
-    on = F.lag("_strong").over(w) & (F.abs(F.col("size") - F.lag("size").over(w)) <= SIZE_STEP) & (F.col("y0") - F.lag("y1").over(w) <= F.col("size") * GAP_SHARE)
+    on = F.lag("_strong").over(w) & (F.abs(F.col("size") - F.lag("size").over(w)) <= SIZE_STEP) & (F.col("y0") - F.lag("y1").over(w) <= F.greatest("size", F.lag("size").over(w)) * GAP_SHARE)
     rows = rows.withColumn("_new", (~F.coalesce(F.col("_strong") & on, F.lit(False))).cast("int")).withColumn("grp", F.sum("_new").over(w)).where("_strong")
     parts = F.array_sort(F.collect_list(F.struct(order, "text")))
     return rows.groupBy(*keys, "grp").agg(F.count("*").alias("n_spans"), F.max("size").alias("size"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))

@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from foliant.plans import blockviews, covers, evaluation, hinting, outputs, profiles, registry, repairing, rewriting, scalars, structure, trees  # noqa: F401
+from foliant.plans import blockviews, covers, evaluation, hinting, outputs, profiles, registry, repairing, reviewing, rewriting, scalars, structure, trees  # noqa: F401

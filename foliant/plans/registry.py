@@ -46,9 +46,8 @@ _upper = r"(length(regexp_replace(line, '[^\p{Lu}]', '', 'g')) / nullif(length(r
 _title = r"""len(list_filter(string_split(line, ' '), lambda w:
     regexp_replace(regexp_replace(lower(w), '^[''"()\[\]:;,-]+', ''), '[''"()\[\]:;,-]+$', '') IN ({stop})
     OR regexp_matches(regexp_replace(w, '^[''"()\[\]:;,-]+', ''), '^\p{Lu}') OR (regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '[\p{Ll}\p{Lt}]'))))""".replace("{stop}", quoted(T.HEADING_STOPWORDS))
-KINDS = (
-    LINES
-    + rf""",
+#: Each line's classes one by one, whichever claims it first, behind a table lines(…, line).
+FLAGS = rf"""
 flags AS (SELECT *,
   regexp_matches(line, '^[•–-]') OR regexp_matches(line, '^\d+[.)]\s+') AS bullet,
   line IN ({quoted(T.NAVIGATION_TEXTS)}) OR starts_with(line, '>') OR ends_with(line, '>') AS navigation,
@@ -57,11 +56,13 @@ flags AS (SELECT *,
   ({' OR '.join(f"contains(line, '{t}')" for t in T.WARNING_TERMS)}) OR coalesce({_upper} > 0.85 AND length(line) > 20, false) AS warning,
   {_words} AS n_words, {_title} AS n_title FROM lines),
 titles AS (SELECT *, NOT (line IN ({quoted((*T.PLAIN_LINES, *T.REJECTED_HEADINGS))}) OR regexp_matches(line, '^[.,:;/]') OR contains(line, 'www.') OR contains(line, '@') OR length(line) > 55 OR ends_with(line, '.')) AND line <> ''
-   AND (regexp_matches(line, '^\d{{2}}\s+[A-Z]') OR ((ends_with(line, '!') OR ends_with(line, '?')) AND n_words <= 4) OR (n_words <= 8 AND n_title >= greatest(1, n_words - 1))) AS titled FROM flags),
-kinds AS (SELECT doc_id, ord, line, titled AND NOT (line = '•' OR navigation OR ui_label OR warning OR list_item) AS heads, CASE
+   AND (regexp_matches(line, '^\d{{2}}\s+[A-Z]') OR ((ends_with(line, '!') OR ends_with(line, '?')) AND n_words <= 4) OR (n_words <= 8 AND n_title >= greatest(1, n_words - 1))) AS titled FROM flags)"""
+KIND = """CASE
   WHEN line = '' THEN 'blank' WHEN line = '•' THEN 'bullet' WHEN navigation THEN 'navigation' WHEN ui_label THEN 'ui_label'
-  WHEN warning THEN 'warning' WHEN list_item THEN 'list_item' WHEN bullet THEN 'bullet' WHEN titled THEN 'heading' ELSE 'body' END AS kind FROM titles)"""
-)
+  WHEN warning THEN 'warning' WHEN list_item THEN 'list_item' WHEN bullet THEN 'bullet' WHEN titled THEN 'heading' ELSE 'body' END"""
+HEADS = "titled AND NOT (line = '•' OR navigation OR ui_label OR warning OR list_item)"
+KINDS = f"""{LINES},{FLAGS},
+kinds AS (SELECT doc_id, ord, line, {HEADS} AS heads, {KIND} AS kind FROM titles)"""
 
 
 @query(f"""WITH {KINDS},

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import chapters, checks, lines, rewrites, sequences, spans, tree
+from foliant.operators import chapters, checks, items, lines, rewrites, sequences, spans, tree
 from foliant.plans.registry import KINDS, LINES, STARTS, TAGS, _intervals, query, quoted
 from foliant.sources import sinks
 
@@ -51,8 +51,9 @@ def paired_items(t) -> DataFrame:
 
 @query()
 def prepared_items(t) -> DataFrame:
-    """The whole chain of generic rules over every document's lines."""
-    return rewrites.prepared(_items(t), ["doc_id"])
+    """The whole chain of generic rules over every document's review items."""
+    found = items.review_items(t("documents"), F.col("lang") == "en")
+    return rewrites.prepared(found.select("doc_id", (F.col("item_order") - 1).alias("ord"), "kind", "text"), ["doc_id"])
 
 
 #: Lines of an order as nodes of a document, one a number (the table repeats numbers).
@@ -236,7 +237,7 @@ def _styled(t) -> DataFrame:
 
 
 @query(f"""WITH {STYLED}, s AS (SELECT *, size >= 9 AND (bold OR underline) AS strong FROM sp),
-m AS (SELECT *, CASE WHEN strong AND lag(strong) OVER w AND abs(size - lag(size) OVER w) <= 0.75 AND y0 - lag(y1) OVER w <= size * 0.75 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY page ORDER BY ord)),
+m AS (SELECT *, CASE WHEN strong AND lag(strong) OVER w AND abs(size - lag(size) OVER w) <= 0.75 AND y0 - lag(y1) OVER w <= greatest(size, lag(size) OVER w) * 0.75 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY page ORDER BY ord)),
 g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY page ORDER BY ord) AS BIGINT) AS grp FROM m)
 SELECT page, grp, count(*) AS n_spans, round(max(size), 6) AS size, string_agg(text, ' ' ORDER BY ord) AS text FROM g WHERE strong GROUP BY 1, 2""")
 def style_heading_groups(t) -> DataFrame:
