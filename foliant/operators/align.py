@@ -126,28 +126,3 @@ def join_parts(parts: pd.Series) -> pd.DataFrame:
     """(joined, actions): the joined text, and each seam (boundary from 0) with what was done there.  A null part is empty."""
     rows = [joined(["" if x is None else str(x) for x in p] if p is not None else []) for p in parts]
     return pd.DataFrame({"joined": [r[0] for r in rows], "actions": [[{"boundary": i, "action": a} for i, a in enumerate(r[1])] for r in rows]})
-
-
-PROTECTED = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|\b\d+[.,]\d+\b|\b(?:[A-Za-z]\.){2,}|\b(?:Mr|Mrs|Ms|Dr|St|No|vs|etc)\.|\bz\. ?B\.")
-TERMINATOR = re.compile(r"[.!?。！？]+[\"')\]”’]*\s+")
-
-
-def sentence_starts(text: str) -> list[int]:
-    """Offsets at which sentences start; addresses, abbreviations, decimals and initials end none.
-
-    Terminators and shielded spans are both in order, so one pass over either is enough."""
-    shielded = [m.span() for m in PROTECTED.finditer(text)]
-    first = re.search(r"\S", text)
-    starts, at = [first.start()] if first else [], 0
-    for m in TERMINATOR.finditer(text):
-        while at < len(shielded) and shielded[at][1] <= m.start():
-            at += 1
-        inside = at < len(shielded) and shielded[at][0] <= m.start()
-        if m.end() < len(text) and not inside and not text[m.end()].islower():
-            starts.append(m.end())
-    return starts
-
-
-@pandas_udf(ArrayType(IntegerType()))
-def sentence_offsets(texts: pd.Series) -> pd.Series:
-    return pd.Series([sentence_starts(t or "") for t in texts])

@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from foliant.functions import text as T
-from foliant.operators import align, stats
+from foliant.operators import align, sentences, stats
 from foliant.operators.nodes import ancestry, visible
 from foliant.sources import sinks
 
@@ -153,7 +153,7 @@ def flow_breaks(texts: list[str]) -> list[list[int]]:
         joined += t
     out: list[list[int]] = [[] for _ in texts]
     i = 0
-    for s in align.sentence_starts(joined):
+    for s in sentences.sentence_starts(joined):
         while i + 1 < len(at) and at[i + 1] <= s:
             i += 1
         if at and at[i] <= s < at[i] + len(texts[i]):

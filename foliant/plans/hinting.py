@@ -54,7 +54,7 @@ def inline_icons(t) -> DataFrame:
 SENTENCES = [["One. Two", " goes on. Three."], ["See www.a.b.", "Then e.g. this. 日本。", "End"], ["", "  Lead"], ["Mr. X left.", "He ran at 3.5 m. Fast"], ["no end", "here"]]
 
 
-@query(expected("ord, offsets", (0, 0, "0,5"), (0, 1, "10"), (1, 0, "0"), (1, 1, "16"), (2, 1, "2"), (3, 0, "0"), (3, 1, "17"), (4, 0, "0"), n=5))
+@query(expected("ord, offsets", (0, 1, "10"), (1, 1, "16"), (3, 1, "0,17"), n=5))
 def sentence_breaks(t) -> DataFrame:
     flow = cases(t, [[{"ord": i, "text": x} for i, x in enumerate(c)] for c in SENTENCES], "ord int, text string").withColumn("path", F.array("ord"))
     s = hints.sentence_breaks(flow, KEYS)

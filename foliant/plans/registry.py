@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import align, blocks, checks, grid, lines, sequences, signals, stats, tree
+from foliant.operators import align, blocks, checks, grid, lines, sentences, sequences, signals, stats, tree
 from foliant.sources import sinks
 
 QUERIES: dict = {}
@@ -410,7 +410,7 @@ def lcs_ratio(t) -> DataFrame:
 
 @query()
 def sentence_offsets(t) -> DataFrame:
-    return t("documents").select("doc_id", align.sentence_offsets("text").alias("starts"))
+    return t("documents").select("doc_id", sentences.sentence_offsets("text").alias("starts"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

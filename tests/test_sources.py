@@ -104,7 +104,7 @@ def test_routes_and_breaks():
     assert hints.route_evidence(["a > b", None, "c"], 1) is None and hints.route_evidence(items, 0) is None and hints.route_evidence(["no mark ", None, " here"], 1) is None
     assert hints.route_evidence(["x. ", None, " > A > B"], 1) == (2, False, [0, 2])
     assert hints.route_bounds("a. b! > c. No. d e.g. x") == [10]
-    assert hints.flow_breaks(["One. Two", "goes on. Three", ""]) == [[0, 5], [9], []]
+    assert hints.flow_breaks(["One. Two", "goes on. Three", ""]) == [[], [9], []]
     assert hints.flow_breaks([]) == []
 
 
