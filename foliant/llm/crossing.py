@@ -2,8 +2,8 @@
 
 Texts are cut before runs of white space, but only at characters that no token of either vocabulary holds behind a solid one,
 so no token can lie across a cut and segments tokenise as they do in their text.  A block of documents becomes codes into a
-dictionary of its own segments.  Every distinct segment of the corpus is tokenised and aligned once and joined back to the
-dictionaries; documents are then composed block by block.  Counts of linked ids are summed over blocks, and joined back to the
+dictionary of its own segments.  The rows of all dictionaries meet by segment, where each distinct one is tokenised and aligned
+once; its groups go back to the rows' blocks, and documents are composed block by block.  Counts of linked ids are summed over blocks, and joined back to the
 pairs of each block.  Blocks are bounded by characters; a longer document is a block of its own."""
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import byte_chars
 from .common import mapped, scratch, sliced, small_batches, texts, written
 
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 32 << 20
 PIECE_CHARS = 1 << 20
 ROWS = 50_000
 #: White space in any of the libraries' senses, and B's sign for a space: nothing is cut behind one of these.
@@ -73,40 +73,57 @@ class Codec:
             yield self.find(text[at:end] if at or cut else text)
             at = end
 
-    def aligned(self, segments: list[str]) -> Iterator[tuple[str, list[int], int]]:
-        """For each segment its groups as text, its links (A id * 2^32 + B id), and the number of A tokens, which is -1 if the
-        tokens' bytes are not those of the segment."""
-        a_ids = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
+    def aligned(self, segments: list[str]) -> list[str]:
+        """For each segment its groups as text, '' if the tokens' bytes are not those of the segment."""
+        a_ids = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         b_ids = self.b.encode(segments, num_threads=1)
+        out = []
         for text, a, b in zip(segments, a_ids, b_ids):
             raw = text.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-                yield "", [], -1
+            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+            out.append(aligned_groups(a, b, self.a_len, self.b_len) if same else "")
+        return out
+
+    def links(self, groups: str) -> tuple[int, list[int]]:
+        """The number of A tokens in a segment's groups, and its links: A id * 2^32 + B id for each two tokens that overlap."""
+        n_a, out = 0, []
+        for group in groups.split(";"):
+            a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
+            n_a += len(a)
+            if len(a) == 1 or len(b) == 1:
+                out += [x << 32 | y for x in a for y in b]
+                continue
+            i = j = 0
+            a_end, b_end = self.a_len[a[0]], self.b_len[b[0]]
+            while True:  # within a group no two ends meet but the last
+                out.append(a[i] << 32 | b[j])
+                if a_end < b_end:
+                    i += 1
+                    a_end += self.a_len[a[i]]
+                elif b_end < a_end:
+                    j += 1
+                    b_end += self.b_len[b[j]]
+                else:
+                    break
+        return n_a, out
+
+
+def aligned_groups(a: list[int], b: list[int], a_len: list[int], b_len: list[int]) -> str:
+    """`a1,a2|b1;a3|b2,b3`: the tokens between the byte offsets where tokens of both end; both cover the same bytes."""
+    groups, i, j, a_end, b_end = [], 0, 0, 0, 0
+    while i < len(a):
+        from_i, from_j = i, j
+        a_end, b_end = a_end + a_len[a[i]], b_end + b_len[b[j]]
+        while a_end != b_end:
+            if a_end < b_end:
+                i += 1
+                a_end += a_len[a[i]]
             else:
-                yield *aligned_groups(a, b, self.a_len, self.b_len), len(a)
-
-
-def aligned_groups(a: list[int], b: list[int], a_len: list[int], b_len: list[int]) -> tuple[str, list[int]]:
-    """Groups between the byte offsets where tokens of both end, and all pairs that overlap; both cover the same bytes."""
-    links, groups = [], []
-    i, j, in_a, in_b = 0, 0, a[:1], b[:1]
-    a_end, b_end = a_len[a[0]], b_len[b[0]]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if a_end == b_end:
-            groups.append(",".join(map(str, in_a)) + "|" + ",".join(map(str, in_b)))
-            if i + 1 == len(a):
-                return ";".join(groups), links
-            in_a, in_b = [], []
-        go_a, go_b = a_end <= b_end, b_end <= a_end
-        if go_a:
-            i += 1
-            in_a.append(a[i])
-            a_end += a_len[a[i]]
-        if go_b:
-            j += 1
-            in_b.append(b[j])
-            b_end += b_len[b[j]]
+                j += 1
+                b_end += b_len[b[j]]
+        i, j = i + 1, j + 1
+        groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
+    return ";".join(groups)
 
 
 @lru_cache(maxsize=2)
@@ -172,29 +189,41 @@ def coded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "block long, doc_id long, codes binary, code long, segment string")
 
 
-def align_segments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segment, groups, links (8 bytes each), n_a for each row; n_a is -1 where the tokens' bytes are not the segment's."""
+ALIGNED = pa.schema([("in_block", pa.int64()), ("code", pa.int64()), ("groups", pa.string())])
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = list(codec(a_path, b_path).aligned(batch.column("segment").to_pylist()))
-        links = [np.array(x, np.int64).tobytes() for _, x, _ in found]
-        return {"segment": batch.column("segment"), "groups": [g for g, _, _ in found], "links": links, "n_a": [n for _, _, n in found]}
 
-    return mapped(segments, run, "segment string, groups string, links binary, n_a int")
+def align_segments(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """in_block, code, groups for dictionary rows (block, code, segment): rows of one segment come together, sorted, and it is
+    tokenised and aligned once for all of them.  A block has a segment once, so no segment has more rows than there are blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, groups = None, ""
+        for piece in (p for batch in batches for p in sliced(batch)):
+            segments = piece.column("segment").to_pylist()
+            new = [s for s, before in zip(segments, [last, *segments]) if s != before]
+            found, out = iter(codec(a_path, b_path).aligned(new)), []
+            for s in segments:
+                if s != last:
+                    last, groups = s, next(found)
+                out.append(groups)
+            yield pa.RecordBatch.from_arrays([piece.column("block"), piece.column("code"), pa.array(out, pa.string())], schema=ALIGNED)
+
+    return words.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "in_block long, code long, groups string")
 
 
 COMPOSED = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("places", pa.binary()), ("times", pa.binary()), ("place", pa.int64()), ("pair", pa.int64()), ("docs", pa.int64())])
 COMPOSED_SQL = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary, place long, pair long, docs long"
 
 
-def compose(docs: pa.Table, words: pa.Table) -> pa.Table:
+def compose(docs: pa.Table, words: pa.Table, both: Codec) -> pa.Table:
     """A block's documents from its dictionary: their counts and digest, which of the block's pairs they hold how often (places,
     times); and rows for the block's pairs, with the number of its documents that hold them."""
-    words = words.sort_by("code")
-    groups, n_a = words["groups"].to_pylist(), words["n_a"].to_numpy()
-    sizes = np.array([len(x) // 8 for x in words["links"].to_pylist()], np.int64)
+    groups = words.sort_by("code")["groups"].to_pylist()
+    found = [both.links(g) if g else (-1, ()) for g in groups]
+    n_a = np.array([n for n, _ in found], np.int64)
+    sizes = np.array([len(x) for _, x in found], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    pairs, place = np.unique(np.frombuffer(b"".join(words["links"].to_pylist()), np.int64), return_inverse=True)
+    pairs, place = np.unique(np.fromiter((y for _, x in found for y in x), np.int64, starts[-1]), return_inverse=True)
     n_groups = np.array([g.count("|") for g in groups], np.int64)
     holders = np.zeros(len(pairs), np.int64)
     block, out = docs["block"][0].as_py(), {name: [] for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times")}
@@ -252,12 +281,13 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     spark = docs.sparkSession
     with scratch(spark):
         rows = written(coded(docs, a_path, b_path), "coded")
-        with scratch(spark):
-            aligned = written(align_segments(rows.where("segment is not null").select("segment").distinct(), a_path, b_path), "aligned", keep=True)
-        words = rows.where("segment is not null").select("block", "code", "segment").join(aligned, "segment").select(F.col("block").alias("in_block"), "code", "groups", "links", "n_a")
+        words = align_segments(rows.where("segment is not null").select("block", "code", "segment"), a_path, b_path)
         of_docs = rows.where("segment is null").select("block", "doc_id", "codes")
-        composed = of_docs.groupBy("block").cogroup(words.groupBy("in_block")).applyInArrow(compose, COMPOSED_SQL)
-        composed = written(composed, "composed", keep=True)
+
+        def composer(left: pa.Table, right: pa.Table) -> pa.Table:
+            return compose(left, right, codec(a_path, b_path))
+
+        composed = written(of_docs.groupBy("block").cogroup(words.groupBy("in_block")).applyInArrow(composer, COMPOSED_SQL), "composed", keep=True)
     pairs = composed.where("pair is not null").select("block", "place", "pair", "docs")
     with scratch(spark):
         counts = written(link_counts(pairs), "link-counts", keep=True)
