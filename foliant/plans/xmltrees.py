@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.plans import evaluation as E
 from foliant.plans.made import chosen, chosen_sql
 from foliant.plans.outputs import NAMES, _tree
 from foliant.plans.registry import query
-from foliant.sources import sinks, trees
+from foliant.sources import bundles, sinks, trees
+from foliant.sources.places import shared_folder
 
 KEYS = ["doc"]
 _title = chosen_sql(NAMES, "l_partkey % 6")
@@ -67,3 +70,30 @@ def tree_differences(t) -> DataFrame:
     nodes = _small(t).withColumn("pair", F.expr("doc div 2"))
     d = trees.first_differences(nodes.where("doc % 2 = 0").drop("doc"), nodes.where("doc % 2 = 1").drop("doc"), ["pair"])
     return d.select("pair", _shown(), "kind")
+
+
+@query(f"WITH {E.LINES} SELECT doc, NOT (doc % 5 = 0 AND bool_or(l_partkey % 3 = 1)) AS same FROM li GROUP BY 1")
+def xml_read_back(t) -> DataFrame:
+    """Whether documents read back as they were told; some have had an attribute changed in between."""
+    li = E._lines(t).withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy("n")) - 1)
+    path = F.array((F.col("i") / 2).cast("int"), F.col("i") % 2)
+    nodes = li.select("doc", path.alias("path"), F.lit("p").alias("tag"), F.array(F.struct(F.lit("k").alias("name"), (F.col("l_partkey") % 3).cast("string").alias("value"))).alias("attributes"))
+    tops = li.where("i % 2 = 0").select("doc", F.array((F.col("i") / 2).cast("int")).alias("path"), F.lit("section").alias("tag"), F.array().cast(nodes.schema["attributes"].dataType).alias("attributes"))
+    nodes = nodes.unionByName(tops)
+    fragments = li.select("doc", F.concat(path, F.array(F.lit(0))).alias("path"), chosen(E.TEXTS, "l_suppkey % 9").alias("text"))
+    xml = sinks.xml_documents(nodes, fragments, KEYS).withColumn("xml", F.when(F.col("doc") % 5 == 0, F.replace("xml", F.lit('k="1"'), F.lit('k="9"'))).otherwise(F.col("xml")))
+    return trees.reads_back(nodes, fragments, xml, KEYS)
+
+
+@query("SELECT c_custkey, c_name, n_orders, 1 AS n_superseded FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_nationkey > 3")
+def published_tables(t) -> DataFrame:
+    """Two tables published together, and once more without some nations; what readers then see."""
+    c = t("customer").select("c_custkey", "c_name", "c_nationkey")
+    orders = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+    spark = c.sparkSession
+    root = f"{shared_folder(spark)}/foliant-bundles/{uuid.uuid4().hex}"
+    first = bundles.publish({"customers": c, "orders": orders}, root)
+    bundles.publish({"customers": c.where("c_nationkey > 3"), "orders": orders}, root, overwrite=True)
+    seen = bundles.read(spark, root)
+    gone = int(bundles.state_of(spark, root, first) is bundles.State.SUPERSEDED)
+    return seen["customers"].join(seen["orders"], F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name", "n_orders", F.lit(gone).alias("n_superseded"))

@@ -183,6 +183,8 @@ def fingerprint(df: DataFrame) -> str:
 def write_bundle(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Writes several tables as one: all are staged beside `path`, read back and compared, and only then moved there at once.
 
+    This needs a file system that renames folders at once; bundles.publish() does not, and keeps versions.
+
     Returns their fingerprints, which a last file, _COMMITTED, holds as well.  If anything fails nothing is published and
     what was staged goes; a bundle that is there already is not touched."""
     spark = next(iter(tables.values())).sparkSession

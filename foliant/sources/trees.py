@@ -151,3 +151,20 @@ def first_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     kind: Column = F.when(F.col("_y").isNull(), "missing").when(F.col("_x").isNull(), "extra").otherwise("changed")
     first = both.select(*keys, F.struct("path", kind.alias("kind")).alias("f")).groupBy(*keys).agg(F.min("f").alias("f"))
     return first.select(*keys, "f.path", "f.kind")
+
+
+def told_nodes(nodes: DataFrame, fragments: DataFrame, keys: list[str], leaf: str = "text", root: str = "document") -> DataFrame:
+    """The rows that xml_nodes() gives for what sinks.xml_documents() tells of nodes and fragments whose paths have no gaps."""
+    kind = nodes.schema["attributes"].dataType
+    none = F.array().cast(kind)
+    inner = nodes.select(*keys, "path", "tag", F.filter("attributes", lambda a: a["value"].isNotNull()).alias("attributes"), F.lit(None).cast("string").alias("text"))
+    leaves = fragments.select(*keys, "path", F.lit(leaf).alias("tag"), none.alias("attributes"), "text")
+    tops = inner.select(*keys).unionByName(leaves.select(*keys)).distinct().select(*keys, F.array().cast("array<int>").alias("path"), F.lit(root).alias("tag"), none.alias("attributes"), F.lit(None).cast("string").alias("text"))
+    return inner.unionByName(leaves).unionByName(tops)
+
+
+def reads_back(nodes: DataFrame, fragments: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, same: whether each document's XML, read back, is the tree that it was told from."""
+    want, got = same_trees(told_nodes(nodes, fragments, keys), keys), same_trees(xml_nodes(documents, keys), keys)
+    both = want.join(got.withColumnRenamed("signature", "_got"), keys, "full")
+    return both.select(*keys, F.col("signature").eqNullSafe(F.col("_got")).alias("same"))
