@@ -46,7 +46,7 @@ def arrivals(conversations: DataFrame, batches: int = BATCHES) -> DataFrame:
     again = at((h + 3) % batches, F.lit("user"))
     dealt = rows.withColumn("a", F.explode(F.when(h % 7 < 2, F.array(once, again)).otherwise(F.array(once))))
     least = F.min(F.struct(F.concat("a.as", F.lit("|"), "text").alias("payload"), F.char_length("a.as").alias("cut"))).alias("p")
-    kept = dealt.groupBy("conv_id", "turn", F.col("a.batch").alias("batch")).agg(least).join(firsts, "conv_id")
+    kept = dealt.groupBy("conv_id", "turn", F.col("a.batch").alias("batch")).agg(least).join(firsts.hint("merge"), "conv_id")
     role, text = F.expr("substring(p.payload, 1, p.cut)"), F.expr("substring(p.payload, p.cut + 2)")
     return kept.select("conv_id", "turn", "first", role.alias("role"), text.alias("text"), "batch")
 
