@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -84,14 +85,14 @@ class Codec:
             out.append(aligned_groups(a, b, self.a_len, self.b_len) if same else "")
         return out
 
-    def links(self, groups: str) -> tuple[int, list[int]]:
-        """The number of A tokens in a segment's groups, and its links: A id * 2^32 + B id for each two tokens that overlap."""
-        n_a, out = 0, []
+    def links(self, groups: str, out: array) -> int:
+        """Adds a segment's links to `out`, A id * 2^32 + B id for each two tokens that overlap; returns its number of A tokens."""
+        n_a = 0
         for group in groups.split(";"):
             a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
             n_a += len(a)
             if len(a) == 1 or len(b) == 1:
-                out += [x << 32 | y for x in a for y in b]
+                out.extend(x << 32 | y for x in a for y in b)
                 continue
             i = j = 0
             a_end, b_end = self.a_len[a[0]], self.b_len[b[0]]
@@ -105,7 +106,7 @@ class Codec:
                     b_end += self.b_len[b[j]]
                 else:
                     break
-        return n_a, out
+        return n_a
 
 
 def aligned_groups(a: list[int], b: list[int], a_len: list[int], b_len: list[int]) -> str:
@@ -219,11 +220,13 @@ def compose(docs: pa.Table, words: pa.Table, both: Codec) -> pa.Table:
     """A block's documents from its dictionary: their counts and digest, which of the block's pairs they hold how often (places,
     times); and rows for the block's pairs, with the number of its documents that hold them."""
     groups = words.sort_by("code")["groups"].to_pylist()
-    found = [both.links(g) if g else (-1, ()) for g in groups]
-    n_a = np.array([n for n, _ in found], np.int64)
-    sizes = np.array([len(x) for _, x in found], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    pairs, place = np.unique(np.fromiter((y for _, x in found for y in x), np.int64, starts[-1]), return_inverse=True)
+    n_a, starts, links = np.full(len(groups), -1, np.int64), np.zeros(len(groups) + 1, np.int64), array("q")
+    for i, g in enumerate(groups):
+        if g:
+            n_a[i] = both.links(g, links)
+        starts[i + 1] = len(links)
+    sizes = np.diff(starts)
+    pairs, place = np.unique(np.frombuffer(links, np.int64) if links else np.zeros(0, np.int64), return_inverse=True)
     n_groups = np.array([g.count("|") for g in groups], np.int64)
     holders = np.zeros(len(pairs), np.int64)
     block, out = docs["block"][0].as_py(), {name: [] for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times")}
@@ -233,13 +236,13 @@ def compose(docs: pa.Table, words: pa.Table, both: Codec) -> pa.Table:
         if len(codes) and (n_a[codes] >= 0).all():
             many = sizes[codes]
             ends = np.cumsum(many)
-            links = place[np.repeat(starts[codes], many) + np.arange(ends[-1]) - np.repeat(ends - many, many)]
-            places, times = np.unique(links, return_counts=True)
+            held = place[np.repeat(starts[codes], many) + np.arange(ends[-1]) - np.repeat(ends - many, many)]
+            places, times = np.unique(held, return_counts=True)
             holders[places] += 1
             told = hashlib.sha256(";".join(map(groups.__getitem__, codes.tolist())).encode()).hexdigest()
             a, g = int(n_a[codes].sum()), int(n_groups[codes].sum())
             # a group of m A tokens and n B tokens has m + n - 1 links
-            row = (a, len(links) + g - a, g, len(links), told, pack(np.diff(places, prepend=0)), pack(times))
+            row = (a, len(held) + g - a, g, len(held), told, pack(np.diff(places, prepend=0)), pack(times))
         for name, value in zip(out, row):
             out[name].append(value)
     parts = [*rows_of(COMPOSED, block=[block] * len(docs), doc_id=docs["doc_id"].to_pylist(), **out)]
