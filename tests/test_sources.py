@@ -108,6 +108,58 @@ def test_routes_and_breaks():
     assert hints.flow_breaks([]) == []
 
 
+def earliest(a, b):
+    """The expected places of a longest common subsequence that come first of all, by trying every choice."""
+    from itertools import combinations
+
+    def within(x):
+        rest = iter(b)
+        return all(y in rest for y in x)
+
+    for n in range(len(a), -1, -1):
+        for chosen in combinations(range(len(a)), n):
+            if within([a[i] for i in chosen]):
+                return list(chosen)
+
+
+def test_routes_against_a_plain_reading():
+    """One character after the other, on random flows."""
+    import random
+
+    rng = random.Random(8)
+
+    def plain(items, at):
+        flat, spot = "", 0
+        for i, t in enumerate(items):
+            spot = len(flat) if i == at else spot
+            flat += hints.FIGURE if t is None else t
+        cuts = [0, *hints.route_bounds(flat), len(flat)]
+        lo, hi = max(c for c in cuts if c <= spot), min(c for c in cuts if c > spot)
+        near = []
+        for step in (-1, 1):
+            i = at + step
+            while 0 <= i < len(items) and items[i] is not None and not items[i].strip():
+                i += step
+            near.append((items[i] or "").strip() if 0 <= i < len(items) else "")
+        label = hints.labelled(flat[spot + 1 :].split(">")[0].split(hints.FIGURE)[0])
+        if flat.count(">", lo, hi) < 2 or not any(c.isalnum() for c in flat[lo:hi]) or not (label or any(">" in (t[:1], t[-1:]) for t in near)):
+            return None
+        level, levels = 0, []
+        for c in flat[lo:hi]:
+            level += {"(": 1, ")": -1}.get(c, 0)
+            levels.append(level)
+        return flat.count(">", lo, hi), label or (min(levels) >= 0 and level == 0 and levels[spot - lo] > 0)
+
+    hits = 0
+    for _ in range(3000):
+        items = [None if rng.random() < 0.3 else "".join(rng.choice("> > > ab( ) .") for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 6))]
+        for at in [i for i, t in enumerate(items) if t is None]:
+            got = hints.route_evidence(items, at)
+            assert (got and got[:2]) == plain(items, at), (items, at)
+            hits += got is not None
+    assert hits > 50
+
+
 def test_alignment_covers_both_sequences():
     import random
 
@@ -117,6 +169,7 @@ def test_alignment_covers_both_sequences():
         pairs = hints.aligned(a, b)
         assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
         common = hints.anchors(a, b)
+        assert [i for i, _ in common] == earliest(a, b)
         assert len(common) == align.lcs_length("".join(a), "".join(b)) and all(a[i] == b[j] for i, j in common)
 
 
