@@ -78,7 +78,7 @@ def promotions(found: DataFrame, body: DataFrame, doc: str, order: str) -> DataF
     samples = body.select(doc, order, F.lit(None).cast("int").alias("series"), F.lit(1).alias("_rank"), F.col("size").cast("double"), F.col("weight").cast("long"))
     w = Window.partitionBy(doc).orderBy(order, "_rank")
     placed = starts.unionByName(samples).withColumn("series", F.last("series", ignorenulls=True).over(w)).where("_rank = 1 and series is not null and size is not null")
-    sizes = stats.weighted_median_lower(placed, [doc, "series"], "size", "weight").withColumnRenamed("median", "body_size")
+    sizes = stats.weighted_median_lower(placed, [doc, "series"], "size", "weight", bounded=True).withColumnRenamed("median", "body_size")
     full = series.join(audits.select(doc, "series", "valid"), [doc, "series"]).join(sizes, [doc, "series"], "left")
     verdict = F.when(~F.col("valid"), "sequence_invalid").otherwise(outcome(F.col("label_size"), F.col("title_size"), F.col("body_size")))
     return full.withColumn("outcome", verdict)

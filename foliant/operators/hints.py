@@ -125,7 +125,7 @@ def inline_icons(flow: DataFrame, keys: list[str]) -> DataFrame:
     used = own.select(*seg, "ord", "_on_route", "_route").join(sized, seg).where(~F.col("_on_route") | F.array_contains("_route.items", F.col("_pos")))
     whole = used.groupBy(*keys, "ord").agg(F.every(F.coalesce((F.col("size") > 0) & (F.col("size") < float("inf")), F.lit(False))).alias("_whole"))
     good = used.join(whole.where("_whole"), [*keys, "ord"])
-    size = stats.robust_median(good, [*keys, "ord"], "size", "_n", distinct=False).withColumnRenamed("median", "font_size")
+    size = stats.robust_median(good, [*keys, "ord"], "size", "_n", distinct=False, bounded=True).withColumnRenamed("median", "font_size")
     out = own.join(size, [*keys, "ord"]).withColumn("reason", F.when(F.col("_on_route"), ROUTE_ICON).otherwise(GENERIC_ICON))
     side = lambda a, b: (F.get("box", F.lit(b)) - F.get("box", F.lit(a))) / F.col("font_size")
     out = out.withColumns({"width_ratio": side(0, 2), "height_ratio": side(1, 3), "_most": icon_limits(F.col("reason"))})
@@ -236,7 +236,7 @@ def table_subtitles(nodes: DataFrame, fragments: DataFrame, keys: list[str]) ->
     name = T.collapsed(F.when(inline, F.col("_head")).otherwise(F.col("_all")))
     t = titles.join(g, at).where(shaped & F.length(name).between(1, 160) & F.coalesce("_placed", no))
     n = F.length(F.regexp_replace("text", T.WHITE + "+", ""))
-    weights = lambda rows, k: stats.weighted_median_lower(rows.where(lit & F.col("weight").isNotNull()).withColumn("_n", n), k, "weight", "_n")
+    weights = lambda rows, k: stats.weighted_median_lower(rows.where(lit & F.col("weight").isNotNull()).withColumn("_n", n), k, "weight", "_n", bounded=True)
     mine = weights(texts.where(frag & (head | (F.col("_cuts") >= 0))).join(t.select(*at, inline.alias("_inl")), at).where(~F.col("_inl") | head), at).withColumnRenamed("median", "weight")
     body_texts = ancestry(fragments, keys, "text", "weight", below=1).withColumnRenamed("_up", "_body").drop("path").join(t.select(*keys, "_body").distinct(), [*keys, "_body"], "left_semi")
     whole = body_texts.where(lit).groupBy(*keys, "_body").agg(F.every(F.col("weight").isNotNull()).alias("_w")).where("_w")

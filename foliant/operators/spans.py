@@ -46,7 +46,7 @@ def typography(fragments: DataFrame, keys: list[str]) -> DataFrame:
     base = seen.groupBy(*keys).agg(F.every(F.col("weight").isNotNull() & F.col("size").isNotNull()).alias("valid"), F.count_distinct("page", "mcid").alias("lines"))
     medians = base
     for what in ("weight", "size"):
-        m = stats.weighted_median_lower(seen.where(F.col(what).isNotNull()), keys, what, "_n").withColumnRenamed("median", what)
+        m = stats.weighted_median_lower(seen.where(F.col(what).isNotNull()), keys, what, "_n", bounded=True).withColumnRenamed("median", what)
         medians = medians.join(m, keys, "left")
     return medians.select(*keys, "valid", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in ("weight", "size")], "lines")
 

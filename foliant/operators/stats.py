@@ -7,54 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.sources.places import written
 
-CUTS = 16  # parts into which a key's values are dealt to find a rank
-MOST_KEYS = 10_000  # keys of which the driver holds the cuts
 
-
-def at_ranks(rows: DataFrame, keys: list[str], value: str, weight: str | None, ranks: dict[str, Callable[[float], float]]) -> DataFrame:
+def at_ranks(rows: DataFrame, keys: list[str], value: str, weight: str | None, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """keys and, for each rank (a function of the total weight), the smallest value at which the cumulative weight reaches it.
 
-    For few keys with very many values each.  A first pass finds approximate quantiles of each key, a second the weight
-    between them; these few numbers tell between which two quantiles a rank lies, and only the values there are ordered.  So
-    no key is ever ordered, or held, as a whole, and nothing but partial sums is shuffled.  Both passes run at once."""
+    Weights are summed for each value, and the sums dealt by ranges of key and value, so that a key with very many values is
+    ordered in many tasks.  The ranges' totals, a row for each key and range, tell which range a rank lies in and what comes
+    before it; only there values are counted through.  Null values and weights are left out; null keys are a key."""
     w = F.lit(1) if weight is None else F.col(weight)
-    r = rows.select(*keys, F.col(value).alias("_v"), w.alias("_w")).where("_v is not null and _w is not null")
-    marks = F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 1000)
-    found = r.groupBy(*keys).agg(F.array_distinct(marks).alias("_cuts"), F.sum("_w").alias("_all")).limit(MOST_KEYS + 1).collect()
-    if len(found) > MOST_KEYS:
-        raise ValueError(f"more than {MOST_KEYS} keys: group medians by window instead")
-    spark = rows.sparkSession
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    v = r.schema["_v"].dataType.simpleString()
-    cuts = spark.createDataFrame([(*(x[k] for k in keys), x["_cuts"]) for x in found], f"{kinds}, _cuts array<{v}>")
-    match = lambda other: [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
-    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    dealt = r.alias("r").join(F.broadcast(cuts).alias("c"), match("c")).select(*[f"r.{k}" for k in keys], "_v", "_w", part.alias("_part"))
-    sums = {}
-    for x in dealt.groupBy(*keys, "_part").agg(F.sum("_w").alias("_w")).collect():
-        sums.setdefault(tuple(x[k] for k in keys), []).append((x["_part"], x["_w"]))
-    wanted = []
-    for x in found:
-        key, upto = tuple(x[k] for k in keys), 0
-        left = {n: rank(x["_all"]) for n, rank in ranks.items()}
-        for p, n in sorted(sums.get(key, [])):
-            wanted += [(*key, p, name, float(rank - upto)) for name, rank in left.items() if upto < rank <= upto + n]
-            upto += n
-    targets = spark.createDataFrame(wanted, f"{kinds}, _part int, _name string, _rank double")
-    near = dealt.alias("r").join(F.broadcast(targets).alias("t"), [*match("t"), F.col("r._part") == F.col("t._part")])
-    near = near.select(*[f"r.{k}" for k in keys], "_v", "_w", "_name", "_rank").groupBy(*keys, "_name", "_rank", "_v").agg(F.sum("_w").alias("_w"))
-    cum = F.sum("_w").over(Window.partitionBy(*keys, "_name").orderBy("_v"))
-    hit = near.withColumn("_cum", cum).where(F.col("_cum") >= F.col("_rank"))
-    return hit.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ranks])
-
-
-def weighted_median_lower(rows: DataFrame, keys: list[str], value: str, weight: str, large: bool = False) -> DataFrame:
+    summed = rows.select(*keys, F.col(value).alias("_v"), w.alias("_w")).where("_v is not null and _w is not null").groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    dealt = written(summed.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "ranks")
+    own = Window.partitionBy(*keys)
+    totals = dealt.groupBy(*keys, "_part").agg(F.sum("_w").alias("_n")).withColumns({"_upto": F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(own)})
+    asked = totals.withColumn("_r", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), rank(F.col("_all")).cast("double").alias("rank")) for n, rank in ranks.items()])))
+    asked = asked.where("_upto < _r.rank and _r.rank <= _upto + _n")
+    match = [F.col(f"d.{k}").eqNullSafe(F.col(f"a.{k}")) for k in (*keys, "_part")]
+    near = dealt.alias("d").join(asked.alias("a"), match).select(*[f"d.{k}" for k in keys], "d._part", "_v", "_w", "_upto", "_r")
+    reached = F.col("_upto") + F.sum("_w").over(Window.partitionBy(*keys, "_part", "_r").orderBy("_v"))
+    hit = near.withColumn("_reached", reached).where("_reached >= _r.rank")
+    return hit.groupBy(*keys).agg(*[F.min(F.when(F.col("_r.name") == n, F.col("_v"))).alias(n) for n in ranks])
+
+
+def weighted_median_lower(rows: DataFrame, keys: list[str], value: str, weight: str, bounded: bool = False) -> DataFrame:
     """The smallest value at which the cumulative weight reaches half of the total.
 
-    Weights are summed per distinct value first, so the window sees one row a value; for few keys of very many values
-    (`large`) see at_ranks()."""
-    if large:
+    `bounded` states that a key never has more different values than one task can order, as those of one paragraph; then they
+    are ordered by a window, within the plan.  Any others go by at_ranks()."""
+    if not bounded:
         return at_ranks(rows, keys, value, weight, {"median": lambda n: n / 2})
     summed = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
     w = Window.partitionBy(*keys).orderBy(value)
@@ -62,37 +43,40 @@ def weighted_median_lower(rows: DataFrame, keys: list[str], value: str, weight:
     return marked.where(F.col("_cum") >= F.col("_all") / 2).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
-def weighted_median_mid(rows: DataFrame, keys: list[str], value: str, weight: str | None, large: bool = False) -> DataFrame:
+def weighted_median_mid(rows: DataFrame, keys: list[str], value: str, weight: str | None, bounded: bool = False) -> DataFrame:
     """The mean of the two middle ranks (integer weights; without weights each value counts once)."""
-    if not large:
+    if bounded:
         middle = F.median(value) if weight is None else F.percentile(value, 0.5, F.col(weight).cast("long"))
         return rows.groupBy(*keys).agg(middle.alias("median"))
     counted = rows if weight is None else rows.withColumn("_weight", F.col(weight).cast("long"))
-    both = at_ranks(counted, keys, value, weight and "_weight", {"_low": lambda n: (n + 1) // 2, "_high": lambda n: n // 2 + 1})
+    both = at_ranks(counted, keys, value, weight and "_weight", {"_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.floor(n / 2) + 1})
     return both.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
-def robust_median(rows: DataFrame, keys: list[str], value: str, weight: str, limit: float = 3 * 1.4826, distinct: bool = True, large: bool = False) -> DataFrame:
+def robust_median(rows: DataFrame, keys: list[str], value: str, weight: str, limit: float = 3 * 1.4826, distinct: bool = True, bounded: bool = False) -> DataFrame:
     """The mid weighted median of values whose log lies within `limit` median absolute deviations of the log median.
 
     Medians of the logs are over distinct values, or over all samples; without any deviation only the median itself stays."""
     logs = rows.select(*keys, F.ln(value).alias("_l"))
     logs = logs.distinct() if distinct else logs
-    centre = weighted_median_mid(logs, keys, "_l", None, large).withColumnRenamed("median", "_c")
+    centre = weighted_median_mid(logs, keys, "_l", None, bounded).withColumnRenamed("median", "_c")
+    centre = centre if bounded else written(centre, "centres")  # a row a key, which three steps read
     away_ = logs.join(centre, keys).select(*keys, F.abs(F.col("_l") - F.col("_c")).alias("_d"))
-    spread = weighted_median_mid(away_, keys, "_d", None, large).withColumnRenamed("median", "_m").join(centre, keys)
+    spread = weighted_median_mid(away_, keys, "_d", None, bounded).withColumnRenamed("median", "_m").join(centre, keys)
+    spread = spread if bounded else written(spread, "spreads")
     away = F.abs(F.ln(value) - F.col("_c"))
     near = F.when(F.col("_m") < 1e-12, away < 1e-12).otherwise(away <= limit * F.col("_m"))
     marked = rows.join(spread, keys).withColumn("_near", near)
     some = marked.groupBy(*keys).agg(F.bool_or("_near").alias("_some"))
-    return weighted_median_mid(marked.join(some, keys).where(F.col("_near") | ~F.col("_some")), keys, value, weight, large)
+    return weighted_median_mid(marked.join(some, keys).where(F.col("_near") | ~F.col("_some")), keys, value, weight, bounded)
 
 
-def robust_range(rows: DataFrame, keys: list[str], value: str, width: float = 3 * 1.4826, large: bool = False) -> DataFrame:
+def robust_range(rows: DataFrame, keys: list[str], value: str, width: float = 3 * 1.4826, bounded: bool = False) -> DataFrame:
     """keys, centre (the median), mad (the median distance from it), low and high."""
-    centre = weighted_median_mid(rows, keys, value, None, large).withColumnRenamed("median", "centre")
+    centre = weighted_median_mid(rows, keys, value, None, bounded).withColumnRenamed("median", "centre")
+    centre = centre if bounded else written(centre, "centres")
     away = rows.join(centre, keys).select(*keys, F.abs(F.col(value) - F.col("centre")).alias("_d"))
-    dev = weighted_median_mid(away, keys, "_d", None, large).withColumnRenamed("median", "mad").join(centre, keys)
+    dev = weighted_median_mid(away, keys, "_d", None, bounded).withColumnRenamed("median", "mad").join(centre, keys)
     return dev.withColumns({"low": F.col("centre") - width * F.col("mad"), "high": F.col("centre") + width * F.col("mad")})
 
 

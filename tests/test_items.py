@@ -17,7 +17,7 @@ def kinds_of(spark, text, spans=None):
 def test_bullets_take_plain_lines_and_blanks_do_not_part(spark):
     assert kinds_of(spark, "• one\nmore of one\n\nstill more words here\n• two\n2. three") == [("bullet", "• one more of one still more words here"), ("bullet", "• two"), ("bullet", "2. three")]
     assert kinds_of(spark, "•\nfirst part\nsecond part\n•\n•\nthird") == [("bullet", "first part second part"), ("bullet", "third")]
-    assert kinds_of(spark, "it begins\n\nand goes on\r\nto its end") == [("body", "it begins and goes on to its end")]
+    assert kinds_of(spark, "it begins\n\nwhich then proceeds\r\ntowards its end") == [("body", "it begins which then proceeds towards its end")]
 
 
 def test_headings_join_up_to_their_length_and_notes_go_on(spark):

@@ -93,8 +93,8 @@ def test_medians_of_large_groups_against_plain_python(spark):
     for k, v, w in rows:
         if v is not None:
             groups.setdefault(k, []).extend([v] * w)
-    low = {r.k: r.median for r in stats.weighted_median_lower(df, ["k"], "v", "w", large=True).collect()}
-    mid = {r.k: r.median for r in stats.weighted_median_mid(df, ["k"], "v", "w", large=True).collect()}
+    low = {r.k: r.median for r in stats.weighted_median_lower(df, ["k"], "v", "w").collect()}
+    mid = {r.k: r.median for r in stats.weighted_median_mid(df, ["k"], "v", "w").collect()}
     assert low == {k: statistics.median_low(v) for k, v in groups.items()} and mid == {k: statistics.median(v) for k, v in groups.items()}
 
 
