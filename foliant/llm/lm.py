@@ -2,7 +2,8 @@
 
 A target and a background bigram model share one vocabulary, all words of the corpus, and one smoothing.  The background
 is all documents, its counts scaled to the target's number of tokens, so that smoothing weighs alike in both.  A
-document's score is the mean over its tokens of target loss minus background loss: lower is more like the target.
+document's score is the mean over its tokens of target loss minus background loss: lower is more like the target.  A target
+document is scored by the target without itself, so that having been in the target is no merit.
 
 Counts are exact for every word and bigram, keyed by 64-bit hashes, and never gathered in one place: documents are dealt
 into blocks, each block sends its pre-aggregated counts to the buckets of hash ranges, and each bucket answers with the
@@ -17,6 +18,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from .common import mix64, small_batches
 
 PRIOR = 50.0  # pseudo-count of the unigram distribution in each context
 FIRST = 2  # entries of the vocabulary that are no words: the unknown word and the begin of a document
-BLOCKS = 4  # blocks of documents for each shuffle partition
+BLOCKS = 4  # blocks of documents for each shuffle partition, or more where one would hold more than BLOCK_BYTES of the table
+BLOCK_BYTES = 16 << 20
 BEGIN = np.uint64(0)  # stands before the first word
 
 SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("n_words", pa.binary()), ("pairs", pa.binary()), ("n_pairs", pa.binary())])
@@ -74,15 +77,23 @@ def texts_of(table: pa.Table) -> list[str]:
     return [t or "" for t in table.column("text").to_pylist()]
 
 
+def parted(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A block's documents, and which of them are targets, by the rows of marks among its rows."""
+    marks = table.filter(table.column("mark"))
+    docs = table.filter(pc.invert(table.column("mark")))
+    wanted = set(marks.column("doc_id").to_pylist())
+    return docs, np.array([i in wanted for i in docs.column("doc_id").to_pylist()], dtype=bool)
+
+
 def sender(buckets: int):
     """A block's counts, a row a bucket: sorted word hashes with four counts (as word, as context; every, target), pairs with two."""
 
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
+        docs, wanted = parted(table)
         if not docs.num_rows:
             return SENT.empty_table()
         before, word, doc = hashed(texts_of(docs))
-        wanted = set(marks.column("doc_id").to_pylist())
-        target = np.array([i in wanted for i in docs.column("doc_id").to_pylist()], dtype=bool)[doc]
+        target = wanted[doc]
         words, at = np.unique(np.concatenate([word, before]), return_inverse=True)
         n, m = len(word), len(words)
         uses = (at[:n], at[n:], at[:n][target], at[n:][target])
@@ -118,14 +129,21 @@ def answered(sent: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, ANSWERS)], schema=ANSWERS)
 
 
-def losses(pair: np.ndarray, context: np.ndarray, uni: np.ndarray, mass: float, v: int, scale: float) -> np.ndarray:
+def within(doc: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
+    """For each token how often its document has its key."""
+    _, at, times = np.unique(doc * keys + key, return_inverse=True, return_counts=True)
+    return times[at]
+
+
+def losses(pair: np.ndarray, context: np.ndarray, uni: np.ndarray, mass: float | np.ndarray, v: int, scale: float) -> np.ndarray:
     """Losses of bigrams by the counts of one side, scaled by `scale`."""
     one = (uni * scale + 0.01) / (mass * scale + 0.01 * v)
     return -np.log((pair * scale + PRIOR * one) / (context * scale + PRIOR))
 
 
-def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
     """The scores of a block's documents from the sums that all buckets gave for its words and pairs."""
+    docs, wanted = parted(table)
     if not docs.num_rows:
         return SCORES.empty_table()
     before, word, doc = hashed(texts_of(docs))
@@ -138,8 +156,14 @@ def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     w, b = at[: len(word)], at[len(word) :]
     _, p = np.unique(pairs_of(before, word), return_inverse=True)
     far = losses(n_pairs[0][p], n_words[1][b], n_words[0][w], total["every"], v, total["target"] / total["every"] if total["target"] else 1.0)
-    near = losses(n_pairs[1][p], n_words[3][b], n_words[2][w], total["target"], v, 1.0) if total["target"] else far
     n = np.bincount(doc, minlength=docs.num_rows)
+    if total["target"]:
+        own = wanted[doc]  # what a target document itself gave is taken off again
+        less = lambda key, keys: np.where(own, within(doc, key, keys), 0)
+        m = len(at) and int(at.max()) + 1
+        near = losses(n_pairs[1][p] - less(p, len(p)), n_words[3][b] - less(b, m), n_words[2][w] - less(w, m), total["target"] - np.where(own, n[doc], 0), v, 1.0)
+    else:
+        near = far
     with np.errstate(invalid="ignore", divide="ignore"):
         near, far = (np.bincount(doc, x, docs.num_rows) / n for x in (near, far))
     as_null = lambda x: pa.array(x, mask=n == 0)
@@ -155,11 +179,14 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = lambda x: F.pmod(F.xxhash64(x), F.lit(BLOCKS * buckets)).cast("int").alias("block")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    blocks = min(max(BLOCKS * buckets, -(-size // BLOCK_BYTES)), (1 << 31) - 1)
+    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int").alias("block")
     ident: Column = F.col("doc_id").cast("long")
     # the same rows are dealt alike for counting and for scoring, so both read one exchange
-    rows = docs.select(block(F.coalesce(ident, F.xxhash64("text"))), ident.alias("doc_id"), "text")
-    marks = wanted.where("doc_id is not null").select(block(ident), ident.alias("doc_id")).distinct()
-    sent = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(sender(buckets), "block int, bucket int, words binary, n_words binary, pairs binary, n_pairs binary")
+    rows = docs.select(block(F.coalesce(ident, F.xxhash64("text"))), ident.alias("doc_id"), "text", F.lit(False).alias("mark"))
+    marks = wanted.where("doc_id is not null").select(block(ident), ident.alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark")).distinct()
+    rows = rows.unionByName(marks)
+    sent = rows.groupBy("block").applyInArrow(sender(buckets), "block int, bucket int, words binary, n_words binary, pairs binary, n_pairs binary")
     answers = sent.groupBy("bucket").applyInArrow(answered, "block int, bucket int, n_words binary, n_pairs binary, vocabulary long, every long, target long")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -312,26 +312,26 @@ def test_lm_against_plain_counts(spark, odd, none):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(df, spark.createDataFrame([(1,), (3,)], "doc_id long")).collect()}
 
-    def loss(target):
+    def loss(target, scored):
         from collections import Counter
 
         uni, pair, ctx = Counter(), Counter(), Counter()
         for i, t in docs:
             w = (t or "").split()
             for p, c in zip(["<s>", *w], w):
-                if not target or i in (1, 3):
+                if not target or i in {1, 3} - {scored}:  # a target document is not measured by itself
                     uni[c] += 1
                     pair[p, c] += 1
                     ctx[p] += 1
         k = 1.0 if target else 8 / 12
         v = 5  # unknown, begin, a, b, c
         one = lambda c: (uni[c] * k + 0.01) / (sum(uni.values()) * k + 0.01 * v)
-        return {i: np.mean([-np.log((pair[p, c] * k + lm.PRIOR * one(c)) / (ctx[p] * k + lm.PRIOR)) for w in [t.split()] for p, c in zip(["<s>", *w], w)]) for i, t in docs if t}
+        w = dict(docs)[scored].split()
+        return np.mean([-np.log((pair[p, c] * k + lm.PRIOR * one(c)) / (ctx[p] * k + lm.PRIOR)) for p, c in zip(["<s>", *w], w)])
 
-    for i, x in loss(True).items():
-        assert got[i].target_loss == pytest.approx(x, rel=1e-5)
-    for i, x in loss(False).items():
-        assert got[i].background_loss == pytest.approx(x, rel=1e-5)
+    for i in (1, 2, 3):
+        assert got[i].target_loss == pytest.approx(loss(True, i), rel=1e-5)
+        assert got[i].background_loss == pytest.approx(loss(False, i), rel=1e-5)
     assert got[4].score is None and got[1].score < got[2].score
     assert lm.score(odd, none.select("doc_id")).count() == len(ODD) and lm.score(none, none.select("doc_id")).count() == 0
 
@@ -356,11 +356,26 @@ def test_lm_counts_every_word_and_bigram(spark):
         w = t.split()
         want = []
         for side, k in ((1, 1.0), (0, mass[1] / mass[0])):
-            one = lambda c: (uni[side][c] * k + 0.01) / (mass[side] * k + 0.01 * v)  # noqa: B023, E731
-            want.append(np.mean([-np.log((pair[side][p, c] * k + lm.PRIOR * one(c)) / (ctx[side][p] * k + lm.PRIOR)) for p, c in zip(["<s>", *w], w)]))
+            own = side == 1 and i % 3 == 0  # a target document is not measured by itself
+            u, x, y = (all_ - Counter(mine) if own else all_ for all_, mine in ((uni[side], w), (ctx[side], ["<s>", *w[:-1]]), (pair[side], zip(["<s>", *w], w))))
+            one = lambda c: (u[c] * k + 0.01) / ((mass[side] - own * len(w)) * k + 0.01 * v)  # noqa: B023, E731
+            want.append(np.mean([-np.log((y[p, c] * k + lm.PRIOR * one(c)) / (x[p] * k + lm.PRIOR)) for p, c in zip(["<s>", *w], w)]))
         assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(want), rel=1e-9)
 
 
+def test_lm_does_not_favour_what_was_in_the_target(spark):
+    """Half of the good documents as target: those in it and those left out score alike, measured by the distance to bad ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    good = sorted(i for i, q in labels.items() if q == 1)
+    inside = set(good[::2])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.score for r in lm.score(docs, spark.createDataFrame([(i,) for i in inside], "doc_id long")).collect() if r.score is not None}
+    mean = lambda ids: np.mean([got[i] for i in ids if i in got])
+    seen, unseen, bad = mean(inside), mean(set(good) - inside), mean(i for i, q in labels.items() if q == 0)
+    assert abs(seen - unseen) < 0.1 * (bad - unseen), (seen, unseen, bad)
+
+
 def test_deduplicated_keeps_one_row_an_id(spark):
     text = "one two three four five six seven"
     rows = [(1, text, "a"), (1, text, "b"), (1, "other words stand here now", "c"), (2, text, "d"), (3, None, "e"), (None, text, "f"), (4, "", "g"), (4, "", "h")]
