@@ -130,8 +130,10 @@ def _path_intervals(t) -> DataFrame:
     return m.withColumn("ordinal", at).where("ordinal % 2 = 1").select("doc", "ordinal", F.col("path").alias("start_path"), F.col("path").alias("end_path"))
 
 
-@query(f"""WITH {TREE}, m AS (SELECT doc, path, row_number() OVER (PARTITION BY doc ORDER BY path) AS ordinal FROM nd WHERE len(path) = 2)
-SELECT nd.doc, array_to_string(nd.path, '.') AS path, CAST(ordinal AS INTEGER) AS ordinal FROM nd LEFT JOIN m ON m.doc = nd.doc AND ordinal % 2 = 1 AND nd.path >= m.path AND (nd.path <= m.path OR nd.path[1:2] = m.path)""")
+@query(f"""WITH {TREE}, m AS (SELECT doc, path, row_number() OVER (PARTITION BY doc ORDER BY path) AS ordinal FROM nd WHERE len(path) = 2),
+u AS (SELECT doc, path, 0 AS r, path AS ip, ordinal FROM m WHERE ordinal % 2 = 1 UNION ALL SELECT doc, path, 1, NULL, NULL FROM nd),
+p AS (SELECT doc, path, r, last_value(ip IGNORE NULLS) OVER w AS ip, last_value(ordinal IGNORE NULLS) OVER w AS o FROM u WINDOW w AS (PARTITION BY doc ORDER BY path, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc, array_to_string(path, '.') AS path, CAST(CASE WHEN path <= ip OR path[1:2] = ip THEN o END AS INTEGER) AS ordinal FROM p WHERE r = 1""")
 def path_intervals(t) -> DataFrame:
     return N.in_path_intervals(_tree(t), _path_intervals(t), KEYS).select("doc", path_text().alias("path"), "ordinal")
 
