@@ -366,10 +366,11 @@ def reversed_block(nodes: DataFrame, keys: list[str], order: str, inside: Column
     block = Window.partitionBy(*keys, "_in")
     rows = rows.withColumns({"_lo": F.min("_pos").over(block), "_hi": F.max("_pos").over(block), "_n": F.count("*").over(block)})
     whole = F.every(~F.col("_in") | (F.col("_hi") - F.col("_lo") + 1 == F.col("_n"))).over(Window.partitionBy(*keys))
-    place = F.row_number().over(Window.partitionBy(*keys, "_in").orderBy(F.desc(order)))
-    mirrored = F.collect_list("_pos").over(Window.partitionBy(*keys, "_in").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("contiguous", whole).withColumn("new_order", F.when(F.col("_in"), F.get(mirrored, place - 1)).otherwise(F.col("_pos")))
-    return rows.drop("_in", "_pos", "_lo", "_hi", "_n")
+    ranked = rows.withColumn("contiguous", whole).withColumn("_rank", F.row_number().over(block.orderBy(order)))
+    # each takes the place of the one that is as far from the other end
+    places = ranked.where("_in").select(*keys, F.lit(True).alias("_in"), (F.col("_n") + 1 - F.col("_rank")).alias("_rank"), F.col("_pos").alias("_mirror"))
+    out = ranked.join(places, [*keys, "_in", "_rank"], "left").withColumn("new_order", F.coalesce("_mirror", "_pos"))
+    return out.drop("_in", "_pos", "_lo", "_hi", "_n", "_rank", "_mirror")
 
 
 def permuted(nodes: DataFrame, permutation: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -377,10 +378,11 @@ def permuted(nodes: DataFrame, permutation: DataFrame, keys: list[str], order: s
     does not name keep their place.  valid tells whether the table names places that its nodes had."""
     p = permutation.select(*keys, order, F.col("place").alias("_place"))
     rows = nodes.join(p, [*keys, order], "left")
-    w = Window.partitionBy(*keys)
-    named = F.col("_place").isNotNull()
-    same = F.array_sort(F.collect_list(F.when(named, F.col(order))).over(w)) == F.array_sort(F.collect_list("_place").over(w))
-    return rows.withColumns({"valid": same, "new_order": F.coalesce("_place", order)}).drop("_place")
+    named = rows.where("_place is not null")
+    sides = named.select(*keys, F.col(order).cast("long").alias("_x"), F.lit(1).alias("_s")).unionByName(named.select(*keys, F.col("_place").cast("long").alias("_x"), F.lit(-1).alias("_s")))
+    odd = sides.groupBy(*keys, "_x").agg(F.sum("_s").alias("_s")).where("_s <> 0").select(*keys).distinct().withColumn("_odd", F.lit(True))
+    out = rows.join(odd, keys, "left")
+    return out.withColumns({"valid": F.col("_odd").isNull(), "new_order": F.coalesce("_place", order)}).drop("_place", "_odd")
 
 
 def matrix(cells: DataFrame, keys: list[str], order: str, rows: int, columns: int, tolerance: float = 1.0) -> DataFrame:

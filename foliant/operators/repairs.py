@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators.nodes import prefixes
+from foliant.sources.places import written
 
 BASELINE = 0.05  # points by which texts of one line may differ
 RTL_LETTERS = r"\p{InArabic}\p{InArabicSupplement}\p{InHebrew}"
@@ -118,7 +119,8 @@ def walked(edges: DataFrame, roots: DataFrame, keys: list[str], most: int = 1000
     """Nodes (keys, path, ref, page) of trees that are stored as references, and diagnostics (keys, path, ref, code).
 
     edges: keys, ref, ord, child, page; a child without a page has its parent's.  roots: keys, ref, page.  A reference that
-    leads back to a node above is a cycle: it is told and not followed.  Each level of the tree is one join."""
+    leads back to a node above is a cycle: it is told and not followed.  Each level of the tree is one join, and is written, so that
+    none is worked out again for those below it."""
     level = roots.select(*keys, F.array(F.lit(0)).alias("path"), "ref", "page", F.array("ref").alias("_above"))
     found, faults = level.drop("_above"), None
     for _ in range(most):
@@ -127,7 +129,7 @@ def walked(edges: DataFrame, roots: DataFrame, keys: list[str], most: int = 1000
         bad = F.array_contains("_above", F.col("ref"))
         told = below.where(bad).select(*keys, "path", "ref", F.lit("structure_cycle").alias("code"))
         faults = told if faults is None else faults.unionByName(told)
-        level = below.where(~bad).withColumn("_above", F.array_append("_above", F.col("ref")))
+        level = written(below.where(~bad).withColumn("_above", F.array_append("_above", F.col("ref"))), "tree-level")
         if level.isEmpty():
             return found, faults
         found = found.unionByName(level.drop("_above"))
