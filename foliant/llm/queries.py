@@ -121,5 +121,15 @@ SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id, doc_id =
 """
 
 
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE nth > 1),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS told, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(told, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_warc": OP1_SQL, "op5_neardup": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op5_neardup": OP5_SQL, "op11_substrings": OP11_SQL}
