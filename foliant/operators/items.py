@@ -20,16 +20,31 @@ QUOTES = ('"', "'", "“", "”")
 SPAN = "text string, size double, strong boolean, y0 double, y1 double"
 
 
-def classed(raw: Column) -> Column:
-    """A line's text, its class, and what the walk asks of it."""
-    x = T.collapsed(raw)
+def stripped(raw: Column) -> Column:
+    """A line's collapsed text and its length as it stands, without white space at its ends."""
+    return F.struct(T.collapsed(raw).alias("text"), F.length(F.regexp_replace(raw, rf"^{T.WHITE}+|{T.WHITE}+$", "")).alias("chars"))
+
+
+def classed(line: Column) -> Column:
+    """A stripped line with each class on its own, whichever claims it first, and what else the walk asks of it."""
+    x = line["text"]
     return F.struct(
-        x.alias("text"), T.line_kind(x).alias("kind"), F.length(F.regexp_replace(raw, rf"^{T.WHITE}+|{T.WHITE}+$", "")).alias("chars"), T.continues_run(x).alias("plain"),
-        T.is_navigation(x).alias("navigation"), T.is_ui_label(x).alias("ui_label"), T.is_warning(x).alias("warning"), T.is_heading(x).alias("heads"),
-        x.startswith(T.NOTE_START).alias("note"), x.startswith(T.PARTED_ITEM).alias("parted"), x.substr(1, 1).isin(*QUOTES).alias("quoted"),
+        x.alias("text"), line["chars"].alias("chars"), T.is_bullet(x).alias("bullet"), T.is_navigation(x).alias("navigation"), T.is_ui_label(x).alias("ui_label"), T.is_warning(x).alias("warning"),
+        T.is_list_item(x).alias("list_item"), T.is_titled(x).alias("heading"), x.startswith(T.NOTE_START).alias("note"), x.startswith(T.PARTED_ITEM).alias("parted"), x.substr(1, 1).isin(*QUOTES).alias("quoted"),
     )
 
 
+CLASSES = ("navigation", "ui_label", "warning", "list_item", "bullet", "heading")
+
+
+def told(line: dict) -> dict:
+    """The line with its kind, the first class that claims it, and whether it is plain or a heading."""
+    claims = [c for c in CLASSES if line[c]]
+    mark = line["text"] == T.STANDALONE_BULLET
+    heads = line["heading"] and not mark and not any(line[c] for c in CLASSES[:4])
+    return line | {"kind": "bullet" if mark else claims[0] if claims else "body", "plain": not claims, "heads": heads}
+
+
 def line_styles(lines: list[dict], spans: list[dict]) -> list[dict | None]:
     """Each line's span: the next one of equal text.  A line without one uses up all the rest, and lines below have none."""
     rest = iter(spans)
@@ -64,6 +79,7 @@ CARRIES_ON = {
 
 def walk(lines: list[dict], spans: list[dict]) -> Iterator[tuple[str, list[str]]]:
     """The items of a text's lines (none blank): kind and the lines' texts."""
+    lines = [told(line) for line in lines]
     styles = line_styles(lines, spans)
     groups = style_groups(styles)
     sort, parts, owed = "", [], 0
@@ -93,7 +109,7 @@ def review_items(docs: DataFrame, english: Column, spans: DataFrame | None = Non
     `english` says which texts are read line by line; any other is one body item.  spans: doc_id, ord, text, size, bold,
     underline, y0, y1 (y downwards) of the texts' styled lines in their order.  Blank lines are left out, and so is a bullet
     mark without text; a null or blank text has no items.  Rows of docs that share a doc_id have items each, of their own."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), T.LINE_END), classed), lambda s: s["text"] != "")
+    lines = F.transform(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), T.LINE_END), stripped), lambda s: s["text"] != ""), classed)
     rows = docs.select("doc_id", F.coalesce(english, F.lit(False)).alias("english"), lines.alias("lines"), T.collapsed(F.coalesce("text", F.lit(""))).alias("whole"))
     rows = rows.withColumn("lines", F.when(F.col("english"), F.col("lines")).otherwise(F.array()))
     none = F.lit(None).cast(f"array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>")
