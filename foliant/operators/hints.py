@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate, pairwise, zip_longest
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,47 +54,64 @@ def route_bounds(text: str) -> list[int]:
     return found
 
 
-def flow_scan(items: list[str | None]) -> pd.DataFrame:
-    """A row for each character of a flow: the character, the item that it is from, the number of its sentence, and how many
-    parentheses of that sentence are open behind it.  A figure (None) is one character."""
+def sentence_of(text: str, lo: int, hi: int) -> tuple[int, bool, bool, list[int]]:
+    """(separators, whether it has a word, whether its parentheses are balanced, how many are open behind each character)."""
+    own = text[lo:hi]
+    depths = list(accumulate((c == "(") - (c == ")") for c in own))
+    return own.count(">"), any(c.isalnum() for c in own), depths[-1] == 0 and min(depths) == 0, depths
+
+
+BEFORE_MARK = re.compile(f"[^>{FIGURE}]*")
+
+
+def route_evidences(items: list[str | None]) -> list[tuple[int, bool, list[int]] | None]:
+    """For each item of a flow (separators, parenthesised, items) of the menu route that it stands in as a figure (None);
+    None for texts, and for figures that stand in none.
+
+    A separator or a parenthesised label has to stand next to it, and its sentence needs two separators and a word.  A figure is
+    one character of the flow, which is read once for all of them."""
     pieces = [FIGURE if t is None else t for t in items]
     text = "".join(pieces)
-    scan = pd.DataFrame({"char": list(text), "item": np.repeat(np.arange(len(items)), [len(p) for p in pieces])})
-    scan["sentence"] = np.searchsorted(route_bounds(text), np.arange(len(text)), side="right")
-    scan["open"] = ((scan["char"] == "(").astype(int) - (scan["char"] == ")")).groupby(scan["sentence"]).cumsum()
-    return scan
+    out: list[tuple[int, bool, list[int]] | None] = [None] * len(items)
+    if text.count(">") < 2:
+        return out
+    starts = [0, *accumulate(map(len, pieces))]
+    # the nearest item with anything visible on either side
+    shown = [i for i, p in enumerate(pieces) if p.strip()]
+    cuts = [0, *route_bounds(text), len(text)]
+    sentences_: dict[int, tuple] = {}
+    for nth, at in enumerate(shown):
+        if items[at] is not None:
+            continue
+        here = starts[at]
+        k = bisect_right(cuts, here)
+        lo, hi = cuts[k - 1], cuts[k]
+        if lo not in sentences_:
+            sentences_ = {lo: sentence_of(text, lo, hi)}  # figures come in order, so only the current one is kept
+        separators, words, balanced, depths = sentences_[lo]
+        if separators < 2 or not words:
+            continue
+        around = [items[i] for i in (*shown[max(0, nth - 1) : nth], *shown[nth + 1 : nth + 2])]
+        beside = any(t is not None and ">" in (t.strip()[0], t.strip()[-1]) for t in around)
+        label = labelled(BEFORE_MARK.match(text, here + 1)[0])
+        if beside or label:
+            held = range(bisect_right(starts, lo) - 1, bisect_left(starts, hi))
+            out[at] = separators, (balanced and depths[here - lo] > 0) or label, [i for i in held if items[i]]
+    return out
 
 
 def route_evidence(items: list[str | None], at: int) -> tuple[int, bool, list[int]] | None:
-    """(separators, parenthesised, items) of the menu route that a figure (None among the texts of its flow) stands in.
-
-    A separator or a parenthesised label has to stand next to it, and its sentence needs two separators and a word."""
-    if not 0 <= at < len(items) or items[at] is not None:
-        return None
-    scan = flow_scan(items)
-    here = int(scan.index[scan["item"] == at][0])
-    own = scan[scan["sentence"] == scan["sentence"][here]]
-    separators = int((own["char"] == ">").sum())
-    if separators < 2 or not own["char"].str.isalnum().any():
-        return None
-    # the first and last visible character of each text; those on either side count if no figure comes first
-    seen = scan[~scan["char"].str.isspace()].groupby("item")["char"].agg(["first", "last"])
-    around = [seen[seen.index < at].tail(1), seen[seen.index > at].head(1)]
-    beside = any(items[i] is not None and ">" in (first, last) for side in around for i, first, last in side.itertuples())
-    label = labelled(re.match(f"[^>{FIGURE}]*", "".join(scan["char"][here + 1 :]))[0])
-    if not beside and not label:
-        return None
-    balanced = own["open"].iloc[-1] == 0 and own["open"].min() == 0
-    return separators, bool(balanced and scan["open"][here] > 0) or label, [i for i in own["item"].unique().tolist() if items[i] is not None]
+    """The evidence for one figure of a flow."""
+    return route_evidences(items)[at] if 0 <= at < len(items) else None
 
 
 ROUTE = StructType([StructField("separators", IntegerType()), StructField("parenthesized", BooleanType()), StructField("items", ArrayType(IntegerType()))])
 
 
-@pandas_udf(ROUTE)
-def menu_routes(items: pd.Series, at: pd.Series) -> pd.DataFrame:
-    found = [route_evidence(list(x), int(i)) if x is not None else None for x, i in zip(items, at)]
-    return pd.DataFrame({"separators": [f and f[0] for f in found], "parenthesized": [f and f[1] for f in found], "items": [f and f[2] for f in found]}, dtype=object)
+@pandas_udf(ArrayType(ROUTE))
+def menu_routes(items: pd.Series) -> pd.Series:
+    names = ROUTE.fieldNames()
+    return pd.Series([[r and dict(zip(names, r)) for r in route_evidences(list(x))] for x in items], dtype=object)
 
 
 def inline_icons(flow: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,33 +120,37 @@ def inline_icons(flow: DataFrame, keys: list[str]) -> DataFrame:
 
     flow: keys (of a paragraph's flow), ord, page, text (null for a figure), size (of a text), box (of a figure), has_text
     (of a figure).  A figure is measured by the font size of the texts on its page around it: the robust median, weighted by
-    visible characters, of its menu route's texts if it stands in one."""
+    visible characters, of its menu route's texts if it stands in one.
+
+    All steps are windows and groups within a flow, so nothing is joined and each flow is read once for all its figures; a
+    flow's stretch on one page is one row's array on the way."""
     w = Window.partitionBy(*keys).orderBy("ord")
     new = ~F.col("page").eqNullSafe(F.lag("page").over(w)) | F.lag("ord").over(w).isNull()
     rows = flow.withColumn("_new", new.cast("int")).withColumn("_seg", F.sum("_new").over(w))
     seg = [*keys, "_seg"]
-    rows = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*seg).orderBy("ord")) - 1)
     figure = F.col("text").isNull()
-    counts = figure | visible(F.col("text"))
-    mark = F.when(counts, F.struct(figure.alias("f"), F.col("page").alias("p")))
+    seen = visible(F.col("text"))
+    mark = F.when(figure | seen, F.struct(figure.alias("f"), F.col("page").alias("p")))
     before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("_m", mark).withColumns({"_l": F.last("_m", ignorenulls=True).over(before), "_r": F.first("_m", ignorenulls=True).over(behind)})
     beside = lambda c: F.coalesce(~F.col(f"{c}.f") & (F.col(f"{c}.p") == F.col("page")), F.lit(False))
-    texts = rows.groupBy(*seg).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "text"))), lambda s: s["text"]).alias("_items"))
-    fine = figure & (F.col("page") >= 0) & ~F.col("has_text") & F.col("box").isNotNull() & (beside("_l") | beside("_r"))
-    own = rows.where(fine).select(*seg, "ord", F.col("_pos").alias("_at"), "box").join(texts, seg)
-    own = own.withColumn("_route", menu_routes("_items", "_at")).withColumn("_on_route", F.col("_route.separators").isNotNull())
-    letters = F.length(F.regexp_replace("text", T.WHITE + "+", ""))
-    sized = rows.where(visible(F.col("text"))).select(*seg, "_pos", "size", letters.alias("_n"))
-    used = own.select(*seg, "ord", "_on_route", "_route").join(sized, seg).where(~F.col("_on_route") | F.array_contains("_route.items", F.col("_pos")))
-    whole = used.groupBy(*keys, "ord").agg(F.every(F.coalesce((F.col("size") > 0) & (F.col("size") < float("inf")), F.lit(False))).alias("_whole"))
-    good = used.join(whole.where("_whole"), [*keys, "ord"])
-    size = stats.robust_median(good, [*keys, "ord"], "size", "_n", distinct=False, bounded=True).withColumnRenamed("median", "font_size")
-    out = own.join(size, [*keys, "ord"]).withColumn("reason", F.when(F.col("_on_route"), ROUTE_ICON).otherwise(GENERIC_ICON))
-    side = lambda a, b: (F.get("box", F.lit(b)) - F.get("box", F.lit(a))) / F.col("font_size")
-    out = out.withColumns({"width_ratio": side(0, 2), "height_ratio": side(1, 3), "_most": icon_limits(F.col("reason"))})
+    fine = F.coalesce(figure & (F.col("page") >= 0) & ~F.col("has_text") & F.col("box").isNotNull() & (beside("_l") | beside("_r")), F.lit(False))
+    side = lambda a, b: F.get("box", F.lit(b)) - F.get("box", F.lit(a))
+    letters = F.when(seen, F.length(F.regexp_replace("text", T.WHITE + "+", "")))
+    item = F.struct("ord", "text", "size", letters.alias("n"), fine.alias("fine"), side(0, 2).alias("w"), side(1, 3).alias("h"))
+    pages = rows.groupBy(*seg).agg(F.array_sort(F.collect_list(item)).alias("_f"), F.bool_or(fine).alias("_any")).where("_any")
+    pages = pages.withColumn("_routes", menu_routes(F.transform("_f", lambda x: x["text"])))
+    own = pages.select(*seg, "_f", "_routes", F.posexplode("_f").alias("_at", "_own")).where("_own.fine").withColumn("_route", F.get("_routes", F.col("_at")))
+    of = [*keys, "ord", "_w", "_h", "separators", "parenthesized"]
+    told = own.select(*keys, "_own.ord", F.col("_own.w").alias("_w"), F.col("_own.h").alias("_h"), "_route.separators", "_route.parenthesized", F.col("_route.items").alias("_held"), F.posexplode("_f").alias("_i", "_x"))
+    used = told.where(F.col("_x.n").isNotNull() & (F.col("separators").isNull() | F.array_contains("_held", F.col("_i")))).select(*of, F.col("_x.size").alias("size"), F.col("_x.n").alias("_n"))
+    whole = F.every(F.coalesce((F.col("size") > 0) & (F.col("size") < float("inf")), F.lit(False))).over(Window.partitionBy(*of))
+    good = used.withColumn("_whole", whole).where("_whole")
+    out = stats.robust_median(good, of, "size", "_n", distinct=False, bounded=True).withColumnRenamed("median", "font_size")
+    out = out.withColumn("reason", F.when(F.col("separators").isNotNull(), ROUTE_ICON).otherwise(GENERIC_ICON))
+    out = out.withColumns({"width_ratio": F.col("_w") / F.col("font_size"), "height_ratio": F.col("_h") / F.col("font_size"), "_most": icon_limits(F.col("reason"))})
     out = out.where((F.col("width_ratio") <= F.col("_most.width")) & (F.col("height_ratio") <= F.col("_most.height")))
-    return out.select(*keys, "ord", "reason", "font_size", "width_ratio", "height_ratio", F.col("_route.separators").alias("separators"), F.col("_route.parenthesized").alias("parenthesized"))
+    return out.select(*keys, "ord", "reason", "font_size", "width_ratio", "height_ratio", "separators", "parenthesized")
 
 
 def flow_breaks(texts: list[str]) -> list[list[int]]:

@@ -57,18 +57,31 @@ def robust_median(rows: DataFrame, keys: list[str], value: str, weight: str, lim
     """The mid weighted median of values whose log lies within `limit` median absolute deviations of the log median.
 
     Medians of the logs are over distinct values, or over all samples; without any deviation only the median itself stays."""
+    if bounded:
+        return _robust_within(rows, keys, value, weight, limit, distinct)
     logs = rows.select(*keys, F.ln(value).alias("_l"))
     logs = logs.distinct() if distinct else logs
-    centre = weighted_median_mid(logs, keys, "_l", None, bounded).withColumnRenamed("median", "_c")
-    centre = centre if bounded else written(centre, "centres")  # a row a key, which three steps read
+    centre = written(weighted_median_mid(logs, keys, "_l", None).withColumnRenamed("median", "_c"), "centres")  # a row a key, which three steps read
     away_ = logs.join(centre, keys).select(*keys, F.abs(F.col("_l") - F.col("_c")).alias("_d"))
-    spread = weighted_median_mid(away_, keys, "_d", None, bounded).withColumnRenamed("median", "_m").join(centre, keys)
-    spread = spread if bounded else written(spread, "spreads")
+    spread = written(weighted_median_mid(away_, keys, "_d", None).withColumnRenamed("median", "_m").join(centre, keys), "spreads")
     away = F.abs(F.ln(value) - F.col("_c"))
     near = F.when(F.col("_m") < 1e-12, away < 1e-12).otherwise(away <= limit * F.col("_m"))
     marked = rows.join(spread, keys).withColumn("_near", near)
     some = marked.groupBy(*keys).agg(F.bool_or("_near").alias("_some"))
-    return weighted_median_mid(marked.join(some, keys).where(F.col("_near") | ~F.col("_some")), keys, value, weight, bounded)
+    return weighted_median_mid(marked.join(some, keys).where(F.col("_near") | ~F.col("_some")), keys, value, weight)
+
+
+def _robust_within(rows: DataFrame, keys: list[str], value: str, weight: str, limit: float, distinct: bool) -> DataFrame:
+    """robust_median() of keys that one task can order: windows over a key's rows, which are dealt once, and no join."""
+    own = Window.partitionBy(*keys)
+    first = F.row_number().over(Window.partitionBy(*keys, "_l").orderBy("_l")) == 1
+    logs = rows.withColumn("_l", F.ln(value))
+    logs = logs.withColumn("_s", F.when(first, F.col("_l")) if distinct else F.col("_l"))
+    spread = logs.withColumn("_c", F.median("_s").over(own)).withColumn("_m", F.median(F.abs(F.col("_s") - F.col("_c"))).over(own))
+    away = F.abs(F.col("_l") - F.col("_c"))
+    near = F.when(F.col("_m") < 1e-12, away < 1e-12).otherwise(away <= limit * F.col("_m"))
+    marked = spread.withColumn("_near", near).withColumn("_some", F.bool_or("_near").over(own))
+    return weighted_median_mid(marked.where(F.col("_near") | ~F.col("_some")), keys, value, weight, bounded=True)
 
 
 def robust_range(rows: DataFrame, keys: list[str], value: str, width: float = 3 * 1.4826, bounded: bool = False) -> DataFrame:
