@@ -92,7 +92,7 @@ def regulatory_topics(x: Column, cable: Column) -> Column:
     for topic, start, end in WIRELESS_TOPICS:
         found = T.segment(x, start, end)
         wireless.append(note(topic, found if end else F.when(found.endswith(CUT_HEIGHT), F.concat(found, F.lit(" ft)."))).otherwise(found)))
-    none = F.filter(F.array(*wireless), lambda n: F.lit(False))
+    none = F.array().cast("array<struct<topic_id: string, text: string>>")  # not a filtered list, which each item would make
     return F.when(x.contains(CLASS_NOTE), F.array(*device)).when(x.contains(WIRELESS_NOTE), F.array(*wireless)).otherwise(none)
 
 
@@ -121,30 +121,40 @@ def is_model_scoped(x: Column) -> Column:
 
 
 def closing(x: Column, opens_at: Column) -> Column:
-    """Position (from 1) of the parenthesis that closes the one at `opens_at`; 0 if none does."""
-    tail = F.substring(x, opens_at, F.length(x))
+    """Position (from 1) of the parenthesis that closes the one at `opens_at`; 0 if none does.
+
+    What stands before each closing one is a piece: the first at which as many have closed as opened is the one."""
+    pieces = F.split(F.substring(x, opens_at, F.length(x)), r"\)")
+    opened = lambda p: F.length(p) - F.length(F.replace(p, F.lit("("), F.lit("")))
     end = F.aggregate(
-        F.split(tail, ""),
+        F.slice(pieces, 1, F.size(pieces) - 1),
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("found")),
-        lambda s, c: F.struct(
-            (s["at"] + 1).alias("at"),
-            (s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"),
-            F.when((s["found"] == 0) & (c == ")") & (s["depth"] == 1), s["at"] + 1).otherwise(s["found"]).alias("found"),
+        lambda s, p: F.struct(
+            (s["at"] + F.length(p) + 1).alias("at"),
+            (s["depth"] + opened(p) - 1).alias("depth"),
+            F.when((s["found"] == 0) & (s["depth"] + opened(p) == 1), s["at"] + F.length(p) + 1).otherwise(s["found"]).alias("found"),
         ),
-        lambda s: s["found"],
+        lambda s: F.when(s["found"] > 0, opens_at + s["found"] - 1).otherwise(0),
     )
-    return F.when((opens_at > 0) & (F.substring(x, opens_at, F.lit(1)) == "(") & (end > 0), opens_at + end - 1).otherwise(0)
+    # a case is worked out only where it holds
+    return F.when((opens_at > 0) & (F.substring(x, opens_at, F.lit(1)) == "("), end).otherwise(0)
+
+
+def laser_opens(x: Column) -> Column:
+    """Where the parenthesis behind the laser class opens."""
+    return F.regexp_instr(x, F.lit(LASER)) + F.length(F.regexp_extract(x, LASER, 0)) - 1
+
 
+def condition_parts(x: Column, end: Column | None = None, stop: Column | None = None) -> Column:
+    """Parts (kind, text) of a text that a model condition leads, is, or (behind the laser class) interrupts; null if none does.
 
-def condition_parts(x: Column) -> Column:
-    """Parts (kind, text) of a text that a model condition leads, is, or (behind the laser class) interrupts; null if none does."""
+    end, stop: where the first parenthesis closes, and the one behind the laser class, if they are columns already."""
     part = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
     piece = lambda a, b: F.btrim(F.substring(x, a, F.greatest(b - a + 1, F.lit(0))))
-    end = closing(x, F.lit(1))
+    end = closing(x, F.lit(1)) if end is None else end
     head, tail = piece(F.lit(1), end), piece(end + 1, F.length(x))
     at = F.regexp_instr(x, F.lit(LASER))
-    opens = at + F.length(F.regexp_extract(x, LASER, 0)) - 1
-    stop = closing(x, opens)
+    stop = closing(x, laser_opens(x)) if stop is None else stop
     laser = F.filter(F.array(part("body", piece(F.lit(1), at - 1)), part("condition_label", piece(at, stop)), part("body", piece(stop + 1, F.length(x)))), lambda p: p["text"] != "")
     return (
         F.when(is_model_scoped(x), F.array(part("condition_label", x)))

@@ -43,9 +43,10 @@ def split(items: DataFrame, keys: list[str], when: Column, pieces: Column) -> Da
 
     An item whose pieces are all empty goes; a null condition leaves an item as it is."""
     whole = F.array(piece(F.col("kind"), F.col("text")))
-    kept = F.filter(pieces, lambda p: F.btrim(p["text"]) != "")
-    parts = F.when(F.coalesce(when, F.lit(False)), kept).otherwise(whole)
-    rows = items.select(*keys, "ord", F.posexplode(parts).alias("_part", "_p"))
+    # empty pieces go as rows: a filter of the array would have all that makes it up interpreted
+    rows = items.withColumn("_when", F.coalesce(when, F.lit(False)))
+    rows = rows.select(*keys, "ord", "_when", F.posexplode(F.when(F.col("_when"), pieces).otherwise(whole)).alias("_part", "_p"))
+    rows = rows.where(~F.col("_when") | (F.btrim("_p.text") != ""))
     return renumbered(rows.select(*keys, "ord", "_part", F.col("_p.kind").alias("kind"), F.col("_p.text").alias("text")), keys, "ord", "_part")
 
 
@@ -207,8 +208,11 @@ def frame_conditions(items: DataFrame, keys: list[str]) -> DataFrame:
 def model_scopes(items: DataFrame, keys: list[str]) -> DataFrame:
     """A condition on models that a text is, begins with, or has behind the laser class becomes a label of its own."""
     kind, text = _c()
-    parts = R.condition_parts(text)
-    return split(items, keys, (kind == "body") & parts.isNotNull(), parts)
+    # each step a column of its own, so that none is worked out where another one names it
+    rows = items.withColumns({"_end": R.closing(text, F.lit(1)), "_opens": R.laser_opens(text)})
+    rows = rows.withColumn("_stop", R.closing(text, F.col("_opens")))
+    rows = rows.withColumn("_parts", F.when((kind == "body") & text.contains("("), R.condition_parts(text, F.col("_end"), F.col("_stop"))))
+    return split(rows, keys, F.col("_parts").isNotNull(), F.col("_parts"))
 
 
 def action_labels(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -435,7 +439,9 @@ def anchor_steps(items: DataFrame, keys: list[str]) -> DataFrame:
     """In the section on falling, the wall anchor's procedure becomes a note and three numbered steps, if it has all three."""
     kind, text = _c()
     rows = forward(items, keys, "_falling", FALLING)
-    found = T.steps(F.btrim(without_prefix(text, ANCHOR)), ANCHOR_STEPS)
-    steps = F.transform(found, lambda s, i: piece(F.lit("numbered_step"), F.concat((i + 1).cast("string"), F.lit(". "), s)))
-    parts = F.concat(F.array(piece(F.lit("procedure_note"), F.lit(ANCHOR[2:]))), steps)
-    return split(rows, keys, F.col("_falling") & (kind == "body") & text.startswith(f"{ANCHOR} ") & (F.size(found) == 3), parts)
+    told = F.col("_falling") & (kind == "body") & text.startswith(f"{ANCHOR} ")
+    rows = rows.withColumn("_rest", F.when(told, F.btrim(without_prefix(text, ANCHOR))))
+    rows = rows.withColumn("_found", F.when(F.col("_rest").isNotNull(), T.steps(F.col("_rest"), ANCHOR_STEPS)))
+    steps = [piece(F.lit("numbered_step"), F.concat(F.lit(f"{i + 1}. "), F.get("_found", F.lit(i)))) for i in range(len(ANCHOR_STEPS))]
+    parts = F.array(piece(F.lit("procedure_note"), F.lit(ANCHOR[2:])), *steps)
+    return split(rows, keys, F.size("_found") == len(ANCHOR_STEPS), parts)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliant.operators import rewrites
 from foliant.plans.made import literal
 from foliant.plans.registry import QUERIES, SQL, collapse_sql, quoted
+from foliant.sources.places import dealt
 
 Snippets = list[list[tuple[str, str]]]
 KEYS = ["doc"]
@@ -22,7 +23,8 @@ SNIPPETS: dict[str, Snippets] = {}
 def items(t, snippets: Snippets) -> DataFrame:
     piece = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text"))
     made = F.get(F.array(*[F.array(*[piece(*i) for i in s]) for s in snippets]), F.expr(f"int(l_partkey % {len(snippets)})"))
-    rows = t("lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.posexplode(made).alias("i", "p"))
+    li = dealt(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "l_orderkey")
+    rows = li.select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.posexplode(made).alias("i", "p"))
     ord_ = F.row_number().over(Window.partitionBy("doc").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "i")) - 1
     return rows.select("doc", ord_.alias("ord"), "p.kind", "p.text")
 

@@ -52,3 +52,61 @@ def test_bounded_robust_medians_are_those_of_any_size(spark):
         told = [{r.k: r.median for r in stats.robust_median(df, ["k"], "v", "w", distinct=distinct, bounded=b).collect()} for b in (True, False)]
         assert told[0] == told[1] and set(told[0]) == set("abcd")
     assert "Join" not in plan(stats.robust_median(df.withColumn("v", F.col("v") + 1), ["k"], "v", "w", bounded=True))
+
+
+def test_tables_are_dealt_into_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    from foliant.sources import places
+
+    spark.range(100_000).select("id", (F.col("id") % 7).alias("k")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert places.dealt(t, "k").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(places, "DEAL_BYTES", 10_000)
+    n = places.dealt(t, "k").rdd.getNumPartitions()
+    assert n > 20 and places.dealt(t.select("k"), "k").count() == 100_000
+
+
+def test_nodes_keep_their_columns_in_intervals_without_a_join(spark):
+    n = spark.createDataFrame([(1, [0], "a"), (1, [0, 1], "b"), (1, [1], "c"), (1, [2], "d"), (1, [2], "e"), (2, [0], "f")], "doc int, path array<int>, x string")
+    i = spark.createDataFrame([(1, 7, [0], [0]), (1, 8, [2], [2])], "doc int, ordinal int, start_path array<int>, end_path array<int>")
+    got = nodes.in_path_intervals(n, i, ["doc"])
+    assert "Join" not in plan(got)
+    assert {r.x: r.ordinal for r in got.collect()} == {"a": 7, "b": 7, "c": None, "d": 8, "e": 8, "f": None}
+
+
+def test_pieces_are_made_by_compiled_steps(spark):
+    from foliant.operators import rewrites
+
+    rows = spark.createDataFrame([(1, 0, "body", "(QX12 only) Hold it."), (1, 1, "body", "plain"), (1, 2, "body", ""), (1, 3, "body", "gone")], "doc int, ord int, kind string, text string")
+    p = rewrites.piece
+    got = rewrites.split(rows, ["doc"], F.col("text") == "gone", F.array(p(F.lit("a"), F.lit(" ")), p(F.lit("a"), F.lit(""))))
+    assert "filter(" not in plan(got) and [r.text for r in got.orderBy("ord").collect()] == ["(QX12 only) Hold it.", "plain", ""]
+    scoped = rewrites.model_scopes(rows, ["doc"])
+    assert plan(scoped).count("aggregate(") <= 2
+    assert [(r.kind, r.text) for r in scoped.orderBy("ord").collect()][:2] == [("condition_label", "(QX12 only)"), ("body", "Hold it.")]
+
+
+def test_closing_parentheses_against_a_plain_reading(spark):
+    from foliant.functions import review
+
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("(()))aé ") for _ in range(rng.randrange(12))), rng.randrange(-1, 12)) for _ in range(1500)]
+
+    def plain(x, at):
+        if at < 1 or x[at - 1 : at] != "(":
+            return 0
+        depth = 0
+        for i, c in enumerate(x[at - 1 :], at):
+            depth += (c == "(") - (c == ")")
+            if depth == 0:
+                return i
+        return 0
+
+    got = spark.createDataFrame(rows, "x string, at int").select("x", "at", review.closing(F.col("x"), F.col("at")).alias("c")).collect()
+    assert all(r.c == plain(r.x, r.at) for r in got) and sum(r.c > 0 for r in got) > 30
+
+
+def test_items_without_regulations_make_no_notes(spark):
+    from foliant.functions import review
+
+    notes = spark.range(1).select(review.regulatory_topics(F.col("id").cast("string"), F.lit(False)).alias("n"))
+    assert notes.first().n == [] and "filter(" not in plan(spark.range(1).select(review.regulatory_topics(F.col("id").cast("string"), F.lit(False))))
