@@ -12,6 +12,7 @@ from foliant.plans import scalars
 from foliant.plans.made import chosen, chosen_sql, literal
 from foliant.plans.registry import collapse_sql, query, quoted
 from foliant.plans.rewriting import english_
+from foliant.sources.places import dealt
 
 H, B, W, N, U, X = "heading", "body", "warning", "navigation", "ui_label", "bullet"
 #: One item a line of an order: kind and text.
@@ -28,7 +29,8 @@ def _items(t) -> DataFrame:
     """Items of documents: an order a document, its lines in two cells a page."""
     c = F.col
     ord_ = c("l_linenumber") * 1_000_000 + c("l_suppkey") * 1000 + c("l_partkey") % 1000
-    return t("lineitem").groupBy((c("l_orderkey") / 4).cast("long").alias("doc"), (c("l_orderkey") % 4).cast("int").alias("page"), (c("l_linenumber") % 2).alias("cell_order"), ord_.alias("ord")).agg(F.max("l_partkey").alias("l_partkey")).select("doc", "page", "cell_order", "ord", chosen([k for k, _ in ITEMS], PICK).alias("kind"), chosen([x for _, x in ITEMS], PICK).alias("text"))
+    li = dealt(t("lineitem").withColumn("doc", (c("l_orderkey") / 4).cast("long")).select("doc", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), "doc")
+    return li.groupBy("doc", (c("l_orderkey") % 4).cast("int").alias("page"), (c("l_linenumber") % 2).alias("cell_order"), ord_.alias("ord")).agg(F.max("l_partkey").alias("l_partkey")).select("doc", "page", "cell_order", "ord", chosen([k for k, _ in ITEMS], PICK).alias("kind"), chosen([x for _, x in ITEMS], PICK).alias("text"))
 
 
 ITEMS_SQL = f"""items AS (SELECT doc, page, cell_order, ord, {chosen_sql([k for k, _ in ITEMS], PICK)} AS kind, {chosen_sql([x for _, x in ITEMS], PICK)} AS text FROM (SELECT l_orderkey // 4 AS doc, CAST(l_orderkey % 4 AS INTEGER) AS page, l_linenumber % 2 AS cell_order,
