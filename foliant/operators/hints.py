@@ -16,6 +16,7 @@ from foliant.functions import text as T
 from foliant.operators import align, sentences, stats
 from foliant.operators.nodes import ancestry, visible
 from foliant.sources import sinks
+from foliant.sources.places import kept
 
 # Limits of icons, in shares of the font size, and marks of menu routes.
 ICON_LIMITS = {"small_inline_figure_with_adjacent_text": (3.0, 2.0), "navigation_route_inline_figure": (5.0, 2.5)}
@@ -206,8 +207,10 @@ def table_subtitles(nodes: DataFrame, fragments: DataFrame, keys: list[str]) ->
     holds a figure and no text, the first paragraph of the next cell is a title if it is set 100 heavier than the body, in two
     lines at most and 160 characters, and has a qualifier: a paragraph behind it, or its own text behind one line end.
 
-    nodes: path, role, source_role, actual_text; fragments: path, text, weight, page, mcid."""
+    nodes: path, role, source_role, actual_text; fragments: path, text, weight, page, mcid.  What several steps read is written
+    to the shared folder, as plans would else repeat it, and nothing is broadcast, as all of it grows with the documents."""
     at = [*keys, "path"]
+    nodes, fragments = kept(nodes, "subtitle-nodes"), kept(fragments, "subtitle-fragments")
     child = nodes.where("size(path) > 1").withColumn("_up", F.expr("slice(path, 1, size(path) - 1)"))
     kids = nodes.select(*at).unionByName(fragments.select(*at)).where("size(path) > 1").groupBy(*keys, F.expr("slice(path, 1, size(path) - 1)").alias("path")).agg(F.count("*").alias("_n"))
     wraps = nodes.where("role = 'paragraph'").join(kids.where("_n = 1"), at).select(*keys, F.col("path").alias("_up"))
@@ -218,7 +221,7 @@ def table_subtitles(nodes: DataFrame, fragments: DataFrame, keys: list[str]) ->
     # the nearest table or row above a row decides whether it is the wrapped table's own
     rows = ancestry(nodes.where("role = 'table_row'"), keys, below=1).join(nodes.where("role in ('table', 'table_row')").select(*keys, F.col("path").alias("_up"), F.col("role").alias("_r")), [*keys, "_up"])
     owner = rows.groupBy(*at).agg(F.max_by("_r", F.size("_up")).alias("_r"), F.max_by("_up", F.size("_up")).alias("_table")).where("_r = 'table'")
-    own = owner.select(*keys, F.col("path").alias("_row"), "_table").join(tables, [*keys, "_table"])
+    own = kept(owner.select(*keys, F.col("path").alias("_row"), "_table").join(tables.hint("merge"), [*keys, "_table"]), "subtitle-rows")
     cells = child.where("role = 'table_cell'").select(*keys, F.col("_up").alias("_row"), "path", F.element_at("path", -1).alias("_i")).join(own, [*keys, "_row"])
     below = ancestry(nodes, keys, "role", "actual_text").where(F.size("path") > F.size("_up"))
     seen = below.groupBy(*keys, F.col("_up").alias("path")).agg(F.bool_or(F.col("role") == "figure").alias("_fig"), F.bool_or(visible(F.col("actual_text"))).alias("_said"), F.every(F.col("role").isin("span", "link")).alias("_inline"))
@@ -233,14 +236,16 @@ def table_subtitles(nodes: DataFrame, fragments: DataFrame, keys: list[str]) ->
     fit = nodes.where((F.col("role") == "paragraph") & ~T.is_heading_candidate(F.col("source_role"))).select(*at)
     titles = titles.join(fit, at).join(seen.select(*at, "_inline"), at, "left").where(F.coalesce("_inline", F.lit(True)))
     titles = titles.join(bodies.select(*keys, F.col("_body").alias("_second"), F.lit(True).alias("_qualified")), [*keys, "_second"], "left")
+    titles = kept(titles, "subtitle-candidates")
     # the title's texts in order; a stand-in text hides what lies below it
     marks = nodes.where("actual_text is not null").select(*at, F.col("actual_text").alias("text"), F.lit(None).cast("int").alias("weight"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("mcid"), (F.col("actual_text") == "\n").alias("_cut"), F.lit(True).alias("_mark"))
     shown = fragments.select(*at, "text", "weight", "page", "mcid", F.lit(False).alias("_cut"), F.lit(False).alias("_mark")).unionByName(marks)
     texts = ancestry(shown, keys, "text", "weight", "page", "mcid", "_cut", "_mark").where(F.size("path") > F.size("_up")).withColumnRenamed("path", "_at").withColumnRenamed("_up", "path").join(titles.select(*at), at, "left_semi")
+    texts = kept(texts, "subtitle-texts")
     hidden = ancestry(texts.withColumnRenamed("path", "_title").withColumnRenamed("_at", "path"), [*keys, "_title"], below=1).join(marks.select(*keys, F.col("path").alias("_up")), [*keys, "_up"]).where(F.size("_up") > F.size("_title")).select(*keys, F.col("_title").alias("path"), F.col("path").alias("_at")).distinct().withColumn("_hidden", F.lit(True))
     texts = texts.join(hidden, [*at, "_at"], "left").withColumn("_hidden", F.coalesce("_hidden", no))
     own_w = Window.partitionBy(*at).orderBy("_at")
-    texts = texts.withColumn("_cuts", F.sum((F.col("_cut") & ~F.col("_hidden")).cast("int")).over(own_w))
+    texts = kept(texts.withColumn("_cuts", F.sum((F.col("_cut") & ~F.col("_hidden")).cast("int")).over(own_w)), "subtitle-parts")
     part = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("_at", "text")))), lambda s: s["text"]), "")
     open_, frag = ~F.col("_hidden"), ~F.col("_mark")
     head = open_ & (F.col("_cuts") == 0)
@@ -254,15 +259,15 @@ def table_subtitles(nodes: DataFrame, fragments: DataFrame, keys: list[str]) ->
     inline = F.col("_cuts") == 1
     shaped = F.when(F.col("_cuts") == 0, F.coalesce("_qualified", no)).when(inline, visible(F.col("_head")) & visible(F.col("_tail")) & F.coalesce("_known", no) & (F.col("_weights") == 1)).otherwise(False)
     name = T.collapsed(F.when(inline, F.col("_head")).otherwise(F.col("_all")))
-    t = titles.join(g, at).where(shaped & F.length(name).between(1, 160) & F.coalesce("_placed", no))
+    t = kept(titles.join(g, at).where(shaped & F.length(name).between(1, 160) & F.coalesce("_placed", no)), "subtitles")
     n = F.length(F.regexp_replace("text", T.WHITE + "+", ""))
     weights = lambda rows, k: stats.weighted_median_lower(rows.where(lit & F.col("weight").isNotNull()).withColumn("_n", n), k, "weight", "_n", bounded=True)
     mine = weights(texts.where(frag & (head | (F.col("_cuts") >= 0))).join(t.select(*at, inline.alias("_inl")), at).where(~F.col("_inl") | head), at).withColumnRenamed("median", "weight")
     body_texts = ancestry(fragments, keys, "text", "weight", below=1).withColumnRenamed("_up", "_body").drop("path").join(t.select(*keys, "_body").distinct(), [*keys, "_body"], "left_semi")
     whole = body_texts.where(lit).groupBy(*keys, "_body").agg(F.every(F.col("weight").isNotNull()).alias("_w")).where("_w")
-    theirs = weights(body_texts, [*keys, "_body"]).withColumnRenamed("median", "body_weight").join(whole, [*keys, "_body"], "left_semi")
+    theirs = weights(body_texts, [*keys, "_body"]).withColumnRenamed("median", "body_weight").join(whole.hint("merge"), [*keys, "_body"], "left_semi")
     all_known = texts.where(frag & lit).join(t.select(*at, inline.alias("_inl")), at).where(~F.col("_inl") | head).groupBy(*at).agg(F.every(F.col("weight").isNotNull()).alias("_w")).where("_w")
-    out = t.join(mine, at).join(theirs, [*keys, "_body"]).join(all_known, at, "left_semi")
+    out = t.join(mine, at).join(theirs.hint("merge"), [*keys, "_body"]).join(all_known.hint("merge"), at, "left_semi")
     lines = F.when(inline, F.col("_head_lines")).otherwise(F.col("_lines"))
     out = out.where((lines <= 2) & (F.col("weight") >= F.col("body_weight") + 100))
     firsts = Window.partitionBy(*keys, "_row").orderBy("_i")

@@ -110,3 +110,16 @@ def test_items_without_regulations_make_no_notes(spark):
 
     notes = spark.range(1).select(review.regulatory_topics(F.col("id").cast("string"), F.lit(False)).alias("n"))
     assert notes.first().n == [] and "filter(" not in plan(spark.range(1).select(review.regulatory_topics(F.col("id").cast("string"), F.lit(False))))
+
+
+def test_subtitles_broadcast_nothing_and_repeat_no_table(spark):
+    import os
+
+    import pytest
+
+    from foliant.plans import registry
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    planned = plan(registry.QUERIES["table_subtitles"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in planned and "SortMergeJoin" in planned and planned.count("Scan parquet") < 15
