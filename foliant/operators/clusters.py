@@ -107,6 +107,7 @@ def form_clusters(nodes: DataFrame, fragments: DataFrame, taken: DataFrame, keys
     heading or subtitle already.  A section is a form if its title is stronger in weight and size than every other paragraph
     that belongs to it, and exactly one tier has three labels among its paragraphs and two in a table; if one of them is a
     heading, lies above or below what is taken, or counts twice, the section has none."""
+    nodes, fragments = written(nodes, "cluster-nodes"), written(fragments, "cluster-fragments")
     sections = nodes.where("role = 'section'").select(*keys, "path")
     records = written(paragraph_records(nodes, fragments, keys), "paragraphs")
     title = titles(nodes, fragments, sections, records, keys)

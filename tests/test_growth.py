@@ -123,3 +123,15 @@ def test_subtitles_broadcast_nothing_and_repeat_no_table(spark):
         pytest.skip("no test tables")
     planned = plan(registry.QUERIES["table_subtitles"](spark, "/root/testdata/sf0.001"))
     assert "Broadcast" not in planned and "SortMergeJoin" in planned and planned.count("Scan parquet") < 15
+
+
+def test_form_clusters_make_their_inputs_once(spark, monkeypatch):
+    from foliant.operators import clusters
+
+    named = []
+    kept = clusters.written
+    monkeypatch.setattr(clusters, "written", lambda df, name: named.append(name) or kept(df, name))
+    n = spark.createDataFrame([(1, [0], "section", "Sect", None)], "doc int, path array<int>, role string, source_role string, actual_text string")
+    f = spark.createDataFrame([(1, [0, 0], "x", 400, 9.0, 0, 1)], "doc int, path array<int>, text string, weight int, size double, page int, mcid int")
+    assert clusters.form_clusters(n, f, n.select("doc", "path").limit(0), ["doc"]).count() == 0
+    assert named[:2] == ["cluster-nodes", "cluster-fragments"]
