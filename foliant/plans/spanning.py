@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from foliant.operators import tables
 from foliant.plans.made import chosen, chosen_sql
 from foliant.plans.registry import query
-from foliant.plans.structure import NODES, _nodes
+from foliant.plans.structure import NODES
+from foliant.sources.places import dealt
 
 KEYS = ["doc"]
 #: Spans as attributes tell them; None where a cell has no such attribute.
@@ -21,14 +22,20 @@ _down, _across, _text, _head = "(l_partkey + l_linenumber) % 17", "(l_partkey *
 def _raw(t) -> DataFrame:
     pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
     told = lambda n, values, i: F.when(chosen(values, i).isNotNull(), F.array(pair(n, chosen(values, i)))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
-    n = _nodes(t)
-    return n.select(F.expr("l_orderkey div 6").cast("long").alias("doc"), F.expr("int(l_orderkey % 6)").alias("row"), F.col("l_linenumber").cast("int").alias("ord"), F.concat(told("/RowSpan", DOWN, _down), told("colspan", ACROSS, _across)).alias("attributes"), chosen(TEXTS, _text).alias("text"), F.expr(_head).alias("header"), F.expr("l_quantity > 49").alias("blocks"))
+    li = dealt(t("lineitem").select(F.expr("l_orderkey div 6").cast("long").alias("doc"), "l_orderkey", "l_linenumber", "l_quantity", "l_partkey"), "doc")
+    n = li.groupBy("doc", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.min("l_partkey").alias("l_partkey"))
+    return n.select("doc", F.expr("int(l_orderkey % 6)").alias("row"), F.col("l_linenumber").cast("int").alias("ord"), F.concat(told("/RowSpan", DOWN, _down), told("colspan", ACROSS, _across)).alias("attributes"), chosen(TEXTS, _text).alias("text"), F.expr(_head).alias("header"), F.expr("l_quantity > 49").alias("blocks"))
 
 
 def _cells(t) -> DataFrame:
     return _raw(t).withColumns({"row_span": tables.span(F.col("attributes"), "rowspan")["value"], "col_span": tables.span(F.col("attributes"), "colspan")["value"]})
 
 
+def _grid(t) -> DataFrame:
+    """Placed cells, dealt once more: Python steps forget how their rows were dealt."""
+    return dealt(tables.placed(_cells(t).drop("attributes", "header", "blocks"), KEYS), *KEYS)
+
+
 _good = lambda x: f"CASE WHEN regexp_matches(trim({x}), '^\\d+$') AND length(trim({x})) < 10 AND CAST(trim({x}) AS BIGINT) BETWEEN 1 AND 1000 THEN CAST(trim({x}) AS INTEGER) ELSE 1 END"
 CELLS = f"""{NODES}, rw AS (SELECT l_orderkey // 6 AS doc, CAST(l_orderkey % 6 AS INTEGER) AS row, CAST(l_linenumber AS INTEGER) AS ord, {chosen_sql(DOWN, _down)} AS down, {chosen_sql(ACROSS, _across)} AS across, {chosen_sql(TEXTS, _text)} AS text, {_head} AS header, l_quantity > 49 AS blocks FROM nodes),
 ce AS (SELECT *, CASE WHEN down IS NULL THEN 1 ELSE {_good('down')} END AS row_span, CASE WHEN across IS NULL THEN 1 ELSE {_good('across')} END AS col_span FROM rw)"""
@@ -57,7 +64,7 @@ def placed_cells(t) -> DataFrame:
 SELECT doc, row, ord, 'overlap' AS fault FROM gr WHERE clash UNION ALL SELECT doc, row, ord, 'overrun' FROM (SELECT *, max(row) OVER (PARTITION BY doc) AS last FROM gr) WHERE row + row_span - 1 > last
 UNION ALL SELECT doc, row, NULL, 'gap' FROM (SELECT *, max(n) OVER (PARTITION BY doc) AS most FROM w) WHERE n < most""")
 def table_faults(t) -> DataFrame:
-    return tables.faults(tables.placed(_cells(t), KEYS), KEYS)
+    return tables.faults(_grid(t), KEYS)
 
 
 @query(f"""WITH {CELLS}, r AS (SELECT doc, row, count(*) AS n, bool_and(header) AS heads, bool_and(NOT header) AS plain, bool_or(blocks) AS blocks, bool_or(row_span > 1 OR col_span > 1) AS spans, row_number() OVER (PARTITION BY doc ORDER BY row) = 1 AS first FROM ce GROUP BY 1, 2),
@@ -86,7 +93,7 @@ w AS (SELECT doc, max(c) AS w, min(row) AS first FROM p GROUP BY 1), a AS (SELEC
 l AS (SELECT a.doc, a.row, any_value(w) AS w, any_value(first) AS first, '| ' || string_agg(coalesce(told, ''), ' | ' ORDER BY a.c) || ' |' AS line FROM a LEFT JOIN p ON p.doc = a.doc AND p.row = a.row AND p.c = a.c GROUP BY 1, 2)
 SELECT doc, string_agg(line || CASE WHEN row = first THEN chr(10) || '|' || repeat(' --- |', w + 1) ELSE '' END, chr(10) ORDER BY row) AS markdown FROM l GROUP BY 1""")
 def spanned_markdown(t) -> DataFrame:
-    return tables.pipes(tables.placed(_cells(t), KEYS), KEYS)
+    return tables.pipes(_grid(t), KEYS)
 
 
 @query(f"""WITH {CELLS}, x AS (SELECT *, count(*) OVER (PARTITION BY doc, row) AS n, dense_rank() OVER (PARTITION BY doc ORDER BY row) AS r, row_number() OVER (PARTITION BY doc, row ORDER BY ord) AS o FROM ce),

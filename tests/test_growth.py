@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliant.operators import hints, nodes, stats
+from foliant.operators import hints, nodes, stats, tables
 
 
 def plan(df):
@@ -135,3 +135,15 @@ def test_form_clusters_make_their_inputs_once(spark, monkeypatch):
     f = spark.createDataFrame([(1, [0, 0], "x", 400, 9.0, 0, 1)], "doc int, path array<int>, text string, weight int, size double, page int, mcid int")
     assert clusters.form_clusters(n, f, n.select("doc", "path").limit(0), ["doc"]).count() == 0
     assert named[:2] == ["cluster-nodes", "cluster-fragments"]
+
+
+def test_tables_with_spans_are_made_once_and_not_joined(spark):
+    rows = [(1, 2, 0, 2, 1, "a"), (1, 2, 1, 1, 1, "b"), (1, 3, 0, 1, 2, "c"), (1, 7, 0, 1, 1, "d"), (1, 7, 3, 1, 3, None), (2, 0, 0, 1, 1, "e")]
+    cells = spark.createDataFrame(rows, "doc int, row int, ord int, row_span int, col_span int, text string")
+    grid = tables.placed(cells, ["doc"])
+    assert "Join" not in plan(grid) and plan(grid).count("Exchange") == 1
+    told = tables.pipes(grid, ["doc"])
+    assert "Join" not in plan(told) and plan(told).count("Exchange") == 2 and "lambda" not in plan(told)
+    got = {r.doc: r.markdown.split("\n") for r in told.collect()}
+    assert got == {1: ["| a | b |  |  |", "| --- | --- | --- | --- |", "|  | c |  |  |", "| d |  |  |  |"], 2: ["| e |", "| --- |"]}
+    assert sorted((r.row, r.ord, r.column, r.text) for r in grid.where("doc = 1").collect()) == [(2, 0, 0, "a"), (2, 1, 1, "b"), (3, 0, 1, "c"), (7, 0, 0, "d"), (7, 3, 1, None)]
