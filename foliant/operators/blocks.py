@@ -57,10 +57,10 @@ def with_sound_runs(items: DataFrame, cell: list[str]) -> DataFrame:
     rows = rows.where(~(F.col("_value") & (text == "")))
     ordered = Window.partitionBy(*cell).orderBy("ord", "_i")
     rows = rows.withColumn("_run", F.sum((~F.col("_value")).cast("int")).over(ordered)).withColumn("_at", F.row_number().over(ordered))
-    told = rows.groupBy(*cell, "_run").agg(F.min("_at").alias("ord"), F.min_by("kind", "_at").alias("kind"), F.min_by("text", "_at").alias("_head"), F.array_sort(F.collect_list(F.when(F.col("_value"), F.struct("_at", "text")))).alias("_values"))
+    told = rows.groupBy(*cell, "_run").agg(F.min("_at").alias("ord"), F.min_by("kind", "_at").alias("kind"), F.min_by("text", "_at").alias("_head"), F.sort_array(F.collect_list(F.when(F.col("_value"), F.struct("_at", "text"))))["text"].alias("_values"))
     first = F.col("_head")
     sound = (F.col("kind") == "heading") & ((first == T.SOUND_FIELD) | first.startswith(f"{T.SOUND_FIELD} "))
-    values = F.array_join(F.transform("_values", lambda v: v["text"]), " ")
+    values = F.array_join("_values", " ")
     initial = F.btrim(F.substring(first, len(T.SOUND_FIELD) + 1, F.length(first)))
     return told.select(*cell, "ord", F.when(sound, "sound").otherwise(F.col("kind")).alias("kind"), F.when(sound, F.btrim(F.concat_ws(" ", initial, values))).otherwise(first).alias("text"))
 
@@ -78,11 +78,11 @@ def expanded(items: DataFrame) -> DataFrame:
     following, next_kind = F.lead("text").over(w), F.lead("kind").over(w)
     cable = F.coalesce(T.collapsed(following) == R.CABLE_NOTE, F.lit(False))
     takes = following.isNotNull() & ((heading & ((text == COMPOUND) | (text == T.RESOLUTION_FIELD) | text.isin(*COMMON_FIELDS))) | ((kind != "sound") & text.contains(R.CLASS_NOTE) & cable))
-    rows = rows.withColumns({"_takes": takes, "_next": following, "_next_kind": next_kind, "_cable": cable})
+    rows = rows.withColumns({"_takes": F.coalesce(takes, F.lit(False)), "_next": following, "_next_kind": next_kind, "_cable": cable})
     # of a run of items that would each take the next, every other one does
-    rows = rows.withColumn("_run", F.sum((~F.col("_takes")).cast("int")).over(w))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*cell, "_run", "_takes").orderBy("ord")))
-    rows = rows.withColumn("_active", F.col("_takes") & (F.col("_nth") % 2 == 1))
+    rows = rows.withColumn("_n", F.row_number().over(w))
+    others = F.coalesce(F.max(F.when(~F.col("_takes"), F.col("_n"))).over(w), F.lit(0))
+    rows = rows.withColumn("_active", F.col("_takes") & ((F.col("_n") - others) % 2 == 1))
     rows = rows.withColumn("_taken", F.coalesce(F.lag("_active").over(w), F.lit(False))).where(~F.col("_taken"))
     h, value = F.lit("heading"), F.col("_next")
     compound = F.array(_made(h, F.lit(COMPOUND_PARTS[0])), _made(h, F.lit(COMPOUND_PARTS[1])), _spec(F.lit(T.RESOLUTION_FIELD), F.when(F.col("_next_kind") != "heading", value).otherwise(""), T.MODEL_SPEC))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliant.operators import hints, nodes, stats, tables
+from foliant.operators import blocks, hints, nodes, stats, tables
 
 
 def plan(df):
@@ -147,3 +147,15 @@ def test_tables_with_spans_are_made_once_and_not_joined(spark):
     got = {r.doc: r.markdown.split("\n") for r in told.collect()}
     assert got == {1: ["| a | b |  |  |", "| --- | --- | --- | --- |", "|  | c |  |  |", "| d |  |  |  |"], 2: ["| e |", "| --- |"]}
     assert sorted((r.row, r.ord, r.column, r.text) for r in grid.where("doc = 1").collect()) == [(2, 0, 0, "a"), (2, 1, 1, "b"), (3, 0, 1, "c"), (7, 0, 0, "d"), (7, 3, 1, None)]
+
+
+def test_items_are_expanded_in_few_orders(spark):
+    fields = blocks.COMMON_FIELDS
+    told = [*fields[:3], "10 %", fields[0], fields[1], "plain", fields[2]]
+    rows = [(1, 0, 0, i, "heading" if x in fields else "body", x) for i, x in enumerate(told)]
+    got = blocks.expanded(spark.createDataFrame(rows, "doc int, page int, cell_order int, ord int, kind string, text string"))
+    assert plan(got).count("Sort [") <= 4
+    assert [(r.kind, r.text) for r in got.orderBy("ord").collect()] == [
+        ("heading", fields[0]), ("spec_table", f"{fields[0]} {fields[1]}"), ("heading", fields[2]), ("spec_table", f"{fields[2]} 10 %"),
+        ("heading", fields[0]), ("spec_table", f"{fields[0]} {fields[1]}"), ("body", "plain"), ("heading", fields[2]),
+    ]
