@@ -51,18 +51,19 @@ def with_sound_runs(items: DataFrame, cell: list[str]) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     at = lambda c: F.coalesce(F.max(F.when(c, F.col("ord"))).over(before), F.lit(-1))
     rows = items.withColumn("_inside", at(opens) > at(stops | (tail != "")))
+    is_value = F.col("_inside") & ~stops
+    cut = is_value & (tail != "")
+    # values join the last item begun before them, so runs are numbered ahead of the cut and rows need one order more
+    rows = rows.withColumn("_begun", F.coalesce(F.count_if(cut | ~is_value).over(before), F.lit(0)))
+    part = lambda t, v: F.struct(t.alias("t"), v.alias("v"), (F.col("_begun") + (~v).cast("int")).alias("r"))
     value = F.btrim(F.substring(text, F.lit(1), F.length(text) - F.length(tail)))
-    parts = F.when(F.col("_inside") & (tail != "") & ~stops, F.array(F.struct(value.alias("t"), F.lit(True).alias("v")), F.struct(tail.alias("t"), F.lit(False).alias("v")))).otherwise(F.array(F.struct(text.alias("t"), (F.col("_inside") & ~stops).alias("v"))))
-    rows = rows.select(*cell, "ord", "kind", F.posexplode(parts).alias("_i", "_p")).select(*cell, "ord", "_i", "kind", F.col("_p.t").alias("text"), F.col("_p.v").alias("_value"))
-    rows = rows.where(~(F.col("_value") & (text == "")))
-    ordered = Window.partitionBy(*cell).orderBy("ord", "_i")
-    rows = rows.withColumn("_run", F.sum((~F.col("_value")).cast("int")).over(ordered)).withColumn("_at", F.row_number().over(ordered))
-    told = rows.groupBy(*cell, "_run").agg(F.min("_at").alias("ord"), F.min_by("kind", "_at").alias("kind"), F.min_by("text", "_at").alias("_head"), F.sort_array(F.collect_list(F.when(F.col("_value"), F.struct("_at", "text"))))["text"].alias("_values"))
-    first = F.col("_head")
-    sound = (F.col("kind") == "heading") & ((first == T.SOUND_FIELD) | first.startswith(f"{T.SOUND_FIELD} "))
-    values = F.array_join("_values", " ")
-    initial = F.btrim(F.substring(first, len(T.SOUND_FIELD) + 1, F.length(first)))
-    return told.select(*cell, "ord", F.when(sound, "sound").otherwise(F.col("kind")).alias("kind"), F.when(sound, F.btrim(F.concat_ws(" ", initial, values))).otherwise(first).alias("text"))
+    parts = F.when(cut, F.array(part(value, F.lit(True)), part(tail, F.lit(False)))).otherwise(F.array(part(text, is_value)))
+    rows = rows.select(*cell, "ord", "kind", F.posexplode(parts).alias("_i", "_p")).select(*cell, F.col("_p.r").alias("_run"), "ord", "_i", "kind", F.col("_p.t").alias("text"), F.col("_p.v").alias("_value"))
+    run = Window.partitionBy(*cell, "_run").orderBy("ord", "_i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = rows.where(~(F.col("_value") & (text == ""))).withColumn("_values", F.collect_list(F.when(F.col("_value"), text)).over(run)).where(~F.col("_value"))
+    sound = (kind == "heading") & ((text == T.SOUND_FIELD) | text.startswith(f"{T.SOUND_FIELD} "))
+    initial = F.btrim(F.substring(text, len(T.SOUND_FIELD) + 1, F.length(text)))
+    return told.select(*cell, F.col("_run").alias("ord"), F.when(sound, "sound").otherwise(kind).alias("kind"), F.when(sound, F.btrim(F.concat_ws(" ", initial, F.array_join("_values", " ")))).otherwise(text).alias("text"))
 
 
 def expanded(items: DataFrame) -> DataFrame:
@@ -96,8 +97,10 @@ def expanded(items: DataFrame) -> DataFrame:
         .when(heading & (text == T.RESOLUTION_FIELD) & F.col("_active"), F.array(_made(kind, text), _spec(text, value, T.MODEL_SPEC))).when(kind == "sound", sound)
         .when(heading & text.isin(*COMMON_FIELDS) & F.col("_active"), F.array(_made(kind, text), _spec(text, value, T.COMMON_SPEC))).otherwise(F.array(_made(kind, text)))
     )
-    out = rows.select(*cell, "ord", F.posexplode(parts).alias("_i", "_p"))
-    return out.select(*cell, (F.row_number().over(Window.partitionBy(*cell).orderBy("ord", "_i")) - 1).alias("ord"), "_p.*")
+    rows = rows.select(*cell, "ord", parts.alias("_parts"))
+    rows = rows.withColumn("_start", F.coalesce(F.sum(F.size("_parts")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # no item is without parts; as an outer one, this does not have Spark make all of them twice to look for such
+    return rows.select(*cell, "_start", F.posexplode_outer("_parts").alias("_i", "_p")).select(*cell, (F.col("_start") + F.col("_i")).cast("int").alias("ord"), "_p.*")
 
 
 def block_type(kind: Column, text: Column, section: Column) -> Column:

@@ -29,7 +29,8 @@ def _items(t) -> DataFrame:
     """Items of documents: an order a document, its lines in two cells a page."""
     c = F.col
     ord_ = c("l_linenumber") * 1_000_000 + c("l_suppkey") * 1000 + c("l_partkey") % 1000
-    li = dealt(t("lineitem").withColumn("doc", (c("l_orderkey") / 4).cast("long")).select("doc", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), "doc")
+    table = t("lineitem")
+    li = dealt(table.withColumn("doc", (c("l_orderkey") / 4).cast("long")).select("doc", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), "doc", table=table)
     return li.groupBy("doc", (c("l_orderkey") % 4).cast("int").alias("page"), (c("l_linenumber") % 2).alias("cell_order"), ord_.alias("ord")).agg(F.max("l_partkey").alias("l_partkey")).select("doc", "page", "cell_order", "ord", chosen([k for k, _ in ITEMS], PICK).alias("kind"), chosen([x for _, x in ITEMS], PICK).alias("text"))
 
 

@@ -159,3 +159,31 @@ def test_items_are_expanded_in_few_orders(spark):
         ("heading", fields[0]), ("spec_table", f"{fields[0]} {fields[1]}"), ("heading", fields[2]), ("spec_table", f"{fields[2]} 10 %"),
         ("heading", fields[0]), ("spec_table", f"{fields[0]} {fields[1]}"), ("body", "plain"), ("heading", fields[2]),
     ]
+
+
+def test_content_items_are_dealt_by_rows_however_well_they_pack(spark, tmp_path, monkeypatch):
+    from foliant.plans import blockviews
+    from foliant.sources import places
+
+    c = F.col("id")
+    rows = spark.range(20_000).select((c % 5000).alias("l_orderkey"), (c * 0).alias("l_suppkey"), (c * 0).alias("l_partkey"), (c * 0 + c % 7).cast("int").alias("l_linenumber"))
+    rows.write.parquet(str(tmp_path / "lineitem"))
+    monkeypatch.setattr(places, "DEAL_ROWS", 1000)
+    items = blockviews._items(lambda name: spark.read.parquet(str(tmp_path / name)))
+    sizes = [len(p) for p in items.rdd.glom().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 2000
+
+
+def test_items_are_expanded_in_two_orders_without_a_grouping(spark):
+    sound, field = "Sound (Output)", blocks.COMMON_FIELDS[3]
+    told = [("body", "a"), ("heading", sound), ("body", ""), ("body", "20 W"), ("heading", f"{sound} 5 W"), ("body", f"10 W {field}"), ("body", "dry"), ("heading", blocks.COMPOUND), ("body", "1 x 2"), ("navigation", "> All")]
+    items = spark.createDataFrame([(1, 0, 0, i * 10, k, x) for i, (k, x) in enumerate(told)], "doc int, page int, cell_order int, ord int, kind string, text string")
+    got = blocks.expanded(items)
+    assert plan(got).count("Sort [") <= 2 and "Aggregate" not in plan(got)
+    assert [(r.ord, r.kind, r.text) for r in got.orderBy("ord").collect()] == [
+        (0, "body", "a"), (1, "heading", sound), (2, "spec_table", f"{sound} 20 W {sound} 5 W 10 W"), (3, "body", field), (4, "body", "dry"), (5, "heading", blocks.COMPOUND_PARTS[0]),
+        (6, "heading", blocks.COMPOUND_PARTS[1]), (7, "spec_table", "Display Resolution 1 x 2"), (8, "navigation", "> All"),
+    ]
+    views = blocks.content_blocks(got)
+    assert plan(views).count("Sort [") <= 3 and [(r.block_order, r.section_heading) for r in blocks.navigation_view(views).collect()] == [(9, blocks.COMPOUND_PARTS[1])]
+    assert [(r.block_order, r.field) for r in blocks.spec_view(views).orderBy("block_order").collect() if r.row_order == 1] == [(3, sound), (8, "Display Resolution")]
