@@ -187,3 +187,18 @@ def test_items_are_expanded_in_two_orders_without_a_grouping(spark):
     views = blocks.content_blocks(got)
     assert plan(views).count("Sort [") <= 3 and [(r.block_order, r.section_heading) for r in blocks.navigation_view(views).collect()] == [(9, blocks.COMPOUND_PARTS[1])]
     assert [(r.block_order, r.field) for r in blocks.spec_view(views).orderBy("block_order").collect() if r.row_order == 1] == [(3, sound), (8, "Display Resolution")]
+
+
+def test_navigation_views_sort_thrice_in_tasks_told_by_rows(spark, tmp_path, monkeypatch):
+    from foliant.plans import blockviews
+    from foliant.sources import places
+
+    c = F.col("id")
+    rows = spark.range(1400).select((c % 200).alias("l_orderkey"), (c * 0).alias("l_suppkey"), (c % 35).alias("l_partkey"), (c % 7).cast("int").alias("l_linenumber"))
+    rows.write.parquet(str(tmp_path / "lineitem"))
+    monkeypatch.setattr(places, "DEAL_ROWS", 100)
+    view = blockviews.content_navigation_view(lambda name: spark.read.parquet(str(tmp_path / name)))
+    planned = plan(view)
+    assert planned.count("Sort [") <= 3 and "ObjectHashAggregate" not in planned and planned.count("Exchange") == 1
+    assert view.rdd.getNumPartitions() == 14
+    assert view.count() > 0 and {r.text for r in view.select("text").distinct().collect()} <= {"> All Settings", "Update Now"}
