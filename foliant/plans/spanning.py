@@ -33,7 +33,7 @@ def _cells(t) -> DataFrame:
 
 def _grid(t) -> DataFrame:
     """Placed cells, dealt once more: Python steps forget how their rows were dealt."""
-    return dealt(tables.placed(_cells(t).drop("attributes", "header", "blocks"), KEYS), *KEYS)
+    return dealt(tables.placed(_cells(t).drop("attributes", "header", "blocks"), KEYS), *KEYS, read=False)
 
 
 _good = lambda x: f"CASE WHEN regexp_matches(trim({x}), '^\\d+$') AND length(trim({x})) < 10 AND CAST(trim({x}) AS BIGINT) BETWEEN 1 AND 1000 THEN CAST(trim({x}) AS INTEGER) ELSE 1 END"

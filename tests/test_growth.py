@@ -1,6 +1,7 @@
 """Queries that have to grow no faster than their tables: what their plans send around, and the steps they now take."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -202,3 +203,27 @@ def test_navigation_views_sort_thrice_in_tasks_told_by_rows(spark, tmp_path, mon
     assert planned.count("Sort [") <= 3 and "ObjectHashAggregate" not in planned and planned.count("Exchange") == 1
     assert view.rdd.getNumPartitions() == 14
     assert view.count() > 0 and {r.text for r in view.select("text").distinct().collect()} <= {"> All Settings", "Update Now"}
+
+
+def test_a_table_for_many_tasks_is_dealt_twice_so_that_no_split_stays_in_memory(spark, tmp_path, monkeypatch):
+    from foliant.plans import blockviews
+    from foliant.sources import places
+
+    c = F.col("id")
+    rows = spark.range(6000).select((c % 1500).alias("l_orderkey"), (c % 11).alias("l_suppkey"), c.alias("l_partkey"), (c % 7).cast("int").alias("l_linenumber"))
+    rows.write.parquet(str(tmp_path / "lineitem"))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    shuffles = lambda df: [int(n) for n in re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\)", plan(df))]
+    once = blockviews.content_navigation_view(read)
+    assert shuffles(once) == [4]
+    want = sorted(map(str, once.collect()))
+    monkeypatch.setattr(places, "DEAL_ROWS", 29)  # 207 tasks, which a shuffle writes only behind all rows of a split
+    assert shuffles(blockviews.content_navigation_view(read)) == [400, 200]
+    monkeypatch.setattr(places, "DEAL_FIRST", 3)
+    monkeypatch.setattr(places, "DEAL_ROWS", 600)
+    twice = blockviews.content_navigation_view(read)
+    assert shuffles(twice) == [12, 3] and len(want) > 300 and sorted(map(str, twice.collect())) == want
+    dealt = places.dealt(read("lineitem"), "l_orderkey", table=read("lineitem"))
+    tasks = dealt.select("l_orderkey", F.spark_partition_id().alias("p")).distinct()
+    assert dealt.columns == read("lineitem").columns and tasks.count() == 1500 and tasks.select("p").distinct().count() == 12
+    assert shuffles(places.dealt(read("lineitem"), "l_orderkey", table=read("lineitem"), read=False)) == [10]
