@@ -227,3 +227,15 @@ def test_a_table_for_many_tasks_is_dealt_twice_so_that_no_split_stays_in_memory(
     tasks = dealt.select("l_orderkey", F.spark_partition_id().alias("p")).distinct()
     assert dealt.columns == read("lineitem").columns and tasks.count() == 1500 and tasks.select("p").distinct().count() == 12
     assert shuffles(places.dealt(read("lineitem"), "l_orderkey", table=read("lineitem"), read=False)) == [10]
+
+
+def test_pages_of_documents_pack_into_a_small_file(spark, tmp_path):
+    rows = [(d, i, a, a + 700, f"l{i % 3}") for d in range(120) for i, a in enumerate(range(d % 7, 6000, 500), 1)]
+    got = nodes.section_of_pages(spark.createDataFrame(rows, "doc int, reading_order int, start_page int, end_page int, language string"), "doc")
+    got.write.parquet(str(tmp_path / "pages"))
+    told = spark.read.parquet(str(tmp_path / "pages"))
+    want = sum(max(a for _, _, a, _, _ in rows[d * 12 : d * 12 + 12]) + 701 - d % 7 for d in range(120))
+    assert told.count() == want == told.select("doc", "page").distinct().count()
+    assert told.groupBy("page").agg(F.count("*").alias("n")).where("page between 6 and 6200").where("n <> 120").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "pages").glob("*.parquet")) < want // 2  # four bytes a row and more, a document behind another
+    assert told.where(F.col("reading_order") != F.least(F.floor((F.col("page") - F.col("doc") % 7) / 500) + 1, F.lit(12))).count() == 0
