@@ -377,22 +377,26 @@ MODEL_SPEC, COMMON_SPEC = "model_spec", "common_required_spec"
 def spec_rows(field: Column, x: Column, category: Column) -> Column:
     """Rows (row_order, field, model_pattern, value, unit) of a specification's text: one for each model of a field that
     differs by model, else one for the whole value."""
-    c = collapsed(x)
-    value = F.when((field != "") & c.startswith(field), F.btrim(F.substring(c, F.length(field) + 1, F.length(c)))).otherwise(c)
-    pairs = lambda pattern: F.arrays_zip(F.regexp_extract_all(value, F.lit(pattern), 1).alias("m"), F.regexp_extract_all(value, F.lit(pattern), 2).alias("v"))
+    let = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # a value that several steps use is worked out once
     made = lambda m, v: F.struct(m.alias("m"), v.alias("v"))
-    display = F.transform(pairs(RESOLUTION_ROW), lambda r: made(collapsed(r["m"]), r["v"]))
-    clean = lambda r: F.regexp_replace(collapsed(r["m"]), "^[, ]+", "")
-
-    def parted(r: Column) -> Column:
-        v = collapsed(r["v"])
-        two = F.array(made(clean(r), F.btrim(F.substring_index(v, OTHER_MODELS, 1))), made(F.lit(OTHER_MODELS), F.btrim(F.substring(v, F.instr(v, OTHER_MODELS) + len(OTHER_MODELS), F.length(v)))))
-        return F.when((field == RESOLUTION_FIELD) & v.contains(OTHER_MODELS), two).otherwise(F.array(made(clean(r), v)))
-
-    plain = F.flatten(F.transform(F.when(field == SOUND_FIELD, pairs(SOUND_ROW)).otherwise(pairs(MODEL_ROW)), parted))
-    models = F.when((field == RESOLUTION_FIELD) & (F.size(display) > 0), display).otherwise(plain)
-    rows = F.when((category == MODEL_SPEC) & (F.size(models) > 0), models).otherwise(F.array(made(F.lit(""), value)))
-    return F.transform(rows, lambda r, i: F.struct((i + 1).alias("row_order"), field.alias("field"), r["m"].alias("model_pattern"), collapsed(r["v"]).alias("value"), unit_of(r["v"]).alias("unit")))
+    name = lambda w: collapsed(F.substring_index(w, ":", 1))
+    told = lambda w: collapsed(F.substring(w, F.instr(w, ":") + 1, F.length(w)))
+    clean = lambda w: F.regexp_replace(name(w), "^[, ]+", "")
+
+    def parted(w: Column) -> Column:
+        two = lambda v: F.array(made(clean(w), F.btrim(F.substring_index(v, OTHER_MODELS, 1))), made(F.lit(OTHER_MODELS), F.btrim(F.substring(v, F.instr(v, OTHER_MODELS) + len(OTHER_MODELS), F.length(v)))))
+        return let(told(w), lambda v: F.when((field == RESOLUTION_FIELD) & v.contains(OTHER_MODELS), two(v)).otherwise(F.array(made(clean(w), v))))
+
+    def rows(value: Column) -> Column:
+        # without a colon there are no pairs, which the patterns find out only by a try from each place
+        pairs = lambda pattern: F.when(value.contains(":"), F.regexp_extract_all(value, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        plain = F.flatten(F.transform(F.when(field == SOUND_FIELD, pairs(SOUND_ROW)).otherwise(pairs(MODEL_ROW)), parted))
+        models = F.when(field == RESOLUTION_FIELD, let(pairs(RESOLUTION_ROW), lambda d: F.when(F.size(d) > 0, F.transform(d, lambda w: made(name(w), told(w)))).otherwise(plain))).otherwise(plain)
+        whole = F.array(made(F.lit(""), value))
+        return F.when(category == MODEL_SPEC, let(models, lambda ms: F.when(F.size(ms) > 0, ms).otherwise(whole))).otherwise(whole)
+
+    value = let(collapsed(x), lambda c: F.when((field != "") & c.startswith(field), F.btrim(F.substring(c, F.length(field) + 1, F.length(c)))).otherwise(c))
+    return F.transform(let(value, rows), lambda r, i: F.struct((i + 1).alias("row_order"), field.alias("field"), r["m"].alias("model_pattern"), collapsed(r["v"]).alias("value"), unit_of(r["v"]).alias("unit")))
 
 
 def list_marker(label: Column) -> Column:

@@ -149,14 +149,23 @@ def content_safety_view(t) -> DataFrame:
     return blocks.safety_view(_blocks(t))
 
 
-_specs = {x: scalars._spec(f, x, c) for f, x, c in [("Display Resolution", "Display Resolution AB1: 1920 x 1080 CD: 3840 x 2160", "model_spec"), ("Operating Humidity", "Operating Humidity 10 % to 80 %", "common_required_spec"), ("Sound (Output)", "Sound (Output) AB1: 20 W CD2: 30 W 5", "model_spec"), ("Sound (Output)", "Sound (Output) AB1: 20 W", "model_spec"), ("Storage Temperature", "Storage Temperature - 20 °C", "common_required_spec")]}
-
-
-@query(f"""WITH RECURSIVE {BLOCKS}, k AS (SELECT doc, block_order, sec, spec_category, spec_field, CASE text {' '.join(f'WHEN {literal(x)} THEN {literal(v)}' for x, v in _specs.items())} END AS told FROM bl WHERE ty = 'spec_table' AND text IN ({', '.join(map(literal, _specs))})),
-u AS (SELECT doc, block_order, sec, spec_category, spec_field, string_split(told, '|') AS rows, unnest(range(len(string_split(told, '|')))) AS i FROM k)
-SELECT doc, CAST(block_order AS INTEGER) AS block_order, sec AS section_heading, spec_category, CAST(i + 1 AS INTEGER) AS row_order, spec_field AS field, split_part(rows[i + 1], '=', 1) AS model_pattern, split_part(rows[i + 1], '=', 2) AS value, split_part(rows[i + 1], '=', 3) AS unit FROM u""")
+#: What of a specification's text is told, by the rows' patterns: SQL's regular expressions cannot look ahead, so what has to follow is matched too and left for the next row.
+_matched = {k: f"regexp_extract(rest, '^(.*?)({x.split('(?=')[0]})(?:{x.split('(?=')[1].removesuffix(')')})', ['pre', 'whole', 'm', 'v'])" for k, x in (("resolution", T.RESOLUTION_ROW), ("sound", T.SOUND_ROW), ("model", T.MODEL_ROW))}
+_other = literal(T.OTHER_MODELS)
+SPECS = f"""k AS (SELECT doc, block_order, sec, spec_category, spec_field, CASE WHEN spec_field <> '' AND starts_with(c, spec_field) THEN trim(substr(c, length(spec_field) + 1)) ELSE c END AS value FROM (SELECT *, {collapse_sql('text')} AS c FROM bl WHERE ty = 'spec_table')),
+sv AS (SELECT DISTINCT spec_field, value FROM k WHERE spec_category = {literal(T.MODEL_SPEC)}),
+mt AS (SELECT spec_field, value, way, 0 AS i, '' AS m, '' AS v, value AS rest FROM sv JOIN (SELECT unnest(['resolution', 'sound', 'model']) AS way) ON CASE WHEN spec_field = {literal(T.SOUND_FIELD)} THEN way = 'sound' ELSE way = 'model' OR (way = 'resolution' AND spec_field = {literal(T.RESOLUTION_FIELD)}) END
+  UNION ALL SELECT spec_field, value, way, i + 1, x.m, x.v, substr(rest, length(x.pre) + length(x.whole) + 1) FROM (SELECT spec_field, value, way, i, rest, CASE way {' '.join(f"WHEN '{k}' THEN {x}" for k, x in _matched.items())} END AS x FROM mt) WHERE x.whole <> ''),
+mr AS (SELECT spec_field, value, way, i, {collapse_sql('m')} AS m, regexp_replace({collapse_sql('m')}, '^[, ]+', '') AS pm, {collapse_sql('v')} AS v FROM mt WHERE i > 0),
+ml AS (SELECT spec_field, value, list({{'m': m, 'v': v}} ORDER BY i) FILTER (way = 'resolution') AS display, flatten(list(CASE WHEN spec_field = {literal(T.RESOLUTION_FIELD)} AND contains(v, {_other}) THEN [{{'m': pm, 'v': trim(split_part(v, {_other}, 1))}}, {{'m': {_other}, 'v': trim(substr(v, instr(v, {_other}) + {len(T.OTHER_MODELS)}))}}] ELSE [{{'m': pm, 'v': v}}] END ORDER BY i) FILTER (way <> 'resolution')) AS plain FROM mr GROUP BY 1, 2),
+u AS (SELECT k.*, unnest(rows) AS r, unnest(range(len(rows))) AS i FROM (SELECT k.*, CASE WHEN spec_category = {literal(T.MODEL_SPEC)} AND len(coalesce(display, plain)) > 0 THEN coalesce(display, plain) ELSE [{{'m': '', 'v': k.value}}] END AS rows FROM k LEFT JOIN ml USING (spec_field, value)) k)"""
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, {SPECS}
+SELECT doc, CAST(block_order AS INTEGER) AS block_order, sec AS section_heading, spec_category, CAST(i + 1 AS INTEGER) AS row_order, spec_field AS field, r.m AS model_pattern, {collapse_sql('r.v')} AS value,
+  CASE WHEN ends_with({collapse_sql('r.v')}, 'W') THEN 'W' WHEN contains(r.v, '°F') OR contains(r.v, '°C') THEN 'temperature_range' WHEN contains(r.v, '%') THEN '%' ELSE '' END AS unit FROM u""")
 def content_spec_view(t) -> DataFrame:
-    return blocks.spec_view(_blocks(t).where(F.col("text").isin(*_specs)))
+    return blocks.spec_view(_blocks(t))
 
 
 @query(f"""WITH RECURSIVE {BLOCKS}, m AS (SELECT *, lag(sec) OVER (PARTITION BY doc ORDER BY block_order) IS DISTINCT FROM sec AS new FROM bl)

@@ -239,3 +239,23 @@ def test_pages_of_documents_pack_into_a_small_file(spark, tmp_path):
     assert told.groupBy("page").agg(F.count("*").alias("n")).where("page between 6 and 6200").where("n <> 120").count() == 0
     assert sum(f.stat().st_size for f in (tmp_path / "pages").glob("*.parquet")) < want // 2  # four bytes a row and more, a document behind another
     assert told.where(F.col("reading_order") != F.least(F.floor((F.col("page") - F.col("doc") % 7) / 500) + 1, F.lit(12))).count() == 0
+
+
+def test_every_specification_is_told(spark, tmp_path):
+    import duckdb
+
+    from foliant.plans import blockviews, registry
+
+    c = F.col("id")
+    rows = spark.range(4000).select((c % 300).alias("l_orderkey"), (c % 13).alias("l_suppkey"), (c * 37 % 1009).alias("l_partkey"), (c % 7).cast("int").alias("l_linenumber"))
+    rows.write.parquet(str(tmp_path / "lineitem"))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    view = blockviews.content_spec_view(read)
+    got = [tuple(r) for r in view.collect()]
+    specs = blockviews._blocks(read).where("block_type = 'spec_table'")
+    assert {r[:2] for r in got} == {tuple(r) for r in specs.select("doc", "block_order").collect()} and specs.select("text").distinct().count() > 20
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem/*.parquet'")
+    told = db.execute(registry.SQL["content_spec_view"])
+    assert [d[0] for d in told.description] == view.columns and sorted(told.fetchall()) == sorted(got)
+    assert any(r[4] > 1 for r in got) and any(r[6] == "" for r in got)
