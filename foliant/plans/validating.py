@@ -19,18 +19,15 @@ def _hints(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stored, detected, targets): detected hints name every other line, and some sections; stored ones lack some, have more,
     repeat some, and tell some evidence otherwise."""
     li = E._lines(t).withColumn("kind", chosen(KINDS, _kind))
-    one = lambda rows, path, kind: rows.select("doc", kind.alias("kind"), path.alias("path"), (F.col("l_quantity") / 2).alias("size"), F.col("l_suppkey").alias("weight"))
-    leaf = one(li.where("n % 2 = 0"), F.col("path"), F.col("kind"))
-    top = one(li.where("n = 3"), F.slice("path", 1, 1), F.lit("section_heading"))
-    detected = leaf.unionByName(top)
-    kept = li.where("n % 2 = 0 and l_quantity <> 7")
-    told = one(kept, F.col("path"), F.col("kind")).withColumn("size", F.when(F.col("weight") % 9 == 0, F.col("size") + 0.5).otherwise(F.col("size") + 1e-9)).withColumn("weight", F.when(F.col("size") > 24.9, F.col("weight") + 1).otherwise(F.col("weight")))
-    more = one(li.where("n % 2 = 1 and l_quantity = 8"), F.col("path"), F.lit("strong_label"))
-    again = one(li.where("n % 2 = 0 and l_quantity = 9"), F.col("path"), F.col("kind"))
-    lost = one(li.where("l_quantity = 10"), F.array(F.lit(99), F.col("n")), F.lit("subtitle"))
-    stored = told.unionByName(more).unionByName(again).unionByName(lost).unionByName(top)
-    targets = li.select("doc", "path").unionByName(li.select("doc", F.slice("path", 1, 1).alias("path")).distinct()).withColumn("kind", F.explode(F.array(*map(F.lit, KINDS))))
-    return stored, detected, targets
+    kind, path, size, weight = F.col("kind"), F.col("path"), F.col("l_quantity") / 2, F.col("l_suppkey")
+    one = lambda when, kind=kind, path=path, size=size, weight=weight: F.when(F.expr(when), F.struct(kind.alias("kind"), path.alias("path"), size.alias("size"), weight.alias("weight")))
+    hints = lambda *some: li.select("doc", F.explode(F.array_compact(F.array(*some))).alias("h")).select("doc", "h.*")
+    section = one("n = 3", F.lit("section_heading"), F.slice("path", 1, 1))
+    shifted = F.when(weight % 9 == 0, size + 0.5).otherwise(size + 1e-9)
+    told = one("n % 2 = 0 and l_quantity <> 7", size=shifted, weight=F.when(shifted > 24.9, weight + 1).otherwise(weight))
+    more, again, lost = one("n % 2 = 1 and l_quantity = 8", F.lit("strong_label")), one("n % 2 = 0 and l_quantity = 9"), one("l_quantity = 10", F.lit("subtitle"), F.array(F.lit(99), F.col("n")))
+    targets = li.select("doc", F.explode(F.array("path", F.slice("path", 1, 1))).alias("path")).withColumn("kind", F.explode(F.array(*map(F.lit, KINDS))))
+    return hints(told, more, again, lost, section), hints(one("n % 2 = 0"), section), targets
 
 
 HINTS = f"""{E.LINES}, lk AS (SELECT *, {chosen_sql(KINDS, _kind)} AS kind FROM li), tp AS (SELECT doc, 'section_heading' AS kind, path[1:1] AS path, l_quantity / 2 AS size, l_suppkey AS weight FROM lk WHERE n = 3),

@@ -1,8 +1,10 @@
 """Queries that have to grow no faster than their tables: what their plans send around, and the steps they now take."""
 
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import blocks, hints, nodes, stats, tables
@@ -259,3 +261,33 @@ def test_every_specification_is_told(spark, tmp_path):
     told = db.execute(registry.SQL["content_spec_view"])
     assert [d[0] for d in told.description] == view.columns and sorted(told.fetchall()) == sorted(got)
     assert any(r[4] > 1 for r in got) and any(r[6] == "" for r in got)
+
+
+def sent(df):
+    """The shuffles of a query that has run, without those that are read again."""
+    df.collect()
+    return re.findall(r"^[\s:|+*()\d-]*Exchange (.*)", plan(df).split("== Initial Plan ==")[0], re.M)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize(("name", "most"), [("hint_faults", 1), ("tree_counts", 1)])
+def test_branches_over_lines_share_one_shuffle(spark, name, most):
+    from foliant.plans import registry
+
+    assert len(sent(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))) <= most
+
+
+def test_faults_of_repeated_and_unknown_hints(spark):
+    from foliant.operators import validation
+
+    inf, nan = float("inf"), float("nan")
+    h = "doc int, kind string, path array<int>, size double, weight int"
+    hints = [(1, "subtitle", [0], 1.0, 5), (1, "subtitle", [0], 1.0, 6), (1, "line_break", [1], inf, None), (1, "line_break", [2], nan, 1), (1, "line_break", [3], None, 1), (1, "line_break", [4], 2.0, 1), (1, "strong_label", [0, 1], 1.0, 1), (None, "line_break", [5], 1.0, 1), (1, None, [6], 1.0, 1)]
+    found = [(1, "subtitle", [0], 1.0, 5), (1, "line_break", [1], inf, None), (1, "line_break", [2], nan, 1), (1, "line_break", [3], 1.0, 1), (1, "line_break", [4], 2.0 + 1e-7, 1), (1, "line_break", [7], 1.0, 1), (None, "line_break", [5], 1.0, 1)]
+    targets = [(1, k, [i]) for k in ("subtitle", "line_break", None) for i in range(8)] + [(None, "line_break", [5]), (1, "strong_label", [0, 1])]
+    got = validation.hint_faults(spark.createDataFrame(hints, h), spark.createDataFrame(found, h), spark.createDataFrame(targets, "doc int, kind string, path array<int>"), ["doc"], ["size"], ["weight"])
+    assert "Join" not in plan(got)
+    assert sorted((str(r.doc), str(r.kind), r.path, r.fault) for r in got.collect()) == sorted([
+        ("1", "subtitle", [0], "repeated"), ("1", "subtitle", [0], "evidence:weight"), ("1", "line_break", [3], "evidence:size"), ("1", "strong_label", [0, 1], "extra"), ("1", "strong_label", [0, 1], "overlap"), ("1", "line_break", [7], "missing"),
+        ("None", "line_break", [5], "unresolved"), ("None", "line_break", [5], "missing"), ("None", "line_break", [5], "extra"), ("1", "None", [6], "unresolved"), ("1", "None", [6], "extra"),
+    ])
