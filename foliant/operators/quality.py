@@ -36,14 +36,25 @@ def measured(x: Column) -> Column:
     return T.collapsed(nfc(x))
 
 
-def with_text(nodes: DataFrame, fragments: DataFrame, keys: list[str]) -> DataFrame:
-    """nodes with `has_text`: whether a fragment with visible text lies below.  Both have keys and path, a fragment's being
-    its node's with its place appended.
-
-    Every visible fragment names the nodes above it, so this is an equi join and no range over paths."""
+def visibly_above(fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path of the nodes above each visible fragment, repeated for each.  A fragment's path is its node's with its place
+    appended and names them all, so nothing is a range over paths."""
     visible = fragments.where(F.btrim(F.regexp_replace("text", T.WHITE + "+", " ")) != "")
-    up = visible.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda n: F.slice("path", F.lit(1), n))).alias("path")).distinct()
-    return nodes.join(up.withColumn("has_text", F.lit(True)), [*keys, "path"], "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
+    return visible.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda n: F.slice("path", F.lit(1), n))).alias("path"))
+
+
+def with_marks(nodes: DataFrame, keys: list[str], **places: DataFrame) -> DataFrame:
+    """nodes with a mark for each table of places (keys, path): whether it has the node's path.
+
+    The tables go under one another and not into joins, which would send all of them around again by the paths too."""
+    rows = nodes.withColumn("_node", F.lit(True))
+    for name, p in places.items():
+        rows = rows.unionByName(p.select(*keys, "path", F.lit(True).alias(name)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "path")
+    matches = F.lit(True)  # as in a join, what is null is nowhere
+    for k in (*keys, "path"):
+        matches = matches & F.col(k).isNotNull()
+    return rows.withColumns({name: F.coalesce(F.bool_or(name).over(w) & matches, F.lit(False)) for name in places}).where("_node").drop("_node")
 
 
 def traversal(nodes: DataFrame, fragments: DataFrame, promotions: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,10 +63,9 @@ def traversal(nodes: DataFrame, fragments: DataFrame, promotions: DataFrame, key
 
     nodes: path, semantic_role, fields (texts of its attributes); promotions: path.  A document without elements is not in
     the result unless it has fragments."""
-    promoted = promotions.select(*keys, "path").distinct().withColumn("_promoted", F.lit(True))
-    n = with_text(nodes, fragments, keys).join(promoted, [*keys, "path"], "left")
+    n = with_marks(nodes, keys, has_text=visibly_above(fragments, keys), _promoted=promotions)
     role = F.col("semantic_role")
-    heading = (role == "heading") | F.coalesce("_promoted", F.lit(False))
+    heading = (role == "heading") | F.col("_promoted")
     body = role.isin(*BODY_ROLES)
     bad = F.transform(F.filter("fields", lambda x: x.isNotNull()), T.forbidden_characters)
     a = n.groupBy(*keys).agg(
@@ -64,7 +74,8 @@ def traversal(nodes: DataFrame, fragments: DataFrame, promotions: DataFrame, key
     )
     wrong = T.forbidden_characters(F.col("text"))
     b = fragments.groupBy(*keys).agg(F.count("*").alias("fragment_count"), F.sum(wrong).alias("_bad_text"), F.count_if(wrong > 0).alias("_bad_parts"))
-    both = a.join(b, keys, "full")
+    rows = a.unionByName(b, allowMissingColumns=True)
+    both = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in keys])  # a full join would lose how they are dealt
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     counts = ("element_count", "fragment_count", "heading_count", "body_count", "body_role_node_count", "unknown_role_count", "empty_element_count")
     return both.select(*keys, *[zero(c).alias(c) for c in counts], (zero("_bad") + zero("_bad_text")).alias("forbidden_xml_control_count"), (zero("_fields") + zero("_bad_parts")).alias("forbidden_xml_control_field_count"))
@@ -90,7 +101,7 @@ def special_characters(tagged: DataFrame, baseline: DataFrame, keys: list[str],
 
     tagged and baseline: keys, text as measured.  A character is preserved if the baseline has none, or the tagged text as
     many at least.  adjusted (keys, character, verified) states counts that other evidence proves, in place of the baseline's."""
-    both = tagged.select(*keys, F.col("text").alias("_a")).join(baseline.select(*keys, F.col("text").alias("_b")), keys, "full")
+    both = tagged.select(*keys, F.col("text").alias("_a")).unionByName(baseline.select(*keys, F.col("text").alias("_b")), allowMissingColumns=True).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     counted = lambda c: [T.occurrences(F.coalesce(c, F.lit("")), x) for x in SPECIAL_CHARACTERS]
     rows = F.array(*[F.struct(F.lit(x).alias("character"), a.alias("tagged"), b.alias("baseline")) for x, a, b in zip(SPECIAL_CHARACTERS, counted("_a"), counted("_b"))])
     out = both.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
@@ -129,8 +140,8 @@ def multilingual_gates(status: Column, count: Column, level: Column, origin: Col
     return F.struct(*[v.alias(n) for n, v in zip(MULTILINGUAL_GATES, values)])
 
 
-def evaluate(documents: DataFrame, counts: DataFrame, diagnostics: DataFrame, specials: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, every hard gate and status (pass or fail) of each document.
+def evaluate(documents: DataFrame, counts: DataFrame, diagnostics: DataFrame, specials: DataFrame, series: DataFrame, keys: list[str], metrics: bool = False) -> DataFrame:
+    """keys, every hard gate and status (pass or fail) of each document; metrics: and its counts, null where it has none.
 
     documents: marked, round_trip_ok and an audit's status, counts_match, levels_match, origins_match, labels_match,
     excused; counts as traversal(), diagnostics as diagnostic_counts(), specials as special_characters() give them; series:
@@ -146,7 +157,7 @@ def evaluate(documents: DataFrame, counts: DataFrame, diagnostics: DataFrame, sp
         "numbered_heading_series_valid": F.coalesce("_valid", F.lit(True)), "numbered_heading_series_counts_consistent": F.coalesce("_consistent", F.lit(True)), "numbered_heading_typography_valid": n("typography_diagnostic_count") == 0,
     }
     out = d.withColumn("_m", multilingual_gates(*[F.col(c) for c in ("audit_status", "counts_match", "levels_match", "origins_match", "labels_match", "excused")]))
-    out = out.select(*keys, *[v.alias(k) for k, v in gates.items()], "_m.*")
+    out = out.select(*keys, *[v.alias(k) for k, v in gates.items()], "_m.*", *([c for c in counts.columns if c not in keys] if metrics else []))
     every = F.lit(True)
     for g in (*GATES, *MULTILINGUAL_GATES):
         every = every & F.col(g)
@@ -172,9 +183,10 @@ def heading_hierarchy(nodes: DataFrame, fragments: DataFrame, promotions: DataFr
 
 
 def report_json(evaluated: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, report: a document's status, gates and counts as JSON with keys in order; null fields are kept."""
+    """keys, report: a document's status, gates and counts as JSON with keys in order; null fields are kept.  Counts that
+    evaluated has already are not worked out again."""
     gates = sorted((*GATES, *MULTILINGUAL_GATES))
     metrics = sorted(c for c in counts.columns if c not in keys)
-    both = evaluated.join(counts, keys, "left")
+    both = evaluated if set(metrics) <= set(evaluated.columns) else evaluated.join(counts, keys, "left")
     told = F.struct(F.struct(*gates).alias("hard_gates"), F.struct(*metrics).alias("metrics"), "status")
     return both.select(*keys, F.to_json(told, {"ignoreNullFields": "false"}).alias("report"))

@@ -270,7 +270,7 @@ def sent(df):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize(("name", "most"), [("hint_faults", 1), ("tree_counts", 1)])
+@pytest.mark.parametrize(("name", "most"), [("hint_faults", 1), ("tree_counts", 1), ("hard_gates", 5), ("quality_reports", 5)])
 def test_branches_over_lines_share_one_shuffle(spark, name, most):
     from foliant.plans import registry
 
