@@ -36,7 +36,10 @@ class Rules:
 
     def region_type(self, text: Column, size: Column) -> Column:
         """The first of the ordered tests that a span passes."""
-        x = T.collapsed(text)
+        return self.collapsed_type(T.collapsed(text), size)
+
+    def collapsed_type(self, x: Column, size: Column) -> Column:
+        """region_type() of a text that is collapsed already; many tests read it, so it should be a column."""
         return (
             F.when(x.isin(*LANGUAGE_LABELS), "language_label").when(x.contains("All rights reserved"), "copyright").when((x == "-00") | x.rlike(DOCUMENT_CODE), "document_code")
             .when(size >= TITLE_SIZE, "title").when(x.contains(f"Contact {self.brand}"), "contact_heading").when(x.isin(self.center, "Website", "Address"), "table_heading")
@@ -85,67 +88,62 @@ def regions(spans: DataFrame, rules: Rules) -> DataFrame:
 
     In a cell, spans go by height, then from left; runs of one type that may be merged become one region.  On a page the
     first product note joins the first disclaimer, and contact regions become one table.  Codes and copyright come last."""
-    typed = spans.withColumn("region_type", rules.region_type(F.col("text"), F.col("size")))
+    typed = spans.withColumn("_x", T.collapsed(F.col("text"))).withColumn("region_type", rules.collapsed_type(F.col("_x"), F.col("size"))).drop("_x")
     w = Window.partitionBy("page", "cell_order").orderBy("y0", "x0", "ord")
     same = (F.lag("region_type").over(w) == F.col("region_type")) & F.col("region_type").isin(*MERGED)
     placed = typed.withColumns({"_new": (~F.coalesce(same, F.lit(False))).cast("int"), "_at": F.row_number().over(w)})
-    placed = placed.withColumn("_run", F.sum("_new").over(Window.partitionBy("page", "cell_order").orderBy("_at")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda s: s["text"]), " ")
-    flags = [F.bool_or(c).alias(c) for c in ("bold", "italic", "underline")]
-    found = placed.groupBy("page", "cell_order", "_run", "region_type").agg(T.collapsed(text).alias("text"), F.count("*").alias("n_spans"), F.max("size").alias("size"), *flags, *united())
+    placed = placed.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a run's first span stands for it: a grouping would hold the texts of all runs of a task, and order them anew
+    run = Window.partitionBy("page", "cell_order", "_run").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = {"_text": F.collect_list("text"), "n_spans": F.count("*"), "size": F.max("size"), **{c: F.bool_or(c) for c in ("bold", "italic", "underline")}, **{c: (F.min if c in ("x0", "y0") else F.max)(c) for c in BOX}}
+    found = placed.withColumns({f"_{c}" if c != "_text" else c: v.over(run) for c, v in told.items()}).where("_new = 1")
+    found = found.select("page", "cell_order", "_run", "region_type", T.collapsed(F.array_join("_text", " ")).alias("text"), *[F.col(f"_{c}").alias(c) for c in ("n_spans", "size", "bold", "italic", "underline")], *[F.round(f"_{c}", 2).alias(c) for c in BOX])
     page = Window.partitionBy("page").orderBy("cell_order", "_run")
     found = found.withColumn("_seq", F.row_number().over(page)).drop("_run")
     return numbered(with_contact_tables(with_disclaimers(found), rules), rules)
 
 
-def united(columns: tuple[str, ...] = BOX) -> list[Column]:
-    x0, y0, x1, y1 = columns
-    return [F.round(f(c), 2).alias(n) for f, c, n in ((F.min, x0, "x0"), (F.min, y0, "y0"), (F.max, x1, "x1"), (F.max, y1, "y1"))]
-
-
 def with_disclaimers(found: DataFrame) -> DataFrame:
     """The first product note of a page joins the page's first disclaimer, if it has both."""
     every = Window.partitionBy("page")
-    first = lambda kind: F.min(F.when(F.col("region_type") == kind, F.col("_seq"))).over(every)
-    rows = found.withColumns({"_d": first("disclaimer"), "_p": first("product_note")})
+    of = lambda kind, value: F.min(F.when(F.col("region_type") == kind, value)).over(every)
+    rows = found.withColumns({"_d": of("disclaimer", F.col("_seq")), "_p": of("product_note", F.struct("_seq", "text", *BOX))})
     both = F.col("_d").isNotNull() & F.col("_p").isNotNull()
-    rows = rows.withColumn("_target", F.when(both & (F.col("_seq") == F.col("_p")), F.col("_d")).otherwise(F.col("_seq")))
-    own = Window.partitionBy("page", "_target")
-    is_note = F.col("_target") != F.col("_seq")
-    note = F.max(F.when(is_note, F.col("text"))).over(own)
-    box = {c: (F.min if c in ("x0", "y0") else F.max)(c).over(own) for c in BOX}
-    rows = rows.withColumns({"_note": note, **{f"_{c}": v for c, v in box.items()}})
-    joined = F.when(F.col("_note").isNotNull() & ~is_note, T.collapsed(F.concat_ws(" ", "text", "_note"))).otherwise(F.col("text"))
-    kept = rows.withColumn("text", joined).where(~is_note)
-    return kept.select(*[F.col(f"_{c}").alias(c) if c in BOX else F.col(c) for c in found.columns])
+    rows = rows.where(~F.coalesce(both & (F.col("_seq") == F.col("_p._seq")), F.lit(False)))
+    takes = both & (F.col("_seq") == F.col("_d"))
+    joined = F.when(takes & F.col("_p.text").isNotNull(), T.collapsed(F.concat_ws(" ", "text", "_p.text"))).otherwise(F.col("text"))
+    box = {c: F.when(takes, (F.least if c in ("x0", "y0") else F.greatest)(c, f"_p.{c}")).otherwise(F.col(c)) for c in BOX}
+    return rows.select(*[joined.alias(c) if c == "text" else box[c].alias(c) if c in BOX else F.col(c) for c in found.columns])
 
 
 def with_contact_tables(found: DataFrame, rules: Rules) -> DataFrame:
     """A page's contact regions as one region, behind the others: service center (the last stated), websites (each once) and
     address, which is null without any sign of one.  Regions without a value stay as they are."""
-    kind, text = F.col("region_type"), F.col("text")
+    kind, text, contact = F.col("region_type"), F.col("text"), F.col("_contact")
+    every = Window.partitionBy("page")
     rows = found.withColumn("_contact", F.coalesce(rules.is_contact(kind, text), F.lit(False)))
-    value = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("_seq", "text")))), lambda s: s["text"])
-    grouped = rows.where("_contact").groupBy("page").agg(
-        F.max(F.when(kind == "contact_value", F.struct("_seq", "text")))["text"].alias("_center"), F.array_distinct(F.flatten(F.transform(value(kind == "website"), lambda v: T.prefixed_parts(v, "www.")))).alias("_sites"),
-        value(kind == "body").alias("_address"), F.bool_or((kind == "table_heading") & (text == "Address")).alias("_headed"), F.min_by("cell_order", "_seq").alias("cell_order"), F.max("_seq").alias("_seq"), *united(),
-    )
-    has_address = F.col("_headed") | (F.size("_address") > 0)
-    t = grouped.withColumns({"service_center": F.coalesce("_center", F.lit("")), "websites": F.array_join("_sites", "\n"), "address": F.when(has_address, F.array_join("_address", "\n"))})
-    t = t.where((F.col("service_center") != "") | (F.col("websites") != "") | (F.coalesce("address", F.lit("")) != ""))
-    told = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}: "), F.col(c)))
-    names = [F.lit(rules.center), F.lit("Website")]
-    values = [F.col("service_center"), F.col("websites")]
-    md = F.when(F.col("address").isNull(), table_markdown(names, values)).otherwise(table_markdown([*names, F.lit("Address")], [*values, F.col("address")]))
-    table = t.select(
-        "page", "cell_order", F.lit("contact_table").alias("region_type"), T.collapsed(F.concat_ws(" ", told(rules.center, "service_center"), told("Website", "websites"), told("Address", "address"))).alias("text"),
-        F.lit(None).cast("long").alias("n_spans"), F.lit(None).cast("double").alias("size"), *[F.lit(None).cast("boolean").alias(c) for c in ("bold", "italic", "underline")], *BOX,
-        (F.col("_seq") + (1 << 20)).cast(found.schema["_seq"].dataType).alias("_seq"), md.alias("_md"), "service_center", "websites", "address",
-    )
-    empty = {"_md": F.lit(None).cast("string"), "service_center": F.lit(None).cast("string"), "websites": F.lit(None).cast("string"), "address": F.lit(None).cast("string")}
-    tabled = table.select("page").withColumn("_tabled", F.lit(True))
-    kept = rows.join(tabled, "page", "left").where(~(F.col("_contact") & F.coalesce("_tabled", F.lit(False)))).drop("_contact", "_tabled").withColumns(empty)
-    return kept.unionByName(table)
+    values = lambda when: F.collect_list(F.when(contact & when, F.struct("_seq", "text"))).over(every)
+    rows = rows.withColumns({
+        "_first": F.min(F.when(contact, F.struct("_seq", "cell_order"))).over(every), "_last": F.max(F.when(contact, F.col("_seq"))).over(every), "_center": F.max(F.when(contact & (kind == "contact_value"), F.struct("_seq", "text"))).over(every),
+        "_sites": values(kind == "website"), "_address": values(kind == "body"), "_headed": F.bool_or(contact & (kind == "table_heading") & (text == "Address")).over(every),
+        **{f"_{c}": (F.min if c in ("x0", "y0") else F.max)(F.when(contact, F.col(c))).over(every) for c in BOX},
+    })
+    ordered = lambda c: F.transform(F.array_sort(c), lambda s: s["text"])
+    own = lambda c: F.when(contact, c)  # a page's values, at its contact regions only
+    rows = rows.withColumns({
+        "service_center": own(F.coalesce("_center.text", F.lit(""))), "websites": own(F.array_join(F.array_distinct(F.flatten(F.transform(ordered("_sites"), lambda v: T.prefixed_parts(v, "www.")))), "\n")),
+        "address": own(F.when(F.col("_headed") | (F.size("_address") > 0), F.array_join(ordered("_address"), "\n"))),
+    })
+    told = (F.col("service_center") != "") | (F.col("websites") != "") | (F.coalesce("address", F.lit("")) != "")
+    # the first contact region of a page with values becomes its table, the others go
+    rows = rows.withColumn("_table", contact & told).where(~F.col("_table") | (F.col("_seq") == F.col("_first._seq")))
+    named = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}: "), F.col(c)))
+    names, cells = [F.lit(rules.center), F.lit("Website")], [F.col("service_center"), F.col("websites")]
+    md = F.when(F.col("address").isNull(), table_markdown(names, cells)).otherwise(table_markdown([*names, F.lit("Address")], [*cells, F.col("address")]))
+    whole = T.collapsed(F.concat_ws(" ", named(rules.center, "service_center"), named("Website", "websites"), named("Address", "address")))
+    table = {"cell_order": F.col("_first.cell_order"), "region_type": F.lit("contact_table"), "text": whole, **{c: F.lit(None) for c in ("n_spans", "size", "bold", "italic", "underline")}, **{c: F.round(f"_{c}", 2) for c in BOX}, "_seq": F.col("_last") + (1 << 20)}
+    at = F.col("_table")
+    return rows.select(*[F.when(at, table[c]).otherwise(F.col(c)).cast(found.schema[c].dataType).alias(c) if c in table else F.col(c) for c in found.columns], F.when(at, md).alias("_md"), *[F.when(at, F.col(c)).alias(c) for c in ("service_center", "websites", "address")])
 
 
 def numbered(found: DataFrame, rules: Rules) -> DataFrame:

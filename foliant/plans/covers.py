@@ -24,7 +24,8 @@ def _spans(t) -> DataFrame:
     """Spans of cover pages: an order a page, two cells."""
     c = F.col
     y = c("l_discount") * 100 + c("l_linenumber")
-    li = dealt(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"), "l_orderkey")
+    table = t("lineitem")
+    li = dealt(table.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"), "l_orderkey", table=table)
     return li.select(
         c("l_orderkey").alias("page"), (c("l_linenumber") % 2).alias("cell_order"), (c("l_suppkey") * 10 + c("l_linenumber")).alias("ord"), chosen(*TEXT).alias("text"), (8 + c("l_suppkey") % 15).cast("double").alias("size"),
         (c("l_tax") > 0.04).alias("bold"), (c("l_returnflag") == "A").alias("italic"), F.lit(False).alias("underline"), c("l_quantity").alias("x0"), y.alias("y0"), (c("l_quantity") + 30).alias("x1"), (y + 9).alias("y1"),

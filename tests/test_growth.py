@@ -291,3 +291,23 @@ def test_faults_of_repeated_and_unknown_hints(spark):
         ("1", "subtitle", [0], "repeated"), ("1", "subtitle", [0], "evidence:weight"), ("1", "line_break", [3], "evidence:size"), ("1", "strong_label", [0, 1], "extra"), ("1", "strong_label", [0, 1], "overlap"), ("1", "line_break", [7], "missing"),
         ("None", "line_break", [5], "unresolved"), ("None", "line_break", [5], "missing"), ("None", "line_break", [5], "extra"), ("1", "None", [6], "unresolved"), ("1", "None", [6], "extra"),
     ])
+
+
+def test_cover_regions_are_worked_out_once(spark):
+    from foliant.operators import cover
+
+    texts = ["Acme Service Center", "call 1-800-ACME 5", "www.a.example www.b.example", "www.a.example", "12 Long Road", "body", "more", "Figures and illustrations differ", "Product design and specifications may change", "BN68-01234A-00", "Address"]
+    rows = [(p, i % 2, i, x, 25.0 if x == "body" and p == 2 else 9.0, i == 3, False, False, float(i % 3), float(i), float(i + 4), float(i + 1)) for p in (1, 2) for i, x in enumerate(texts)] + [(3, 0, 0, "Website", 9.0, False, False, False, 0.0, 0.0, 1.0, 1.0), (3, 0, 1, "plain", 9.0, False, False, False, 0.0, 1.0, 1.0, 2.0), (3, 0, 2, "body", 9.0, True, False, False, 0.0, 2.0, 1.0, 3.0)]
+    spans = spark.createDataFrame(rows, "page int, cell_order int, ord int, text string, size double, bold boolean, italic boolean, underline boolean, x0 double, y0 double, x1 double, y1 double").repartition(4, "page")
+    found = cover.regions(spans, cover.Rules("Acme", ("Long Road",)))
+    planned = plan(found)
+    assert "Join" not in planned and "Union" not in planned and "Aggregate" not in planned and planned.count("Sort [") <= 3 and planned.count("Exchange") <= 2
+    got = {}
+    for r in found.orderBy("page", "region_order").collect():
+        got.setdefault(r.page, []).append(r)
+    table = next(r for r in got[1] if r.region_type == "contact_table")
+    assert (table.service_center, table.websites, table.address) == ("call 1-800-ACME 5", "www.a.example\nwww.b.example", "12 Long Road more") and table.n_spans is None and (table.x0, table.y0, table.x1, table.y1) == (0.0, 0.0, 14.0, 11.0)
+    note = next(r for r in got[1] if r.region_type == "disclaimer")
+    assert note.text == "Figures and illustrations differ Product design and specifications may change" and (note.y0, note.y1) == (7.0, 9.0)
+    assert [r.region_type for r in got[1]][-1] == "document_code" and sum(r.region_type == "contact_table" for r in got[2]) == 1 and any(r.region_type == "title" for r in got[2])
+    assert [(r.region_type, r.text, r.n_spans, r.bold) for r in got[3]] == [("table_heading", "Website", 1, False), ("body", "plain body", 2, True)]
