@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from foliant.operators import clusters
 from foliant.plans.made import chosen, chosen_sql
 from foliant.plans.registry import query
-from foliant.plans.structure import NODES, _nodes
+from foliant.plans.structure import NODES
+from foliant.sources.places import dealt, written
 
 KEYS = ["doc"]
 #: Weights and sizes by which a section's lines are set: titles, labels, details, between both, heavier but smaller.
@@ -20,14 +21,17 @@ LONG = "so long that it is no label " * 6
 
 
 def _paragraphs(t) -> DataFrame:
-    """doc, path, role, source_role, text, weight, size, page, mcid: a section's title, lines and cells, a fragment in each."""
-    n = _nodes(t).withColumns({"doc": F.expr("l_orderkey div 16").cast("long"), "at": F.expr("int(l_orderkey % 16 * 10 + l_linenumber)"), "tab": F.expr(_in_table)})
+    """doc, path, role, source_role, text, weight, size, page, mcid, taken: a section's title, lines and cells, a fragment in each."""
+    table = t("lineitem")
+    lines = table.select(F.expr("l_orderkey div 16").cast("long").alias("doc"), "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_partkey")
+    n = dealt(lines, "doc", table=table, once=True).groupBy("doc", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.min("l_returnflag").alias("l_returnflag"), F.min("l_partkey").alias("l_partkey"))
+    n = n.withColumns({"at": F.expr("int(l_orderkey % 16 * 10 + l_linenumber)"), "tab": F.expr(_in_table)})
     n = n.withColumns({"weight": chosen([w for w, _ in STYLES], _style), "size": chosen([s for _, s in STYLES], _style)})
     cell = Window.partitionBy("doc", "tab", F.floor(F.col("at") / 10)).orderBy("at")
     path = F.when(F.col("tab"), F.array(F.lit(0), F.lit(500), (F.col("at") / 10).cast("int"), F.row_number().over(cell) - 1)).otherwise(F.array(F.lit(0), F.col("at")))
     text = F.when(F.expr("l_partkey % 29 = 0"), LONG).when(F.expr("l_partkey % 31 = 0"), " ").otherwise(F.concat(F.lit("text "), "l_returnflag"))
-    rows = n.select("doc", path.alias("path"), F.when(F.expr("l_partkey % 23 = 0 and not tab"), "list").otherwise("paragraph").alias("role"), F.when(F.expr("l_partkey % 37 = 0"), "Heading2").otherwise("Para").alias("source_role"), text.alias("text"), F.when(F.expr("l_partkey % 199 > 0"), F.col("weight")).alias("weight"), "size", F.lit(0).alias("page"), F.col("at").alias("mcid"))
-    top = n.groupBy("doc").agg(F.min("l_orderkey").alias("l_orderkey")).select("doc", F.array(F.lit(0), F.lit(0)).alias("path"), F.lit("paragraph").alias("role"), F.lit("Para").alias("source_role"), F.lit("Title").alias("text"), chosen([w for w, _ in TITLES], _top).alias("weight"), chosen([s for _, s in TITLES], _top).alias("size"), F.lit(0).alias("page"), F.lit(0).alias("mcid"))
+    rows = n.select("doc", path.alias("path"), F.when(F.expr("l_partkey % 23 = 0 and not tab"), "list").otherwise("paragraph").alias("role"), F.when(F.expr("l_partkey % 37 = 0"), "Heading2").otherwise("Para").alias("source_role"), text.alias("text"), F.when(F.expr("l_partkey % 199 > 0"), F.col("weight")).alias("weight"), "size", F.lit(0).alias("page"), F.col("at").alias("mcid"), F.expr("l_partkey % 41 = 0").alias("taken"))
+    top = n.groupBy("doc").agg(F.min("l_orderkey").alias("l_orderkey")).select("doc", F.array(F.lit(0), F.lit(0)).alias("path"), F.lit("paragraph").alias("role"), F.lit("Para").alias("source_role"), F.lit("Title").alias("text"), chosen([w for w, _ in TITLES], _top).alias("weight"), chosen([s for _, s in TITLES], _top).alias("size"), F.lit(0).alias("page"), F.lit(0).alias("mcid"), F.lit(False).alias("taken"))
     return rows.unionByName(top)
 
 
@@ -53,15 +57,14 @@ nb AS (SELECT doc FROM fl JOIN rc USING (doc, pos) GROUP BY 1 HAVING NOT bool_or
 UNION ALL SELECT doc, 0, 'section_heading', ok.w, ok.s, bw, bs FROM f1 JOIN ok USING (doc) JOIN nb USING (doc)""")
 def form_clusters(t) -> DataFrame:
     """Titles and labels by the numbers of their lines."""
-    p = _paragraphs(t)
+    p = written(_paragraphs(t), "form-paragraphs")  # nodes, fragments and what is taken would each work them out
     own = p.select("doc", "path", "role", "source_role", F.lit(None).cast("string").alias("actual_text"))
     box = lambda path, role: p.select("doc", path.alias("path"), F.lit(role).alias("role"), F.lit(role).alias("source_role"), F.lit(None).cast("string").alias("actual_text")).distinct()
     inner = p.where("size(path) = 4")
     cells = inner.select("doc", F.slice("path", 1, 3).alias("path"), F.lit("table_cell").alias("role"), F.lit("TD").alias("source_role"), F.lit(None).cast("string").alias("actual_text")).distinct()
     nodes = own.unionByName(cells).unionByName(box(F.array(F.lit(0)), "section")).unionByName(box(F.array(F.lit(0), F.lit(500)), "table"))
     fragments = p.select("doc", F.concat("path", F.array(F.lit(0))).alias("path"), "text", "weight", "size", "page", "mcid")
-    n = _nodes(t).where("l_partkey % 41 = 0").select(F.expr("l_orderkey div 16").cast("long").alias("doc"), F.expr("int(l_orderkey % 16 * 10 + l_linenumber)").alias("mcid"))
-    taken = fragments.join(n, ["doc", "mcid"]).select("doc", F.slice("path", 1, F.size("path") - 1).alias("path"))
+    taken = p.where("taken").select("doc", "path")
     found = clusters.form_clusters(nodes, fragments, taken, KEYS)
-    at = fragments.select("doc", F.slice("path", 1, F.size("path") - 1).alias("path"), F.col("mcid").alias("pos"))
+    at = p.select("doc", "path", F.col("mcid").alias("pos"))
     return found.join(at, ["doc", "path"]).select("doc", "pos", "display_role", "weight", "size", "body_weight", "body_size")

@@ -311,3 +311,19 @@ def test_cover_regions_are_worked_out_once(spark):
     assert note.text == "Figures and illustrations differ Product design and specifications may change" and (note.y0, note.y1) == (7.0, 9.0)
     assert [r.region_type for r in got[1]][-1] == "document_code" and sum(r.region_type == "contact_table" for r in got[2]) == 1 and any(r.region_type == "title" for r in got[2])
     assert [(r.region_type, r.text, r.n_spans, r.bold) for r in got[3]] == [("table_heading", "Website", 1, False), ("body", "plain body", 2, True)]
+
+
+def test_inline_paragraphs_are_told_by_one_grouping(spark):
+    n = "doc int, path array<int>, role string, actual_text string"
+    rows = [(1, [0], "paragraph", None), (1, [0, 0], "span", None), (1, [1], "paragraph", None), (1, [1, 0], "figure", None), (1, [2], "paragraph", None), (1, [2, 0], "link", "said"), (1, [3], "paragraph", None), (1, [4], "heading", None), (None, [5], "paragraph", None)]
+    found = nodes.inline_paragraphs(spark.createDataFrame(rows, n), spark.createDataFrame([(1, [0, 0, 0], "x"), (1, [1, 0, 0], "x"), (1, [3, 0], " "), (1, [4, 0], "x"), (None, [5, 0], "x")], "doc int, path array<int>, text string"), ["doc"])
+    assert "Join" not in plan(found) and sorted(r.path for r in found.collect()) == [[0], [2]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_form_paragraphs_are_written_once(spark, monkeypatch):
+    from foliant.plans import forms
+
+    reads = []
+    forms.form_clusters(lambda name: reads.append(name) or spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
+    assert reads == ["lineitem"]
